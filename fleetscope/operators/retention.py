@@ -29,7 +29,8 @@ def retained(time: Column, now: datetime, days: int, grain: str) -> Column:
     """
     boundary = now - timedelta(days=days)
     if grain == "date":
-        keep = F.to_date(time) >= F.lit(boundary.date())
+        # Midnight of the boundary day: the same cut, and it reaches the file scan.
+        keep = time >= F.lit(datetime.combine(boundary.date(), datetime.min.time()))
     elif grain == "timestamp":
         keep = time >= F.lit(boundary)
     else:
