@@ -104,64 +104,62 @@ def block_leaders(chains: DataFrame) -> DataFrame:
 
 def _forest_counts(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     at = [*keys, "session_id"]
-    sizes, jumps, cyclic = _double(edges, keys)
+    state, cyclic = _double(edges, keys)
+    tops = state.filter("top is not null and not live").select(
+        *at, F.col("span").alias("depth"), F.col("top").alias("root")
+    )
+    sizes = state.select(*at, "size")
     if cyclic is not None:
         # Cycle members become roots: count the trees below them, then pool each cycle.
         members = cut_lineage(cyclic)
-        sizes, _, _ = _double(edges.join(members, at, "left_anti"), keys)
-        ring = edges.join(members, at, "left_semi")
-        labels = _ring_labels(ring, keys)
-        missing = members.join(sizes, at, "left_anti").withColumn("size", F.lit(1).cast("bigint"))
-        pooled = labels.join(sizes.unionByName(missing), at).groupBy(*keys, "label").agg(F.sum("size").alias("total"))
+        trees, _ = _double(edges.join(members, at, "left_anti"), keys)
+        sizes = trees.select(*at, "size")
+        labels = _ring_labels(edges.join(members, at, "left_semi"), keys)
+        alone = members.join(sizes, at, "left_anti").withColumn("size", F.lit(1).cast("bigint"))
+        pooled = labels.join(sizes.unionByName(alone), at).groupBy(*keys, "label").agg(F.sum("size").alias("total"))
         ring_sizes = labels.join(pooled, [*keys, "label"]).select(*at, F.col("total").alias("size"))
         sizes = sizes.join(members, at, "left_anti").unionByName(ring_sizes)
-    counts = sizes.select(*at, (F.col("size") - 1).alias("blocked_session_count"))
-    tops = jumps.filter(~F.col("live")).select(*at, F.col("span").alias("depth"), F.col("top").alias("root"))
-    return counts, tops
+    return sizes.select(*at, (F.col("size") - 1).alias("blocked_session_count")), tops
+
 
+def _double(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Subtree size and final jump per node, and the cycle members if the walk never ends.
 
-def _double(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Subtree sizes, final jumps, and the cycle members if the walk never ends."""
+    ``top`` is the node ``span`` hops up; ``live`` says it is exactly ``2**k`` hops away
+    and may have a blocker of its own.
+    """
     at = [*keys, "session_id"]
-    jumps = edges.select(
-        *at, F.col("blocker").alias("top"), F.lit(1).cast("bigint").alias("span"), F.lit(True).alias("live")
-    )
-    sizes = (
-        edges.select(*at).union(edges.select(*keys, "blocker")).distinct()
-        .withColumn("size", F.lit(1).cast("bigint"))
-    )
+    blocked = edges.select(*at, F.col("blocker").alias("top"))
+    roots = edges.select(*keys, F.col("blocker").alias("session_id")).distinct().join(blocked, at, "left_anti")
+    one = F.lit(1).cast("bigint")
+    state = blocked.withColumn("live", F.lit(True)).unionByName(
+        roots.withColumns({"top": F.lit(None).cast(blocked.schema["top"].dataType), "live": F.lit(False)})
+    ).withColumns({"span": one, "size": one})
     seen = None
     while True:
         # Whatever sits exactly 2**k below a node brings the nodes less than 2**k below itself.
-        below = (
-            jumps.filter("live").select(*at, "top").join(sizes, at)
-            .groupBy(*keys, F.col("top").alias("session_id")).agg(F.sum("size").alias("more"))
-        )
-        sizes = cut_lineage(
-            sizes.join(below, at, "left").select(*at, (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
-        )
-        onward = jumps.select(
+        below = state.filter("live").groupBy(*keys, F.col("top").alias("session_id")).agg(F.sum("size").alias("_more"))
+        onward = state.filter("top is not null").select(
             *keys, F.col("session_id").alias("top"), F.col("top").alias("_top"),
             F.col("span").alias("_span"), F.col("live").alias("_live"),
         )
-        joined = jumps.join(onward, [*keys, "top"], "left")
         moves = F.col("live") & F.col("_top").isNotNull()
-        jumps = cut_lineage(
-            joined.select(
+        state = cut_lineage(
+            state.join(below, at, "left").join(onward, [*keys, "top"], "left").select(
                 *at,
                 F.when(moves, F.col("_top")).otherwise(F.col("top")).alias("top"),
                 F.when(moves, F.col("span") + F.col("_span")).otherwise(F.col("span")).alias("span"),
                 (moves & F.col("_live")).alias("live"),
+                (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size"),
             )
         )
-        live = jumps.filter("live")
-        images = live.select(*keys, F.col("top").alias("session_id")).distinct()
-        state = (live.count(), images.count())
-        if state[0] == 0:
-            return sizes, jumps, None
-        if state == seen:
-            return sizes, jumps, images
-        seen = state
+        images = state.filter("live").groupBy(*keys, F.col("top").alias("session_id")).agg(F.count(F.lit(1)).alias("_n"))
+        row = images.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count(F.lit(1))).first()
+        if row[0] == 0:
+            return state, None
+        if (row[0], row[1]) == seen:
+            return state, images.drop("_n")
+        seen = (row[0], row[1])
 
 
 def _ring_labels(ring: DataFrame, keys: Sequence[str]) -> DataFrame:

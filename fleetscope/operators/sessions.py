@@ -79,11 +79,12 @@ def effective_waits(rollup: DataFrame) -> DataFrame:
 def primary_wait(waits: DataFrame) -> DataFrame:
     """One row per request: lock waits first, then the longest wait, then the highest blocker.
 
-    Remaining ties go to the greater wait type and resource. The resource is kept only
-    for wait types it explains.
+    Remaining ties go to the greater wait type and resource, then to the latest batch and
+    statement. The resource is kept only for wait types it explains.
     """
     lock_first = F.coalesce(is_lock_wait(F.col("wait_type")).cast("int"), F.lit(0))
-    best_by = [lock_first, F.col("wait_time"), F.col("blocked"), F.col("wait_type"), F.col("wait_resource")]
+    ties = ["wait_type", "wait_resource", "last_request_end_time", "stmt_start", "stmt_end", "cmd", "program_name"]
+    best_by = [lock_first, F.col("wait_time"), F.col("blocked"), *[F.col(c) for c in ties]]
     best = best_row(waits, SK, best_by, [c for c in waits.columns if c not in SK])
     return best.withColumn("wait_resource", F.when(keeps_resource(F.col("wait_type")), F.col("wait_resource")))
 
