@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetscope.operators.graph import reachable
+from fleetscope.operators.ranking import best_row
+from fleetscope.sources.telemetry import inline_relation
 
 # Alert rules and the seconds between two responses of one rule.
 COOLDOWN_SECONDS = 60
@@ -21,7 +23,7 @@ def alert_rules(spark: SparkSession) -> DataFrame:
     """Thirteen rules: one per severity from 16 to 25, three for single error numbers."""
     rows = [(f"Severity {s:03d}", s, None) for s in SEVERITY_RULES]
     rows += [(f"Error Number {e}", None, e) for e in ERROR_RULES]
-    return spark.createDataFrame(rows, "rule string, severity bigint, error_number bigint")
+    return inline_relation(spark, rows, "rule string, severity bigint, error_number bigint")
 
 
 def match_rules(events: DataFrame) -> DataFrame:
@@ -51,7 +53,7 @@ def cooldown_alerts(events: DataFrame, seconds: int = COOLDOWN_SECONDS, run_limi
     step = seconds * 1_000_000
     micros = F.unix_micros(F.col("event_time").cast("timestamp"))
     matched = match_rules(events).withColumn("_t", micros).withColumn("_w", F.floor(micros / step))
-    times = matched.groupBy(*_KEY, "_w", "_t").agg(F.min("event_id").alias("event_id"))
+    times = matched.select(*_KEY, "_w", "_t").distinct()
     windows = times.groupBy(*_KEY, "_w").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.count(F.lit(1)).alias("_n"))
     # One row per rule and cooldown window from here on: bounded by the time span.
     in_order = Window.partitionBy(*_KEY).orderBy("_w")
@@ -64,9 +66,10 @@ def cooldown_alerts(events: DataFrame, seconds: int = COOLDOWN_SECONDS, run_limi
     long_runs = placed.filter(F.col("_size") > run_limit)
     if not windows.filter(F.col("_size") > run_limit).isEmpty():
         fired = fired.unionByName(_chain_runs(long_runs, step))
-    columns = [c for c in events.columns if c != "event_id"]
-    chosen = fired.join(times.select(*_KEY, "_t", "event_id"), [*_KEY, "_t"])
-    return chosen.join(matched.select(*_KEY, "_t", "event_id", *[c for c in columns if c not in _KEY]), [*_KEY, "_t", "event_id"]).drop("_t", "_w")
+    # Events of one instant: the lowest id speaks for them.
+    payload = ["event_id", *[c for c in events.columns if c not in (*_KEY, "event_id")]]
+    alerts = matched.join(fired, [*_KEY, "_t"])
+    return best_row(alerts, [*_KEY, "_t"], [-F.col("event_id")], payload).drop("_t")
 
 
 def _fold_runs(placed: DataFrame, step: int) -> DataFrame:
@@ -76,7 +79,6 @@ def _fold_runs(placed: DataFrame, step: int) -> DataFrame:
         due = (F.size(fired) == 0) | (t - F.element_at(fired, -1) >= step)
         return F.when(due, F.concat(fired, F.array(t))).otherwise(fired)
 
-    # Reversed lists would avoid nothing here: a run holds at most one fired time per window.
     fired = F.aggregate("_times", F.array().cast("array<bigint>"), keep)
     return ordered.select(*_KEY, F.explode(fired).alias("_t"))
 
