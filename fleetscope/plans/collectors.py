@@ -36,12 +36,16 @@ def job_enabled_log(jobs_df: DataFrame, replica_states: DataFrame, groups: DataF
     )
 
 
-def job_definition_drift(primary: DataFrame, secondary: DataFrame, roles: DataFrame | None = None) -> DataFrame:
-    """Definitions that differ; with ``roles``, only rows of servers in the fitting role are compared."""
-    if roles is not None:
-        primary = replicas.replica_gate(primary, roles, "PRIMARY")
-        secondary = replicas.replica_gate(secondary, roles, "SECONDARY")
-    return jobs.definition_drift(primary, secondary)
+def job_definition_drift(definitions: DataFrame, roles: DataFrame) -> DataFrame:
+    """Definitions that differ between each secondary and the primary of its group.
+
+    ``roles`` has ``server_id, group_name, role``; servers in no group compare with nobody.
+    """
+    primaries = roles.filter("role = 'PRIMARY'").select("server_id", "group_name")
+    secondaries = roles.filter("role = 'SECONDARY'").select("group_name", F.col("server_id").alias("secondary_id"))
+    primary = definitions.join(primaries, "server_id").join(secondaries, "group_name")
+    secondary = definitions.withColumn("secondary_id", F.col("server_id")).join(secondaries, "secondary_id")
+    return jobs.definition_drift(primary, secondary, ["group_name", "secondary_id"])
 
 
 def space_tracking(files: DataFrame) -> DataFrame:

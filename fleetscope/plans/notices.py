@@ -43,13 +43,13 @@ def replica_health_report(replica_states: DataFrame, databases: DataFrame, roles
     )
 
 
-def drift_notices(drift: DataFrame, secondaries: DataFrame) -> DataFrame:
-    """One notice per secondary while definitions differ."""
-    sides = drift.agg(F.count(F.lit(1)).alias("differences")).filter("differences > 0")
-    return secondaries.select("server_id").distinct().join(F.broadcast(sides)).select(
-        "server_id",
-        F.concat(F.lit("Agent job definitions differ between Primary and Secondary. Current secondary: "), F.col("server_id").cast("string")).alias("mail_subject"),
-        F.concat(F.lit("Differing definitions: "), F.col("differences").cast("string")).alias("mail_body"),
+def drift_notices(drift: DataFrame) -> DataFrame:
+    """One notice per secondary whose definitions differ from its primary's."""
+    server = F.col("secondary_id").cast("string")
+    subject = F.concat(F.lit("Agent job definitions differ between Primary and Secondary. Current secondary: "), server)
+    return drift.groupBy(F.col("secondary_id")).agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col("secondary_id").alias("server_id"), subject.alias("mail_subject"),
+        F.concat(F.lit("Differing definitions: "), F.col("_n").cast("string")).alias("mail_body"),
     )
 
 

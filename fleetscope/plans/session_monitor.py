@@ -29,7 +29,8 @@ def session_snapshot(
     ``inputs`` maps relation names to DataFrames; ``procs``, ``sessions``, ``requests`` and
     ``databases`` are always read, others only for the groups asked for. Sessions that block a
     selected one come along (``is_added``). The request rows feed several joins, so they
-    are written once to the checkpoint folder instead of being computed for each.
+    are written once to the checkpoint folder instead of being computed for each. With
+    ``locks`` a request has one row per page of its lock document.
     """
     unknown = set(groups) - set(GROUPS)
     if unknown:
@@ -111,9 +112,8 @@ def _locks(out: DataFrame, everything: DataFrame, inputs: Mapping[str, DataFrame
     named = locks.resolve_object_names(
         held, *[inputs[n] for n in ("alloc_units", "partitions", "objects", "indexes", "schemas", "principals")]
     )
-    first = locks.lock_document(named).filter("page_no = 0").select(*SK, "databases")
-    pages = locks.lock_document(named).groupBy(*SK).agg(F.count(F.lit(1)).alias("lock_pages"))
-    return out.join(first.withColumnRenamed("databases", "locks"), SK, "left").join(pages, SK, "left")
+    pages = locks.lock_document(named).withColumnsRenamed({"databases": "locks", "page_no": "lock_page_no"})
+    return out.join(pages, SK, "left")
 
 
 def _text(out: DataFrame, everything: DataFrame, inputs: Mapping[str, DataFrame]) -> DataFrame:

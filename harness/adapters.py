@@ -242,3 +242,231 @@ SELECT o_custkey % 8 AS server_id, TIMESTAMP '2024-01-31 00:00:00' AS collection
        o_orderkey % 60 AS user_objects_dealloc_page_count, o_orderkey % 5 AS internal_objects_dealloc_page_count
 FROM orders
 """
+
+# ---- CPU records ---------------------------------------------------------------------
+
+ADAPTERS["fx_cpu"] = """
+SELECT event_id % 8 AS server_id, TIMESTAMP '2024-01-31 00:00:00' AS collection_time, event_id * 200 AS ts_ticks,
+       '<Record id="' || CAST(event_id AS STRING) || '" type="RING_BUFFER_SCHEDULER_MONITOR"><SchedulerMonitorEvent>'
+       || CASE WHEN event_type = 'signup' THEN '<Other>' ELSE '<SystemHealth>' END
+       || '<ProcessUtilization>' || CAST(event_id % 10 AS STRING) || '</ProcessUtilization><SystemIdle>'
+       || CAST(event_id % 90 AS STRING) || '</SystemIdle></x></SchedulerMonitorEvent></Record>' AS record
+FROM events
+"""
+ADAPTERS["fx_clock"] = """
+SELECT event_id % 8 AS server_id, TIMESTAMP '2024-01-31 00:00:00' AS collection_time, max(event_id) * 200 + 1000 AS ms_ticks
+FROM events GROUP BY event_id % 8
+"""
+ADAPTERS["fx_cpu_history"] = """
+SELECT event_id % 8 AS server_id, event_id AS record_id, CAST(ts AS TIMESTAMP) AS event_time,
+       event_id % 10 AS sql_process, event_id % 90 AS system_idle, 100 - event_id % 90 - event_id % 10 AS other_process
+FROM events WHERE event_type = 'view'
+"""
+
+# ---- scheduled jobs ------------------------------------------------------------------
+
+ADAPTERS["fx_jobs"] = """
+SELECT p_partkey % 8 AS server_id, 'job' || CAST(p_partkey AS STRING) AS job_id, p_name || CAST(p_partkey AS STRING) AS name,
+       CAST(p_partkey % 2 AS INT) AS enabled, p_size % 27 AS owner_sid, p_size % 5 AS category_id,
+       CASE WHEN p_size = 9 THEN NULL ELSE 'Runs ' || p_type END AS description, CAST(p_partkey % 4 AS INT) AS delete_level,
+       TIMESTAMP '2023-01-01 00:00:00' + (p_partkey % 300) * INTERVAL '1' DAY AS date_created,
+       TIMESTAMP '2023-02-01 00:00:00' + (p_partkey % 300) * INTERVAL '1' DAY AS date_modified, p_size % 6 AS originating_server_id
+FROM part
+"""
+ADAPTERS["fx_steps"] = """
+SELECT l_partkey % 8 AS server_id, 'job' || CAST(l_partkey AS STRING) AS job_id, l_linenumber AS step_id,
+       'Step ' || CAST(l_linenumber AS STRING) AS step_name,
+       CASE min(l_returnflag) WHEN 'A' THEN 'TSQL' WHEN 'N' THEN 'CmdExec' ELSE 'Custom' END AS subsystem,
+       'EXEC step' || CAST(l_linenumber AS STRING) AS command, 'db' || CAST(l_partkey % 5 AS STRING) AS database_name,
+       l_linenumber % 4 + 1 AS on_success_action, l_linenumber + 1 AS on_success_step_id,
+       (l_linenumber + 2) % 4 + 1 AS on_fail_action, l_linenumber - 1 AS on_fail_step_id,
+       l_linenumber % 3 AS retry_attempts, l_linenumber % 5 AS retry_interval, CAST(min(l_suppkey) % 30 AS INT) AS proxy_id
+FROM lineitem GROUP BY l_partkey, l_linenumber
+"""
+ADAPTERS["fx_job_dims"] = """
+SELECT DISTINCT p_partkey % 8 AS server_id, n_nationkey, n_name, n_regionkey FROM part JOIN nation ON p_size % 25 = n_nationkey
+"""
+ADAPTERS["fx_schedules"] = """
+SELECT server_id, n_nationkey AS schedule_id, 'Schedule ' || n_name AS name,
+       CASE n_nationkey % 7 WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 8 WHEN 3 THEN 16 WHEN 4 THEN 32 WHEN 5 THEN 64 ELSE 128 END AS freq_type,
+       n_nationkey * 5 % 127 + 1 AS freq_interval,
+       CASE n_nationkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END AS freq_subday_type,
+       n_nationkey + 1 AS freq_subday_interval,
+       CASE n_nationkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 8 ELSE 16 END AS freq_relative_interval,
+       n_nationkey % 3 + 1 AS freq_recurrence_factor, 20240100 + n_nationkey + 1 AS active_start_date, 99991231 AS active_end_date,
+       n_nationkey * 100 AS active_start_time, 235959 AS active_end_time,
+       TIMESTAMP '2023-05-01 00:00:00' AS date_created, TIMESTAMP '2023-06-01 00:00:00' AS date_modified
+FROM fx_job_dims
+"""
+ADAPTERS["fx_job_schedules"] = """
+SELECT p_partkey % 8 AS server_id, 'job' || CAST(p_partkey AS STRING) AS job_id, p_size % 25 AS schedule_id
+FROM part WHERE p_brand <> 'Brand#13'
+"""
+ADAPTERS["fx_job_view"] = """
+SELECT j.server_id, j.job_id, j.name AS job_name, o.n_name AS job_owner, 'category' || CAST(c.n_regionkey AS STRING) AS job_category,
+       j.description AS job_description, CASE j.enabled WHEN 1 THEN 'Yes' WHEN 0 THEN 'No' END AS is_enabled,
+       j.date_created AS job_created_on, j.date_modified AS job_last_modified_on, v.name AS originating_server_name,
+       s.step_id AS job_start_step_no, s.step_name AS job_start_step_name,
+       CASE WHEN h.schedule_id IS NULL THEN 'No' ELSE 'Yes' END AS is_scheduled, h.name AS job_schedule_name,
+       CASE j.delete_level WHEN 0 THEN 'Never' WHEN 1 THEN 'On Success' WHEN 2 THEN 'On Failure' ELSE 'On Completion' END AS job_deletion_criterion,
+       CASE h.freq_type WHEN 1 THEN 'One Time' WHEN 64 THEN 'Start automatically when SQL Server Agent starts'
+            WHEN 128 THEN 'Start whenever the CPUs become idle' ELSE CASE WHEN h.freq_type IS NOT NULL THEN 'Recurring' END END AS schedule_type,
+       CASE h.freq_type WHEN 1 THEN 'One Time' WHEN 4 THEN 'Daily' WHEN 8 THEN 'Weekly' WHEN 16 THEN 'Monthly'
+            WHEN 32 THEN 'Monthly - Relative to Frequency Interval' WHEN 64 THEN 'Start automatically when SQL Server Agent starts'
+            WHEN 128 THEN 'Start whenever the CPUs become idle' END AS occurrence,
+       h.freq_type, h.freq_interval, h.freq_subday_type, h.freq_subday_interval, h.freq_relative_interval, h.freq_recurrence_factor,
+       h.active_start_date, h.active_end_date, h.active_start_time, h.active_end_time,
+       h.date_created AS schedule_created_on, h.date_modified AS schedule_last_modified_on,
+       s.step_id AS step_no, s.step_name, s.subsystem, x.n_name AS run_as, s.database_name, s.command AS executable_command,
+       s.on_success_action AS success_code, s.on_success_step_id, ss.step_name AS success_name,
+       s.on_fail_action AS fail_code, s.on_fail_step_id, fs.step_name AS fail_name, s.retry_attempts, s.retry_interval
+FROM fx_jobs j
+LEFT JOIN (SELECT DISTINCT server_id, n_regionkey, 'server' || CAST(n_regionkey AS STRING) AS name FROM fx_job_dims) v
+  ON v.server_id = j.server_id AND v.n_regionkey = j.originating_server_id
+LEFT JOIN (SELECT DISTINCT server_id, n_regionkey FROM fx_job_dims) c ON c.server_id = j.server_id AND c.n_regionkey = j.category_id
+LEFT JOIN fx_job_dims o ON o.server_id = j.server_id AND o.n_nationkey = j.owner_sid
+LEFT JOIN fx_steps s ON s.server_id = j.server_id AND s.job_id = j.job_id
+LEFT JOIN fx_steps ss ON ss.server_id = j.server_id AND ss.job_id = j.job_id AND ss.step_id = s.on_success_step_id
+LEFT JOIN fx_steps fs ON fs.server_id = j.server_id AND fs.job_id = j.job_id AND fs.step_id = s.on_fail_step_id
+LEFT JOIN fx_job_dims x ON x.server_id = j.server_id AND x.n_nationkey = s.proxy_id
+LEFT JOIN fx_job_schedules js ON js.server_id = j.server_id AND js.job_id = j.job_id
+LEFT JOIN fx_schedules h ON h.server_id = js.server_id AND h.schedule_id = js.schedule_id
+"""
+
+# ---- databases, replicas, backups ----------------------------------------------------
+
+ADAPTERS["fx_databases"] = """
+SELECT c_custkey % 8 AS server_id, TIMESTAMP '2024-01-31 00:00:00' AS collection_time, c_custkey AS database_id,
+       CASE WHEN c_custkey < 8 THEN 'master' ELSE c_name END AS name, c_nationkey,
+       CASE c_mktsegment WHEN 'BUILDING' THEN 'OFFLINE' ELSE 'ONLINE' END AS state,
+       CASE c_nationkey % 3 WHEN 0 THEN 'SIMPLE' WHEN 1 THEN 'FULL' ELSE 'BULK_LOGGED' END AS recovery_model,
+       CASE WHEN c_nationkey = 7 THEN 'SINGLE_USER' ELSE 'MULTI_USER' END AS user_access, c_nationkey <> 7 OR c_acctbal > 0 AS is_accessible,
+       c_nationkey = 11 AS in_standby, c_nationkey = 12 AS is_read_only, c_nationkey = 13 AS is_distributor,
+       CASE WHEN c_nationkey = 14 THEN c_custkey END AS source_database_id,
+       CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE c_custkey * 10 END AS log_lsn,
+       CASE WHEN c_nationkey % 7 = 0 THEN NULL ELSE c_custkey * 9 END AS differential_base_lsn,
+       c_nationkey = 16 AS differential_base_is_snapshot, c_custkey * 100 AS allocated_pages, c_custkey * c_nationkey AS modified_pages,
+       c_custkey * 120 AS database_pages, CASE WHEN c_nationkey = 17 THEN NULL ELSE c_custkey % 1000 END AS log_size_mb,
+       CASE WHEN c_nationkey = 18 THEN NULL ELSE TIMESTAMP '2024-01-30 23:00:00' + (c_custkey % 3600) * INTERVAL '1' SECOND END AS last_log_backup,
+       CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE 'group' || CAST(c_custkey % 8 AS STRING) END AS availability_group,
+       c_mktsegment <> 'MACHINERY' AS in_group,
+       CASE c_nationkey % 4 WHEN 0 THEN 'SECONDARY' WHEN 1 THEN NULL ELSE 'PRIMARY' END AS replica_role,
+       CASE c_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN TRUE ELSE FALSE END AS is_preferred_replica,
+       CASE WHEN c_nationkey = 19 THEN 'PRIMARY' END AS log_shipping_role, 'NO' AS secondary_connections,
+       'SRV' || CAST(c_custkey % 8 AS STRING) AS server_name, CASE WHEN c_custkey % 8 > 3 THEN 'INST' END AS instance_name,
+       CASE WHEN c_custkey % 8 > 5 THEN 'CLUSTER' END AS cluster_name
+FROM customer
+"""
+ADAPTERS["fx_replica_states"] = """
+SELECT c_custkey % 8 AS server_id, TIMESTAMP '2024-01-31 00:00:00' AS collection_time, c_custkey AS database_id,
+       c_custkey % 8 AS group_id, c_nationkey <> 20 AS is_local,
+       CASE WHEN c_custkey % 8 < 3 THEN 'PRIMARY' ELSE 'SECONDARY' END AS role,
+       CASE c_nationkey % 4 WHEN 0 THEN 'SYNCHRONIZING' ELSE 'SYNCHRONIZED' END AS synchronization_state,
+       CASE c_nationkey % 6 WHEN 0 THEN 'PARTIALLY_HEALTHY' WHEN 1 THEN 'NOT_HEALTHY' ELSE 'HEALTHY' END AS synchronization_health,
+       CASE c_mktsegment WHEN 'BUILDING' THEN 'OFFLINE' ELSE 'ONLINE' END AS database_state
+FROM customer WHERE c_mktsegment <> 'MACHINERY'
+"""
+ADAPTERS["fx_groups"] = """
+SELECT DISTINCT c_custkey % 8 AS server_id, c_custkey % 8 AS group_id, 'ag' || CAST(c_custkey % 3 AS STRING) AS name FROM customer
+WHERE c_custkey % 8 = c_custkey % 24
+"""
+ADAPTERS["fx_ignored"] = """
+SELECT c_custkey % 8 AS server_id, c_name AS database_name FROM customer WHERE c_nationkey = 3
+"""
+ADAPTERS["fx_backups"] = """
+SELECT o_custkey % 8 AS server_id, CASE WHEN o_custkey < 8 THEN 'master' ELSE c_name END AS database_name,
+       CASE o_orderpriority WHEN '1-URGENT' THEN 'D' WHEN '2-HIGH' THEN 'I' ELSE 'L' END AS type,
+       CAST(o_orderdate AS TIMESTAMP) AS backup_start_date, o_orderkey AS last_lsn, o_orderstatus = 'P' AS is_damaged
+FROM orders JOIN customer ON o_custkey = c_custkey
+"""
+ADAPTERS["fx_policies"] = """
+SELECT server_id, policy_id, CASE
+         WHEN policy_id = 0 THEN 'USER_DATABASES,-Customer#0000001%, -%7'
+         WHEN policy_id = 1 THEN 'ALL_DATABASES'
+         WHEN policy_id = 2 THEN ' [Customer#000000042] , Customer#00000099_,AVAILABILITY_GROUP_DATABASES,-SYSTEM_DATABASES, Nowhere'
+         WHEN policy_id = 3 THEN 'SYSTEM_DATABASES,Customer#%9,nobody,-%19'
+         ELSE NULL END AS spec,
+       CASE policy_id WHEN 0 THEN 'FULL' WHEN 1 THEN 'LOG' WHEN 2 THEN 'DIFF' ELSE 'LOG' END AS backup_type,
+       policy_id <> 3 AS change_backup_type, CASE WHEN policy_id = 2 THEN 15 END AS modification_level, policy_id = 4 AS copy_only,
+       CASE policy_id WHEN 3 THEN 'READ_WRITE' ELSE 'ALL' END AS updateability,
+       CASE WHEN policy_id = 1 THEN 500 END AS log_size_threshold_mb, CASE WHEN policy_id = 1 THEN 1800 END AS log_time_threshold_s,
+       CAST(CASE policy_id WHEN 1 THEN 4 ELSE 2 END AS INT) AS directory_count, CAST(CASE policy_id WHEN 2 THEN 4 END AS INT) AS number_of_files,
+       CAST(CASE policy_id WHEN 2 THEN 20 END AS BIGINT) AS min_size_for_multiple_mb, CAST(CASE policy_id WHEN 0 THEN 10 END AS BIGINT) AS max_file_size_mb,
+       CAST(CASE WHEN policy_id IN (0, 1) THEN 24 END AS INT) AS cleanup_hours,
+       CASE policy_id WHEN 0 THEN 'ALL' WHEN 1 THEN 'PRIMARY' WHEN 2 THEN 'PREFERRED_BACKUP_REPLICA' ELSE 'SECONDARY' END AS replica_scope,
+       policy_id <> 2 AS checks_secondaries, CASE policy_id WHEN 0 THEN 'CHECKDB' ELSE 'CHECKALLOC, CHECKCATALOG,CHECKTABLE' END AS check_commands
+FROM (SELECT DISTINCT c_custkey % 8 AS server_id, c_nationkey % 5 AS policy_id FROM customer) AS p
+"""
+
+# ---- indexes, files, errors, commands ------------------------------------------------
+
+ADAPTERS["fx_indexes"] = """
+SELECT l_partkey % 8 AS server_id, 'db' || CAST(l_partkey % 5 AS STRING) AS database_name,
+       'schema' || CAST(p_size % 3 AS STRING) AS schema_name, 'part' || CAST(l_partkey AS STRING) AS object_name, l_partkey AS object_id,
+       CAST(l_linenumber AS BIGINT) AS index_id, 'ix_' || CAST(l_linenumber AS STRING) AS index_name,
+       CAST(1 + l_linenumber % 7 AS INT) AS index_type, l_partkey % 9 <> 0 AS allow_page_locks, p_size % 11 = 0 AS is_image_text,
+       p_size % 5 = 0 AS is_new_lob, p_size % 13 = 0 AS is_file_stream, p_size % 17 = 0 AS is_column_store, p_size % 19 = 0 AS is_memory_optimized,
+       p_size % 23 = 0 AS on_read_only_filegroup, l_partkey % 41 = 0 AND l_linenumber = 2 AS resumable,
+       CAST(l_linenumber AS BIGINT) AS statistics_id, 'ix_' || CAST(l_linenumber AS STRING) AS statistics_name, p_size % 2 = 0 AS is_incremental,
+       l_suppkey % 3 + 1 AS partition_number
+FROM lineitem JOIN part ON l_partkey = p_partkey
+GROUP BY l_partkey, l_linenumber, p_size, l_suppkey % 3
+"""
+ADAPTERS["fx_index_physical"] = """
+SELECT l_partkey % 8 AS server_id, 'db' || CAST(l_partkey % 5 AS STRING) AS database_name, l_partkey AS object_id,
+       CAST(l_linenumber AS BIGINT) AS index_id, l_suppkey % 3 + 1 AS partition_number,
+       CASE WHEN l_returnflag = 'R' AND l_tax > 0.05 THEN 'LOB_DATA' ELSE 'IN_ROW_DATA' END AS alloc_unit_type,
+       CASE WHEN l_discount > 0.08 THEN 1 ELSE 0 END AS index_level,
+       CAST(l_quantity AS BIGINT) * 100 AS page_count, CAST(l_partkey % 60 AS DOUBLE) AS fragmentation
+FROM lineitem
+"""
+ADAPTERS["fx_stats_props"] = """
+SELECT l_partkey % 8 AS server_id, 'db' || CAST(l_partkey % 5 AS STRING) AS database_name, l_partkey AS object_id,
+       CAST(l_linenumber AS BIGINT) AS statistics_id, count(*) * 1000 AS row_count, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS modification_counter
+FROM lineitem GROUP BY l_partkey, l_linenumber
+"""
+ADAPTERS["fx_column_stats"] = """
+SELECT l_partkey % 8 AS server_id, 'db' || CAST(l_partkey % 5 AS STRING) AS database_name, l_partkey AS object_id,
+       CAST(l_suppkey % 15 AS BIGINT) AS statistics_id, 'st_' || CAST(l_suppkey % 15 AS STRING) AS statistics_name
+FROM lineitem
+"""
+ADAPTERS["fx_index_policies"] = """
+SELECT server_id, policy_id,
+       CASE policy_id WHEN 0 THEN 'ALL_INDEXES,-db1.%.%' WHEN 1 THEN 'db0.schema1.part%.ix_2,[db2].[schema0].[part1%],-%.%.%9.%' ELSE NULL END AS spec,
+       CASE policy_id WHEN 0 THEN 'ALL' WHEN 1 THEN 'INDEX' END AS update_statistics, policy_id = 1 AS only_modified_statistics,
+       CAST(CASE policy_id WHEN 2 THEN 5 END AS INT) AS statistics_modification_level,
+       CASE policy_id WHEN 2 THEN 'INDEX_REORGANIZE' END AS fragmentation_low,
+       CASE policy_id WHEN 1 THEN 'INDEX_REBUILD_ONLINE,INDEX_REORGANIZE' WHEN 2 THEN 'INDEX_REORGANIZE' ELSE 'INDEX_REORGANIZE,INDEX_REBUILD_ONLINE,INDEX_REBUILD_OFFLINE' END AS fragmentation_medium,
+       CASE policy_id WHEN 2 THEN 'INDEX_REORGANIZE' ELSE 'INDEX_REBUILD_ONLINE, INDEX_REBUILD_OFFLINE' END AS fragmentation_high
+FROM (SELECT DISTINCT p_partkey % 8 AS server_id, p_size % 3 AS policy_id FROM part) AS p
+"""
+ADAPTERS["fx_files"] = """
+SELECT l_suppkey % 8 AS server_id, TIMESTAMP '2024-01-31 00:00:00' AS collection_time, 'db' || CAST(l_suppkey % 25 AS STRING) AS database_name,
+       'file' || CAST(l_orderkey AS STRING) || '_' || CAST(l_linenumber AS STRING) AS logical_name,
+       CASE l_returnflag WHEN 'A' THEN 'ROWS' WHEN 'N' THEN 'LOG' ELSE 'FILESTREAM' END AS file_type,
+       CASE WHEN l_returnflag = 'A' THEN 'PRIMARY' END AS filegroup_name, 'D:/data/' || CAST(l_partkey AS STRING) AS physical_name,
+       CAST(l_quantity AS BIGINT) * 1280 + l_partkey % 128 AS size_pages,
+       CAST(FLOOR((CAST(l_quantity AS BIGINT) * 1280 + l_partkey % 128) * (10 - l_linenumber) / 10) AS BIGINT) AS used_pages,
+       CASE WHEN l_linestatus = 'O' THEN -1 ELSE CAST(l_quantity AS BIGINT) * 12800 END AS max_size_pages,
+       l_partkey % 1000 AS growth, CASE WHEN l_suppkey % 3 = 0 THEN 1048578 ELSE 2 END AS status
+FROM lineitem
+"""
+ADAPTERS["fx_errors"] = """
+SELECT event_id % 4 AS server_id, event_id, 15 + event_id % 12 AS severity, 823 + event_id % 4 AS error_number,
+       'Error of user ' || CAST(user_id AS STRING) AS message, CAST(ts AS TIMESTAMP) AS event_time
+FROM events WHERE event_type = 'error'
+"""
+# A storm: all events of a server within days, so cooldowns chain over many alerts.
+ADAPTERS["fx_storm"] = """
+SELECT event_id % 2 AS server_id, event_id, 16 + event_id % 3 AS severity, CAST(0 AS BIGINT) AS error_number,
+       event_type AS message, TIMESTAMP '2024-01-01 00:00:00' + (event_id * 7 % 100000) * INTERVAL '1' SECOND AS event_time
+FROM events
+"""
+ADAPTERS["fx_commands"] = """
+SELECT o_custkey % 8 AS server_id, c_name AS database_name,
+       CASE o_orderpriority WHEN '1-URGENT' THEN 'DBCC_CHECKDB' WHEN '2-HIGH' THEN 'BACKUP_LOG' ELSE 'ALTER_INDEX' END AS command_type,
+       CAST(o_orderdate AS TIMESTAMP) AS start_time,
+       CASE WHEN o_orderstatus = 'P' AND o_custkey % 10 = 0 THEN NULL ELSE CAST(o_orderdate AS TIMESTAMP) + (o_orderkey * 37 % 200000) * INTERVAL '1' SECOND END AS end_time,
+       CASE WHEN o_orderstatus = 'P' AND o_custkey % 10 = 0 THEN NULL WHEN o_orderstatus = 'P' THEN 1205 WHEN o_orderstatus = 'F' AND o_custkey % 9 = 0 THEN 50000 ELSE 0 END AS error_number
+FROM orders JOIN customer ON o_custkey = c_custkey
+"""
