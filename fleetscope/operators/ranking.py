@@ -21,7 +21,7 @@ def largest_group(df: DataFrame, group: Sequence[str]) -> int:
 
 def number_rows(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "row_number",
-    group_limit: int | None = GROUP_LIMIT,
+    group_limit: int | None = GROUP_LIMIT, sized_by: tuple[DataFrame, Sequence[str]] | None = None,
 ) -> DataFrame:
     """``row_number`` within ``group``; ``order`` must be total for a repeatable result.
 
@@ -29,8 +29,10 @@ def number_rows(
     definition. Otherwise the largest group is measured first: up to the limit a plain
     window is used, beyond it the rows are range-partitioned over (group, order), each
     slice is numbered on its own and shifted by the rows of the slices before it.
+    ``sized_by`` names a cheaper relation and keys whose largest group is an upper bound,
+    so that a long plan need not run twice.
     """
-    if group_limit is None or largest_group(df, group) <= group_limit:
+    if group_limit is None or largest_group(*(sized_by or (df, group))) <= group_limit:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     return _number_by_slices(df, group, order, name)
 

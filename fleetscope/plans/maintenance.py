@@ -25,7 +25,7 @@ def backup_plan(
     sized = backup_rules.backup_file_count(decided)
     latest = backup_rules.latest_restorable_backup(backupset, databases)
     planned = backup_rules.backup_path_parts(backup_rules.cleanup_cutoff(sized, latest, now), now)
-    return selection.plan_order(planned, order, group_limit=group_limit)
+    return selection.plan_order(planned, order, group_limit=group_limit, sized_by=(databases, ["server_id"]))
 
 
 def backup_files(plan: DataFrame, targets: DataFrame) -> DataFrame:
@@ -41,28 +41,38 @@ def integrity_plan(
     """Check commands of each selected database, with the reason where none may run."""
     last = checks.last_success(command_log, "DBCC_CHECKDB").withColumnRenamed("database_name", "name")
     chosen = _selected(databases, policies).join(last, ["server_id", "name"], "left")
-    planned = selection.plan_order(checks.integrity_check_eligibility(chosen), order, group_limit=group_limit)
+    planned = selection.plan_order(
+        checks.integrity_check_eligibility(chosen), order, group_limit=group_limit, sized_by=(databases, ["server_id"])
+    )
     return checks.expand_check_commands(planned)
 
 
+def index_decisions(indexes: DataFrame, policies: DataFrame, index_physical: DataFrame, stats_props: DataFrame) -> DataFrame:
+    """Action and statistics update of each selected index.
+
+    Policies carry the index list as ``spec``. Rows are selected before anything is
+    joined to them; inventory, fragmentation and statistics meet on their natural keys.
+    """
+    at = ["server_id", "database_name", "object_id", "index_id"]
+    chosen = selection.resolve_selection(indexes, index_rules.with_policy_defaults(policies), "indexes").filter("selected")
+    measured = (
+        chosen.join(index_rules.partition_counts(indexes), at, "left")
+        .join(index_rules.index_fragmentation(index_physical), [*at, "partition_number"], "left")
+        .join(stats_props, ["server_id", "database_name", "object_id", "statistics_id"], "left")
+    )
+    decided = index_rules.index_action(index_rules.fragmentation_group(measured))
+    return index_rules.statistics_decision(decided).withColumn("is_statistics_only", F.col("index_type").isNull())
+
+
 def index_plan(
     indexes: DataFrame, policies: DataFrame, index_physical: DataFrame, stats_props: DataFrame,
     group_limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
-    """Action and statistics update of each selected index, in working order.
-
-    Policies carry the index list as ``spec``. Inventory, fragmentation and statistics meet on
-    their natural keys, so the joins share one partitioning by index.
-    """
-    at = ["server_id", "database_name", "object_id", "index_id"]
-    measured = index_rules.index_fragmentation(index_physical)
-    counts = index_rules.partition_counts(indexes)
-    inventory = indexes.join(counts, at, "left").join(measured, [*at, "partition_number"], "left")
-    inventory = inventory.join(stats_props, ["server_id", "database_name", "object_id", "statistics_id"], "left")
-    chosen = selection.resolve_selection(inventory, index_rules.with_policy_defaults(policies), "indexes").filter("selected")
-    decided = index_rules.index_action(index_rules.fragmentation_group(chosen))
-    decided = index_rules.statistics_decision(decided).withColumn("is_statistics_only", F.col("index_type").isNull())
-    return selection.plan_order(decided, selection.INDEX_ORDER, group_limit=group_limit)
+    """Decisions per index, numbered in working order."""
+    decided = index_decisions(indexes, policies, index_physical, stats_props)
+    return selection.plan_order(
+        decided, selection.INDEX_ORDER, group_limit=group_limit, sized_by=(indexes, ["server_id"])
+    )
 
 
 def command_report(command_log: DataFrame, lock_message_severity: int = 16) -> DataFrame:

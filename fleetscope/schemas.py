@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+import re
 
+from pyspark.sql import types as T
 
-def _schema(text: str) -> StructType:
-    return StructType.fromDDL(text)
+_TYPES = {
+    "bigint": T.LongType(), "int": T.IntegerType(), "smallint": T.ShortType(), "string": T.StringType(),
+    "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "double": T.DoubleType(),
+    "decimal(18,2)": T.DecimalType(18, 2),
+}
+
+
+def _schema(text: str) -> T.StructType:
+    """``name type`` pairs to a schema; needs no running session."""
+    pairs = [part.split() for part in re.split(r",\s+", text)]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 _K = "server_id bigint, collection_time timestamp, "
 
-TELEMETRY: dict[str, StructType] = {
+TELEMETRY: dict[str, T.StructType] = {
     name: _schema(_K + columns)
     for name, columns in {
         "procs": "session_id bigint, request_id bigint, ecid smallint, login_time timestamp, last_batch timestamp, status string, "
@@ -52,7 +62,7 @@ TELEMETRY: dict[str, StructType] = {
     }.items()
 }
 
-HISTORY: dict[str, StructType] = {
+HISTORY: dict[str, T.StructType] = {
     name: _schema(columns)
     for name, columns in {
         "ignored_databases": "server_id bigint, database_name string",

@@ -68,4 +68,5 @@ def purge_days(spark: SparkSession, path: str, now: datetime, days: int, partiti
 
 
 def read_history(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    """The stored columns of a table, without the partition column."""
+    return spark.read.schema(schema).parquet(path).select(*[f.name for f in schema.fields])

@@ -8,10 +8,15 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from fleetscope.schemas import TELEMETRY
 
 
+def _stored(name: str) -> StructType:
+    return StructType([*TELEMETRY[name].fields, StructField("collection_date", DateType())])
+
+
 def read_telemetry(
     spark: SparkSession, root: str, name: str, since: date | None = None, servers: Sequence[int] | None = None
 ) -> DataFrame:
@@ -20,7 +25,7 @@ def read_telemetry(
     Relations are stored under ``root/name`` partitioned by ``collection_date``, so
     ``since`` skips whole folders; ``servers`` reaches the Parquet scan.
     """
-    df = spark.read.schema(TELEMETRY[name].add("collection_date", "date")).parquet(f"{root}/{name}")
+    df = spark.read.schema(_stored(name)).parquet(f"{root}/{name}")
     if since is not None:
         df = df.filter(F.col("collection_date") >= F.lit(since))
     if servers is not None:
@@ -31,7 +36,7 @@ def read_telemetry(
 def stream_telemetry(spark: SparkSession, root: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
     """The same relation as a file stream; the trigger size bounds each micro-batch."""
     return (
-        spark.readStream.schema(TELEMETRY[name].add("collection_date", "date"))
+        spark.readStream.schema(_stored(name))
         .option("maxFilesPerTrigger", files_per_trigger).parquet(f"{root}/{name}")
     )
 

@@ -367,8 +367,7 @@ SELECT c_custkey % 8 AS server_id, TIMESTAMP '2024-01-31 00:00:00' AS collection
 FROM customer WHERE c_mktsegment <> 'MACHINERY'
 """
 ADAPTERS["fx_groups"] = """
-SELECT DISTINCT c_custkey % 8 AS server_id, c_custkey % 8 AS group_id, 'ag' || CAST(c_custkey % 3 AS STRING) AS name FROM customer
-WHERE c_custkey % 8 = c_custkey % 24
+SELECT DISTINCT c_custkey % 8 AS server_id, c_custkey % 8 AS group_id, 'ag' || CAST(c_custkey % 8 % 3 AS STRING) AS name FROM customer
 """
 ADAPTERS["fx_ignored"] = """
 SELECT c_custkey % 8 AS server_id, c_name AS database_name FROM customer WHERE c_nationkey = 3

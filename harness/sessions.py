@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.keys import K, SK
 from fleetscope.operators import deltas, filters, graph, locks, ranking, sessions, usage, waits
+from fleetscope.plans import session_monitor
 from harness.core import query
 
 # ---- blocking graph ------------------------------------------------------------------
@@ -662,3 +663,80 @@ FROM tx_ranked GROUP BY ALL
 def _(v):
     ranked = usage.rank_transactions(_log_usage(v)).withColumn("database_name", F.concat(F.lit("db"), F.col("database_id").cast("string")))
     return usage.transaction_text(ranked)
+
+
+# ---- the whole monitor ---------------------------------------------------------------
+
+_MONITOR_NAMES = {
+    "procs": "fx_procs", "sessions": "fx_live_sessions", "requests": "fx_requests", "databases": "fx_db_names",
+    "tasks": "fx_tasks", "workers": "fx_workers", "threads": "fx_threads", "waiting_tasks": "fx_waiting_tasks",
+    "query_stats": "fx_query_stats",
+}
+
+
+def _monitor_inputs(v):
+    return {name: v(view) for name, view in _MONITOR_NAMES.items()}
+
+
+_MONITOR_SQL = _REQUEST_SQL.replace("joined AS (", "joined0 AS (") + """,
+joined AS (SELECT j.*, d.name AS database_name, nullif(j.blocked, 0) AS blocking_session_id
+           FROM joined0 j LEFT JOIN fx_db_names d ON d.server_id = j.server_id AND d.collection_time = j.collection_time AND d.database_id = j.database_id),
+kept AS (SELECT server_id, collection_time, session_id, blocking_session_id FROM joined
+         WHERE (status <> 'sleeping' OR open_tran_count > 0) AND host_process <> '' AND lower(login_name) LIKE 'user1%'),
+walk AS (
+  SELECT * FROM kept
+  UNION
+  SELECT j.server_id, j.collection_time, j.session_id, j.blocking_session_id
+  FROM walk w JOIN joined j ON j.server_id = w.server_id AND j.collection_time = w.collection_time AND j.session_id = w.blocking_session_id),
+found AS (SELECT DISTINCT server_id, collection_time, session_id FROM walk),
+kept_sessions AS (SELECT DISTINCT server_id, collection_time, session_id FROM kept),
+chosen AS (
+  SELECT j.*, k.session_id IS NULL AS is_added FROM joined j JOIN found f USING (server_id, collection_time, session_id)
+  LEFT JOIN kept_sessions k USING (server_id, collection_time, session_id)
+  WHERE k.session_id IS NULL OR ((j.status <> 'sleeping' OR j.open_tran_count > 0) AND j.host_process <> '' AND lower(j.login_name) LIKE 'user1%'))
+"""
+
+
+@query("session_snapshot", "WITH RECURSIVE " + _MONITOR_SQL + """
+SELECT c.server_id, c.collection_time, c.session_id, c.request_id, c.is_added, c.status, c.login_name, c.database_name, c.reads, c.writes, c.cpu_time,
+       c.blocking_session_id, CASE WHEN c.wait_type IS NOT NULL THEN '(' || CAST(c.wait_time AS STRING) || 'ms)' || c.wait_type || CASE
+         WHEN c.wait_type LIKE 'PAGE%LATCH%' THEN ':' || coalesce(c.database_name, '(null)') || ':' || split_part(c.wait_resource, ':', 2)
+              || CASE WHEN split_part(c.wait_resource, ':', 3) = '1' OR CAST(split_part(c.wait_resource, ':', 3) AS BIGINT) % 8088 = 0 THEN '(PFS)' ELSE '(*)' END
+         WHEN c.wait_type LIKE 'LATCH%' THEN ' [' || c.wait_resource || ']' ELSE '' END END AS wait_info,
+       (q.total_elapsed_time // q.execution_count) // 1000 AS avg_elapsed_ms
+FROM chosen c LEFT JOIN fx_query_stats q ON q.server_id = c.server_id AND q.sql_handle = c.active_sql_handle
+ AND q.plan_handle = c.plan_handle AND q.stmt_start = c.active_stmt_start AND q.stmt_end = c.active_stmt_end
+""")
+def _(v):
+    report = session_monitor.session_snapshot(_monitor_inputs(v), ("average",), include=("login", "user1%"))
+    return report.select(
+        *SK, "is_added", "status", "login_name", "database_name", "reads", "writes", "cpu_time", "blocking_session_id", "wait_info", "avg_elapsed_ms"
+    )
+
+
+@query("session_snapshot_full")
+def _(v):
+    report = session_monitor.session_snapshot(_monitor_inputs(v), ("tasks", "average", "blocking"), sleeping=2, system=True)
+    return report.drop("active_sql_handle")
+
+
+@query("agent_job_names", """
+SELECT l_partkey % 8 AS server_id, l_orderkey AS session_id, l_linenumber AS step_id, CASE WHEN p.p_brand <> 'Brand#13' THEN p.p_name || CAST(p.p_partkey AS STRING) END AS job_name,
+       CASE WHEN p.p_brand <> 'Brand#13' THEN 'Step ' || CAST(l_linenumber AS STRING) END AS step_name
+FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey
+""")
+def _(v):
+    # Job ids as the engine writes them: the first eight bytes of the id are stored byte-reversed by group.
+    digits = F.lpad(F.hex("l_partkey"), 32, "0")
+    part = lambda start, length: F.substring(digits, start, length)
+    guid = F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12))
+    program = F.concat(F.lit("SQLAgent - TSQL JobStep (Job 0x"), digits, F.lit(" : Step "), F.col("l_linenumber").cast("string"), F.lit(")"))
+    rows = v("lineitem").select((F.col("l_partkey") % 8).alias("server_id"), F.col("l_orderkey").alias("session_id"), program.alias("program_name"))
+    jobs = v("part").filter("p_brand <> 'Brand#13'").select(
+        (F.col("p_partkey") % 8).alias("server_id"), F.col("p_partkey").alias("l_partkey"),
+        F.concat("p_name", F.col("p_partkey").cast("string")).alias("name"),
+    ).withColumn("job_id", guid).drop("l_partkey")
+    steps = v("lineitem").select((F.col("l_partkey") % 8).alias("server_id"), guid.alias("job_id"), F.col("l_linenumber").alias("step_id")).distinct()
+    steps = steps.withColumn("step_name", F.concat(F.lit("Step "), F.col("step_id").cast("string")))
+    named = usage.agent_job_names(rows, jobs, steps)
+    return named.select("server_id", "session_id", F.col("step_id").cast("int").alias("step_id"), "job_name", "step_name")
