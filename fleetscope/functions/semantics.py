@@ -50,12 +50,20 @@ def escaped_pattern(pattern: Column) -> Column:
 
 
 def name_matches(name: Column, pattern: Column) -> Column:
-    """Case-insensitive name match; plain names compare by equality, ``%`` matches all."""
-    literal = ~F.contains(pattern, F.lit("%"))
+    """Match of a lower-cased name with a lower-cased pattern in which ``%`` stands for any text.
+
+    The usual shapes (plain, ``x%``, ``%x``, ``%x%``) are plain text tests; only others
+    compile a pattern.
+    """
+    core = F.replace(pattern, F.lit("%"), F.lit(""))
+    any_text = F.lit("%")
     return (
-        F.when(pattern == F.lit("%"), name.isNotNull())
-        .when(literal, F.lower(name) == F.lower(pattern))
-        .otherwise(F.call_function("like", F.lower(name), escaped_pattern(F.lower(pattern))))
+        F.when(pattern == any_text, name.isNotNull())
+        .when(pattern == core, name == pattern)
+        .when(pattern == F.concat(core, any_text), F.startswith(name, core))
+        .when(pattern == F.concat(any_text, core), F.endswith(name, core))
+        .when(pattern == F.concat(any_text, core, any_text), F.contains(name, core))
+        .otherwise(F.call_function("like", name, escaped_pattern(pattern)))
     )
 
 

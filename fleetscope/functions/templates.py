@@ -32,7 +32,8 @@ def week_of_year(ts: Column) -> Column:
 def drop_tokens(template: Column, unused: dict[str, Column]) -> Column:
     """Remove each token whose condition holds."""
     for token, condition in unused.items():
-        template = F.when(F.coalesce(condition, F.lit(False)), F.replace(template, F.lit(token), F.lit(""))).otherwise(template)
+        # An empty search text replaces nothing, so the template is named once per token.
+        template = F.replace(template, F.when(condition, F.lit(token)).otherwise(F.lit("")), F.lit(""))
     return template
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.operators.graph import reachable
 from fleetscope.operators.ranking import best_row
+from fleetscope.runtime import cut_lineage
 from fleetscope.sources.telemetry import inline_relation
 
 # Alert rules and the seconds between two responses of one rule.
@@ -53,7 +54,8 @@ def cooldown_alerts(events: DataFrame, seconds: int = COOLDOWN_SECONDS, run_limi
     step = seconds * 1_000_000
     micros = F.unix_micros(F.col("event_time").cast("timestamp"))
     matched = match_rules(events).withColumn("_t", micros).withColumn("_w", F.floor(micros / step))
-    times = matched.select(*_KEY, "_w", "_t").distinct()
+    # Read several times below, and far smaller than the events: written once.
+    times = cut_lineage(matched.select(*_KEY, "_w", "_t").distinct())
     windows = times.groupBy(*_KEY, "_w").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.count(F.lit(1)).alias("_n"))
     # One row per rule and cooldown window from here on: bounded by the time span.
     in_order = Window.partitionBy(*_KEY).orderBy("_w")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.keys import SK
@@ -34,20 +34,22 @@ def num_events(samples: DataFrame) -> DataFrame:
 def session_deltas(samples: DataFrame, metrics: Sequence[str] = tuple(METRICS), allow_negative: bool = False) -> DataFrame:
     """Change of each metric since the server's previous collection, per request.
 
-    A delta is NULL unless the request appears exactly once in both collections, runs
-    since the same start time, and did not shrink. Copies of a row are removed first.
-    Samples are paired by an equi-join on (request, collection), never by sorting the
-    history of one session in one task.
+    A delta is NULL unless the request appears in both collections, runs since the same
+    start time, and did not shrink. A request counts once per collection; of several copies
+    the greatest row stands. Samples are paired by an equi-join on (request, collection), never
+    by sorting the history of one session in one task.
     """
-    paired = _paired(samples, [*metrics, *[m for m in CPU_METRICS if m in samples.columns]])
-    out = paired
+    cpu = [m for m in CPU_METRICS if m in samples.columns]
+    paired = _paired(samples, [*metrics, *cpu])
+    out = {}
     for m in metrics:
         change = F.col(m) - F.col(f"_before_{m}")
         guard = F.col("_valid") if allow_negative else F.col("_valid") & (change >= 0)
-        out = out.withColumn(f"{m}_delta", F.when(guard, change))
-    if all(m in samples.columns for m in CPU_METRICS):
-        out = out.withColumn("cpu_delta", _cpu_delta())
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+        out[f"{m}_delta"] = F.when(guard, change)
+    if len(cpu) == len(CPU_METRICS):
+        out["cpu_delta"] = _cpu_delta()
+    paired = paired.withColumns(out)
+    return paired.drop(*[c for c in paired.columns if c.startswith("_")])
 
 
 def cpu_delta(samples: DataFrame) -> DataFrame:
@@ -56,25 +58,26 @@ def cpu_delta(samples: DataFrame) -> DataFrame:
     return paired.drop(*[c for c in paired.columns if c.startswith("_")])
 
 
-def _cpu_delta():
+def _cpu_delta() -> Column:
     thread = F.col("thread_cpu") - F.col("_before_thread_cpu")
     own = F.col("cpu") - F.col("_before_cpu")
     value = F.when((thread > own) & (thread > 0), thread).when(own >= 0, own)
     return F.when(F.col("_valid"), value)
 
 
+def one_sample_per_request(samples: DataFrame) -> DataFrame:
+    """One row per request and collection, whichever copies were collected."""
+    rest = [c for c in samples.columns if c not in SK]
+    return samples.groupBy(*SK).agg(F.max(F.struct(*rest)).alias("_s")).select(*SK, "_s.*")
+
+
 def _paired(samples: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    samples = samples.dropDuplicates()
-    counts = num_events(samples).withColumnRenamed("num_events", "_copies")
-    current = samples.join(counts, SK).join(previous_collections(samples), ["server_id", "collection_time"])
-    earlier = samples.groupBy(*SK).agg(
-        F.count(F.lit(1)).alias("_before_copies"),
-        F.max("last_request_start_time").alias("_before_start"),
-        *[F.max(m).alias(f"_before_{m}") for m in metrics],
-    ).withColumnRenamed("collection_time", "previous_time")
-    joined = current.join(earlier, ["server_id", "previous_time", "session_id", "request_id"], "left")
-    valid = (
-        (F.col("_copies") == 1) & (F.col("_before_copies") == 1)
-        & (F.col("_before_start") == F.col("last_request_start_time"))
+    once = one_sample_per_request(samples)
+    current = once.join(previous_collections(samples), ["server_id", "collection_time"])
+    earlier = once.select(
+        "server_id", F.col("collection_time").alias("previous_time"), "session_id", "request_id",
+        F.col("last_request_start_time").alias("_before_start"), *[F.col(m).alias(f"_before_{m}") for m in metrics],
     )
-    return joined.withColumn("_valid", F.coalesce(valid, F.lit(False))).drop("previous_time")
+    joined = current.join(earlier, ["server_id", "previous_time", "session_id", "request_id"], "left")
+    valid = F.coalesce(F.col("_before_start") == F.col("last_request_start_time"), F.lit(False))
+    return joined.withColumn("_valid", valid).drop("previous_time")

@@ -75,21 +75,17 @@ def blocking_chains(sessions: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     them; sessions in or below a cycle have no top blocker, so their depth and root are NULL.
     """
     at = [*keys, "session_id"]
-    nodes = sessions.select(*at).distinct()
     edges = cut_lineage(block_edges(sessions, keys))
     shared = edges.groupBy(*at).count().filter("count > 1")
-    if shared.isEmpty():
-        counts, tops = _forest_counts(edges, keys)
-    else:
-        counts, tops = _layered_counts(edges, keys)
+    linked = _forest_counts(edges, keys) if shared.isEmpty() else _layered_counts(edges, keys)
+    found = F.col("_linked").isNotNull()
+    # Sessions without any edge stand alone.
     return (
-        nodes.join(counts, at, "left").join(tops, at, "left")
-        .join(edges.select(*at).distinct().withColumn("_blocked", F.lit(True)), at, "left")
-        .select(
+        sessions.select(*at).distinct().join(linked.withColumn("_linked", F.lit(True)), at, "left").select(
             *at,
             F.coalesce("blocked_session_count", F.lit(0)).cast("bigint").alias("blocked_session_count"),
-            F.when(F.col("_blocked").isNull(), 0).otherwise(F.col("depth")).cast("bigint").alias("depth"),
-            F.when(F.col("_blocked").isNull(), F.col("session_id")).otherwise(F.col("root")).alias("root_session_id"),
+            F.when(found, F.col("depth")).otherwise(0).cast("bigint").alias("depth"),
+            F.when(found, F.col("root")).otherwise(F.col("session_id")).alias("root_session_id"),
         )
     )
 
@@ -102,24 +98,29 @@ def block_leaders(chains: DataFrame) -> DataFrame:
 # ---- one blocker per session ---------------------------------------------------------
 
 
-def _forest_counts(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def _forest_counts(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Count, depth and root of every session on an edge, each with one blocker at most."""
     at = [*keys, "session_id"]
     state, cyclic = _double(edges, keys)
-    tops = state.filter("top is not null and not live").select(
-        *at, F.col("span").alias("depth"), F.col("top").alias("root")
+    top = F.col("top")
+    places = state.select(
+        *at, (F.col("size") - 1).alias("blocked_session_count"),
+        F.when(top.isNull(), 0).when(~F.col("live"), F.col("span")).cast("bigint").alias("depth"),
+        F.when(top.isNull(), F.col("session_id")).when(~F.col("live"), top).alias("root"),
     )
-    sizes = state.select(*at, "size")
-    if cyclic is not None:
-        # Cycle members become roots: count the trees below them, then pool each cycle.
-        members = cut_lineage(cyclic)
-        trees, _ = _double(edges.join(members, at, "left_anti"), keys)
-        sizes = trees.select(*at, "size")
-        labels = _ring_labels(edges.join(members, at, "left_semi"), keys)
-        alone = members.join(sizes, at, "left_anti").withColumn("size", F.lit(1).cast("bigint"))
-        pooled = labels.join(sizes.unionByName(alone), at).groupBy(*keys, "label").agg(F.sum("size").alias("total"))
-        ring_sizes = labels.join(pooled, [*keys, "label"]).select(*at, F.col("total").alias("size"))
-        sizes = sizes.join(members, at, "left_anti").unionByName(ring_sizes)
-    return sizes.select(*at, (F.col("size") - 1).alias("blocked_session_count")), tops
+    if cyclic is None:
+        return places
+    # Cycle members become roots: count the trees below them, then pool each cycle.
+    members = cut_lineage(cyclic)
+    trees, _ = _double(edges.join(members, at, "left_anti"), keys)
+    sizes = trees.select(*at, "size")
+    labels = _ring_labels(edges.join(members, at, "left_semi"), keys)
+    alone = members.join(sizes, at, "left_anti").withColumn("size", F.lit(1).cast("bigint"))
+    pooled = labels.join(sizes.unionByName(alone), at).groupBy(*keys, "label").agg(F.sum("size").alias("total"))
+    ring_sizes = labels.join(pooled, [*keys, "label"]).select(*at, F.col("total").alias("size"))
+    sizes = sizes.join(members, at, "left_anti").unionByName(ring_sizes)
+    counts = sizes.select(*at, (F.col("size") - 1).alias("blocked_session_count"))
+    return places.drop("blocked_session_count").join(counts, at)
 
 
 def _double(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
@@ -135,7 +136,7 @@ def _double(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame
     state = blocked.withColumn("live", F.lit(True)).unionByName(
         roots.withColumns({"top": F.lit(None).cast(blocked.schema["top"].dataType), "live": F.lit(False)})
     ).withColumns({"span": one, "size": one})
-    seen = None
+    stuck = landed = None
     while True:
         # Whatever sits exactly 2**k below a node brings the nodes less than 2**k below itself.
         below = state.filter("live").groupBy(*keys, F.col("top").alias("session_id")).agg(F.sum("size").alias("_more"))
@@ -153,13 +154,17 @@ def _double(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame
                 (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size"),
             )
         )
-        images = state.filter("live").groupBy(*keys, F.col("top").alias("session_id")).agg(F.count(F.lit(1)).alias("_n"))
-        row = images.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count(F.lit(1))).first()
-        if row[0] == 0:
+        live = state.filter("live").count()
+        if live == 0:
             return state, None
-        if (row[0], row[1]) == seen:
-            return state, images.drop("_n")
-        seen = (row[0], row[1])
+        if live == stuck:
+            # Only sessions in or below a cycle are left; wait until every jump lands on one.
+            images = state.filter("live").select(*keys, F.col("top").alias("session_id")).distinct()
+            width = images.count()
+            if width == landed:
+                return state, images
+            landed = width
+        stuck = live
 
 
 def _ring_labels(ring: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -184,7 +189,7 @@ def _ring_labels(ring: DataFrame, keys: Sequence[str]) -> DataFrame:
 # ---- several blockers per session ----------------------------------------------------
 
 
-def _layered_counts(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def _layered_counts(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Additive count, layer by layer from the unblocking ends upward.
 
     What is left when no free end remains is entangled in cycles; there the chains
@@ -216,7 +221,7 @@ def _layered_counts(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, D
         counts = counts.join(walked, at, "left").select(
             *at, (F.col("blocked_session_count") + F.coalesce("walked", F.lit(0))).alias("blocked_session_count")
         )
-    return counts, _shortest_tops(edges, keys)
+    return counts.join(_shortest_tops(edges, keys), at, "left")
 
 
 def _walk_paths(core: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from fleetscope.functions.locktext import lock_resource_columns, page_class
 from fleetscope.functions.semantics import scrub_control
 from fleetscope.keys import K, SK
-from fleetscope.operators.ranking import number_rows
+from fleetscope.operators.ranking import GROUP_LIMIT, number_rows
 
+RAW_KEYS = [*K, "request_session_id", "request_request_id"]
 RESOURCE_IDS = ["object_id", "file_id", "hobt_id", "allocation_unit_id", "index_id", "schema_id", "principal_id"]
 LOCK_GROUP = [
     "resource_type", "database_name", "object_id", "file_id", "page_type", "hobt_id", "allocation_unit_id",
@@ -89,12 +90,13 @@ def resolve_object_names(
     return out.select(*locks.columns, *[scrub_control(F.col(n)).alias(n) for n in names])
 
 
-def lock_document(named: DataFrame, page_rows: int = 1000) -> DataFrame:
+def lock_document(named: DataFrame, page_rows: int = 1000, group_limit: int | None = GROUP_LIMIT, sized_by: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
     """Locks of each request as nested arrays: databases, their objects, their locks.
 
     Locks on the database itself stand apart from those on its objects. A document
     holds at most ``page_rows`` lock groups; further ones follow on the next
-    ``page_no``, so no request is gathered whole and none is cut short.
+    ``page_no``, so no request is gathered whole and none is cut short. ``sized_by`` is
+    the raw lock relation with its request keys.
     """
     on_database = F.col("resource_type") == "DATABASE"
     object_name = F.when(~on_database, F.coalesce("object_name", F.lit("(null)")))
@@ -118,7 +120,7 @@ def lock_document(named: DataFrame, page_rows: int = 1000) -> DataFrame:
     path = ["database_name", "on_database", "object_label", "object_schema"]
     counted = leaf.groupBy(*SK, *path, *lock_columns).agg(F.sum("request_count").alias("request_count"))
     order = [F.col(c).asc_nulls_first() for c in [*path, *lock_columns]]
-    paged = number_rows(counted, SK, order, "_row").withColumn(
+    paged = number_rows(counted, SK, order, "_row", group_limit, sized_by).withColumn(
         "page_no", F.floor((F.col("_row") - 1) / page_rows).cast("int")
     )
     page = [*SK, "page_no"]

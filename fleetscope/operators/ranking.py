@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,15 +53,22 @@ def _number_by_slices(df: DataFrame, group: Sequence[str], order: Sequence[Colum
     return joined.withColumn(name, (F.col(name) + F.col("_offset")).cast("int")).drop("_slice", "_offset")
 
 
-def best_row(df: DataFrame, keys: Sequence[str], best_by: Sequence[Column], columns: Sequence[str]) -> DataFrame:
+def best_row(
+    df: DataFrame, keys: Sequence[str], best_by: Sequence[Column], columns: Sequence[str],
+    extra: Mapping[str, Column] | None = None,
+) -> DataFrame:
     """The row with the greatest ``best_by`` per key, as a partial aggregate.
 
     Takes the place of ``row_number() = 1``: nothing but one candidate per key and
-    map task is shuffled, so a hot key costs no more than any other.
+    map task is shuffled, so a hot key costs no more than any other. ``extra`` adds
+    aggregates over all rows of the key.
     """
+    extra = extra or {}
     payload = F.struct(*[F.col(c) for c in columns])
-    ranked = df.groupBy(*keys).agg(F.max_by(payload, F.struct(*best_by)).alias("_best"))
-    return ranked.select(*keys, *[F.col("_best")[c].alias(c) for c in columns])
+    ranked = df.groupBy(*keys).agg(
+        F.max_by(payload, F.struct(*best_by)).alias("_best"), *[column.alias(name) for name, column in extra.items()]
+    )
+    return ranked.select(*keys, *[F.col("_best")[c].alias(c) for c in columns], *extra)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:

@@ -45,28 +45,35 @@ def resolve_selection(names: DataFrame, policies: DataFrame, kind: str = "databa
     policies through an equi-join, and the pattern list of a policy is tested inside the
     row, so no names-by-patterns product is ever formed.
     """
-    parsed = policies.withColumn("_selectors", selector_array(F.col("spec"), kind, delimiter)).drop("spec")
-    joined = names.join(parsed, list(by))
+    def lowered(selector: Column) -> Column:
+        flags = ["database_type", "in_group"] if kind == "databases" else []
+        return F.struct(
+            *[selector[f].alias(f) for f in ["position", "selected", *flags]],
+            *[F.lower(selector[part]).alias(part) for part in PARTS[kind]],
+        )
+
+    selectors = F.transform(selector_array(F.col("spec"), kind, delimiter), lowered)
+    parsed = policies.withColumn("_selectors", selectors).drop("spec")
+    joined = names.withColumns({f"_{part}": F.lower(part) for part in PARTS[kind]}).join(parsed, list(by))
 
     def matches(selector: Column) -> Column:
         test = None
-        for part in PARTS[kind]:
-            one = F.coalesce(name_matches(F.col(part), selector[part]), F.lit(False))
-            test = one if test is None else test & one
         if kind == "databases":
-            test = test & (selector["database_type"].isNull() | (selector["database_type"] == F.col("database_type")))
+            test = selector["database_type"].isNull() | (selector["database_type"] == F.col("database_type"))
             test = test & (selector["in_group"].isNull() | (selector["in_group"] == F.col("in_group")))
+        for part in PARTS[kind]:
+            one = F.coalesce(name_matches(F.col(f"_{part}"), selector[part]), F.lit(False))
+            test = one if test is None else test & one
         return test
 
-    hits = F.filter("_selectors", matches)
-    joined = joined.withColumn("_hits", hits)
+    joined = joined.withColumn("_hits", F.filter("_selectors", matches))
     included = F.filter("_hits", lambda s: s["selected"])
     excluded = F.exists("_hits", lambda s: ~s["selected"])
     everything = F.col("_selectors").isNull()
     return joined.withColumns({
         "selected": everything | ((F.size(included) > 0) & ~excluded),
         "start_position": F.array_min(F.transform(included, lambda s: s["position"])),
-    }).drop("_selectors", "_hits")
+    }).drop("_selectors", "_hits", *[f"_{part}" for part in PARTS[kind]])
 
 
 def missing_selectors(names: DataFrame, policies: DataFrame, delimiter: str = ",") -> DataFrame:

@@ -76,22 +76,35 @@ def effective_waits(rollup: DataFrame) -> DataFrame:
     })
 
 
+_FILLED = ["sql_handle", "login_name", "memory_usage", "open_tran_count"]
+
+
+def _primary_order() -> list[Column]:
+    lock_first = F.coalesce(is_lock_wait(F.col("wait_type")).cast("int"), F.lit(0))
+    ties = ["wait_type", "wait_resource", "last_request_end_time", "stmt_start", "stmt_end", "cmd", "program_name"]
+    return [lock_first, F.col("wait_time"), F.col("blocked"), *[F.col(c) for c in ties]]
+
+
 def primary_wait(waits: DataFrame) -> DataFrame:
     """One row per request: lock waits first, then the longest wait, then the highest blocker.
 
     Remaining ties go to the greater wait type and resource, then to the latest batch and
     statement. The resource is kept only for wait types it explains.
     """
-    lock_first = F.coalesce(is_lock_wait(F.col("wait_type")).cast("int"), F.lit(0))
-    ties = ["wait_type", "wait_resource", "last_request_end_time", "stmt_start", "stmt_end", "cmd", "program_name"]
-    best_by = [lock_first, F.col("wait_time"), F.col("blocked"), *[F.col(c) for c in ties]]
-    best = best_row(waits, SK, best_by, [c for c in waits.columns if c not in SK])
+    best = best_row(waits, SK, _primary_order(), [c for c in waits.columns if c not in SK])
     return best.withColumn("wait_resource", F.when(keeps_resource(F.col("wait_type")), F.col("wait_resource")))
 
 
 def one_row_per_request(procs: DataFrame) -> DataFrame:
-    """Rollup, spread and primary wait in a row."""
-    return primary_wait(effective_waits(fill_session(session_rollup(procs))))
+    """Rollup, spread and primary wait in one pass.
+
+    The values ``fill_session`` would spread are taken in the same aggregate that picks the
+    row, so the processes are scanned and shuffled once.
+    """
+    waits = effective_waits(session_rollup(procs))
+    rest = [c for c in waits.columns if c not in (*SK, *_FILLED)]
+    best = best_row(waits, SK, _primary_order(), rest, {c: F.max(c) for c in _FILLED})
+    return best.withColumn("wait_resource", F.when(keeps_resource(F.col("wait_type")), F.col("wait_resource")))
 
 
 def session_number(sessions: DataFrame) -> DataFrame:

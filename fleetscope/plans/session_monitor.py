@@ -112,7 +112,7 @@ def _locks(out: DataFrame, everything: DataFrame, inputs: Mapping[str, DataFrame
     named = locks.resolve_object_names(
         held, *[inputs[n] for n in ("alloc_units", "partitions", "objects", "indexes", "schemas", "principals")]
     )
-    pages = locks.lock_document(named).withColumnsRenamed({"databases": "locks", "page_no": "lock_page_no"})
+    pages = locks.lock_document(named, sized_by=(inputs["locks"], locks.RAW_KEYS)).withColumnsRenamed({"databases": "locks", "page_no": "lock_page_no"})
     return out.join(pages, SK, "left")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetscope.keys import K, SK
 from fleetscope.operators import deltas, filters, graph, locks, ranking, sessions, usage, waits
 from fleetscope.plans import session_monitor
+from fleetscope.runtime import cut_lineage
 from harness.core import query
 
 # ---- blocking graph ------------------------------------------------------------------
@@ -372,8 +373,9 @@ profile AS (
 
 
 def _active(v):
-    rows = sessions.one_row_per_request(v("fx_procs"))
-    return waits.active_tasks(v("fx_tasks"), v("fx_workers"), v("fx_threads"), rows), rows
+    # Both feed several joins with different columns, so each is written once.
+    rows = cut_lineage(sessions.one_row_per_request(v("fx_procs")))
+    return cut_lineage(waits.active_tasks(v("fx_tasks"), v("fx_workers"), v("fx_threads"), rows)), rows
 
 
 def _profile(v):
@@ -557,7 +559,7 @@ SELECT server_id, collection_time, session_id, request_id, CAST(page_no AS BIGIN
 FROM database_text GROUP BY ALL
 """)
 def _(v):
-    documents = locks.lock_document(_named(v))
+    documents = locks.lock_document(_named(v), sized_by=(v("fx_locks"), locks.RAW_KEYS))
     return locks.lock_document_text(documents).withColumn("page_no", F.col("page_no").cast("bigint"))
 
 
