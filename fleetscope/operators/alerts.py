@@ -43,7 +43,12 @@ def match_rules(events: DataFrame) -> DataFrame:
 
 
 def cooldown_alerts(events: DataFrame, seconds: int = COOLDOWN_SECONDS, run_limit: int = RUN_LIMIT) -> DataFrame:
-    """Alerts that fire: the first event of a rule, then the first at least ``seconds`` after the last fired.
+    """Alerts that fire: the first event of a rule, then the first at least ``seconds`` after the last fired."""
+    return fire_with_cooldown(match_rules(events), seconds, run_limit)
+
+
+def fire_with_cooldown(events: DataFrame, seconds: int = COOLDOWN_SECONDS, run_limit: int = RUN_LIMIT) -> DataFrame:
+    """Cooldown over events that already carry their ``rule``.
 
     Whether an event fires depends on the one fired before it. Time is cut into windows
     as long as the cooldown; of these the distinct times are folded first, and a pause of
@@ -53,7 +58,7 @@ def cooldown_alerts(events: DataFrame, seconds: int = COOLDOWN_SECONDS, run_limi
     """
     step = seconds * 1_000_000
     micros = F.unix_micros(F.col("event_time").cast("timestamp"))
-    matched = match_rules(events).withColumn("_t", micros).withColumn("_w", F.floor(micros / step))
+    matched = events.withColumn("_t", micros).withColumn("_w", F.floor(micros / step))
     # Read several times below, and far smaller than the events: written once.
     times = cut_lineage(matched.select(*_KEY, "_w", "_t").distinct())
     windows = times.groupBy(*_KEY, "_w").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.count(F.lit(1)).alias("_n"))

@@ -40,9 +40,9 @@ def reachable(edges: DataFrame, starts: DataFrame, keys: Sequence[str], node: st
         if grown == size:
             return found
         size = grown
-        onward = hops.select(*keys, F.col(node).alias(target), F.col(target).alias("_next"))
+        onward = hops.select(*keys, F.col(node).alias(target), F.col(target).alias("_beyond"))
         hops = cut_lineage(
-            hops.join(onward, [*keys, target]).select(*at, F.col("_next").alias(target)).distinct()
+            hops.join(onward, [*keys, target]).select(*at, F.col("_beyond").alias(target)).distinct()
         )
 
 

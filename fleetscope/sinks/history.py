@@ -36,7 +36,7 @@ def append_history(df: DataFrame, path: str, schema: StructType, time: str, part
 
 def append_by_name(df: DataFrame, table: str) -> None:
     """Append to a catalog table, columns matched by name."""
-    df.writeTo(table).append()
+    df.select(*df.sparkSession.table(table).columns).write.insertInto(table)
 
 
 def replace_day(df: DataFrame, path: str, time: str, day: date, partition: str = "audit_date") -> None:

@@ -33,7 +33,7 @@ def read_telemetry(
     return df
 
 
-def stream_telemetry(spark: SparkSession, root: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
+def stream_telemetry(spark: SparkSession, root: str, name: str, files_per_trigger: int = 64) -> DataFrame:
     """The same relation as a file stream; the trigger size bounds each micro-batch."""
     return (
         spark.readStream.schema(_stored(name))

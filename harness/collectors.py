@@ -461,6 +461,28 @@ def _(v):
     return alerts.cooldown_alerts(v("fx_storm")).select("server_id", "rule", "event_id", "event_time")
 
 
+@query("rule_hits", """
+SELECT r.rule, count(e.event_id) AS events FROM (
+  SELECT 'Severity ' || lpad(CAST(s AS STRING), 3, '0') AS rule, s AS severity, NULL AS error_number FROM range(16, 26) t(s)
+  UNION ALL SELECT 'Error Number ' || CAST(n AS STRING), NULL, n FROM range(823, 826) t(n)) r
+LEFT JOIN fx_errors e ON e.severity = r.severity OR e.error_number = r.error_number GROUP BY r.rule
+""")
+def _(v):
+    # Rules without events stay, so the rule list leads the join.
+    hits = alerts.match_rules(v("fx_errors")).groupBy("rule").agg(F.count(F.lit(1)).alias("events"))
+    return alerts.alert_rules(v.spark).select("rule").join(hits, "rule", "left").fillna(0, ["events"])
+
+
+@query("number_series", """
+SELECT n.number, count(o.o_custkey) AS orders FROM (SELECT unnest(range(1, (SELECT count(*) FROM customer) + 1)) AS number) n
+LEFT JOIN orders o ON o.o_custkey = n.number GROUP BY n.number
+""")
+def _(v):
+    numbers = telemetry.number_series(v.spark, v("customer").count())
+    orders = v("orders").groupBy(F.col("o_custkey").alias("number")).agg(F.count(F.lit(1)).alias("orders"))
+    return numbers.join(orders, "number", "left").fillna(0, ["orders"])
+
+
 @query("alert_notices", _alert_sql("fx_errors") + """
 SELECT f.server_id, f.rule || ' on server ' || CAST(f.server_id AS STRING) AS mail_subject, strftime(f.event_time, '%Y-%m-%d %H:%M:%S.%f') || ' ' || e.message AS mail_body
 FROM fired f JOIN fx_errors e USING (event_id)

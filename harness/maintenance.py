@@ -115,6 +115,36 @@ def _(v):
     return rows.select("server_id", "policy_id", "database_id", F.col("plan_order").cast("bigint").alias("plan_order"))
 
 
+@query("resolve_objects", """
+SELECT DISTINCT server_id, database_name, schema_name, object_name,
+       (database_name LIKE 'db1%' OR (schema_name = 'schema2' AND object_name LIKE 'part%7')) AND NOT (database_name LIKE 'db%' AND object_name LIKE '%77') AS selected
+FROM fx_indexes
+""")
+def _(v):
+    objects = v("fx_indexes").select("server_id", "database_name", "schema_name", "object_name").distinct()
+    policies = objects.select("server_id").distinct().withColumn("spec", F.lit("db1%.%.%, %.schema2.part%7,-db%.%.%77"))
+    return selection.resolve_selection(objects, policies, "objects").drop("start_position")
+
+
+@query("resolve_filegroups", """
+SELECT DISTINCT server_id, database_name, coalesce(filegroup_name, 'NONE') AS filegroup_name,
+       NOT (database_name = 'db3' AND filegroup_name = 'PRIMARY') IS TRUE AS selected FROM (SELECT server_id, database_name, filegroup_name FROM fx_files)
+""".replace("NOT (database_name = 'db3' AND filegroup_name = 'PRIMARY') IS TRUE", "NOT (database_name = 'db3' AND coalesce(filegroup_name, 'NONE') = 'PRIMARY')"))
+def _(v):
+    groups = v("fx_files").select("server_id", "database_name", F.coalesce("filegroup_name", F.lit("NONE")).alias("filegroup_name")).distinct()
+    policies = groups.select("server_id").distinct().withColumn("spec", F.lit("ALL_FILEGROUPS, -db3.primary"))
+    return selection.resolve_selection(groups, policies, "filegroups").drop("start_position")
+
+
+@query("resolve_groups", """
+SELECT d.server_id, d.database_id, g.name <> 'ag1' AS selected FROM fx_databases d JOIN fx_groups g USING (server_id) WHERE d.availability_group IS NOT NULL
+""")
+def _(v):
+    policies = v("fx_groups").select("server_id").distinct().withColumn("spec", F.lit("ALL_AVAILABILITY_GROUPS,-AG1"))
+    groups = selection.resolve_selection(v("fx_groups"), policies, "groups").select("server_id", "selected")
+    return v("fx_databases").filter("availability_group is not null").join(groups, "server_id").select("server_id", "database_id", "selected")
+
+
 # ---- backup rules --------------------------------------------------------------------
 
 _DECIDED_SQL = _SELECTION_SQL + """,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fleetscope.functions.statements import active_statement, last_request_start, request_start_time
 from fleetscope.keys import K, SK
 from fleetscope.operators import deltas, filters, graph, locks, ranking, sessions, usage, waits
 from fleetscope.plans import session_monitor
@@ -667,6 +668,52 @@ def _(v):
     return usage.transaction_text(ranked)
 
 
+# ---- statement text and times --------------------------------------------------------
+
+_OFFSETS = """
+offs AS (SELECT doc_id, text, (doc_id % 50) * 2 AS b, CASE WHEN lang = 'en' THEN -1 ELSE (doc_id % 50) * 2 + 200 END AS e FROM documents)
+"""
+
+
+@query("active_statement", "WITH " + _OFFSETS + """,
+cut AS (
+  SELECT doc_id, regexp_replace(CASE
+      WHEN length(rtrim(text, ' ')) < e // 2 + 1 OR (b // 2 > 0 AND regexp_matches(substr(text, b // 2, 2), '^[a-zA-Z0-9][a-zA-Z0-9]$')) THEN text
+      WHEN b > 0 THEN substr(text, b // 2 + 1, CASE WHEN e = -1 THEN length(text) ELSE (e - b) // 2 + 1 END)
+      ELSE trim(text, ' ') END, '[\x01-\x08\x0b\x0c\x0e-\x1f]', '?', 'g') AS t FROM offs)
+SELECT doc_id, length(t) AS characters, md5(t) AS digest FROM cut
+""")
+def _(v):
+    start = (F.col("doc_id") % 50) * 2
+    end = F.when(F.col("lang") == "en", F.lit(-1).cast("bigint")).otherwise(start + 200)
+    rows = v("documents").select("doc_id", active_statement(F.col("text"), start, end).alias("t"))
+    return rows.select("doc_id", F.length("t").cast("bigint").alias("characters"), F.md5(F.col("t").cast("binary")).alias("digest"))
+
+
+@query("request_start_time", """
+WITH shaped AS (
+  SELECT event_id, user_id % 3 <> 0 AS is_user, event_id % 100000 AS elapsed, CAST(ts AS TIMESTAMP) AS now,
+         CASE WHEN event_type = 'click' THEN NULL ELSE CAST(ts AS TIMESTAMP) - INTERVAL '1' HOUR END AS request,
+         CASE WHEN event_type = 'view' THEN TIMESTAMP '1900-01-01 00:00:00' ELSE CAST(ts AS TIMESTAMP) - INTERVAL '2' HOUR END AS batch FROM events),
+derived AS (SELECT *, epoch_us(now) // 1000 - elapsed // 1000 * 1000 AS m FROM shaped),
+rounded AS (SELECT *, m - m % 1000 + (m % 1000) // 500 * 1000 AS r FROM derived)
+SELECT event_id, CASE WHEN NOT is_user THEN CAST(make_timestamp(r * 1000) AS TIMESTAMP)
+       ELSE coalesce(nullif(coalesce(request, batch), TIMESTAMP '1900-01-01 00:00:00'), now - INTERVAL '3' HOUR) END AS start_time,
+       CASE WHEN is_user THEN request ELSE CAST(make_timestamp(r * 1000) AS TIMESTAMP) END AS last_request_start_time
+FROM rounded
+""")
+def _(v):
+    now = F.col("ts").cast("timestamp")
+    hours = lambda n: now - F.expr(f"interval {n} hours")
+    is_user, elapsed = F.col("user_id") % 3 != 0, F.col("event_id") % 100000
+    request = F.when(F.col("event_type") != "click", hours(1))
+    batch = F.when(F.col("event_type") == "view", F.lit("1900-01-01 00:00:00").cast("timestamp")).otherwise(hours(2))
+    return v("events").select(
+        "event_id", request_start_time(is_user, elapsed, request, batch, hours(3), now).alias("start_time"),
+        last_request_start(is_user, elapsed, request, now).alias("last_request_start_time"),
+    )
+
+
 # ---- the whole monitor ---------------------------------------------------------------
 
 _MONITOR_NAMES = {

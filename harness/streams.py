@@ -10,7 +10,7 @@ from fleetscope.runtime import scratch_path
 from fleetscope.schemas import TELEMETRY
 from fleetscope.sinks.history import append_history
 from fleetscope.sources.telemetry import stream_telemetry
-from fleetscope.streaming.alerts import stream_alerts
+from fleetscope.streaming.alerts import alert_batches, stream_alerts
 from fleetscope.streaming.cpu import stream_cpu_history
 from fleetscope.streaming.deltas import stream_session_deltas
 from fleetscope.streaming.drift import stream_drift
@@ -44,6 +44,19 @@ def _(v):
     return v.spark.read.schema(out.schema).parquet(f"{root}/out").select("server_id", "rule", "event_id", "event_time")
 
 
+@query("stream_alert_batches", batch._alert_sql("fx_storm") + "SELECT * FROM fired")
+def _(v):
+    root = scratch_path(v.spark, "stream-storm")
+    # Two days of the storm arrive as two micro-batches, in order.
+    half = F.col("event_time") < F.lit("2024-01-01 14:00:00").cast("timestamp")
+    for part in (half, ~half):
+        v("fx_storm").filter(part).coalesce(1).write.mode("append").parquet(f"{root}/events")
+    schema = v("fx_storm").schema
+    stream = v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/events")
+    alert_batches(stream, f"{root}/out", f"{root}/state", f"{root}/checkpoint")
+    return v.spark.read.parquet(f"{root}/out").select("server_id", "rule", "event_id", "event_time")
+
+
 @query("stream_session_deltas", "WITH " + _PAIRS_SQL + "SELECT server_id, collection_time, session_id, request_id, " + ", ".join(
     f"CASE WHEN ok AND d{i} >= 0 THEN d{i} END AS {m}_delta" for i, m in enumerate(deltas.METRICS, start=1)
 ) + " FROM pairs WHERE d1 IS NOT NULL")
