@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.keys import SK
+from fleetscope.runtime import cut_lineage
 
 METRICS = [
     "physical_io", "reads", "physical_reads", "writes", "tempdb_allocations", "tempdb_current",
@@ -16,14 +17,22 @@ METRICS = [
 CPU_METRICS = ["cpu", "thread_cpu"]
 
 
+# Collections that may be sent to every task; more are joined by shuffle.
+BROADCAST_COLLECTIONS = 1_000_000
+
+
 def previous_collections(samples: DataFrame) -> DataFrame:
-    """Each collection of a server with the one before it.
+    """Each collection of a server with the ones before and after it.
 
     Works on the distinct collection times, of which a server has a bounded number.
     """
     times = samples.select("server_id", "collection_time").distinct()
-    before = F.lag("collection_time").over(Window.partitionBy("server_id").orderBy("collection_time"))
-    return times.select("server_id", "collection_time", before.alias("previous_time"))
+    in_order = Window.partitionBy("server_id").orderBy("collection_time")
+    return times.select(
+        "server_id", "collection_time",
+        F.lag("collection_time").over(in_order).alias("previous_time"),
+        F.lead("collection_time").over(in_order).alias("next_time"),
+    )
 
 
 def num_events(samples: DataFrame) -> DataFrame:
@@ -36,8 +45,9 @@ def session_deltas(samples: DataFrame, metrics: Sequence[str] = tuple(METRICS),
 
     A delta is NULL unless the request appears in both collections, runs since the same
     start time, and did not shrink. A request counts once per collection; of several copies
-    the greatest row stands. Samples are paired by an equi-join on (request, collection), never
-    by sorting the history of one session in one task.
+    the greatest row stands. Every sample is sent to its own collection and to the next one,
+    where one aggregate meets both: one scan and one shuffle, and the history of a session is
+    never gathered.
     """
     cpu = [m for m in CPU_METRICS if m in samples.columns]
     paired = _paired(samples, [*metrics, *cpu])
@@ -65,19 +75,26 @@ def _cpu_delta() -> Column:
     return F.when(F.col("_valid"), value)
 
 
-def one_sample_per_request(samples: DataFrame) -> DataFrame:
-    """One row per request and collection, whichever copies were collected."""
-    rest = [c for c in samples.columns if c not in SK]
-    return samples.groupBy(*SK).agg(F.max(F.struct(*rest)).alias("_s")).select(*SK, "_s.*")
-
-
 def _paired(samples: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    once = one_sample_per_request(samples)
-    current = once.join(previous_collections(samples), ["server_id", "collection_time"])
-    earlier = once.select(
-        "server_id", F.col("collection_time").alias("previous_time"), "session_id", "request_id",
-        F.col("last_request_start_time").alias("_before_start"), *[F.col(m).alias(f"_before_{m}") for m in metrics],
+    collections = cut_lineage(previous_collections(samples).drop("previous_time"))
+    if collections.count() <= BROADCAST_COLLECTIONS:
+        collections = F.broadcast(collections)
+    rest = [c for c in samples.columns if c not in SK]
+    slots = F.array(
+        F.struct(F.col("collection_time").alias("slot"), F.lit(True).alias("own")),
+        F.struct(F.col("next_time").alias("slot"), F.lit(False).alias("own")),
+    )
+    sent = (
+        samples.join(collections, ["server_id", "collection_time"])
+        .withColumn("_slot", F.explode(slots)).filter("_slot.slot is not null")
+        .select("server_id", F.col("_slot.slot").alias("collection_time"), "session_id", "request_id",
+                F.col("_slot.own").alias("_own"), F.struct(*rest).alias("_row"))
+    )
+    met = sent.groupBy(*SK).agg(
+        F.max(F.when(F.col("_own"), F.col("_row"))).alias("_now"), F.max(F.when(~F.col("_own"), F.col("_row"))).alias("_before")
+    ).filter("_now is not null")
+    same_start = F.col("_before.last_request_start_time") == F.col("_now.last_request_start_time")
+    return met.select(
+        *SK, *[F.col(f"_now.{c}").alias(c) for c in rest], *[F.col(f"_before.{m}").alias(f"_before_{m}") for m in metrics],
+        F.coalesce(same_start, F.lit(False)).alias("_valid"),
     )
-    joined = current.join(earlier, ["server_id", "previous_time", "session_id", "request_id"], "left")
-    valid = F.coalesce(F.col("_before_start") == F.col("last_request_start_time"), F.lit(False))
-    return joined.withColumn("_valid", valid).drop("previous_time")

@@ -12,7 +12,7 @@ from fleetscope.runtime import build_session  # noqa: E402
 def spark():
     session = build_session(
         "tests", "local[4]",
-        **{"spark.sql.shuffle.partitions": "4", "spark.default.parallelism": "4", "spark.driver.memory": "4g"},
+        **{"spark.sql.shuffle.partitions": "4", "spark.default.parallelism": "4", "spark.driver.memory": "4g", "spark.sql.maxMetadataValueLength": "2000"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

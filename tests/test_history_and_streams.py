@@ -35,6 +35,12 @@ def test_retention_boundaries(frame, rows):
         retention.purge_history(df, "t", 30, "month", now)
 
 
+def test_retention_reaches_the_scan(spark, frame, tmp_path):
+    frame("id int, t timestamp", [(1, NOW)]).write.parquet(f"{tmp_path}/t")
+    kept = retention.purge_history(spark.read.parquet(f"{tmp_path}/t"), "t", 30, "date", NOW)
+    assert "GreaterThanOrEqual(t," in kept._jdf.queryExecution().executedPlan().toString()
+
+
 def cpu_rows(frame, *items):
     return frame(HISTORY["cpu_usage"], [(1, r, t, 1, 2, 97) for r, t in items])
 
