@@ -45,19 +45,29 @@ def replace_day(df: DataFrame, path: str, time: str, day: date, partition: str =
     _write(_dated(only, time, partition), path, "overwrite", partition)
 
 
+def _file_system(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def stored_days(spark: SparkSession, path: str, partition: str = "collection_date") -> list[date]:
+    """Days a table holds, from its folder names; no file is opened."""
+    folder, files = _file_system(spark, path)
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    return sorted(date.fromisoformat(n.split("=", 1)[1]) for n in names if n.startswith(f"{partition}=2") or n.startswith(f"{partition}=1"))
+
+
 def expired_days(spark: SparkSession, path: str, now: datetime, days: int, partition: str = "collection_date") -> list[date]:
-    """Stored days older than the retention; read from folder names, at most one row per day."""
+    """Stored days older than the retention."""
     boundary = now.date() - timedelta(days=days)
-    stored = spark.read.parquet(path).select(partition).distinct().filter(F.col(partition) < F.lit(boundary))
-    return sorted(row[0] for row in stored.collect())
+    return [day for day in stored_days(spark, path, partition) if day < boundary]
 
 
 def drop_days(spark: SparkSession, path: str, expired: Sequence[date], partition: str = "collection_date") -> None:
     """Remove whole day folders; no row is read or rewritten."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     for day in expired:
-        folder = hadoop.Path(f"{path}/{partition}={day.isoformat()}")
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        folder, files = _file_system(spark, f"{path}/{partition}={day.isoformat()}")
+        files.delete(folder, True)
 
 
 def purge_days(spark: SparkSession, path: str, now: datetime, days: int, partition: str = "collection_date") -> list[date]:

@@ -58,7 +58,7 @@ SELECT user_id % 8 AS server_id, date_trunc('week', ts) AS collection_time,
                        WHEN 'click' THEN 'exchangeEvent id=Port1 nodeId=' || CAST(event_id % 4 AS STRING) || ' waitType=e_waitPipeNewRow'
                        WHEN 'signup' THEN 'ACCESS_METHODS_' || CAST(event_id % 3 AS STRING) || ' (LATCH 0x00: Class: X)' END AS wait_resource,
        event_id % 1000 AS wait_time,
-       CASE WHEN event_type = 'error' THEN (user_id + 8) % 160 + 1 WHEN event_type = 'signup' THEN user_id ELSE 0 END AS blocked
+       CASE WHEN event_type = 'error' THEN (user_id + 16) % 152 WHEN event_type = 'signup' THEN user_id ELSE 0 END AS blocked
 FROM events
 """
 
@@ -114,7 +114,7 @@ ADAPTERS["fx_waiting_tasks"] = """
 SELECT server_id, collection_time, event_id AS waiting_task_address, session_id,
        blocked AS blocking_session_id, wait_type, wait_time AS wait_duration_ms, wait_resource AS resource_description
 FROM (SELECT user_id % 8 AS server_id, date_trunc('week', ts) AS collection_time, event_id, user_id AS session_id,
-             CASE WHEN event_type = 'error' THEN (user_id + 8) % 160 + 1 END AS blocked,
+             CASE WHEN event_type = 'error' THEN (user_id + 16) % 152 END AS blocked,
              CASE event_type WHEN 'error' THEN 'LCK_M_X' WHEN 'purchase' THEN 'PAGEIOLATCH_SH'
                              WHEN 'click' THEN 'CXPACKET' WHEN 'signup' THEN 'LATCH_EX' ELSE 'WRITELOG' END AS wait_type,
              event_id % 1000 AS wait_time,

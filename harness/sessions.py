@@ -763,10 +763,50 @@ def _(v):
     )
 
 
-@query("session_snapshot_full")
+_FULL_SQL = _RANK_SQL + f""",
+members AS (SELECT DISTINCT server_id, collection_time, session_id FROM picked),
+edges AS (
+  SELECT DISTINCT p.server_id, p.collection_time, p.session_id, p.blocked AS blocker FROM picked p
+  JOIN members m ON m.server_id = p.server_id AND m.collection_time = p.collection_time AND m.session_id = p.blocked
+  WHERE p.blocked <> 0 AND p.blocked <> p.session_id),
+down AS (
+  SELECT server_id, collection_time, session_id AS top, session_id AS here, [session_id] AS path FROM members
+  UNION ALL
+  SELECT d.server_id, d.collection_time, d.top, e.session_id, list_append(d.path, e.session_id)
+  FROM down d JOIN edges e ON e.server_id = d.server_id AND e.collection_time = d.collection_time AND e.blocker = d.here
+  WHERE NOT list_contains(d.path, e.session_id)),
+blocked_counts AS (SELECT server_id, collection_time, top AS session_id, count(*) - 1 AS blocked_session_count FROM down GROUP BY ALL),
+up AS (
+  SELECT server_id, collection_time, session_id, session_id AS here, 0 AS hops, [session_id] AS path FROM members
+  UNION ALL
+  SELECT u.server_id, u.collection_time, u.session_id, e.blocker, u.hops + 1, list_append(u.path, e.blocker)
+  FROM up u JOIN edges e ON e.server_id = u.server_id AND e.collection_time = u.collection_time AND e.session_id = u.here
+  WHERE NOT list_contains(u.path, e.blocker)),
+tops AS (
+  SELECT server_id, collection_time, session_id, min(hops) AS depth, arg_min(here, (hops, here)) AS root_session_id FROM up
+  WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.server_id = up.server_id AND e.collection_time = up.collection_time AND e.session_id = up.here) GROUP BY ALL),
+summary AS (
+  SELECT r.server_id, r.collection_time, r.session_id, r.request_id, CAST(t.tasks AS BIGINT) AS tasks, CAST(t.physical_io AS BIGINT) AS physical_io,
+         string_agg('(' || CAST(num_waits AS STRING) || 'x: ' || {_SPREAD} || 'ms)' || wait_type, ', ' ORDER BY wait_rank) AS waits
+  FROM ranked r JOIN totals t USING (server_id, collection_time, session_id, request_id)
+  GROUP BY r.server_id, r.collection_time, r.session_id, r.request_id, t.tasks, t.physical_io)
+"""
+
+
+@query("session_snapshot_full", "WITH RECURSIVE " + _FULL_SQL + """
+SELECT p.server_id, p.collection_time, p.session_id, p.request_id, p.status, s.tasks, s.physical_io, s.waits AS task_waits,
+       CAST(b.blocked_session_count AS BIGINT) AS blocked_session_count, CAST(t.depth AS BIGINT) AS depth, t.root_session_id
+FROM picked p JOIN blocked_counts b USING (server_id, collection_time, session_id)
+LEFT JOIN tops t ON t.server_id = p.server_id AND t.collection_time = p.collection_time AND t.session_id = p.session_id
+LEFT JOIN summary s ON s.server_id = p.server_id AND s.collection_time = p.collection_time AND s.session_id = p.session_id AND s.request_id = p.request_id
+""")
 def _(v):
     report = session_monitor.session_snapshot(_monitor_inputs(v), ("tasks", "average", "blocking"), sleeping=2, system=True)
-    return report.drop("active_sql_handle")
+    # Requests without task waits fall back to their own wait; only the former are compared.
+    task_waits = F.when(F.col("wait_info").rlike(r"^\(\d+x: "), F.col("wait_info"))
+    return report.select(
+        *SK, "status", "tasks", "physical_io", task_waits.alias("task_waits"), "blocked_session_count", "depth", "root_session_id"
+    )
 
 
 @query("agent_job_names", """
