@@ -34,11 +34,6 @@ def add_ms(ts: Column, ms: Column) -> Column:
     return F.timestamp_millis(epoch_ms(ts) + ms)
 
 
-def same_text(a: Column, b: Column) -> Column:
-    """Case-insensitive equality, ignoring trailing blanks."""
-    return F.lower(F.rtrim(a)) == F.lower(F.rtrim(b))
-
-
 def text_length(c: Column) -> Column:
     """Length without trailing blanks."""
     return F.length(F.rtrim(c))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.functions.locktext import lock_resource_columns, page_class
-from fleetscope.functions.semantics import scrub_control
+from fleetscope.functions.semantics import escape_markup, scrub_control
 from fleetscope.keys import K, SK
 from fleetscope.operators.ranking import GROUP_LIMIT, number_rows
 
@@ -140,7 +140,7 @@ def lock_document(named: DataFrame, page_rows: int = 1000, group_limit: int | No
 def lock_document_text(documents: DataFrame) -> DataFrame:
     """Lock documents written as markup text."""
     def attribute(name, value):
-        return F.coalesce(F.concat(F.lit(f' {name}="'), _attribute_text(value), F.lit('"')), F.lit(""))
+        return F.coalesce(F.concat(F.lit(f' {name}="'), escape_markup(scrub_control(value)), F.lit('"')), F.lit(""))
 
     def lock_text(lock):
         names = [
@@ -170,9 +170,3 @@ def lock_document_text(documents: DataFrame) -> DataFrame:
     return documents.select(
         *SK, "page_no", F.array_join(F.transform("databases", database_text), "").alias("locks")
     )
-
-
-def _attribute_text(value):
-    from fleetscope.functions.semantics import escape_markup
-
-    return escape_markup(scrub_control(value))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetscope.functions import codes
 from fleetscope.functions.semantics import int_div
 from fleetscope.functions.waittext import PARALLEL_WAITS, is_lock_wait, keeps_resource, without_latch_note
 from fleetscope.keys import K, SK
@@ -154,6 +155,21 @@ def _equal(left: str, right: str, columns: list[str]) -> Column:
     return test
 
 
+# Session switches that are stored as 0 or 1.
+SWITCHES = [
+    "quoted_identifier", "arithabort", "ansi_null_dflt_on", "ansi_defaults", "ansi_warnings", "ansi_padding", "ansi_nulls",
+    "concat_null_yields_null",
+]
+
+
+def session_options(sessions: DataFrame) -> DataFrame:
+    """Session switches as ON and OFF and the isolation level by name; absent columns are left out."""
+    present = {c: codes.decode(F.col(c), codes.ON_OFF) for c in SWITCHES if c in sessions.columns}
+    if "transaction_isolation_level" in sessions.columns:
+        present["transaction_isolation_level"] = codes.decode(F.col("transaction_isolation_level"), codes.ISOLATION_LEVELS)
+    return sessions.withColumns(present)
+
+
 def memory_grant_chain(
     sessions: DataFrame, grants: DataFrame, semaphores: DataFrame, groups: DataFrame, pools: DataFrame
 ) -> DataFrame:

@@ -33,13 +33,13 @@ def temp_space(files: DataFrame) -> DataFrame:
     mb = F.lit(" MB")
     return files.select(
         "server_id", F.lit("TempDB").alias("database_name"), F.col("logical_name").alias("logical_file_name"),
-        F.col("physical_name").alias("physical_file_name"),
-        whole_megabytes(size).alias("file_size_mb"), whole_megabytes(used).alias("space_used_mb"),
+        F.col("physical_name").alias("physical_file_name"), F.col("database_status").alias("status"),
+        "updateability", "recovery_mode", whole_megabytes(size).alias("file_size_mb"), whole_megabytes(used).alias("space_used_mb"),
         int_div(size - used, 128).alias("free_space_mb"),
         F.concat((share * 100).cast("decimal(8,3)").cast("string"), F.lit("%")).alias("free_space_pct"),
         F.when(F.col("max_size_pages") == -1, "Unlimited")
         .otherwise(F.concat(int_div(F.col("max_size_pages"), 128).cast("string"), mb)).alias("max_size"),
-        F.when(bit_set(F.col("status"), PERCENT_GROWTH), F.concat(F.col("growth").cast("string"), F.lit("%")))
+        F.when(bit_set(F.col("file_flags"), PERCENT_GROWTH), F.concat(F.col("growth").cast("string"), F.lit("%")))
         .otherwise(F.concat(int_div(F.col("growth"), 128).cast("string"), mb)).alias("growth"),
         F.col("collection_time").alias("poll_date"),
     )

@@ -9,7 +9,7 @@ from fleetscope.functions.locktext import block_info, metadata_schema_id
 from fleetscope.functions.semantics import int_div
 from fleetscope.functions.waittext import is_lock_wait, wait_detail, wait_group_text, without_latch_note
 from fleetscope.keys import K, SK
-from fleetscope.operators.ranking import null_safe_join, number_rows, spread_group_value
+from fleetscope.operators.ranking import best_row, null_safe_join, number_rows, spread_group_value
 
 RUNNABLE = "RUNNABLE"
 _TOTALS = ["physical_io", "context_switches", "thread_cpu", "tasks"]
@@ -45,8 +45,6 @@ def session_waits(waiting_tasks: DataFrame, sessions: DataFrame, databases: Data
     ``block_text`` is the resource of a lock wait whose blocker is also the session's
     own blocker.
     """
-    from fleetscope.operators.ranking import best_row
-
     first = best_row(sessions, [*K, "session_id"], [F.col("request_id"), F.col("blocked")], ["blocked", "wait_type"])
     first = first.withColumnsRenamed({"blocked": "_blocked", "wait_type": "_session_wait"})
     joined = waiting_tasks.join(first, [*K, "session_id"]).filter(

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetscope.functions import codes
 from fleetscope.operators import filters, jobs, replicas, space, usage
 from fleetscope.operators.retention import RETENTION_DAYS, purge_history
+from fleetscope.schemas import HISTORY
+from fleetscope.sinks.history import append_history, purge_days
 from fleetscope.sources.cpu_records import parse_cpu_records
 
 
+def store(spark: SparkSession, rows: DataFrame, path: str, table: str, time: str, now: datetime) -> list[date]:
+    """Append a poll to its history table, then drop the days that have left the retention."""
+    append_history(rows, path, HISTORY[table], time)
+    return purge_days(spark, path, now, RETENTION_DAYS[table])
+
+
 def cpu_history(records: DataFrame, clock: DataFrame, history: DataFrame, count: int = 15, minutes: int = 15) -> DataFrame:
     """CPU records to append: fresh, not stored yet, the newest ``count`` per server."""
     parsed = parse_cpu_records(records, clock, minutes)

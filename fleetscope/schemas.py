@@ -54,7 +54,7 @@ TELEMETRY: dict[str, T.StructType] = {
         "replica_states": "database_id bigint, group_id bigint, is_local boolean, role string, synchronization_state string, "
         "synchronization_health string, database_state string",
         "db_files": "database_name string, logical_name string, file_type string, filegroup_name string, physical_name string, "
-        "size_pages bigint, used_pages bigint, max_size_pages bigint, growth bigint, status bigint",
+        "size_pages bigint, used_pages bigint, max_size_pages bigint, growth bigint, file_flags bigint, database_status string, updateability string, recovery_mode string",
         "error_events": "event_id bigint, severity bigint, error_number bigint, message string, event_time timestamp",
         "snapshots": "session_id bigint, request_id bigint, last_request_start_time timestamp, physical_io bigint, reads bigint, "
         "physical_reads bigint, writes bigint, tempdb_allocations bigint, tempdb_current bigint, context_switches bigint, "

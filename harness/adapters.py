@@ -447,7 +447,8 @@ SELECT l_suppkey % 8 AS server_id, TIMESTAMP '2024-01-31 00:00:00' AS collection
        CAST(l_quantity AS BIGINT) * 1280 + l_partkey % 128 AS size_pages,
        CAST(FLOOR((CAST(l_quantity AS BIGINT) * 1280 + l_partkey % 128) * (10 - l_linenumber) / 10) AS BIGINT) AS used_pages,
        CASE WHEN l_linestatus = 'O' THEN -1 ELSE CAST(l_quantity AS BIGINT) * 12800 END AS max_size_pages,
-       l_partkey % 1000 AS growth, CASE WHEN l_suppkey % 3 = 0 THEN 1048578 ELSE 2 END AS status
+       l_partkey % 1000 AS growth, CASE WHEN l_suppkey % 3 = 0 THEN 1048578 ELSE 2 END AS file_flags,
+       'ONLINE' AS database_status, CASE WHEN l_linestatus = 'O' THEN 'READ_WRITE' ELSE 'READ_ONLY' END AS updateability, 'SIMPLE' AS recovery_mode
 FROM lineitem
 """
 ADAPTERS["fx_errors"] = """

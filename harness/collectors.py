@@ -320,13 +320,29 @@ def _(v):
     return rows.withColumns({c: F.col(c).cast("double") for c in ("space_mb", "free_space_mb")})
 
 
+@query("space_history", """
+SELECT server_id, collection_time AS poll_date, database_name, logical_name, physical_name AS physical_file_location, used_pages // 128 AS used_space_mb,
+       ((size_pages * 200 + 128) // 256) / 100 AS space_mb
+FROM fx_files
+""")
+def _(v):
+    path = scratch_path(v.spark, "space")
+    rows = collectors.space_tracking(v("fx_files"))
+    # A poll of a year and a day ago leaves with this one.
+    old = rows.withColumn("poll_date", F.col("poll_date") - F.expr("interval 366 days"))
+    history.append_history(old, path, HISTORY["space"], "poll_date")
+    collectors.store(v.spark, rows, path, "space", "poll_date", NOW)
+    stored = history.read_history(v.spark, path, HISTORY["space"]).withColumn("space_mb", F.col("space_mb").cast("double"))
+    return stored.select("server_id", "poll_date", "database_name", "logical_name", "physical_file_location", "used_space_mb", "space_mb")
+
+
 _TEMP_SQL = """
 temp AS (
-  SELECT server_id, 'TempDB' AS database_name, logical_name AS logical_file_name, physical_name AS physical_file_name,
+  SELECT server_id, 'TempDB' AS database_name, logical_name AS logical_file_name, physical_name AS physical_file_name, database_status AS status, updateability, recovery_mode,
          size_pages // 128 AS file_size_mb, used_pages // 128 AS space_used_mb, (size_pages - used_pages) // 128 AS free_space_mb,
          ((size_pages - used_pages) * 2000 + size_pages) // (2 * size_pages) AS thousandths,
          CASE WHEN max_size_pages = -1 THEN 'Unlimited' ELSE CAST(max_size_pages // 128 AS STRING) || ' MB' END AS max_size,
-         CASE WHEN status >= 1048576 THEN CAST(growth AS STRING) || '%' ELSE CAST(growth // 128 AS STRING) || ' MB' END AS growth, collection_time AS poll_date
+         CASE WHEN file_flags >= 1048576 THEN CAST(growth AS STRING) || '%' ELSE CAST(growth // 128 AS STRING) || ' MB' END AS growth, collection_time AS poll_date
   FROM fx_files)
 """
 

@@ -243,6 +243,18 @@ def _(v):
     return sessions.average_runtime(shaped, v("fx_query_stats")).select(*SK, "avg_elapsed_ms")
 
 
+@query("session_options", """
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'OFF' WHEN 1 THEN 'ON' END AS quoted_identifier, CASE WHEN user_id % 2 = 0 THEN 'OFF' ELSE 'ON' END AS arithabort,
+       CASE event_id % 7 WHEN 0 THEN 'Unspecified' WHEN 1 THEN 'ReadUncomitted' WHEN 2 THEN 'ReadCommitted' WHEN 3 THEN 'Repeatable' WHEN 4 THEN 'Serializable' WHEN 5 THEN 'Snapshot' END AS transaction_isolation_level
+FROM events
+""")
+def _(v):
+    return sessions.session_options(v("events").select(
+        "event_id", (F.col("event_id") % 3).alias("quoted_identifier"), (F.col("user_id") % 2).alias("arithabort"),
+        (F.col("event_id") % 7).alias("transaction_isolation_level"),
+    ))
+
+
 @query("top1_lookup", """
 SELECT t.server_id, t.collection_time, t.task_address, t.session_id, s.request_start
 FROM fx_tasks t JOIN (

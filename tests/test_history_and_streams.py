@@ -96,8 +96,8 @@ def test_report_pages_keep_all_rows_and_banding(frame, limit):
 
 def test_space_texts(frame):
     from fleetscope.operators import space
-    columns = "server_id int, collection_time timestamp, database_name string, logical_name string, file_type string, filegroup_name string, physical_name string, size_pages bigint, used_pages bigint, max_size_pages bigint, growth bigint, status bigint"
-    df = frame(columns, [(1, NOW, "d", "f", "ROWS", "P", "x", 1000, 13, -1, 10, 0x100002), (1, NOW, "d", "g", "LOG", None, "y", 128, 128, 1280, 256, 2)])
+    columns = "server_id int, collection_time timestamp, database_name string, logical_name string, file_type string, filegroup_name string, physical_name string, size_pages bigint, used_pages bigint, max_size_pages bigint, growth bigint, file_flags bigint, database_status string, updateability string, recovery_mode string"
+    df = frame(columns, [(1, NOW, "d", "f", "ROWS", "P", "x", 1000, 13, -1, 10, 0x100002, "ONLINE", "READ_WRITE", "SIMPLE"), (1, NOW, "d", "g", "LOG", None, "y", 128, 128, 1280, 256, 2, "ONLINE", "READ_WRITE", "SIMPLE")])
     a, b = sorted(space.temp_space(df).collect(), key=lambda r: r.logical_file_name)
     assert (a.free_space_pct, a.max_size, a.growth, a.file_size_mb, a.free_space_mb) == ("98.700%", "Unlimited", "10%", 7, 7)
     assert (b.free_space_pct, b.max_size, b.growth) == ("0.000%", "10 MB", "2 MB")
