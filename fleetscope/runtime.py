@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,16 +37,19 @@ def build_session(app: str = "fleetscope", master: str | None = None, **conf: st
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts; a private one only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
+
+    Where none is set, a session that runs in one process (tests, a laptop) gets a folder of
+    its own; a cluster gets an error, because each machine would write to its own disk.
+    """
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    folder = tempfile.mkdtemp(prefix="fleetscope-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
