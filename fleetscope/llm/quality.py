@@ -109,48 +109,49 @@ def votes(m: str = "m") -> list[Column]:
 
 
 Rates = list[dict[int, tuple[float, float]]]
-"""Per rule and vote (1, -1, 0): how often good and bad documents get it."""
+"""Per rule and vote (1, -1): how often good and bad documents get it, of those that get a vote."""
 
-_START = {1: (0.90, 0.64), -1: (0.003, 0.30), 0: (0.097, 0.06)}
+_START = {1: (0.997, 0.70), -1: (0.003, 0.30)}
+_STRENGTH = (10.0, 0.05)
 
 
 def log_odds(names: list[str], prior: float, rates: Rates) -> Column:
-    """Log odds of "good" from the votes in columns ``names``."""
+    """Log odds of "good" from the votes in columns ``names``; who abstains says nothing."""
     total = F.lit(log(prior / (1 - prior)))
     for name, rate in zip(names, rates):
-        steps = [log(rate[v][0] / rate[v][1]) for v in (1, -1, 0)]
-        total = total + F.when(F.col(name) == 1, steps[0]).when(F.col(name) == -1, steps[1]).otherwise(steps[2])
+        good, bad = (log(rate[v][0] / rate[v][1]) for v in (1, -1))
+        total = total + F.when(F.col(name) == 1, good).when(F.col(name) == -1, bad).otherwise(0.0)
     return total
 
 
-def fit(counts: DataFrame, names: list[str], rounds: int = 25, strength: float = 0.01) -> tuple[float, Rates]:
+def fit(counts: DataFrame, names: list[str], rounds: int = 25) -> tuple[float, Rates]:
     """(share of good documents, rates) from (vote pattern, n).
 
-    A rule's accuracy is the pair of its rates: how seldom it blames good documents and how
-    often it finds bad ones. Defects exclude each other more often than not, so a rule may
-    well miss most bad documents; only a rate per class lets one sure vote outweigh rules
-    that saw nothing. Counts worth ``strength`` of the corpus hold the rates near their
-    start, which fixes what "good" means. An empty corpus returns the start.
+    A rule's accuracy is a pair: how seldom it blames good documents and how often it finds
+    bad ones. Defects seldom come together, so a rule may well miss most bad documents, and
+    one sure vote must outweigh rules that saw nothing. The rates start at, and are held by
+    pseudo-counts near, rules that rarely blame good documents: firmly for good documents
+    (``_STRENGTH[0]`` times the corpus), loosely for bad ones. That fixes what "good" means,
+    at every size alike. An empty corpus returns the start.
     """
     prior, rates = 0.8, [dict(_START) for _ in names]
     total = counts.agg(F.sum("n")).first()[0] or 0
+    extra = [x * total for x in _STRENGTH]
     for _ in range(rounds if total else 0):
         p = 1 / (1 + F.exp(-log_odds(names, prior, rates)))
-        good = counts.withColumn("g", F.col("n") * p).withColumn("b", F.col("n") * (1 - p))
-        sums = good.agg(F.sum("g"), *[
-            F.sum(F.when(F.col(v) == vote, F.col(w)).otherwise(0.0)) for v in names for vote in (1, -1, 0) for w in ("g", "b")
+        weighted = counts.withColumn("g", F.col("n") * p).withColumn("b", F.col("n") * (1 - p))
+        sums = weighted.agg(F.sum("g"), *[
+            F.sum(F.when(F.col(v) == vote, F.col(w)).otherwise(0.0)) for v in names for vote in (1, -1) for w in ("g", "b")
         ]).first()
-        extra, found = strength * total, []
+        found = []
         for k in range(len(names)):
-            own = sums[1 + 6 * k : 7 + 6 * k]
+            own = sums[1 + 4 * k : 5 + 4 * k]
             found.append({
-                vote: tuple(
-                    (own[2 * j + c] + extra * _START[vote][c]) / (own[c] + own[2 + c] + own[4 + c] + extra) for c in (0, 1)
-                )
-                for j, vote in enumerate((1, -1, 0))
+                vote: tuple((own[2 * j + c] + extra[c] * _START[vote][c]) / (own[c] + own[2 + c] + extra[c]) for c in (0, 1))
+                for j, vote in enumerate((1, -1))
             })
         moved = max(abs(x - y) for a, b in zip(found, rates) for v in a for x, y in zip(a[v], b[v]))
-        prior, rates = (sums[0] + 0.8 * extra) / (total + extra), found
+        prior, rates = (sums[0] + 0.8 * extra[1]) / (total + extra[1]), found
         if moved < 1e-4:
             break
     return prior, rates

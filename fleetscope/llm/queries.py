@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import quality, secrets, simhash
+from fleetscope.llm import packing, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words",
         quality.base_failed().alias("base_failed"), "kept", "p_good",
     )
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pieces(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2, size=1024)
+    return packing.pack(found, 1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
