@@ -77,7 +77,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, keep_ids: bo
 class Plan:
     """Runs (length, rank, n, sequence, offset); ``sequences`` is their number."""
 
-    def __init__(self, counts: dict[int, int], size: int, groups: int = 200, small: int = 8):
+    def __init__(self, counts: dict[int, int], size: int, groups: int = 400, small: int = 4):
         self.size, self.runs, self.sequences = size, [], 0
         self._used: dict[int, int] = defaultdict(int)
         self._room: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -111,7 +111,10 @@ class Plan:
                         streams.append([])
                     left = each
                 take = min(n, left)
-                streams[-1].append([length, take])
+                if streams[-1] and streams[-1][-1][0] == length:
+                    streams[-1][-1][1] += take
+                else:
+                    streams[-1].append([length, take])
                 n, left = n - take, left - take
         demand = [sum(n for _, n in s) for s in streams]
         while any(demand):
@@ -209,7 +212,7 @@ def _numbered(found: DataFrame, counts: dict[int, int], size: int) -> DataFrame:
     return ranked.join(shifts, ["length", "slice"]).withColumn("rank", F.col("shift") + F.col("place") - 1).drop("slice", "shift", "place")
 
 
-def pack(found: DataFrame, size: int, groups: int = 200) -> DataFrame:
+def pack(found: DataFrame, size: int, groups: int = 400) -> DataFrame:
     """``found`` (doc_id, piece, length, ids_crc32, ..., each length 1 to ``size``) with ``sequence_id`` and ``offset``.
 
     The plan (at most ``size`` counts in, some tens of thousands of runs out, however many

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import packing, quality, secrets, simhash
+from fleetscope.llm import chunking, mixing, packing, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.pieces(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2, size=1024)
     return packing.pack(found, 1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op2_source_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.plan(table(spark, sf_dir, "documents"), weight=lambda k, _: k % 3 + 1)
+    return mix.rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_document_fingerprints")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.compare_with_next(table(spark, sf_dir, "documents"))
