@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import chunking, mixing, packing, quality, secrets, simhash
+from fleetscope.llm import chunking, hpylm, mixing, packing, quality, secrets, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,25 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_document_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+# The rules of the contract.
+URL_RULES = [
+    urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow"),
+    urls.Rule("example.com", "/de/", "block"), urls.Rule("org", "/fr/", "allow"),
+]
+
+
+@query("op4_url_filter")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = urls.with_parts(table(spark, sf_dir, "pages").select("page_id", "url")).withColumn("match", urls.matching_rule(URL_RULES))
+    # Labels: what the rules block, against all other URLs, of which most are wanted.
+    labelled = parts.withColumn("label", F.coalesce(F.col("match.action") == "block", F.lit(False)).cast("double"))
+    judged = urls.verdicts(parts, urls.train(labelled))
+    verdict = F.coalesce("match.action", F.when(F.col("block"), "block").otherwise("allow"))
+    return judged.select("page_id", "host", "path", F.col("match.name").alias("rule"), verdict.alias("verdict"))
+
+
+@query("op8_language_model_scores")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(table(spark, sf_dir, "documents"))
