@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import chunking, hpylm, mixing, packing, quality, secrets, simhash, urls
+from fleetscope.llm import chunking, fmindex, hpylm, mixing, packing, quality, secrets, simhash, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_language_model_scores")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hpylm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.remove_repeats(table(spark, sf_dir, "documents"), window=35).drop("kept")
+
+
+@query("op7_suffix_array_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_copied(table(spark, sf_dir, "documents"), window=50).drop("kept")
