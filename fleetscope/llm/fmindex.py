@@ -150,6 +150,5 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFram
         made = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
         return made.astype({"doc_id": object})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string"
+    schema = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
     return found_windows(docs, search(window, gram), finish, schema)

@@ -159,7 +159,10 @@ def write_order(docs: DataFrame, mix: Mix) -> DataFrame:
     rows = mix.rows.where("size > 0").join(draws, ["number", "block"])
     keep = (F.row_number().over(W.partitionBy("doc_id", "source", "block").orderBy("epoch")) <= F.col("whole") + F.col("part"))
     drawn = rows.dropDuplicates(["doc_id", "source", "epoch"]).withColumn("__keep", keep).where("__keep")
-    drawn = drawn.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "shard", "epoch", "hash")
+    drawn = drawn.select(
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("shard").alias("__shard"),
+        F.xxhash64("hash", "epoch", "shard").alias("__order"),
+    )
     same = docs["doc_id"].eqNullSafe(drawn["__id"]) & docs["source"].cast("string").eqNullSafe(drawn["__source"])
-    mixed = docs.join(drawn, same).withColumn("__order", F.xxhash64("hash", "epoch", "shard"))
-    return mixed.repartitionByRange(mix.shards, "shard").sortWithinPartitions("shard", "__order").select(*names)
+    mixed = docs.join(drawn, same)
+    return mixed.repartitionByRange(mix.shards, "__shard").sortWithinPartitions("__shard", "__order").select(*[docs[c] for c in names])

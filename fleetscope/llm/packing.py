@@ -27,7 +27,7 @@ from fleetscope.llm.tokens import encoder
 from fleetscope.runtime import cut_lineage
 
 ENCODE_BYTES = 10 << 20
-SLICE_ROWS = 4096
+SLICE_ROWS = 1024
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, keep_ids: bool = False) -> DataFrame:
@@ -199,7 +199,7 @@ class Plan:
 
 
 def _numbered(found: DataFrame, counts: dict[int, int], size: int) -> DataFrame:
-    """``found`` with ``rank``, from 0 within each length. A length is numbered in slices of a few thousand rows."""
+    """``found`` with ``rank``, from 0 within each length. A length is numbered in slices of about a thousand rows."""
     slices = F.array(*[F.lit(max(1, counts.get(k, 0) // SLICE_ROWS)) for k in range(1, size + 1)])
     cut = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(slices, F.col("length").cast("int")))
     sliced = found.withColumn("slice", cut)

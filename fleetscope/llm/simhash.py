@@ -240,3 +240,17 @@ def classes(prints: DataFrame, radius: int = 3, parts: int = 2) -> DataFrame:
 
 def fingerprint_text(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, radius: int = 5, parts: int = 3, seed: int = 42) -> DataFrame:
+    """``docs`` with one row of each class of near-duplicates, the one with the smallest doc_id; columns stay.
+
+    Of rows that share that doc_id one stays. Null doc_ids stay only where a class has no other.
+    """
+    found = classes(fingerprints(docs, width, seed), radius, parts)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = cut_lineage(kept.select(F.col("doc_id").alias("__kept"), "n"))
+    same = F.col("doc_id").eqNullSafe(F.col("__kept"))
+    single = docs.join(kept.where("n = 1"), same, "left_semi")
+    several = docs.join(kept.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(several)

@@ -95,3 +95,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
+
+
+def id_bytes(column: pa.Array) -> tuple[bytes, bytes]:
+    """Integer ids as bytes, and which of them are null (pandas would turn both into floats)."""
+    return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), column.is_null().to_numpy(zero_copy_only=False).tobytes()
+
+
+def ids_of(values: bytes, nulls: bytes) -> list[int | None]:
+    return [None if n else x for x, n in zip(np.frombuffer(values, np.int64).tolist(), np.frombuffer(nulls, bool).tolist())]

@@ -103,6 +103,5 @@ def remove_copied(docs: DataFrame, window: int = 50, gram: int = 18) -> DataFram
         made = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
         return made.astype({"doc_id": object})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
     return found_windows(docs, search(window, gram), finish, schema)

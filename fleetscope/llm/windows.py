@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.llm.spans import _LETTERS, _powers, blocks, mix, span_hashes, text_bytes, word_spans
+from fleetscope.llm.spans import _LETTERS, _powers, blocks, id_bytes, ids_of, mix, span_hashes, text_bytes, word_spans
 from fleetscope.runtime import cut_lineage
 
 CHUNK_BYTES = 12 << 20
@@ -151,25 +151,26 @@ class Chunk:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, ids, n, sizes, text) frozen; null texts are empty."""
+    """(chunk, ids, nulls, n, sizes, text) frozen; doc_id is an integer, null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for a, b in blocks(offsets, CHUNK_BYTES):
+                ids, nulls = id_bytes(batch.column(0).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([batch.column(0).slice(a, b - a).to_pylist()], pa.list_(batch.column(0).type)), pa.array([b - a]),
+                    pa.array([ids]), pa.array([nulls]), pa.array([b - a]),
                     pa.array([packed(np.diff(offsets[a : b + 1]))]), pa.array([packed(data[offsets[a] : offsets[b]])]),
-                ], ["ids", "n", "sizes", "text"])
+                ], ["ids", "nulls", "n", "sizes", "text"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"ids array<{kind}>, n long, sizes binary, text binary")
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    made = own.mapInArrow(run, "ids binary, nulls binary, n long, sizes binary, text binary")
     return cut_lineage(made.select(F.monotonically_increasing_id().alias("chunk"), "*"))
 
 
 def _chunk(r) -> Chunk:
     offsets = np.r_[0, np.cumsum(unpacked(r["sizes"], "i8", r["n"]))]
-    return Chunk(list(r["ids"]), unpacked(r["text"], "u1", offsets[-1]), offsets)
+    return Chunk(ids_of(r["ids"], r["nulls"]), unpacked(r["text"], "u1", offsets[-1]), offsets)
 
 
 def _anchor_asks(search: Search, buckets: int):
