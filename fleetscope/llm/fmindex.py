@@ -138,7 +138,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 8) -> DataFram
     """
 
     def finish(chunk: Chunk, units: Units, row: np.ndarray, start: np.ndarray, said: np.ndarray) -> pd.DataFrame:
-        gone = covered(len(units.starts), start[said], window)
+        gone = covered(len(units.letters), start[said], window)
         text, out = chunk.data.tobytes(), []
         for k in range(len(chunk.ids)):
             a, b = units.offsets[k], units.offsets[k + 1]

@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from fleetscope.llm.spans import _LETTERS, _powers, blocks, id_bytes, ids_of, mix, span_hashes, text_bytes, word_spans
 from fleetscope.runtime import cut_lineage
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 4 << 20
+BUCKETS_PER_PARTITION = 4
+"""More, smaller buckets than shuffle partitions: a task holds one at a time."""
 RUN_BLOCK = 1 << 18
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -45,12 +47,16 @@ def unpacked(data: bytes, kind: str, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Units:
-    """Units of several texts: hash values, where each text's begin, and their bytes' places."""
+    """Units of several texts: hash values, where each text's begin, and their bytes' places (None for bytes)."""
 
     letters: np.ndarray
     offsets: np.ndarray
-    starts: np.ndarray
-    ends: np.ndarray
+    starts: np.ndarray | None = None
+    ends: np.ndarray | None = None
+
+    def bytes_between(self, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte ranges of the units from ``first`` up to before ``stop``."""
+        return (first, stop) if self.starts is None else (self.starts[first], self.ends[stop - 1])
 
 
 @dataclass(frozen=True)
@@ -66,8 +72,7 @@ class Runs:
 
 def units_of(data: np.ndarray, offsets: np.ndarray, words: bool) -> Units:
     if not words:
-        at = np.arange(len(data))
-        return Units(_LETTERS[data], offsets, at, at + 1)
+        return Units(_LETTERS[data], offsets)
     letters, starts, ends, counts = [], [], [], []
     for a, b in blocks(offsets):
         part, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -231,7 +236,7 @@ def _segment_asks(search: Search, buckets: int):
         home = bucket_of(runs.anchor[at], buckets)
         order = np.argsort(home, kind="stable")
         names, at, times, least, home = names[order], at[order], times[order], least[order], home[order]
-        begin, stop = units.starts[runs.first[at]], units.ends[runs.first[at] + runs.count[at] + search.window - 2]
+        begin, stop = units.bytes_between(runs.first[at], runs.first[at] + runs.count[at] + search.window - 1)
         cut, rows, text = np.searchsorted(home, np.arange(buckets + 1)), [], chunk.data.tobytes()
         for k in range(buckets):
             i, j = cut[k], cut[k + 1]
@@ -293,7 +298,7 @@ def found_windows(docs: DataFrame, search: Search, finish: Callable[[Chunk, Unit
     which smallest doc_id, and returns one value per window. ``finish(chunk, units, row,
     start, said)`` gets the windows of a chunk that have a value: text, first unit, value.
     """
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunk = chunks(docs)
     asks = chunk.mapInArrow(_anchor_asks(search, buckets), "bucket int, chunk long, n long, high binary, low binary, twice binary")
     again = asks.groupBy("bucket").applyInPandas(_anchor_answers, "chunk long, bucket int, again binary")
