@@ -15,8 +15,6 @@ COOLDOWN_SECONDS = 60
 SEVERITY_RULES = range(16, 26)
 ERROR_RULES = (823, 824, 825)
 
-# Events of one unbroken run that a single row may hold; longer runs are chained in parallel.
-RUN_LIMIT = 200_000
 _KEY = ["server_id", "rule"]
 
 
@@ -42,73 +40,52 @@ def match_rules(events: DataFrame) -> DataFrame:
     return events.withColumn("rule", F.explode(F.array_compact(F.array(severity, error))))
 
 
-def cooldown_alerts(events: DataFrame, seconds: int = COOLDOWN_SECONDS, run_limit: int = RUN_LIMIT) -> DataFrame:
+def cooldown_alerts(events: DataFrame, seconds: int = COOLDOWN_SECONDS) -> DataFrame:
     """Alerts that fire: the first event of a rule, then the first at least ``seconds`` after the last fired."""
-    return fire_with_cooldown(match_rules(events), seconds, run_limit)
+    return fire_with_cooldown(match_rules(events), seconds)
 
 
-def fire_with_cooldown(events: DataFrame, seconds: int = COOLDOWN_SECONDS, run_limit: int = RUN_LIMIT) -> DataFrame:
+def fire_with_cooldown(events: DataFrame, seconds: int = COOLDOWN_SECONDS) -> DataFrame:
     """Cooldown over events that already carry their ``rule``.
 
     Whether an event fires depends on the one fired before it. Time is cut into windows
-    as long as the cooldown; of these the distinct times are folded first, and a pause of
-    one cooldown ends a run. Short runs are folded in one row each. A run of more than
-    ``run_limit`` distinct times is never gathered: each of its times points to the first time a
-    cooldown later, and the chain from the run's start is followed by pointer doubling.
+    as long as the cooldown, and a pause of one cooldown ends a run. A run is never
+    gathered: each of its times points to the first time a cooldown later, and the chain
+    from the run's start is followed by pointer doubling.
     """
     step = seconds * 1_000_000
     micros = F.unix_micros(F.col("event_time").cast("timestamp"))
     matched = events.withColumn("_t", micros).withColumn("_w", F.floor(micros / step))
     # Read several times below, and far smaller than the events: written once.
     times = cut_lineage(matched.select(*_KEY, "_w", "_t").distinct())
-    windows = times.groupBy(*_KEY, "_w").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    windows = times.groupBy(*_KEY, "_w").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
     # One row per rule and cooldown window from here on: bounded by the time span.
     in_order = Window.partitionBy(*_KEY).orderBy("_w")
     starts = F.coalesce(F.col("_first") - F.lag("_last").over(in_order) >= step, F.lit(True))
-    windows = windows.withColumn("_starts", starts).withColumn("_run", F.sum(F.col("_starts").cast("int")).over(in_order))
-    run = Window.partitionBy(*_KEY, "_run")
-    windows = windows.withColumn("_size", F.sum("_n").over(run)).withColumn("_next_first", F.lead("_first").over(run.orderBy("_w")))
-    placed = times.join(windows.select(*_KEY, "_w", "_run", "_size", "_starts", "_first", "_next_first"), [*_KEY, "_w"])
-    fired = _fold_runs(placed.filter(F.col("_size") <= run_limit), step)
-    long_runs = placed.filter(F.col("_size") > run_limit)
-    if not windows.filter(F.col("_size") > run_limit).isEmpty():
-        fired = fired.unionByName(_chain_runs(long_runs, step))
+    # Nothing late enough in the next window: the answer is the head of a later one, and heads are in order.
+    near = F.lead("_w").over(in_order) >= F.col("_w") + 2
+    head = F.when(near, F.lead("_first").over(in_order)).otherwise(F.lead("_first", 2).over(in_order))
+    windows = windows.withColumn("_starts", starts).withColumn("_head", head)
+    fired = _chain_runs(times.join(windows.select(*_KEY, "_w", "_starts", "_first", "_head"), [*_KEY, "_w"]), step)
     # Events of one instant: the lowest id speaks for them.
     payload = ["event_id", *[c for c in events.columns if c not in (*_KEY, "event_id")]]
     alerts = matched.join(fired, [*_KEY, "_t"])
     return best_row(alerts, [*_KEY, "_t"], [-F.col("event_id")], payload).drop("_t")
 
 
-def _fold_runs(placed: DataFrame, step: int) -> DataFrame:
-    ordered = placed.groupBy(*_KEY, "_run").agg(F.array_sort(F.collect_list("_t")).alias("_times"))
-
-    def keep(fired, t):
-        due = (F.size(fired) == 0) | (t - F.element_at(fired, -1) >= step)
-        return F.when(due, F.concat(fired, F.array(t))).otherwise(fired)
-
-    fired = F.aggregate("_times", F.array().cast("array<bigint>"), keep)
-    return ordered.select(*_KEY, F.explode(fired).alias("_t"))
-
-
 def _chain_runs(placed: DataFrame, step: int) -> DataFrame:
-    """Fired times of long runs by following ``first time a cooldown later`` pointers."""
-    ask = placed.select(*_KEY, (F.col("_w") + 1).alias("_w"), (F.col("_t") + step).alias("_at"), F.col("_t").alias("_from"))
-    have = placed.select(*_KEY, "_w", F.col("_t").alias("_at"), F.lit(None).cast("bigint").alias("_from"))
-    after = Window.partitionBy(*_KEY, "_w").orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    found = (
+    """Fired times by following ``first time a cooldown later`` pointers from the starts of runs."""
+    ask = placed.select(*_KEY, (F.col("_w") + 1).alias("_w"), (F.col("_t") + step).alias("_at"), F.col("_t").alias("_from"), "_head")
+    none = F.lit(None).cast("bigint")
+    have = placed.select(*_KEY, "_w", F.col("_t").alias("_at"), none.alias("_from"), none.alias("_head"))
+    # Latest first, so the least time at or after the one asked for is a running minimum.
+    after = Window.partitionBy(*_KEY, "_w").orderBy(F.col("_at").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    hops = (
         ask.unionByName(have)
         .withColumn("_next", F.min(F.when(F.col("_from").isNull(), F.col("_at"))).over(after))
-        .filter("_from is not null").select(*_KEY, F.col("_from").alias("_t"), "_next")
-    )
-    # Nothing late enough in the next window: the answer is the head of a later one.
-    heads = placed.select(*_KEY, "_w", "_first").distinct()
-    later = Window.partitionBy(*_KEY).orderBy("_w").rangeBetween(2, Window.unboundedFollowing)
-    heads = heads.withColumn("_head", F.min("_first").over(later)).select(*_KEY, "_w", "_head")
-    hops = (
-        placed.join(found, [*_KEY, "_t"]).join(heads, [*_KEY, "_w"])
-        .withColumn("_next", F.coalesce("_next", "_head"))
-        .select(*_KEY, "_run", "_t", "_next").filter("_next is not null")
+        .filter("_from is not null").select(*_KEY, F.col("_from").alias("_t"), F.coalesce("_next", "_head").alias("_next"))
+        .filter("_next is not null")
     )
-    # Pointers that leave the run lead to the next run's first time, which fires anyway.
+    # Pointers that leave a run lead to the next run's first time, which fires anyway.
     begin = placed.filter(F.col("_starts") & (F.col("_t") == F.col("_first"))).select(*_KEY, "_t")
-    return reachable(hops.select(*_KEY, "_t", "_next"), begin, _KEY, "_t", "_next")
+    return reachable(hops, begin, _KEY, "_t", "_next")

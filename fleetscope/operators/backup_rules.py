@@ -182,7 +182,7 @@ def stripe_numbers(decided: DataFrame, targets: DataFrame) -> DataFrame:
 
 def number_targets(targets: DataFrame) -> DataFrame:
     """Number the target directories of each server and mirror group; a policy lists at most 64."""
-    return number_rows(targets, ["server_id", "mirror"], [F.col("position"), F.col("path")], "directory_no", group_limit=None)
+    return number_rows(targets, ["server_id", "mirror"], [F.col("position"), F.col("path")], "directory_no", bounded=True)
 
 
 def backup_path_parts(decided: DataFrame, now: datetime, separator: str = "\\") -> DataFrame:

@@ -17,10 +17,6 @@ METRICS = [
 CPU_METRICS = ["cpu", "thread_cpu"]
 
 
-# Collections that may be sent to every task; more are joined by shuffle.
-BROADCAST_COLLECTIONS = 1_000_000
-
-
 def previous_collections(samples: DataFrame) -> DataFrame:
     """Each collection of a server with the ones before and after it.
 
@@ -77,8 +73,6 @@ def _cpu_delta() -> Column:
 
 def _paired(samples: DataFrame, metrics: Sequence[str]) -> DataFrame:
     collections = cut_lineage(previous_collections(samples).drop("previous_time"))
-    if collections.count() <= BROADCAST_COLLECTIONS:
-        collections = F.broadcast(collections)
     rest = [c for c in samples.columns if c not in SK]
     slots = F.array(
         F.struct(F.col("collection_time").alias("slot"), F.lit(True).alias("own")),

@@ -9,30 +9,16 @@ from pyspark.sql import functions as F
 
 from fleetscope.runtime import cut_lineage
 
-# Rows one task may sort for one group. Larger groups are numbered by range slices.
-GROUP_LIMIT = 5_000_000
-
-
-def largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    """Size of the biggest group: counted map-side, one number reaches the driver."""
-    row = df.groupBy(*group).count().agg(F.max("count")).first()
-    return row[0] or 0
-
-
 def number_rows(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "row_number",
-    group_limit: int | None = GROUP_LIMIT, sized_by: tuple[DataFrame, Sequence[str]] | None = None,
+    df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "row_number", bounded: bool = False
 ) -> DataFrame:
     """``row_number`` within ``group``; ``order`` must be total for a repeatable result.
 
-    Pass ``group_limit=None`` only where the group size has a fixed bound by
-    definition. Otherwise the largest group is measured first: up to the limit a plain
-    window is used, beyond it the rows are range-partitioned over (group, order), each
-    slice is numbered on its own and shifted by the rows of the slices before it.
-    ``sized_by`` names a cheaper relation and keys whose largest group is an upper bound,
-    so that a long plan need not run twice.
+    Rows are range-partitioned over (group, order), each slice is numbered on its own and
+    shifted by the rows of the slices before it, so a group may be of any size. Only
+    where the definition bounds a group (``bounded``) is a plain window used.
     """
-    if group_limit is None or largest_group(*(sized_by or (df, group))) <= group_limit:
+    if bounded:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     return _number_by_slices(df, group, order, name)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions.semantics import name_matches
 from fleetscope.functions.templates import file_system_name
-from fleetscope.operators.ranking import GROUP_LIMIT, number_rows
+from fleetscope.operators.ranking import number_rows
 from fleetscope.sources.selectors import expand_selectors, selector_array
 
 PARTS = {
@@ -128,11 +128,11 @@ def _sort_columns(names: Sequence[str]) -> list[Column]:
     return [F.col(n[1:]).desc_nulls_last() if n.startswith("-") else F.col(n).asc_nulls_first() for n in names]
 
 
-def plan_order(selected: DataFrame, order: str | Sequence[str] | None = None, by: Sequence[str] = ("server_id", "policy_id"), group_limit: int | None = GROUP_LIMIT, sized_by: tuple[DataFrame, Sequence[str]] | None = None) -> DataFrame:
+def plan_order(selected: DataFrame, order: str | Sequence[str] | None = None, by: Sequence[str] = ("server_id", "policy_id")) -> DataFrame:
     """Number the selected rows of each server and policy in working order.
 
     ``order`` names one of the database orders or lists columns (a leading ``-`` sorts
-    descending). ``sized_by`` is the inventory the rows were selected from, by server.
+    descending).
     """
     columns = DATABASE_ORDERS[order] if order is None or isinstance(order, str) else order
-    return number_rows(selected.filter("selected"), list(by), _sort_columns(columns), "plan_order", group_limit, sized_by)
+    return number_rows(selected.filter("selected"), list(by), _sort_columns(columns), "plan_order")

@@ -74,7 +74,7 @@ def transaction_log_usage(active_tx: DataFrame, db_tx: DataFrame, session_tx: Da
 def rank_transactions(usage: DataFrame) -> DataFrame:
     """Newest transaction first within each request; a server has a bounded number of databases."""
     order = [F.col("transaction_start_time").desc_nulls_last(), F.col("database_id").asc_nulls_first()]
-    return number_rows(usage, SK, order, "tran_rank", group_limit=None)
+    return number_rows(usage, SK, order, "tran_rank", bounded=True)
 
 
 def transaction_text(ranked: DataFrame) -> DataFrame:

@@ -106,10 +106,10 @@ def wait_profile(tasks: DataFrame, waits: DataFrame) -> DataFrame:
 def rank_waits(profile: DataFrame) -> DataFrame:
     """Order the waits of a request: blocked ones first, then by count, then by type.
 
-    A request has at most one row per wait type, a fixed list of the engine.
+    Wait types carry page, database and latch names, so a request may have any number.
     """
     order = [F.col("block_text").desc_nulls_last(), F.col("num_waits").desc_nulls_last(), F.col("wait_type").asc_nulls_first()]
-    return number_rows(profile, SK, order, "wait_rank", group_limit=None)
+    return number_rows(profile, SK, order, "wait_rank")
 
 
 def task_summary(ranked: DataFrame) -> DataFrame:

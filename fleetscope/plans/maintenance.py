@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.operators import backup_rules, checks, index_rules, selection
-from fleetscope.operators.ranking import GROUP_LIMIT
+from fleetscope.operators.ranking import null_safe_join
 
 
 def _selected(databases: DataFrame, policies: DataFrame) -> DataFrame:
@@ -17,7 +17,6 @@ def _selected(databases: DataFrame, policies: DataFrame) -> DataFrame:
 
 def backup_plan(
     databases: DataFrame, policies: DataFrame, backupset: DataFrame, now: datetime, order: str | None = None,
-    group_limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
     """Backup type, eligibility, size, files, paths and cleanup cut of each selected database."""
     chosen = _selected(databases, backup_rules.with_policy_defaults(policies))
@@ -25,7 +24,7 @@ def backup_plan(
     sized = backup_rules.backup_file_count(decided)
     latest = backup_rules.latest_restorable_backup(backupset, databases)
     planned = backup_rules.backup_path_parts(backup_rules.cleanup_cutoff(sized, latest, now), now)
-    return selection.plan_order(planned, order, group_limit=group_limit, sized_by=(databases, ["server_id"]))
+    return selection.plan_order(planned, order)
 
 
 def backup_files(plan: DataFrame, targets: DataFrame) -> DataFrame:
@@ -36,13 +35,12 @@ def backup_files(plan: DataFrame, targets: DataFrame) -> DataFrame:
 
 def integrity_plan(
     databases: DataFrame, policies: DataFrame, command_log: DataFrame, order: str | None = None,
-    group_limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
     """Check commands of each selected database, with the reason where none may run."""
     last = checks.last_success(command_log, "DBCC_CHECKDB").withColumnRenamed("database_name", "name")
     chosen = _selected(databases, policies).join(last, ["server_id", "name"], "left")
     planned = selection.plan_order(
-        checks.integrity_check_eligibility(chosen), order, group_limit=group_limit, sized_by=(databases, ["server_id"])
+        checks.integrity_check_eligibility(chosen), order
     )
     return checks.expand_check_commands(planned)
 
@@ -51,13 +49,14 @@ def index_decisions(indexes: DataFrame, policies: DataFrame, index_physical: Dat
     """Action and statistics update of each selected index.
 
     Policies carry the index list as ``spec``. Rows are selected before anything is
-    joined to them; inventory, fragmentation and statistics meet on their natural keys.
+    joined to them; inventory, fragmentation and statistics meet on their natural keys. A row
+    without partition number is a whole index and is judged by its worst partition and all pages.
     """
     at = ["server_id", "database_name", "object_id", "index_id"]
     chosen = selection.resolve_selection(indexes, index_rules.with_policy_defaults(policies), "indexes").filter("selected")
+    found = index_rules.whole_and_partition_fragmentation(index_rules.index_fragmentation(index_physical))
     measured = (
-        chosen.join(index_rules.partition_counts(indexes), at, "left")
-        .join(index_rules.index_fragmentation(index_physical), [*at, "partition_number"], "left")
+        null_safe_join(chosen.join(index_rules.partition_counts(indexes), at, "left"), found, [*at, "partition_number"], "left")
         .join(stats_props, ["server_id", "database_name", "object_id", "statistics_id"], "left")
     )
     decided = index_rules.index_action(index_rules.fragmentation_group(measured))
@@ -66,13 +65,10 @@ def index_decisions(indexes: DataFrame, policies: DataFrame, index_physical: Dat
 
 def index_plan(
     indexes: DataFrame, policies: DataFrame, index_physical: DataFrame, stats_props: DataFrame,
-    group_limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
     """Decisions per index, numbered in working order."""
     decided = index_decisions(indexes, policies, index_physical, stats_props)
-    return selection.plan_order(
-        decided, selection.INDEX_ORDER, group_limit=group_limit, sized_by=(indexes, ["server_id"])
-    )
+    return selection.plan_order(decided, selection.INDEX_ORDER)
 
 
 def command_report(command_log: DataFrame, lock_message_severity: int = 16) -> DataFrame:

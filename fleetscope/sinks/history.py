@@ -40,8 +40,10 @@ def append_by_name(df: DataFrame, table: str) -> None:
 
 
 def replace_day(df: DataFrame, path: str, time: str, day: date, partition: str = "audit_date") -> None:
-    """Load one day again: its folder is replaced, all others stay."""
+    """Load one day again: its folder is replaced, all others stay. Without rows for the day it goes."""
     only = df.filter((F.col(time) >= F.lit(day)) & (F.col(time) < F.lit(day + timedelta(days=1))))
+    if only.isEmpty():
+        return drop_days(df.sparkSession, path, [day], partition)
     _write(_dated(only, time, partition), path, "overwrite", partition)
 
 

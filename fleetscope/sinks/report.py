@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.functions.semantics import escape_markup, scrub_control
-from fleetscope.operators.ranking import GROUP_LIMIT, number_rows
+from fleetscope.operators.ranking import number_rows
 
 # Row banding and the mark of a missing value.
 BAND_COLOURS = ("#EEEDED", "#FFFFFF")
@@ -16,9 +16,9 @@ MISSING_STYLE = "color:#FF00FF;"
 PRESENT_STYLE = "color:black"
 
 
-def report_rows(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str], order: Sequence[Column], page_rows: int = 500, group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+def report_rows(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str], order: Sequence[Column], page_rows: int = 500) -> DataFrame:
     """Table rows as markup with their number, banding parity and page."""
-    numbered = number_rows(df, list(keys), list(order), "row_number", group_limit)
+    numbered = number_rows(df, list(keys), list(order), "row_number")
     parity = F.col("row_number") % 2
 
     def cell(name: str) -> Column:
@@ -33,12 +33,12 @@ def report_rows(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str],
     return numbered.select(*keys, "row_number", parity.alias("row_parity"), page.alias("page_no"), row.alias("row_markup"))
 
 
-def report_document(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str], order: Sequence[Column], heading: Column | None = None, page_rows: int = 500, group_limit: int | None = GROUP_LIMIT) -> DataFrame:
+def report_document(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str], order: Sequence[Column], heading: Column | None = None, page_rows: int = 500) -> DataFrame:
     """One HTML body per key and page of at most ``page_rows`` rows; no row is left out.
 
     ``columns`` maps column names to titles. Row banding runs on over the pages of a key.
     """
-    rows = report_rows(df, keys, columns, order, page_rows, group_limit)
+    rows = report_rows(df, keys, columns, order, page_rows)
     titles = "".join(f"<th>{title}</th>" for title in columns.values())
     lines = F.transform(F.array_sort(F.collect_list(F.struct("row_number", "row_markup"))), lambda r: r["row_markup"])
     pages = rows.groupBy(*keys, "page_no").agg(F.array_join(lines, "").alias("_rows"))

@@ -168,14 +168,14 @@ SELECT l_suppkey % 8 AS server_id, TIMESTAMP '2024-01-31 00:00:00' AS collection
 FROM lineitem
 """
 ADAPTERS["fx_lock_sessions"] = """
-SELECT s_suppkey % 8 AS server_id, TIMESTAMP '2024-01-31 00:00:00' AS collection_time, s_suppkey AS session_id,
+SELECT s_suppkey % 8 AS server_id, TIMESTAMP '2024-01-31 00:00:00' AS collection_time, CASE WHEN s_acctbal > 0 THEN s_suppkey ELSE -s_suppkey END AS session_id,
        CAST(0 AS BIGINT) AS request_id, TIMESTAMP '2024-01-30 23:00:00' + s_nationkey * INTERVAL '1' MINUTE AS start_time
-FROM supplier WHERE s_acctbal > 0
+FROM supplier
 """
 ADAPTERS["fx_objects"] = """
 SELECT DISTINCT l_suppkey % 8 AS server_id, 'db' || CAST(l_suppkey % 5 AS STRING) AS database_name,
-       p_partkey AS object_id, p_name || CAST(p_partkey AS STRING) AS name, p_size % 7 AS schema_id
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand <> 'Brand#13'
+       CASE WHEN p_brand <> 'Brand#13' THEN p_partkey ELSE -p_partkey END AS object_id, p_name || CAST(p_partkey AS STRING) AS name, p_size % 7 AS schema_id
+FROM lineitem JOIN part ON l_partkey = p_partkey
 """
 ADAPTERS["fx_catalog_indexes"] = """
 SELECT DISTINCT l_suppkey % 8 AS server_id, 'db' || CAST(l_suppkey % 5 AS STRING) AS database_name,
@@ -221,8 +221,8 @@ FROM lineitem GROUP BY l_orderkey, l_suppkey % 25
 """
 ADAPTERS["fx_session_tx"] = """
 SELECT o_orderkey % 8 AS server_id, TIMESTAMP '2001-06-01 00:00:00' AS collection_time, o_orderkey AS transaction_id,
-       o_custkey AS session_id
-FROM orders WHERE o_orderstatus <> 'F'
+       CASE WHEN o_orderstatus <> 'F' THEN o_custkey ELSE -o_custkey END AS session_id
+FROM orders
 """
 ADAPTERS["fx_tx_sessions"] = """
 SELECT o_orderkey % 8 AS server_id, TIMESTAMP '2001-06-01 00:00:00' AS collection_time, o_custkey AS session_id,
@@ -299,8 +299,8 @@ SELECT server_id, n_nationkey AS schedule_id, 'Schedule ' || n_name AS name,
 FROM fx_job_dims
 """
 ADAPTERS["fx_job_schedules"] = """
-SELECT p_partkey % 8 AS server_id, 'job' || CAST(p_partkey AS STRING) AS job_id, p_size % 25 AS schedule_id
-FROM part WHERE p_brand <> 'Brand#13'
+SELECT p_partkey % 8 AS server_id, CASE WHEN p_brand <> 'Brand#13' THEN 'job' ELSE 'other' END || CAST(p_partkey AS STRING) AS job_id, p_size % 25 AS schedule_id
+FROM part
 """
 ADAPTERS["fx_job_view"] = """
 SELECT j.server_id, j.job_id, j.name AS job_name, o.n_name AS job_owner, 'category' || CAST(c.n_regionkey AS STRING) AS job_category,
@@ -358,13 +358,14 @@ SELECT c_custkey % 8 AS server_id, TIMESTAMP '2024-01-31 00:00:00' AS collection
 FROM customer
 """
 ADAPTERS["fx_replica_states"] = """
-SELECT c_custkey % 8 AS server_id, TIMESTAMP '2024-01-31 00:00:00' AS collection_time, c_custkey AS database_id,
+SELECT c_custkey % 8 AS server_id, TIMESTAMP '2024-01-31 00:00:00' AS collection_time,
+       CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_custkey ELSE -c_custkey END AS database_id,
        c_custkey % 8 AS group_id, c_nationkey <> 20 AS is_local,
        CASE WHEN c_custkey % 8 < 3 THEN 'PRIMARY' ELSE 'SECONDARY' END AS role,
        CASE c_nationkey % 4 WHEN 0 THEN 'SYNCHRONIZING' ELSE 'SYNCHRONIZED' END AS synchronization_state,
        CASE c_nationkey % 6 WHEN 0 THEN 'PARTIALLY_HEALTHY' WHEN 1 THEN 'NOT_HEALTHY' ELSE 'HEALTHY' END AS synchronization_health,
        CASE c_mktsegment WHEN 'BUILDING' THEN 'OFFLINE' ELSE 'ONLINE' END AS database_state
-FROM customer WHERE c_mktsegment <> 'MACHINERY'
+FROM customer
 """
 ADAPTERS["fx_groups"] = """
 SELECT DISTINCT c_custkey % 8 AS server_id, c_custkey % 8 AS group_id, 'ag' || CAST(c_custkey % 8 % 3 AS STRING) AS name FROM customer
@@ -410,6 +411,11 @@ SELECT l_partkey % 8 AS server_id, 'db' || CAST(l_partkey % 5 AS STRING) AS data
        l_suppkey % 3 + 1 AS partition_number
 FROM lineitem JOIN part ON l_partkey = p_partkey
 GROUP BY l_partkey, l_linenumber, p_size, l_suppkey % 3
+UNION ALL
+SELECT p_partkey % 8, 'db' || CAST(p_partkey % 5 AS STRING), 'schema' || CAST(p_size % 3 AS STRING), 'part' || CAST(p_partkey AS STRING), p_partkey,
+       CAST(1 + p_partkey % 7 AS BIGINT), 'whole', CAST(1 + p_partkey % 5 AS INT), p_partkey % 9 <> 0, p_size % 11 = 0, p_size % 5 = 0, p_size % 13 = 0,
+       p_size % 17 = 0, p_size % 19 = 0, p_size % 23 = 0, FALSE, CAST(1 + p_partkey % 7 AS BIGINT), 'whole', p_size % 2 = 0, CAST(NULL AS BIGINT)
+FROM part
 """
 ADAPTERS["fx_index_physical"] = """
 SELECT l_partkey % 8 AS server_id, 'db' || CAST(l_partkey % 5 AS STRING) AS database_name, l_partkey AS object_id,

@@ -425,7 +425,7 @@ FROM fx_replica_states
 """)
 def _(v):
     # A small limit sends every server through the sliced numbering.
-    rows = report.report_rows(v("fx_replica_states"), ["server_id"], {"database_id": "Id"}, [F.col("database_id")], group_limit=20)
+    rows = report.report_rows(v("fx_replica_states"), ["server_id"], {"database_id": "Id"}, [F.col("database_id")])
     return rows.select("server_id", *[F.col(c).cast("bigint").alias(c) for c in ("row_number", "row_parity")])
 
 
@@ -551,7 +551,7 @@ SELECT server_id, logical_name, database_name, row_number() OVER (PARTITION BY s
 """)
 def _(v):
     order = [F.col("size_pages").desc(), F.col("logical_name"), F.col("physical_name"), F.col("database_name")]
-    rows = ranking.number_rows(v("fx_files"), ["server_id"], order, "position", group_limit=1000)
+    rows = ranking.number_rows(v("fx_files"), ["server_id"], order, "position")
     return rows.select("server_id", "logical_name", "database_name", F.col("position").cast("bigint").alias("position"))
 
 

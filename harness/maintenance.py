@@ -375,6 +375,8 @@ def _(v):
 _FRAG_SQL = """
 frag AS (SELECT server_id, database_name, object_id, index_id, partition_number, max(fragmentation) AS fragmentation, CAST(sum(page_count) AS BIGINT) AS page_count
          FROM fx_index_physical WHERE alloc_unit_type = 'IN_ROW_DATA' AND index_level = 0 GROUP BY ALL),
+every_frag AS (SELECT * FROM frag UNION ALL
+  SELECT server_id, database_name, object_id, index_id, NULL, max(fragmentation), CAST(sum(page_count) AS BIGINT) FROM frag GROUP BY ALL),
 counts AS (SELECT server_id, database_name, object_id, index_id, count(DISTINCT partition_number) AS partition_count FROM fx_indexes GROUP BY ALL),
 policies AS (
   SELECT * REPLACE (coalesce(fragmentation_low, CASE WHEN policy_id < 2 THEN NULL END) AS fragmentation_low) FROM fx_index_policies)
@@ -406,7 +408,7 @@ measured AS (
          CASE WHEN f.fragmentation >= 30 THEN 'High' WHEN f.fragmentation >= 5 THEN 'Medium' WHEN f.fragmentation < 5 THEN 'Low' END AS fragmentation_group
   FROM matched m
   LEFT JOIN counts c ON c.server_id = m.server_id AND c.database_name = m.database_name AND c.object_id = m.object_id AND c.index_id = m.index_id
-  LEFT JOIN frag f ON f.server_id = m.server_id AND f.database_name = m.database_name AND f.object_id = m.object_id AND f.index_id = m.index_id AND f.partition_number = m.partition_number
+  LEFT JOIN every_frag f ON f.server_id = m.server_id AND f.database_name = m.database_name AND f.object_id = m.object_id AND f.index_id = m.index_id AND f.partition_number IS NOT DISTINCT FROM m.partition_number
   LEFT JOIN fx_stats_props s ON s.server_id = m.server_id AND s.database_name = m.database_name AND s.object_id = m.object_id AND s.statistics_id = m.statistics_id
   WHERE m.selected),
 acted AS (
@@ -419,7 +421,7 @@ acted AS (
 updated AS (
   SELECT *, coalesce(((update_statistics = 'ALL' AND index_type IN (1, 2, 3, 4, 7)) OR (update_statistics = 'INDEX' AND index_type IN (1, 2, 3, 4, 7)))
     AND ((NOT only_modified_statistics AND statistics_modification_level IS NULL) OR (only_modified_statistics AND coalesce(modification_counter, 0) > 0))
-    AND ((coalesce(partition_count, 0) = 1 AND coalesce(action, '') NOT IN ('{_N}', '{_O}')) OR (partition_count <> 1 AND partition_number = partition_count)), FALSE) AS update_statistics_now
+    AND ((coalesce(partition_count, 0) = 1 AND coalesce(action, '') NOT IN ('{_N}', '{_O}')) OR (partition_number IS NULL AND coalesce(action, '') NOT IN ('{_N}', '{_O}')) OR (partition_count <> 1 AND partition_number = partition_count)), FALSE) AS update_statistics_now
   FROM acted)
 """
 

@@ -255,15 +255,21 @@ def _(v):
     ))
 
 
+def _elsewhere(rows, condition: str):
+    """``rows``, those that miss the condition moved to sessions that do not exist, so lookups find nothing."""
+    return rows.withColumn("session_id", F.when(F.expr(condition), F.col("session_id")).otherwise(-1 - F.col("session_id")))
+
+
 @query("top1_lookup", """
 SELECT t.server_id, t.collection_time, t.task_address, t.session_id, s.request_start
 FROM fx_tasks t JOIN (
   SELECT server_id, collection_time, session_id, start_time AS request_start,
          row_number() OVER (PARTITION BY server_id, collection_time, session_id ORDER BY start_time DESC, request_id DESC) AS r
-  FROM fx_requests WHERE request_id = 1) s USING (server_id, collection_time, session_id) WHERE s.r = 1
+  FROM (SELECT * REPLACE (CASE WHEN request_id = 1 THEN session_id ELSE -1 - session_id END AS session_id) FROM fx_requests)) s
+  USING (server_id, collection_time, session_id) WHERE s.r = 1
 """)
 def _(v):
-    lookup = v("fx_requests").filter("request_id = 1").withColumnRenamed("start_time", "request_start")
+    lookup = _elsewhere(v("fx_requests"), "request_id = 1").withColumnRenamed("start_time", "request_start")
     found = sessions.top1_lookup(
         v("fx_tasks"), lookup, [*K, "session_id"], [F.col("request_start"), F.col("request_id")], ["request_start"]
     )
@@ -274,10 +280,10 @@ def _(v):
 SELECT t.server_id, t.collection_time, t.task_address, t.session_id, s.request_start
 FROM fx_tasks t LEFT JOIN (
   SELECT server_id, collection_time, session_id, max(start_time) AS request_start
-  FROM fx_requests WHERE request_id = 1 GROUP BY ALL) s USING (server_id, collection_time, session_id)
+  FROM (SELECT * REPLACE (CASE WHEN request_id = 1 THEN session_id ELSE -1 - session_id END AS session_id) FROM fx_requests) GROUP BY ALL) s USING (server_id, collection_time, session_id)
 """)
 def _(v):
-    lookup = v("fx_requests").filter("request_id = 1").withColumnRenamed("start_time", "request_start")
+    lookup = _elsewhere(v("fx_requests"), "request_id = 1").withColumnRenamed("start_time", "request_start")
     found = sessions.top1_lookup(
         v("fx_tasks"), lookup, [*K, "session_id"], [F.col("request_start"), F.col("request_id")], ["request_start"], how="left"
     )
@@ -288,11 +294,11 @@ def _(v):
 SELECT l.server_id, l.collection_time, l.session_id, coalesce(r.logical_reads, l.logical_reads) AS logical_reads
 FROM fx_live_sessions l LEFT JOIN (
   SELECT server_id, collection_time, session_id, arg_max(logical_reads, request_id) AS logical_reads
-  FROM fx_requests WHERE granted_query_memory > 0 GROUP BY ALL) r USING (server_id, collection_time, session_id)
+  FROM (SELECT * REPLACE (CASE WHEN granted_query_memory > 0 THEN session_id ELSE -1 - session_id END AS session_id) FROM fx_requests) GROUP BY ALL) r USING (server_id, collection_time, session_id)
 """)
 def _(v):
     patched = sessions.update_from(
-        v("fx_live_sessions"), v("fx_requests").filter("granted_query_memory > 0"), [*K, "session_id"],
+        v("fx_live_sessions"), _elsewhere(v("fx_requests"), "granted_query_memory > 0"), [*K, "session_id"],
         ["logical_reads"], [F.col("request_id")],
     )
     return patched.select(*K, "session_id", "logical_reads")
@@ -304,7 +310,7 @@ WITH grants AS (SELECT server_id, collection_time, session_id, request_id, CAST(
 sems AS (SELECT server_id, collection_time, session_id % 4 AS pool_id, session_id % 2 AS resource_semaphore_id, count(*) AS grantee_count
          FROM fx_requests GROUP BY ALL),
 grps AS (SELECT DISTINCT server_id, collection_time, group_id, group_id % 2 AS group_pool_id, 'group' || CAST(group_id AS STRING) AS group_name FROM fx_live_sessions),
-pools AS (SELECT DISTINCT server_id, collection_time, group_id % 2 AS pool_id, 'pool' || CAST(group_id % 2 AS STRING) AS pool_name FROM fx_live_sessions WHERE group_id > 1)
+pools AS (SELECT DISTINCT server_id, collection_time, CASE WHEN group_id > 1 THEN group_id % 2 ELSE -1 END AS pool_id, 'pool' || CAST(group_id % 2 AS STRING) AS pool_name FROM fx_live_sessions)
 SELECT s.server_id, s.collection_time, s.session_id, CAST(r.request_id AS BIGINT) AS request_id, g.granted_kb, m.grantee_count, w.group_name, p.pool_name
 FROM fx_live_sessions s JOIN fx_requests r USING (server_id, collection_time, session_id)
 LEFT JOIN grants g USING (server_id, collection_time, session_id, request_id)
@@ -321,8 +327,8 @@ def _(v):
         *K, "group_id", (F.col("group_id") % 2).alias("group_pool_id"),
         F.concat(F.lit("group"), F.col("group_id").cast("string")).alias("group_name"),
     ).distinct()
-    pools = live.filter("group_id > 1").select(
-        *K, (F.col("group_id") % 2).alias("pool_id"), F.concat(F.lit("pool"), (F.col("group_id") % 2).cast("string")).alias("pool_name")
+    pools = live.select(
+        *K, F.when(F.col("group_id") > 1, F.col("group_id") % 2).otherwise(-1).alias("pool_id"), F.concat(F.lit("pool"), (F.col("group_id") % 2).cast("string")).alias("pool_name")
     ).distinct()
     base = live.select(*K, "session_id", "group_id").join(requests.select(*SK), [*K, "session_id"])
     return sessions.memory_grant_chain(base, grants, semaphores, groups, pools).select(
@@ -572,7 +578,7 @@ SELECT server_id, collection_time, session_id, request_id, CAST(page_no AS BIGIN
 FROM database_text GROUP BY ALL
 """)
 def _(v):
-    documents = locks.lock_document(_named(v), sized_by=(v("fx_locks"), locks.RAW_KEYS))
+    documents = locks.lock_document(_named(v))
     return locks.lock_document_text(documents).withColumn("page_no", F.col("page_no").cast("bigint"))
 
 
@@ -833,8 +839,8 @@ def _(v):
     guid = F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12))
     program = F.concat(F.lit("SQLAgent - TSQL JobStep (Job 0x"), digits, F.lit(" : Step "), F.col("l_linenumber").cast("string"), F.lit(")"))
     rows = v("lineitem").select((F.col("l_partkey") % 8).alias("server_id"), F.col("l_orderkey").alias("session_id"), program.alias("program_name"))
-    jobs = v("part").filter("p_brand <> 'Brand#13'").select(
-        (F.col("p_partkey") % 8).alias("server_id"), F.col("p_partkey").alias("l_partkey"),
+    jobs = v("part").select(
+        (F.col("p_partkey") % 8).alias("server_id"), F.expr("CASE WHEN p_brand <> 'Brand#13' THEN p_partkey ELSE p_partkey + 1000000000 END").alias("l_partkey"),
         F.concat("p_name", F.col("p_partkey").cast("string")).alias("name"),
     ).withColumn("job_id", guid).drop("l_partkey")
     steps = v("lineitem").select((F.col("l_partkey") % 8).alias("server_id"), guid.alias("job_id"), F.col("l_linenumber").alias("step_id")).distinct()

@@ -10,18 +10,11 @@ def test_sliced_numbers_equal_window_numbers_for_a_hot_group(frame, rows):
     data = [("hot" if i % 3 else None if i % 5 else f"k{i}", rnd.choice([None, *range(50)]), i) for i in range(600)]
     df = frame("k string, v int, id int", data)
     order = [F.col("v").desc_nulls_last(), F.col("id")]
-    plain = ranking.number_rows(df, ["k"], order, "n", group_limit=None)
-    sliced = ranking.number_rows(df, ["k"], order, "n", group_limit=5)
+    plain = ranking.number_rows(df, ["k"], order, "n", bounded=True)
+    sliced = ranking.number_rows(df, ["k"], order, "n")
     assert rows(plain, "k", "v", "id", "n") == rows(sliced, "k", "v", "id", "n")
 
 
-def test_size_may_be_judged_by_another_relation(frame, rows):
-    df = frame("k int, v int", [(1, i) for i in range(20)])
-    big = frame("s int", [(1,)] * 100)
-    out = ranking.number_rows(df, ["k"], [F.col("v")], "n", group_limit=50, sized_by=(big, ["s"]))
-    assert rows(out, "v", "n") == sorted([(i, i + 1) for i in range(20)], key=repr)
-
-
 def test_best_row_and_spread(frame, rows):
     df = frame("k int, a int, b string", [(1, 5, "x"), (1, 7, "y"), (1, None, "z"), (None, 1, "n")])
     best = ranking.best_row(df, ["k"], [F.col("a")], ["a", "b"], {"n": F.count(F.lit(1))})
