@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from fleetscope.llm.spans import _LETTERS, _powers, blocks, id_bytes, ids_of, mix, span_hashes, text_bytes, word_spans
@@ -290,6 +290,11 @@ def _shard(search: Search):
 _ANSWER = "chunk long, n long, n_windows long, n_steps long, names binary, windows binary, steps binary, said binary"
 
 
+def by_bucket(rows: DataFrame, buckets: int) -> GroupedData:
+    """``rows`` grouped by bucket, a task for each: few bytes make much work there, so sizes say little."""
+    return rows.repartitionById(buckets, F.col("bucket")).groupBy("bucket")
+
+
 def found_windows(docs: DataFrame, search: Search, finish: Callable[[Chunk, Units, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
     """Rows that ``finish`` makes of each chunk.
 
@@ -301,10 +306,10 @@ def found_windows(docs: DataFrame, search: Search, finish: Callable[[Chunk, Unit
     buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunk = chunks(docs)
     asks = chunk.mapInArrow(_anchor_asks(search, buckets), "bucket int, chunk long, n long, high binary, low binary, twice binary")
-    again = asks.groupBy("bucket").applyInPandas(_anchor_answers, "chunk long, bucket int, again binary")
+    again = by_bucket(asks, buckets).applyInPandas(_anchor_answers, "chunk long, bucket int, again binary")
     own = chunk.groupBy("chunk")
     segments = own.cogroup(again.groupBy("chunk")).applyInPandas(_segment_asks(search, buckets), _SEGMENT_SCHEMA)
-    answers = segments.groupBy("bucket").applyInPandas(_shard(search), _ANSWER)
+    answers = by_bucket(segments, buckets).applyInPandas(_shard(search), _ANSWER)
 
     def run(key, own: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
         part = _chunk(own.iloc[0])
