@@ -2,75 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetscope.operators.alerts import COOLDOWN_SECONDS, fire_with_cooldown, match_rules
-from fleetscope.streaming.run import for_each_available
-
-OUTPUT = "server_id bigint, rule string, event_id bigint, event_time timestamp, severity bigint, error_number bigint, message string"
-
-
-def stream_alerts(events: DataFrame, seconds: int = COOLDOWN_SECONDS) -> DataFrame:
-    """Alerts that fire; the last fired time per (server, rule) is the only state.
-
-    Events of a micro-batch are taken in time order. An event older than the last fired
-    one does not fire. One task sees all events a rule of one server has in a
-    micro-batch, so keep the trigger small, or use ``alert_batches`` where a single
-    server may flood the stream.
-    """
-    step = seconds * 1_000_000
-
-    def fire(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["micros", "event_id"])
-        last = state.get[0] if state.exists else None
-        kept = []
-        for position, at in enumerate(rows["micros"].to_numpy()):
-            if last is None or at - last >= step:
-                kept.append(position)
-                last = int(at)
-        if last is not None:
-            state.update((last,))
-        fired = rows.iloc[kept]
-        if len(fired):
-            yield fired[["server_id", "rule", "event_id", "event_time", "severity", "error_number", "message"]]
+from fleetscope.streaming.run import BatchState, for_each_available
 
-    matched = match_rules(events).select(
-        "server_id", "rule", "event_id", F.col("event_time").cast("timestamp").alias("event_time"),
-        "severity", "error_number", "message", F.unix_micros(F.col("event_time").cast("timestamp")).alias("micros"),
-    )
-    return matched.groupBy("server_id", "rule").applyInPandasWithState(
-        fire, OUTPUT, "last bigint", "append", GroupStateTimeout.NoTimeout
-    )
+_KEYS = ["server_id", "rule"]
 
 
 def alert_batches(events: DataFrame, path: str, state: str, checkpoint: str, seconds: int = COOLDOWN_SECONDS) -> None:
-    """The same alerts through the distributed batch operator, for streams with hot servers.
+    """Alerts of each micro-batch through the batch operator, so a hot server is spread over tasks.
 
-    The last fired time per (server, rule) is a small table with one version per batch
-    id. Events that fall into its cooldown, or before it, can no longer fire; on the others
-    the batch starts afresh. Output and state of a batch id are replaced as a whole, so a
-    replayed batch changes nothing.
+    The last fired time per (server, rule) goes from batch to batch, also to a stream with
+    a new checkpoint. Events that fall into its cooldown, or before it, can no longer
+    fire; on the others the batch starts afresh. Output and state of a batch id are
+    replaced as a whole, so a replayed batch changes nothing.
     """
-    keys = ["server_id", "rule"]
 
     def fire(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        kept = BatchState(spark, state, checkpoint)
         matched = match_rules(batch).persist()
-        if batch_id > 0:
-            known = spark.read.parquet(f"{state}/version={batch_id - 1}")
-        else:
-            known = matched.select(*keys, F.col("event_time").alias("last_fired")).limit(0)
+        known = kept.before(batch_id)
+        if known is None:
+            known = matched.select(*_KEYS, F.col("event_time").alias("last_fired")).limit(0)
         due = F.col("event_time") >= F.col("last_fired") + F.expr(f"interval {int(seconds)} seconds")
-        waiting = matched.join(known, keys, "left").filter(F.col("last_fired").isNull() | due).drop("last_fired")
+        waiting = matched.join(known, _KEYS, "left").filter(F.col("last_fired").isNull() | due).drop("last_fired")
         fire_with_cooldown(waiting, seconds).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        fired = spark.read.parquet(f"{path}/batch_id={batch_id}").select(*keys, F.col("event_time").alias("last_fired"))
-        latest = known.unionByName(fired).groupBy(*keys).agg(F.max("last_fired").alias("last_fired"))
-        latest.write.mode("overwrite").parquet(f"{state}/version={batch_id}")
+        fired = spark.read.parquet(f"{path}/batch_id={batch_id}").select(*_KEYS, F.col("event_time").alias("last_fired"))
+        kept.keep(known.unionByName(fired).groupBy(*_KEYS).agg(F.max("last_fired").alias("last_fired")), batch_id)
         matched.unpersist()
 
     for_each_available(events, fire, checkpoint)

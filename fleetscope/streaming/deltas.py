@@ -8,32 +8,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.keys import SK
-from fleetscope.operators.deltas import METRICS
+from fleetscope.operators.deltas import METRICS, session_deltas
+from fleetscope.streaming.run import BatchState, for_each_available
 
 
-def stream_session_deltas(samples: DataFrame, interval_seconds: int, metrics: Sequence[str] = tuple(METRICS)) -> DataFrame:
-    """Change of each metric since the collection ``interval_seconds`` earlier.
+def delta_batches(
+    samples: DataFrame, path: str, state: str, checkpoint: str, metrics: Sequence[str] = tuple(METRICS), allow_negative: bool = False
+) -> None:
+    """Deltas of each micro-batch against the server's previous collection, whenever that was.
 
-    The stream meets itself on (request, previous collection time), so the join state is
-    spread over requests, and the watermark lets samples of ended sessions go. Only
-    requests present in both collections are emitted; the guards are those of the batch form.
+    The samples of a server's two latest collections go from batch to batch, so a
+    collection may arrive in two batches. A row comes out for every sample, also for
+    the first of a request; guards and ``cpu_delta`` are those of the batch form. Collections of
+    one server must arrive in order of time; the output of a batch id is replaced
+    as a whole, so a replayed batch changes nothing.
     """
-    late = f"{2 * interval_seconds} seconds"
-    once = samples.withWatermark("collection_time", late).dropDuplicatesWithinWatermark(SK)
-    current = once.withColumn("_previous", F.col("collection_time") - F.expr(f"interval {int(interval_seconds)} seconds"))
-    before = once.select(
-        *[F.col(k).alias(f"_before_{k}") for k in SK], F.col("last_request_start_time").alias("_before_start"),
-        *[F.col(m).alias(f"_before_{m}") for m in metrics],
-    )
-    same = (
-        (F.col("server_id") == F.col("_before_server_id")) & (F.col("session_id") == F.col("_before_session_id"))
-        & (F.col("request_id") == F.col("_before_request_id")) & (F.col("_previous") == F.col("_before_collection_time"))
-    )
-    joined = current.join(before, same)
-    valid = F.col("_before_start") == F.col("last_request_start_time")
-
-    def delta(m: str):
-        change = F.col(m) - F.col(f"_before_{m}")
-        return F.when(valid & (change >= 0), change).alias(f"{m}_delta")
-
-    return joined.select(*SK, *[delta(m) for m in metrics])
+
+    def compute(batch: DataFrame, batch_id: int) -> None:
+        kept = BatchState(batch.sparkSession, state, checkpoint)
+        arrived = batch.withColumn("is_new", F.lit(True)).persist()
+        known = kept.before(batch_id)
+        both = arrived if known is None else arrived.unionByName(known.withColumn("is_new", F.lit(False)))
+        found = session_deltas(both, metrics, allow_negative).filter("is_new")
+        names = [c for c in found.columns if c in SK or c.endswith("_delta")]
+        found.select(*names).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        times = both.select("server_id", "collection_time").distinct()
+        last = times.groupBy("server_id").agg(F.max("collection_time").alias("last"))
+        second = (
+            times.join(last, "server_id").filter("collection_time < last")
+            .groupBy("server_id").agg(F.max("collection_time").alias("collection_time"))
+        )
+        recent = last.select("server_id", F.col("last").alias("collection_time")).unionByName(second)
+        kept.keep(both.drop("is_new").join(recent, ["server_id", "collection_time"], "left_semi"), batch_id)
+        arrived.unpersist()
+
+    for_each_available(samples, compute, checkpoint)

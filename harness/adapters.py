@@ -134,7 +134,7 @@ FROM events GROUP BY user_id % 8, date_trunc('week', ts), user_id % 12
 
 ADAPTERS["fx_snapshots"] = """
 SELECT l_orderkey % 8 AS server_id,
-       TIMESTAMP '2024-01-01 00:00:00' + l_linenumber * INTERVAL '1' MINUTE AS collection_time,
+       TIMESTAMP '2024-01-01 00:00:00' + (l_linenumber * 60 + l_linenumber * l_linenumber % 5) * INTERVAL '1' SECOND AS collection_time,
        l_orderkey AS session_id, CAST(0 AS BIGINT) AS request_id,
        CASE WHEN l_orderkey % 4 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00'
             ELSE CAST(date_trunc('month', min(l_shipdate)) AS TIMESTAMP) END AS last_request_start_time,

@@ -10,13 +10,14 @@ from fleetscope.runtime import scratch_path
 from fleetscope.schemas import TELEMETRY
 from fleetscope.sinks.history import append_history
 from fleetscope.sources.telemetry import stream_telemetry
-from fleetscope.streaming.alerts import alert_batches, stream_alerts
+from fleetscope.streaming.alerts import alert_batches
 from fleetscope.streaming.cpu import stream_cpu_history
-from fleetscope.streaming.deltas import stream_session_deltas
+from fleetscope.streaming.deltas import delta_batches
 from fleetscope.streaming.drift import stream_drift
 from fleetscope.streaming.run import write_available
 from harness import collectors as batch
 from harness.core import query
+from harness.sessions import _CPU_SQL as _DELTA_CPU
 from harness.sessions import _PAIRS_SQL
 
 
@@ -39,9 +40,8 @@ def _(v):
     errors = v("fx_errors").withColumn("collection_time", F.lit("2024-01-31 00:00:00").cast("timestamp"))
     root = scratch_path(v.spark, "stream-errors")
     append_history(errors, f"{root}/error_events", TELEMETRY["error_events"], "collection_time")
-    out = stream_alerts(stream_telemetry(v.spark, root, "error_events"))
-    write_available(out, f"{root}/out", f"{root}/checkpoint")
-    return v.spark.read.schema(out.schema).parquet(f"{root}/out").select("server_id", "rule", "event_id", "event_time")
+    alert_batches(stream_telemetry(v.spark, root, "error_events"), f"{root}/out", f"{root}/state", f"{root}/checkpoint")
+    return v.spark.read.parquet(f"{root}/out").select("server_id", "rule", "event_id", "event_time")
 
 
 @query("stream_alert_batches", batch._alert_sql("fx_storm") + "SELECT * FROM fired")
@@ -57,14 +57,27 @@ def _(v):
     return v.spark.read.parquet(f"{root}/out").select("server_id", "rule", "event_id", "event_time")
 
 
+@query("stream_cpu_history_stored", "WITH " + batch._CPU_SQL + "SELECT * FROM unseen")
+def _(v):
+    records, root = _streamed(v, "fx_cpu", "cpu_records")
+    out = stream_cpu_history(records, v("fx_clock"), v("fx_cpu_history"))
+    write_available(out, f"{root}/out", f"{root}/checkpoint")
+    return v.spark.read.schema(out.schema).parquet(f"{root}/out").select("server_id", "record_id", "event_time", "sql_process", "system_idle", "other_process", "collection_time")
+
+
 @query("stream_session_deltas", "WITH " + _PAIRS_SQL + "SELECT server_id, collection_time, session_id, request_id, " + ", ".join(
     f"CASE WHEN ok AND d{i} >= 0 THEN d{i} END AS {m}_delta" for i, m in enumerate(deltas.METRICS, start=1)
-) + " FROM pairs WHERE d1 IS NOT NULL")
+) + f", {_DELTA_CPU} FROM pairs")
 def _(v):
-    samples, root = _streamed(v, "fx_snapshots", "snapshots")
-    out = stream_session_deltas(samples, 60)
-    write_available(out, f"{root}/out", f"{root}/checkpoint")
-    return v.spark.read.schema(out.schema).parquet(f"{root}/out").select(*SK, *[f"{m}_delta" for m in deltas.METRICS])
+    root = scratch_path(v.spark, "stream-snapshots")
+    # Each collection arrives as a micro-batch of its own, in order of time; the polls are not evenly spaced.
+    samples = v("fx_snapshots")
+    times = sorted(r[0] for r in samples.select("collection_time").distinct().collect())
+    for at in times:
+        samples.filter(F.col("collection_time") == F.lit(at)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = v.spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    delta_batches(stream, f"{root}/out", f"{root}/state", f"{root}/checkpoint")
+    return v.spark.read.parquet(f"{root}/out").select(*SK, *[f"{m}_delta" for m in deltas.METRICS], "cpu_delta")
 
 
 @query("stream_drift", "WITH " + batch._DRIFT_SQL + "SELECT side, server_id AS secondary_id, * EXCLUDE (side, server_id) FROM drift")

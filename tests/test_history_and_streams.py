@@ -10,9 +10,9 @@ from fleetscope.schemas import HISTORY, TELEMETRY
 from fleetscope.sinks import ddl, history, outbox, report
 from fleetscope.sources import telemetry
 from fleetscope.sources.cpu_records import parse_cpu_records
-from fleetscope.streaming.alerts import alert_batches, stream_alerts
+from fleetscope.streaming.alerts import alert_batches
 from fleetscope.streaming.cpu import stream_cpu_history
-from fleetscope.streaming.deltas import stream_session_deltas
+from fleetscope.streaming.deltas import delta_batches
 from fleetscope.streaming.run import write_available
 
 NOW = dt.datetime(2024, 1, 31)
@@ -154,12 +154,28 @@ def test_streamed_alerts_equal_batch_over_micro_batches(spark, frame, tmp_path):
     source = f"{tmp_path}/events"
     write_parts(spark, frame, EVENT, events, source, 3)
     stream = lambda: spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(source)
-    write_available(stream_alerts(stream()), f"{tmp_path}/a", f"{tmp_path}/ca")
     alert_batches(stream(), f"{tmp_path}/b", f"{tmp_path}/state", f"{tmp_path}/cb")
-    want = sorted(brute(events))
-    for out in ("a", "b"):
-        got = spark.read.parquet(f"{tmp_path}/{out}").collect()
-        assert sorted((r.server_id, r.rule, r.event_time) for r in got) == want, out
+    got = spark.read.parquet(f"{tmp_path}/b").collect()
+    assert sorted((r.server_id, r.rule, r.event_time) for r in got) == sorted(brute(events))
+
+
+def test_alerts_go_on_from_an_earlier_checkpoint(spark, frame, tmp_path):
+    events = storm(6, 120)
+    for part, rows_ in enumerate((events[:60], events[60:])):
+        frame(EVENT, rows_).coalesce(1).write.parquet(f"{tmp_path}/in{part}")
+        stream = spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in{part}")
+        alert_batches(stream, f"{tmp_path}/out{part}", f"{tmp_path}/state", f"{tmp_path}/c{part}")
+    got = spark.read.parquet(f"{tmp_path}/out0").unionByName(spark.read.parquet(f"{tmp_path}/out1")).collect()
+    assert sorted((r.server_id, r.rule, r.event_time) for r in got) == sorted(brute(events))
+
+
+def test_replacing_a_day_without_rows_empties_it(spark, frame, rows, tmp_path):
+    day = dt.datetime(2024, 1, 2)
+    df = frame("id int, at timestamp", [(1, day), (2, day - dt.timedelta(days=1))])
+    for when in (day, day - dt.timedelta(days=1)):
+        history.replace_day(df, f"{tmp_path}/h", "at", when.date())
+    history.replace_day(df.filter("id > 5"), f"{tmp_path}/h", "at", day.date())
+    assert rows(spark.read.parquet(f"{tmp_path}/h"), "id") == [(2,)]
 
 
 # ---- CPU records and samples ---------------------------------------------------------
@@ -203,12 +219,10 @@ def test_streamed_deltas_equal_batch(spark, frame, rows, tmp_path):
             if rnd.random() < 0.8:
                 start = NOW if session != 2 or minute < 2 else NOW + dt.timedelta(minutes=2)
                 values = [rnd.randrange(50) + 20 * minute for _ in range(11)]
-                data.append((1, NOW + dt.timedelta(minutes=minute), session, 0, start, *values))
+                data.append((1, NOW + dt.timedelta(minutes=minute, milliseconds=minute * minute), session, 0, start, *values))
     write_parts(spark, frame, schema, data, f"{tmp_path}/in", 4)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    write_available(stream_session_deltas(stream, 60), f"{tmp_path}/out", f"{tmp_path}/c")
+    delta_batches(stream, f"{tmp_path}/out", f"{tmp_path}/state", f"{tmp_path}/c")
     names = [f"{m}_delta" for m in deltas.METRICS]
     got = rows(spark.read.parquet(f"{tmp_path}/out"), "collection_time", "session_id", *names)
-    present = {(t, s) for _, t, s, *_ in data}
-    batch = rows(deltas.session_deltas(frame(schema, data)), "collection_time", "session_id", *names)
-    assert got == [r for r in batch if (r[0] - dt.timedelta(minutes=1), r[1]) in present]
+    assert got == rows(deltas.session_deltas(frame(schema, data)), "collection_time", "session_id", *names)
