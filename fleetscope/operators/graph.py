@@ -76,8 +76,16 @@ def blocking_chains(sessions: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     """
     at = [*keys, "session_id"]
     edges = cut_lineage(block_edges(sessions, keys))
-    shared = edges.groupBy(*at).count().filter("count > 1")
-    linked = _forest_counts(edges, keys) if shared.isEmpty() else _layered_counts(edges, keys)
+    shared = edges.groupBy(*at).count().filter("count > 1").select(*at)
+    if shared.isEmpty():
+        linked = _forest_counts(edges, keys)
+    else:
+        # Only the components in which a session waits for several blockers leave the doubling walk.
+        labels = component_labels(edges, keys)
+        tangled = labels.join(shared, at, "left_semi").select(*keys, "component").distinct()
+        inside = cut_lineage(labels.join(tangled, [*keys, "component"], "left_semi").select(*at))
+        plain = _forest_counts(cut_lineage(edges.join(inside, at, "left_anti")), keys)
+        linked = plain.unionByName(_layered_counts(cut_lineage(edges.join(inside, at, "left_semi")), keys))
     found = F.col("_linked").isNotNull()
     # Sessions without any edge stand alone.
     return (
@@ -90,6 +98,35 @@ def blocking_chains(sessions: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     )
 
 
+def component_labels(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per session on an edge: the lowest session it is connected with, directions ignored (``component``).
+
+    Star contraction: all neighbours of a session are pointed to the lowest of them, then each
+    session's lower neighbours; rounds grow with the logarithm of the longest path, and
+    each is a partial aggregate and a join.
+    """
+    def digest(links: DataFrame) -> tuple:
+        return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*keys, "a", "b"))).first())
+
+    links = edges.select(*keys, F.greatest("session_id", "blocker").alias("a"), F.least("session_id", "blocker").alias("b"))
+    links, before = cut_lineage(links.distinct()), None
+    while before != (now := digest(links)):
+        before = now
+        both = links.unionByName(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
+        lowest = both.groupBy(*keys, "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        far = both.join(lowest, [*keys, "a"]).filter("b > a").select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        lowest = far.groupBy(*keys, "a").agg(F.min("b").alias("m"))
+        near = far.join(lowest, [*keys, "a"]).filter("b <> m").select(*keys, F.col("b").alias("a"), F.col("m").alias("b"))
+        links = cut_lineage(near.unionByName(lowest.withColumnRenamed("m", "b")).distinct())
+    lows = links.select(*keys, F.col("b").alias("session_id"), F.col("b").alias("component")).distinct()
+    return links.select(*keys, F.col("a").alias("session_id"), F.col("b").alias("component")).unionByName(lows)
+
+
+def descendant_counts(sessions: DataFrame, keys: Sequence[str] = K) -> DataFrame:
+    """Sessions on all levels below each block leader."""
+    return block_leaders(blocking_chains(sessions, keys)).select(*keys, "session_id", "blocked_session_count")
+
+
 def block_leaders(chains: DataFrame) -> DataFrame:
     """Sessions that block others and are not blocked themselves."""
     return chains.filter("depth = 0 and blocked_session_count > 0")

@@ -52,6 +52,40 @@ def _(v):
     return graph.blocking_chains(v("fx_rings"))
 
 
+_SHARED_SQL = """
+WITH RECURSIVE edges AS (SELECT DISTINCT server_id, collection_time, session_id, blocking_session_id AS blocker FROM fx_shared WHERE blocking_session_id IS NOT NULL),
+down AS (
+  SELECT server_id, collection_time, blocker AS top, session_id AS here FROM edges
+  UNION ALL
+  SELECT d.server_id, d.collection_time, d.top, e.session_id FROM down d JOIN edges e
+    ON e.server_id = d.server_id AND e.collection_time = d.collection_time AND e.blocker = d.here),
+counts AS (SELECT server_id, collection_time, top AS session_id, count(*) AS n FROM down GROUP BY ALL),
+up AS (
+  SELECT DISTINCT server_id, collection_time, session_id, session_id AS here, 0 AS depth FROM fx_shared
+  UNION
+  SELECT u.server_id, u.collection_time, u.session_id, e.blocker, u.depth + 1 FROM up u JOIN edges e
+    ON e.server_id = u.server_id AND e.collection_time = u.collection_time AND e.session_id = u.here),
+tops AS (
+  SELECT u.server_id, u.collection_time, u.session_id, u.depth, u.here,
+         row_number() OVER (PARTITION BY u.server_id, u.collection_time, u.session_id ORDER BY u.depth, u.here) AS r
+  FROM up u WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.server_id = u.server_id AND e.collection_time = u.collection_time AND e.session_id = u.here)),
+chains AS (
+  SELECT t.server_id, t.collection_time, t.session_id, CAST(coalesce(c.n, 0) AS BIGINT) AS blocked_session_count,
+         CAST(t.depth AS BIGINT) AS depth, t.here AS root_session_id
+  FROM tops t LEFT JOIN counts c USING (server_id, collection_time, session_id) WHERE t.r = 1)
+"""
+
+
+@query("blocking_chains_multi", _SHARED_SQL + "SELECT * FROM chains")
+def _(v):
+    return graph.blocking_chains(v("fx_shared"))
+
+
+@query("descendant_counts", _SHARED_SQL + "SELECT server_id, collection_time, session_id, blocked_session_count FROM chains WHERE depth = 0 AND blocked_session_count > 0")
+def _(v):
+    return graph.descendant_counts(v("fx_shared"))
+
+
 @query("block_leaders", _chains_sql("fx_sessions") + "SELECT * FROM chains WHERE depth = 0 AND blocked_session_count > 0")
 def _(v):
     return graph.block_leaders(graph.blocking_chains(v("fx_sessions")))
