@@ -20,6 +20,9 @@ RETENTION_DAYS = {
     "job_history": 30,
 }
 
+# Tables whose cut is an instant; the others keep the whole boundary day.
+INSTANT_TABLES = ("sessions", "command_log")
+
 
 def retained(time: Column, now: datetime, days: int, grain: str) -> Column:
     """True for rows inside the retention window.

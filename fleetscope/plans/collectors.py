@@ -9,18 +9,32 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions import codes
 from fleetscope.operators import filters, jobs, replicas, space, usage
-from fleetscope.operators.retention import RETENTION_DAYS, purge_history
+from fleetscope.operators.retention import INSTANT_TABLES, RETENTION_DAYS, purge_history
 from fleetscope.schemas import HISTORY
-from fleetscope.sinks.history import append_history, purge_days
+from fleetscope.sinks.history import append_history, purge_days, purge_instants, replace_day
 from fleetscope.sources.cpu_records import parse_cpu_records
 
 
 def store(spark: SparkSession, rows: DataFrame, path: str, table: str, time: str, now: datetime) -> list[date]:
-    """Append a poll to its history table, then drop the days that have left the retention."""
+    """Append a poll to its history table, then drop what has left the retention: days, or for some tables instants."""
     append_history(rows, path, HISTORY[table], time)
+    if table in INSTANT_TABLES:
+        return purge_instants(spark, path, HISTORY[table], time, now, RETENTION_DAYS[table])
     return purge_days(spark, path, now, RETENTION_DAYS[table])
 
 
+def store_job_definitions(spark: SparkSession, definitions: DataFrame, roles: DataFrame, path: str, now: datetime) -> list[date]:
+    """Store today's definitions of the primary servers, in place of earlier ones of today, and drop expired days.
+
+    ``roles`` has ``server_id, role``. A day on which no primary has jobs keeps no rows.
+    """
+    primary = roles.filter("role = 'PRIMARY'").select("server_id").distinct()
+    rows = definitions.join(primary, "server_id", "left_semi").withColumn("audit_date", F.lit(now))
+    shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in HISTORY["job_definitions"].fields])
+    replace_day(shaped, path, "audit_date", now.date(), "collection_date")
+    return purge_days(spark, path, now, RETENTION_DAYS["job_definitions"])
+
+
 def cpu_history(records: DataFrame, clock: DataFrame, history: DataFrame, count: int = 15, minutes: int = 15) -> DataFrame:
     """CPU records to append: fresh, not stored yet, the newest ``count`` per server."""
     parsed = parse_cpu_records(records, clock, minutes)

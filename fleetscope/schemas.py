@@ -74,6 +74,19 @@ HISTORY: dict[str, T.StructType] = {
         "temp_space": "server_id bigint, database_name string, logical_file_name string, physical_file_name string, status string, "
         "updateability string, recovery_mode string, file_size_mb bigint, space_used_mb bigint, free_space_mb bigint, "
         "free_space_pct string, max_size string, growth string, poll_date timestamp",
+        "job_definitions": "server_id bigint, audit_date timestamp, job_name string, job_owner string, job_category string, "
+        "job_description string, is_enabled string, job_created_on timestamp, job_last_modified_on timestamp, "
+        "originating_server_name string, job_start_step_no bigint, job_start_step_name string, is_scheduled string, "
+        "job_schedule_name string, job_deletion_criterion string, schedule_type string, occurrence string, recurrence string, "
+        "frequency string, schedule_usage_start_date string, schedule_usage_end_date string, schedule_created_on timestamp, "
+        "schedule_last_modified_on timestamp, step_no bigint, step_name string, step_type string, run_as string, database_name string, "
+        "executable_command string, on_success_action string, retry_attempts bigint, retry_interval bigint, on_failure_action string",
+        "sessions": "server_id bigint, elapsed_text string, session_id bigint, sql_text string, sql_command string, login_name string, "
+        "wait_info string, tran_log_writes string, cpu string, tempdb_allocations string, tempdb_current string, "
+        "blocking_session_id bigint, reads string, writes string, physical_reads string, query_plan string, used_memory string, "
+        "status string, tran_start_time timestamp, implicit_tran string, open_tran_count string, percent_complete string, "
+        "host_name string, database_name string, program_name string, start_time timestamp, login_time timestamp, request_id bigint, "
+        "collection_time timestamp",
         "job_enabled_status": "server_id bigint, audit_date timestamp, replica_role string, job_id string, job_name string, is_enabled string",
         "temp_space_requests": "server_id bigint, session_id bigint, request_id bigint, tempdb_allocations bigint, "
         "tempdb_current bigint, poll_date timestamp",

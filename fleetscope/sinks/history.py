@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from fleetscope.runtime import cut_lineage
+
 # Rows a day's folder may hold per file before it is split further.
 ROWS_PER_FILE = 5_000_000
 
@@ -79,6 +81,19 @@ def purge_days(spark: SparkSession, path: str, now: datetime, days: int, partiti
     return expired
 
 
+def purge_instants(
+    spark: SparkSession, path: str, schema: StructType, time: str, now: datetime, days: int, partition: str = "collection_date"
+) -> list[date]:
+    """Drop what is older than an instant: whole days, and the older rows of the boundary day."""
+    expired = purge_days(spark, path, now, days, partition)
+    boundary = now - timedelta(days=days)
+    if boundary.date() in stored_days(spark, path, partition):
+        rows = spark.read.schema(schema).parquet(f"{path}/{partition}={boundary.date().isoformat()}")
+        # Frozen first: the folder that is read is the one that is replaced.
+        replace_day(cut_lineage(rows.filter(F.col(time) >= F.lit(boundary))), path, time, boundary.date(), partition)
+    return expired
+
+
 def read_history(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The stored columns of a table, without the partition column."""
     return spark.read.schema(schema).parquet(path).select(*[f.name for f in schema.fields])

@@ -189,6 +189,23 @@ def _(v):
     return _definitions(v)
 
 
+_STORED = [f.name for f in HISTORY["job_definitions"].fields if f.name != "audit_date"]
+
+
+@query("job_definitions_store", "WITH " + _JOB_SQL + f"""
+SELECT {', '.join(_STORED)} FROM decoded d WHERE EXISTS (SELECT 1 FROM fx_replica_states s WHERE s.server_id = d.server_id AND s.is_local AND s.role = 'PRIMARY')
+""")
+def _(v):
+    path = scratch_path(v.spark, "job-definitions")
+    definitions, roles = _definitions(v), replicas.replica_role(v("fx_replica_states"), v("fx_groups"))
+    # An earlier run of the same day, and one that has left the retention.
+    for rows, now in ((definitions, datetime(2023, 12, 1)), (definitions.withColumn("is_enabled", F.lit("Old")), NOW), (definitions, NOW)):
+        collectors.store_job_definitions(v.spark, rows, roles, path, now)
+    narrow = ("job_start_step_no", "step_no", "retry_attempts", "retry_interval")
+    stored = history.read_history(v.spark, path, HISTORY["job_definitions"])
+    return stored.select(*[F.col(c).cast("int").alias(c) if c in narrow else F.col(c) for c in _STORED])
+
+
 def _changed(definitions):
     """The same definitions as another server might hold them."""
     return definitions.filter("job_schedule_name is null or job_schedule_name <> 'Schedule NATION_3'").withColumns({

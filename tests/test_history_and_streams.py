@@ -169,6 +169,16 @@ def test_alerts_go_on_from_an_earlier_checkpoint(spark, frame, tmp_path):
     assert sorted((r.server_id, r.rule, r.event_time) for r in got) == sorted(brute(events))
 
 
+def test_sessions_are_cut_at_an_instant(spark, frame, rows, tmp_path):
+    columns = [f.name for f in HISTORY["command_log"].fields]
+    times = [NOW - dt.timedelta(days=30, hours=h) for h in (-1, 0, 1, 30)]
+    df = frame("server_id bigint, start_time timestamp", list(enumerate(times))).select(
+        *[F.col(c) if c in ("server_id", "start_time") else F.lit(None).cast(HISTORY["command_log"][c].dataType).alias(c) for c in columns]
+    )
+    collectors.store(spark, df, f"{tmp_path}/log", "command_log", "start_time", NOW)
+    assert rows(history.read_history(spark, f"{tmp_path}/log", HISTORY["command_log"]), "server_id") == [(0,), (1,)]
+
+
 def test_replacing_a_day_without_rows_empties_it(spark, frame, rows, tmp_path):
     day = dt.datetime(2024, 1, 2)
     df = frame("id int, at timestamp", [(1, day), (2, day - dt.timedelta(days=1))])
