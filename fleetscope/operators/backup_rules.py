@@ -169,20 +169,22 @@ def cleanup_cutoff(decided: DataFrame, latest: DataFrame, now: datetime) -> Data
 
 
 def stripe_numbers(decided: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per backup file with its directory, spread evenly over the targets of a mirror group.
+    """One row per backup file and mirror group with its directory, spread over the targets of the policy.
 
-    ``targets``: server_id, mirror, directory_no, path. File count is a multiple of the
-    directory count or falls back to the directory its number belongs to.
+    ``targets``: server_id, policy_id, mirror, directory_no, path. A file count that is no
+    multiple of the directory count fills directories as far as its files go; none is
+    placed in a directory that does not exist.
     """
-    per_folder = F.greatest(int_div(F.col("file_count"), F.col("directory_count")), F.lit(1))
+    directories = F.greatest(F.col("directory_count"), F.lit(1))
+    per_folder = F.greatest(int_div(F.col("file_count") + directories - 1, directories), F.lit(1))
     files = decided.withColumn("file_number", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("file_count"))))
     files = files.withColumn("directory_no", int_div(F.col("file_number") - 1, per_folder) + 1)
-    return files.join(targets, ["server_id", "directory_no"], "left")
+    return files.join(targets, ["server_id", "policy_id", "directory_no"], "left")
 
 
 def number_targets(targets: DataFrame) -> DataFrame:
-    """Number the target directories of each server and mirror group; a policy lists at most 64."""
-    return number_rows(targets, ["server_id", "mirror"], [F.col("position"), F.col("path")], "directory_no", bounded=True)
+    """Number the target directories of each policy and mirror group; a policy lists at most 64."""
+    return number_rows(targets, ["server_id", "policy_id", "mirror"], [F.col("position"), F.col("path")], "directory_no", bounded=True)
 
 
 def backup_path_parts(decided: DataFrame, now: datetime, separator: str = "\\") -> DataFrame:

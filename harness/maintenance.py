@@ -268,36 +268,45 @@ def _(v):
 
 
 def _targets(v):
-    servers = v("fx_databases").select("server_id").distinct()
-    places = F.explode(F.sequence(F.lit(1), F.lit(4))).alias("position")
-    rows = servers.select("server_id", F.lit(0).alias("mirror"), places)
-    return backup_rules.number_targets(rows.withColumn("path", F.concat(F.lit("E:\\backup"), F.col("position").cast("string"))))
+    # Each policy has directories of its own; the log backups of policy 1 are mirrored.
+    places = F.explode(F.sequence(F.lit(1), F.col("directory_count"))).alias("position")
+    rows = v("fx_policies").select("server_id", "policy_id", places)
+    mirrors = F.when(F.col("policy_id") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("mirror", F.explode(mirrors))
+    drive = F.when(F.col("mirror") == 0, "E:\\policy").otherwise("M:\\policy")
+    path = F.concat(drive, F.col("policy_id").cast("string"), F.lit("\\backup"), F.col("position").cast("string"))
+    return backup_rules.number_targets(rows.withColumn("path", path))
+
+
+_TARGETS_SQL = """
+targets AS (
+  SELECT server_id, policy_id, m AS mirror, p AS position, CASE m WHEN 0 THEN 'E:' ELSE 'M:' END || chr(92) || 'policy' || CAST(policy_id AS STRING) || chr(92) || 'backup' || CAST(p AS STRING) AS path,
+         row_number() OVER (PARTITION BY server_id, policy_id, m ORDER BY p) AS directory_no
+  FROM fx_policies, range(1, 65) t(p), range(0, 2) u(m) WHERE p <= directory_count AND (m = 0 OR policy_id = 1))
+"""
 
 
-@query("stripe_number", """
-SELECT server_id, 0 AS mirror, p AS position, 'E:' || chr(92) || 'backup' || CAST(p AS STRING) AS path, row_number() OVER (PARTITION BY server_id ORDER BY p) AS directory_no
-FROM (SELECT DISTINCT server_id FROM fx_databases), range(1, 5) t(p)
-""")
+@query("stripe_number", "WITH " + _TARGETS_SQL + "SELECT * FROM targets")
 def _(v):
-    return _targets(v).withColumns({c: F.col(c).cast("bigint") for c in ("position", "directory_no")})
+    return _targets(v).withColumns({c: F.col(c).cast("bigint") for c in ("mirror", "position", "directory_no")})
 
 
-_FILES_SQL = _PLAN_SQL + """,
+_FILES_SQL = _PLAN_SQL + "," + _TARGETS_SQL + """,
 numbered AS (
-  SELECT p.*, f.n AS file_number, (f.n - 1) // greatest(file_count // directory_count, 1) + 1 AS directory_no,
+  SELECT p.*, f.n AS file_number, (f.n - 1) // greatest((file_count + directory_count - 1) // directory_count, 1) + 1 AS directory_no,
          CASE WHEN file_count <= 9 THEN CAST(f.n AS STRING) ELSE lpad(CAST(f.n AS STRING), 2, '0') END AS number_text
   FROM plan p, LATERAL (SELECT unnest(range(1, p.file_count + 1)) AS n) f WHERE skip_reason IS NULL)
 """
 
 
 @query("backup_files", "WITH " + _FILES_SQL + """
-SELECT server_id, policy_id, database_id, file_number, directory_no,
-       'E:' || chr(92) || 'backup' || CAST(directory_no AS STRING) || chr(92) || directory || chr(92) || replace(replace(file_template, '{DatabaseName}', fs), '{FileNumber}', number_text) AS file_path
-FROM numbered
+SELECT server_id, policy_id, database_id, file_number, directory_no, mirror,
+       path || chr(92) || directory || chr(92) || replace(replace(file_template, '{DatabaseName}', fs), '{FileNumber}', number_text) AS file_path
+FROM numbered LEFT JOIN targets USING (server_id, policy_id, directory_no)
 """)
 def _(v):
     files = maintenance.backup_files(_plan(v), _targets(v))
-    return files.select("server_id", "policy_id", "database_id", "file_number", F.col("directory_no").cast("bigint").alias("directory_no"), "file_path")
+    return files.select("server_id", "policy_id", "database_id", "file_number", F.col("directory_no").cast("bigint").alias("directory_no"), F.col("mirror").cast("bigint").alias("mirror"), "file_path")
 
 
 # ---- integrity checks and commands ---------------------------------------------------
