@@ -69,6 +69,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def exists_flag(df: DataFrame, other: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Whether ``other`` has a row with the same keys; NULL keys never match."""
+    marked = other.select(*keys).distinct().withColumn(name, F.lit(True))
+    return df.join(marked, list(keys), "left").withColumn(name, F.col(name).isNotNull())
+
+
 def spread_group_value(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
     """Whole-group aggregates on every row: aggregate first, then join back.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,15 +77,20 @@ def resolve_selection(names: DataFrame, policies: DataFrame, kind: str = "databa
     }).drop("_selectors", "_hits", *[f"_{part}" for part in PARTS[kind]])
 
 
-def missing_selectors(names: DataFrame, policies: DataFrame, delimiter: str = ",") -> DataFrame:
-    """Plain names in a list that no database has."""
-    literal = expand_selectors(policies, "databases", delimiter).filter(
-        F.col("name").isNotNull() & ~F.contains("name", F.lit("%"))
-    )
-    known = names.select("server_id", F.lower("name").alias("_key")).filter("_key is not null").distinct()
+def missing_selectors(names: DataFrame, policies: DataFrame, delimiter: str = ",", kind: str = "databases") -> DataFrame:
+    """Plain names in a list of any kind that no database, group, filegroup, object or index has.
+
+    A name of several parts is plain if none of them holds a wildcard; it is told with dots.
+    """
+    parts = PARTS[kind]
+    plain = [F.col(p).isNotNull() & ~F.contains(p, F.lit("%")) for p in parts]
+    literal = expand_selectors(policies, kind, delimiter).filter(reduce(lambda a, b: a & b, plain))
+    keys = [f"_{p}" for p in parts]
+    lowered = {k: F.lower(p) for k, p in zip(keys, parts)}
+    known = names.select("server_id", *[column.alias(k) for k, column in lowered.items()]).dropna(subset=keys).distinct()
     return (
-        literal.withColumn("_key", F.lower("name")).join(known, ["server_id", "_key"], "left_anti")
-        .select("server_id", "policy_id", "position", F.col("name").alias("missing_name"))
+        literal.withColumns(lowered).join(known, ["server_id", *keys], "left_anti")
+        .select("server_id", "policy_id", "position", F.concat_ws(".", *parts).alias("missing_name"))
     )
 
 

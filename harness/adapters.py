@@ -357,7 +357,7 @@ SELECT c_custkey % 8 AS server_id, TIMESTAMP '2024-01-31 00:00:00' AS collection
        c_nationkey = 16 AS differential_base_is_snapshot, c_custkey * 100 AS allocated_pages, c_custkey * c_nationkey AS modified_pages,
        c_custkey * 120 AS database_pages, CASE WHEN c_nationkey = 17 THEN NULL ELSE c_custkey % 1000 END AS log_size_mb,
        CASE WHEN c_nationkey = 18 THEN NULL ELSE TIMESTAMP '2024-01-30 23:00:00' + (c_custkey % 3600) * INTERVAL '1' SECOND END AS last_log_backup,
-       CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE 'group' || CAST(c_custkey % 8 AS STRING) END AS availability_group,
+       CASE WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE 'group' || CAST(c_custkey % 8 AS STRING) || CASE WHEN c_nationkey % 3 = 0 THEN 'b' ELSE 'a' END END AS availability_group,
        c_mktsegment <> 'MACHINERY' AS in_group,
        CASE c_nationkey % 4 WHEN 0 THEN 'SECONDARY' WHEN 1 THEN NULL ELSE 'PRIMARY' END AS replica_role,
        CASE c_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN TRUE ELSE FALSE END AS is_preferred_replica,
@@ -379,6 +379,10 @@ FROM customer
 ADAPTERS["fx_groups"] = """
 SELECT DISTINCT c_custkey % 8 AS server_id, c_custkey % 8 AS group_id, 'ag' || CAST(c_custkey % 8 % 3 AS STRING) AS name FROM customer
 """
+# Groups as the databases name them, several on a server.
+ADAPTERS["fx_database_groups"] = """
+SELECT DISTINCT server_id, availability_group AS name FROM fx_databases WHERE availability_group IS NOT NULL
+"""
 ADAPTERS["fx_ignored"] = """
 SELECT c_custkey % 8 AS server_id, c_name AS database_name FROM customer WHERE c_nationkey = 3
 """

@@ -132,8 +132,10 @@ SELECT 'db' || CAST(l_suppkey % 25 AS STRING) AS database_name, count(*) AS file
 FROM lineitem GROUP BY ALL
 """)
 def _(v):
-    # One scan: the database is a column, so no per-database loop.
-    return v("fx_files").groupBy("database_name").agg(F.count(F.lit(1)).alias("files"), F.sum("size_pages").alias("pages"))
+    # Results as they come from single databases: without their name, one relation each.
+    files = v("fx_files")
+    parts = {f"db{k}": files.filter(F.col("database_name") == f"db{k}").drop("database_name") for k in range(25)}
+    return telemetry.union_databases(parts).groupBy("database_name").agg(F.count(F.lit(1)).alias("files"), F.sum("size_pages").alias("pages"))
 
 
 # ---- scheduled jobs ------------------------------------------------------------------
@@ -308,11 +310,10 @@ SELECT d.server_id, d.database_id, EXISTS (SELECT 1 FROM fx_replica_states s WHE
 FROM fx_databases d
 """)
 def _(v):
-    states = v("fx_replica_states").select("server_id", "database_id").distinct().withColumn("_s", F.lit(True))
-    ignored = v("fx_ignored").select("server_id", F.col("database_name").alias("name")).distinct().withColumn("_i", F.lit(True))
-    return v("fx_databases").join(states, ["server_id", "database_id"], "left").join(ignored, ["server_id", "name"], "left").select(
-        "server_id", "database_id", F.col("_s").isNotNull().alias("in_group"), F.col("_i").isNotNull().alias("is_ignored")
-    )
+    databases = v("fx_databases").drop("in_group")
+    flagged = ranking.exists_flag(databases, v("fx_replica_states"), ["server_id", "database_id"], "in_group")
+    ignored = v("fx_ignored").withColumnRenamed("database_name", "name")
+    return ranking.exists_flag(flagged, ignored, ["server_id", "name"], "is_ignored").select("server_id", "database_id", "in_group", "is_ignored")
 
 
 @query("job_enabled_log", "WITH " + _ROLE_SQL + """

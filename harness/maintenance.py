@@ -137,12 +137,32 @@ def _(v):
 
 
 @query("resolve_groups", """
-SELECT d.server_id, d.database_id, g.name <> 'ag1' AS selected FROM fx_databases d JOIN fx_groups g USING (server_id) WHERE d.availability_group IS NOT NULL
+SELECT server_id, database_id, availability_group NOT IN ('group1a', 'group1b') AND availability_group NOT LIKE '%5b' AS selected
+FROM fx_databases WHERE availability_group IS NOT NULL
 """)
 def _(v):
-    policies = v("fx_groups").select("server_id").distinct().withColumn("spec", F.lit("ALL_AVAILABILITY_GROUPS,-AG1"))
-    groups = selection.resolve_selection(v("fx_groups"), policies, "groups").select("server_id", "selected")
-    return v("fx_databases").filter("availability_group is not null").join(groups, "server_id").select("server_id", "database_id", "selected")
+    named = v("fx_database_groups")
+    policies = named.select("server_id").distinct().withColumn("spec", F.lit("ALL_AVAILABILITY_GROUPS,-GROUP1a,-group1B,-%5b"))
+    groups = selection.resolve_selection(named, policies, "groups").select("server_id", F.col("name").alias("availability_group"), "selected")
+    return v("fx_databases").join(groups, ["server_id", "availability_group"]).select("server_id", "database_id", "selected")
+
+
+@query("missing_groups", """
+SELECT server_id, 1 AS policy_id, 'Group9z' AS missing_name FROM fx_database_groups GROUP BY ALL
+""")
+def _(v):
+    policies = v("fx_database_groups").select("server_id").distinct().withColumns({"policy_id": F.lit(1), "spec": F.lit("GROUP%,Group9z,-%b")})
+    return selection.missing_selectors(v("fx_database_groups"), policies, kind="groups").drop("position")
+
+
+@query("missing_objects", """
+SELECT server_id, 1 AS policy_id, n AS missing_name FROM (SELECT DISTINCT server_id FROM fx_indexes), (VALUES ('db1.schema0.part0'), ('db9.schema1.Part1')) t(n)
+""")
+def _(v):
+    objects = v("fx_indexes").select("server_id", "database_name", "schema_name", "object_name").distinct()
+    spec = F.lit("db1.schema0.part0,db9.schema1.Part1,db1.schema%.part1,ALL_INDEXES")
+    policies = objects.select("server_id").distinct().withColumns({"policy_id": F.lit(1), "spec": spec})
+    return selection.missing_selectors(objects, policies, kind="objects").drop("position")
 
 
 # ---- backup rules --------------------------------------------------------------------
