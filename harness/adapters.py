@@ -28,12 +28,13 @@ FROM events
 # Rings of three per collection; views break a ring into a chain, signups block themselves.
 # Sessions that wait for one or two blockers, without cycles; every third collection has single blockers only.
 ADAPTERS["fx_shared"] = """
-SELECT event_id % 8 AS server_id,
-       TIMESTAMP '2024-01-01 00:00:00' + CAST(FLOOR(event_id / 64) AS BIGINT) * INTERVAL '1' MINUTE AS collection_time,
-       event_id + 1 AS session_id,
-       CASE WHEN event_id % 64 < 16 THEN NULL WHEN k = 0 THEN event_id + 1 - 8 * (1 + event_id % 2) ELSE event_id + 1 - 16 END AS blocking_session_id
-FROM events, (SELECT 0 AS k UNION ALL SELECT 1) AS copies
-WHERE k = 0 OR (FLOOR(event_id / 64) % 3 <> 0 AND event_id % 5 = 0)
+SELECT event_id % 8 AS server_id, TIMESTAMP '2024-01-01 00:00:00' + CAST(FLOOR(event_id / 64) AS BIGINT) * INTERVAL '1' MINUTE AS collection_time,
+       event_id + 1 AS session_id, CASE WHEN event_id % 64 >= 16 THEN event_id + 1 - 8 * (1 + event_id % 2) END AS blocking_session_id
+FROM events
+UNION ALL
+SELECT event_id % 8, TIMESTAMP '2024-01-01 00:00:00' + CAST(FLOOR(event_id / 64) AS BIGINT) * INTERVAL '1' MINUTE,
+       event_id + 1, CASE WHEN event_id % 64 >= 16 THEN event_id + 1 - 16 END
+FROM events WHERE FLOOR(event_id / 64) % 3 <> 0 AND event_id % 5 = 0
 """
 ADAPTERS["fx_rings"] = """
 SELECT event_id % 8 AS server_id,

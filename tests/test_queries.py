@@ -3,6 +3,7 @@ import re
 import duckdb
 import pytest
 
+from harness import QUERIES
 from __spark_entry__ import entry, oracle_sql, queries
 from harness.core import TABLES
 from tools.compare import rows_of
@@ -46,7 +47,7 @@ def plan_of(df):
 
 
 # Streams and table writers run on the JVM as well; they are built above and by compare.py.
-PLANNED = [n for n in queries() if not n.startswith(("stream_", "append_", "replace_", "purge_days", "read_"))]
+PLANNED = [n for n in QUERIES if not n.startswith(("stream_", "append_", "replace_", "purge_days", "read_"))]
 
 
 @pytest.mark.parametrize("chunk", range(6))
