@@ -121,7 +121,8 @@ def runs_of(units: Units, window: int, gram: int) -> Runs:
         stop = first + count + window - 1
         segment = mix((sums[stop] - sums[first]) * down[first] + count.astype(np.uint64))
         row = np.searchsorted(offsets, first, "right") - 1 + a
-        found.append((row, first + base, count, grams[anchors[first].astype(np.int64)], segment))
+        # Anchors are small values by choice: mixed again, they spread over buckets.
+        found.append((row, first + base, count, mix(~grams[anchors[first].astype(np.int64)]), segment))
     if not found:
         none = np.zeros(0, np.int64)
         return Runs(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
