@@ -82,9 +82,14 @@ class Model:
 
 
 def fit(random: np.ndarray, ordinary: np.ndarray) -> Model:
-    """Models from pair counts. Half of the random model is uniform, so alphabets that no sample has still count."""
+    """Models from pair counts.
+
+    Half of the random model is uniform, so alphabets that no sample has still count. The
+    ordinary model backs off to single characters, so pairs after a rare one tell too.
+    """
     learned = (random + 0.1) / (random.sum(1, keepdims=True) + 0.1 * SIZE)
-    usual = (ordinary + 0.5) / (ordinary.sum(1, keepdims=True) + 0.5 * SIZE)
+    single = (ordinary.sum(0) + 0.5) / (ordinary.sum() + 0.5 * SIZE)
+    usual = (ordinary + 4 * single) / (ordinary.sum(1, keepdims=True) + 4)
     return Model(np.log(0.5 * learned + 0.5 / SIZE) - np.log(usual))
 
 

