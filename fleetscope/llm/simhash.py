@@ -63,17 +63,25 @@ def majority(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp long) per row; null and blank texts have fingerprint zero. Extra columns are not read."""
+    return _prints(docs.select("doc_id", F.col("text").cast("string")), width, seed)
+
+
+def _prints(rows: DataFrame, width: int, seed: int) -> DataFrame:
+    """``rows`` with a long ``fp`` in place of their string ``text``."""
+    at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(at)
             found = np.fromiter(
                 (majority(shingle_hashes((t.as_py() or "").encode(), width, seed)) for t in texts), np.uint64, len(texts)
             )
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in others), signed(found)], [*names, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp long")
+    others = [k for k in range(len(rows.columns)) if k != at]
+    names = [rows.columns[k] for k in others]
+    kinds = [f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names]
+    return rows.mapInArrow(run, ", ".join([*kinds, "fp long"]))
 
 
 @dataclass(frozen=True)
@@ -222,6 +230,13 @@ def _long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _rooted(nodes: DataFrame, radius: int, parts: int) -> DataFrame:
+    """``nodes`` (one row per ``fp``) with ``root``, a fingerprint that names the class."""
+    roots = components(links(nodes.select("fp"), radius, parts), "a", "b")
+    found = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return found.select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def classes(prints: DataFrame, radius: int = 3, parts: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) of (doc_id, fp): the smallest doc_id reachable over links.
 
@@ -229,11 +244,7 @@ def classes(prints: DataFrame, radius: int = 3, parts: int = 2) -> DataFrame:
     not name it, unless it has no other; repeated rows come out as often as they went in.
     """
     prints = cut_lineage(prints)
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp"), radius, parts), "a", "b")
-    labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    labelled = _rooted(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), radius, parts)
     named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(labelled.select("fp", "root").join(named, "root"), "fp").select("doc_id", "fp", "component_id")
 
@@ -245,12 +256,18 @@ def fingerprint_text(fp: str = "fp"):
 def one_of_each(docs: DataFrame, width: int = 5, radius: int = 5, parts: int = 3, seed: int = 42) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates, the one with the smallest doc_id; columns stay.
 
-    Of rows that share that doc_id one stays. Null doc_ids stay only where a class has no other.
+    Of rows that share that doc_id the one with the smallest hash of its text stays. Null
+    doc_ids stay only where a class has no other. Rows are known by doc_id and hash of the
+    text, so a doc_id that is null or stands in several classes is decided in each by itself.
     """
-    found = classes(fingerprints(docs, width, seed), radius, parts)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = cut_lineage(kept.select(F.col("doc_id").alias("__kept"), "n"))
-    same = F.col("doc_id").eqNullSafe(F.col("__kept"))
-    single = docs.join(kept.where("n = 1"), same, "left_semi")
-    several = docs.join(kept.where("n > 1"), same, "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(several)
+    key = F.xxhash64(F.col("text").cast("string"))
+    prints = _prints(docs.select("doc_id", key.alias("text_hash"), F.col("text").cast("string")), width, seed)
+    rows = cut_lineage(prints.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n")))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")
+    nodes = cut_lineage(rows.groupBy("fp").agg(F.min(first).alias("least")))
+    kept = _rooted(nodes, radius, parts).groupBy("root").agg(F.min("least").alias("least"))
+    kept = cut_lineage(kept.select(F.col("least.doc_id").alias("__kept"), F.col("least.text_hash").alias("__hash"), "least.n"))
+    same = F.col("doc_id").eqNullSafe(F.col("__kept")) & (key == F.col("__hash"))
+    single = docs.join(kept.where("n = 1").drop("n"), same, "left_semi")
+    several = docs.join(kept.where("n > 1").drop("n"), same, "left_semi").withColumn("__hash", key)
+    return single.unionByName(several.dropDuplicates(["doc_id", "__hash"]).drop("__hash"))

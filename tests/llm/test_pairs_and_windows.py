@@ -81,6 +81,17 @@ def test_simhash_on_nothing_and_one_of_each(spark, docs, corpus, nothing):
     assert simhash.one_of_each(nothing).count() == 0
 
 
+def test_one_of_each_decides_by_row(spark):
+    """Null ids, one id with two texts, an id that is a copy in one class and alone in another, and repeated rows."""
+    rng = np.random.default_rng(7)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 80)) for _ in range(12)]
+    rows = [(None, text[k]) for k in range(6)] + [(None, text[0])] * 3
+    rows += [(1, text[6]), (1, text[7]), (3, text[8]), (5, text[8]), (5, text[9]), (None, text[9]), (7, text[10]), (7, text[10]), (None, text[11]), (8, text[11])]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    expected = [(None, text[k]) for k in range(6)] + [(1, text[6]), (1, text[7]), (3, text[8]), (5, text[9]), (7, text[10]), (8, text[11])]
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(expected)
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(k, k + 1) for k in range(0, 300)]
     star = [(1000, 1000 + k) for k in range(1, 500)]
