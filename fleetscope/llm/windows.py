@@ -11,6 +11,10 @@ segment) hold exactly its windows, and every window of the corpus lies in one se
    windows meet in one shard, where an index decides about each window.
 4. The answers go back to the chunks.
 
+An anchor in ever different surroundings has as many segments as occurrences. Step 2 also
+counts the segments of each anchor, and where they are more than ``Search.most``, step 3 deals its
+windows one by one, by a hash of the whole window: equal windows still meet, no anchor is gathered whole.
+
 Nothing grows with a group of copies but the counts of its segments, and no pairs are made.
 Hashes only route and name segments of 64 bits; which windows are equal is for the index.
 """
@@ -129,6 +133,21 @@ def runs_of(units: Units, window: int, gram: int) -> Runs:
     return Runs(*(np.concatenate(x) for x in zip(*found)))
 
 
+def singly(units: Units, runs: Runs, split: np.ndarray, window: int) -> Runs:
+    """``runs`` in their order, those in ``split`` as one run per window that is its own anchor."""
+    times = np.where(split, runs.count, 1)
+    which = np.repeat(np.arange(len(times)), times)
+    first = runs.first[which] + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+    alone, anchor, segment = split[which], runs.anchor[which], runs.segment[which]
+    up, at = _powers(window)[0][:window], np.flatnonzero(alone)
+    for a in range(0, len(at), 1 << 15):
+        own = at[a : a + (1 << 15)]
+        letters = units.letters[first[own][:, None] + np.arange(window)]
+        segment[own] = mix((letters * up).sum(1, dtype=np.uint64) + np.uint64(1))
+    anchor[at] = mix(~segment[at])
+    return Runs(runs.row[which], first, np.where(alone, 1, runs.count[which]), anchor, segment)
+
+
 def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
     return ((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -142,6 +161,8 @@ class Search:
     words: bool
     decide: Callable[[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
     kind: str
+    most: int = 1 << 13
+    """Segments of one anchor (distinct ones per chunk) that may go to one bucket."""
 
 
 @dataclass(frozen=True)
@@ -180,40 +201,51 @@ def _chunk(r) -> Chunk:
 
 
 def _anchor_asks(search: Search, buckets: int):
-    """Per chunk and bucket: 48 bits of each distinct anchor, and which are there twice already."""
+    """Per chunk and bucket: 48 bits of each distinct anchor, and 0 if it is there once, else its distinct segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 chunk = _chunk(r)
-                anchors = runs_of(units_of(chunk.data, chunk.offsets, search.words), search.window, search.gram).anchor
-                keys, times = np.unique(anchors >> np.uint64(16), return_counts=True)
+                runs = runs_of(units_of(chunk.data, chunk.offsets, search.words), search.window, search.gram)
+                keys, which, times = np.unique(runs.anchor >> np.uint64(16), return_inverse=True, return_counts=True)
+                segments = np.bincount(which[np.unique(runs.segment, return_index=True)[1]], minlength=len(keys))
+                several = np.where(times > 1, segments, 0).astype(np.uint32)
                 cut = np.searchsorted(bucket_of(keys << np.uint64(16), buckets), np.arange(buckets + 1))
                 rows = []
                 for k in range(buckets):
                     own = keys[cut[k] : cut[k + 1]]
                     if len(own):
                         high = np.diff(own >> np.uint64(16), prepend=np.uint64(0)).astype(np.uint32)
-                        rows.append((k, r["chunk"], len(own), packed(high), packed((own & np.uint64(0xFFFF)).astype(np.uint16)), packed(np.packbits(times[cut[k] : cut[k + 1]] > 1))))
+                        rows.append((k, r["chunk"], len(own), packed(high), packed((own & np.uint64(0xFFFF)).astype(np.uint16)), packed(several[cut[k] : cut[k + 1]])))
                 if rows:
                     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["bucket", "chunk", "n", "high", "low", "twice"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["bucket", "chunk", "n", "high", "low", "several"])
 
     return run
 
 
-def _anchor_answers(rows: pd.DataFrame) -> pd.DataFrame:
-    keys, twice = [], []
-    for r in rows.itertuples():
-        high = np.cumsum(unpacked(r.high, "u4", r.n).astype(np.uint64))
-        keys.append(high << np.uint64(16) | unpacked(r.low, "u2", r.n).astype(np.uint64))
-        twice.append(np.unpackbits(unpacked(r.twice, "u1", (r.n + 7) // 8), count=r.n))
-    distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
-    again = np.bincount(which, weights=1 + np.concatenate(twice)) > 1
-    cut = np.cumsum([0] + [len(x) for x in keys])
-    return pd.DataFrame({
-        "chunk": rows.chunk, "bucket": rows.bucket, "again": [packed(np.packbits(again[which[a:b]])) for a, b in zip(cut, cut[1:])],
-    })
+def _anchor_answers(search: Search):
+    """Per chunk and bucket: bits of the anchors that occur twice, and of those with too many segments (empty if none)."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, several = [], []
+        for r in rows.itertuples():
+            high = np.cumsum(unpacked(r.high, "u4", r.n).astype(np.uint64))
+            keys.append(high << np.uint64(16) | unpacked(r.low, "u2", r.n).astype(np.uint64))
+            several.append(unpacked(r.several, "u4", r.n))
+        distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+        several = np.concatenate(several)
+        again = np.bincount(which, weights=1 + (several > 0)) > 1
+        many = np.bincount(which, weights=np.maximum(several, 1)) > search.most
+        cut = np.cumsum([0] + [len(x) for x in keys])
+        bits = lambda x: packed(np.packbits(x))
+        return pd.DataFrame({
+            "chunk": rows.chunk, "bucket": rows.bucket, "again": [bits(again[which[a:b]]) for a, b in zip(cut, cut[1:])],
+            "many": [bits(many[which[a:b]]) if many[which[a:b]].any() else b"" for a, b in zip(cut, cut[1:])],
+        })
+
+    return run
 
 
 def _segment_asks(search: Search, buckets: int):
@@ -225,11 +257,18 @@ def _segment_asks(search: Search, buckets: int):
         runs = runs_of(units, search.window, search.gram)
         keys, which = np.unique(runs.anchor >> np.uint64(16), return_inverse=True)
         cut = np.searchsorted(bucket_of(keys << np.uint64(16), buckets), np.arange(buckets + 1))
-        again = np.ones(len(keys), bool)
+        again, many = np.ones(len(keys), bool), np.zeros(len(keys), bool)
         for a in answers.itertuples():
             n = cut[a.bucket + 1] - cut[a.bucket]
             again[cut[a.bucket] : cut[a.bucket + 1]] = np.unpackbits(unpacked(a.again, "u1", (n + 7) // 8), count=n)
+            if a.many:
+                many[cut[a.bucket] : cut[a.bucket + 1]] = np.unpackbits(unpacked(a.many, "u1", (n + 7) // 8), count=n)
         live = np.flatnonzero(again[which]) if len(which) else np.zeros(0, np.int64)
+        split = keys[many]
+        if len(split):
+            runs = Runs(*(x[live] for x in (runs.row, runs.first, runs.count, runs.anchor, runs.segment)))
+            runs = singly(units, runs, many[which[live]], search.window)
+            live = np.arange(len(runs.row))
         names, at, inverse, times = np.unique(runs.segment[live], return_index=True, return_inverse=True, return_counts=True)
         least = np.full(len(names), np.iinfo(np.int64).max)
         np.minimum.at(least, inverse, chunk.keys[runs.row[live]])
@@ -244,14 +283,15 @@ def _segment_asks(search: Search, buckets: int):
             if i < j:
                 joined = b"".join(text[a:b] for a, b in zip(begin[i:j].tolist(), stop[i:j].tolist()))
                 rows.append((k, key[0], j - i, len(joined), packed(names[i:j]), packed(runs.count[at[i:j]].astype(np.uint32)), packed((stop - begin)[i:j].astype(np.uint32)),
-                             packed(times[i:j].astype(np.uint32)), packed(least[i:j]), pa.compress(joined, codec="zstd", asbytes=True)))
+                             packed(times[i:j].astype(np.uint32)), packed(least[i:j]), pa.compress(joined, codec="zstd", asbytes=True),
+                             0 if rows else len(split), b"" if rows else packed(split)))
         return pd.DataFrame(rows, columns=_SEGMENTS)
 
     return run
 
 
-_SEGMENTS = ["bucket", "chunk", "n", "size", "names", "windows", "lengths", "times", "least", "text"]
-_SEGMENT_SCHEMA = "bucket int, chunk long, n long, size long, names binary, windows binary, lengths binary, times binary, least binary, text binary"
+_SEGMENTS = ["bucket", "chunk", "n", "size", "names", "windows", "lengths", "times", "least", "text", "n_split", "split"]
+_SEGMENT_SCHEMA = "bucket int, chunk long, n long, size long, names binary, windows binary, lengths binary, times binary, least binary, text binary, n_split long, split binary"
 
 
 def _shard(search: Search):
@@ -282,13 +322,13 @@ def _shard(search: Search):
             place = np.arange(n) + np.repeat(shift[own] - (np.cumsum(size) - size), size)
             values = said[place]
             change = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-            out.append((r.chunk, r.n, n, len(change), r.names, packed(size.astype(np.uint32)), packed(np.diff(np.r_[change, n]).astype(np.uint32)), packed(values[change])))
-        return pd.DataFrame(out, columns=["chunk", "n", "n_windows", "n_steps", "names", "windows", "steps", "said"])
+            out.append((r.chunk, r.n, n, len(change), r.names, packed(size.astype(np.uint32)), packed(np.diff(np.r_[change, n]).astype(np.uint32)), packed(values[change]), r.n_split, r.split))
+        return pd.DataFrame(out, columns=["chunk", "n", "n_windows", "n_steps", "names", "windows", "steps", "said", "n_split", "split"])
 
     return run
 
 
-_ANSWER = "chunk long, n long, n_windows long, n_steps long, names binary, windows binary, steps binary, said binary"
+_ANSWER = "chunk long, n long, n_windows long, n_steps long, names binary, windows binary, steps binary, said binary, n_split long, split binary"
 
 
 def by_bucket(rows: DataFrame, buckets: int) -> GroupedData:
@@ -306,8 +346,8 @@ def found_windows(docs: DataFrame, search: Search, finish: Callable[[Chunk, Unit
     """
     buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunk = chunks(docs)
-    asks = chunk.mapInArrow(_anchor_asks(search, buckets), "bucket int, chunk long, n long, high binary, low binary, twice binary")
-    again = by_bucket(asks, buckets).applyInPandas(_anchor_answers, "chunk long, bucket int, again binary")
+    asks = chunk.mapInArrow(_anchor_asks(search, buckets), "bucket int, chunk long, n long, high binary, low binary, several binary")
+    again = by_bucket(asks, buckets).applyInPandas(_anchor_answers(search), "chunk long, bucket int, again binary, many binary")
     own = chunk.groupBy("chunk")
     segments = own.cogroup(again.groupBy("chunk")).applyInPandas(_segment_asks(search, buckets), _SEGMENT_SCHEMA)
     answers = by_bucket(segments, buckets).applyInPandas(_shard(search), _ANSWER)
@@ -319,6 +359,9 @@ def found_windows(docs: DataFrame, search: Search, finish: Callable[[Chunk, Unit
         none = np.zeros(0, np.int64)
         names, sizes, values = [none.astype(np.uint64)], [none], [np.zeros(0, search.kind)]
         for a in said.itertuples():
+            if a.n_split:
+                split = np.isin(runs.anchor >> np.uint64(16), unpacked(a.split, "u8", a.n_split))
+                runs = singly(units, runs, split, search.window)
             names.append(unpacked(a.names, "u8", a.n))
             sizes.append(unpacked(a.windows, "u4", a.n).astype(np.int64))
             values.append(np.repeat(unpacked(a.said, search.kind, a.n_steps), unpacked(a.steps, "u4", a.n_steps)))

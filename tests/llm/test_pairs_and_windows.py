@@ -1,7 +1,9 @@
 import hashlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -153,6 +155,44 @@ def test_windows_with_zero_bytes_and_nothing(spark, nothing):
     assert suffixes.remove_copied(nothing).count() == 0 and fmindex.remove_repeats(nothing).count() == 0
 
 
+def frequent_gram():
+    """120 texts that hold one gram in different surroundings, some of them twice."""
+    rng = np.random.default_rng(11)
+    some = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 900, n))
+    rows = [(k, some(20) + " licensed under these terms " + some(20)) for k in range(120)]
+    return rows + [(200 + k, some(9) + " " + rows[k][1] + " " + some(3)) for k in range(0, 120, 9)] + [(None, rows[5][1])]
+
+
+@pytest.mark.parametrize("most", [3, 20, 1 << 13])
+def test_split_anchors_match_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(windows, "CHUNK_BYTES", 4000)
+    rows = frequent_gram()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    corpus = [(*r, None) for r in rows]
+    for module in (fmindex, suffixes):
+        made = replace(module.search(12, 3) if module is fmindex else module.search(50, 18), most=most)
+        monkeypatch.setattr(module, "search", lambda *_, made=made: made)
+    found = fmindex.remove_repeats(docs, 12, 3).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found) == brute_windows(corpus, 12)
+    found = suffixes.remove_copied(docs).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found) == brute_copied(corpus, 50)
+
+
+def test_no_bucket_gathers_a_frequent_anchor(spark):
+    """Frequent words among ever different ones: the shard says of each window how many segments it was given."""
+    rows = [(k, f"{k}x the of {k}y and to {k}z in or") for k in range(3000)]
+
+    def given(text, lengths, counts, times, least):
+        return np.full(int(counts.sum()), len(lengths), np.int64)
+
+    def finish(chunk, units, row, start, said):
+        return pd.DataFrame({"most": [int(said.max(initial=0))], "n": [len(said)]})
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = windows.found_windows(docs, windows.Search(9, 1, True, given, "i8", most=200), finish, "most long, n long").collect()
+    assert 0 < max(r["most"] for r in made) < 600 and sum(r["n"] for r in made) > 1000
+
+
 def test_fm_index_counts_weighted_occurrences():
     rng = np.random.default_rng(5)
     text = rng.integers(1, 7, 500)
