@@ -21,7 +21,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.llm.links import components
@@ -31,6 +31,8 @@ from fleetscope.runtime import cut_lineage
 BITS = 64
 SAMPLE = 4_000
 """Fingerprints that the plan is fitted on; the index holds all of them."""
+PARTS = (2, 3, 4, 5, 6)
+"""Numbers of parts that a plan chooses from."""
 
 
 def shingle_hashes(text: bytes, width: int, seed: int) -> np.ndarray:
@@ -123,33 +125,41 @@ def group_bits(sample: np.ndarray, parts: int) -> tuple[int, ...]:
     return tuple(masks)
 
 
-def make_plan(sample: np.ndarray, rows: int, radius: int = 3, parts: int = 2) -> Plan:
+def make_plan(sample: np.ndarray, rows: int, radius: int = 3, parts: int | None = None) -> Plan:
     """Parts from correlations, thresholds by dynamic programming on estimated costs.
 
     The cost of a threshold in a part is one unit per probe and a twentieth per candidate
     pair; candidates are the sample's share of pairs within the threshold, times all pairs.
+    Chance alone makes candidates too, so the share is never taken below that of evenly
+    spread bits. Without ``parts`` the cheapest of PARTS stands: many short parts for few
+    rows, few long ones for many. Of plans that cost the same, the one with fewer probes.
     """
-    masks = group_bits(sample, parts) if len(sample) > 1 else tuple(
-        sum(1 << j for j in range(BITS * k // parts, BITS * (k + 1) // parts)) for k in range(parts)
-    )
-    costs = []
-    for mask in masks:
-        width, share = mask.bit_count(), np.zeros(radius + 1)
-        for x in sample[:1000]:
-            near = np.bitwise_count((sample ^ x) & np.uint64(mask))
-            share += [np.count_nonzero(near <= t) - 1 for t in range(radius + 1)]
-        pairs = share / max(1, len(sample[:1000]) * (len(sample) - 1)) * rows * rows / 2
-        costs.append([0.0] + [rows * sum(comb(width, k) for k in range(t + 1)) + pairs[t] / 20 for t in range(radius + 1)])
-    best = {0: (0.0, ())}  # units of threshold + 1 that are spent: cost, thresholds
-    for cost in costs:
-        step: dict[int, tuple[float, tuple[int, ...]]] = {}
-        for spent, (so_far, chosen) in best.items():
-            for units in range(radius + 2 - spent):
-                total = so_far + cost[units]
-                if spent + units not in step or total < step[spent + units][0]:
-                    step[spent + units] = (total, chosen + (units - 1,))
-        best = step
-    return Plan(masks, best[radius + 1][1])
+    rows, found = max(rows, 1), []
+    for number in (parts,) if parts else PARTS:
+        masks = group_bits(sample, number) if len(sample) > 1 else tuple(
+            sum(1 << j for j in range(BITS * k // number, BITS * (k + 1) // number)) for k in range(number)
+        )
+        costs = []
+        for mask in masks:
+            width, share = mask.bit_count(), np.zeros(radius + 1)
+            for x in sample[:1000]:
+                near = np.bitwise_count((sample ^ x) & np.uint64(mask))
+                share += [np.count_nonzero(near <= t) - 1 for t in range(radius + 1)]
+            share /= max(1, len(sample[:1000]) * (len(sample) - 1))
+            probes = [sum(comb(width, k) for k in range(t + 1)) for t in range(radius + 1)]
+            pairs = [max(s, p / 2.0**width) * rows * rows / 2 for s, p in zip(share, probes)]
+            costs.append([(0.0, 0)] + [(rows * p + q / 20, p) for p, q in zip(probes, pairs)])
+        best = {0: (0.0, 0, ())}  # units of threshold + 1 that are spent: cost, probes, thresholds
+        for cost in costs:
+            step: dict[int, tuple[float, int, tuple[int, ...]]] = {}
+            for spent, (so_far, probes, chosen) in best.items():
+                for units in range(radius + 2 - spent):
+                    total = (so_far + cost[units][0], probes + cost[units][1], chosen + (units - 1,))
+                    if spent + units not in step or total < step[spent + units]:
+                        step[spent + units] = total
+            best = step
+        found.append((*best[radius + 1][:2], Plan(masks, best[radius + 1][2])))
+    return min(found, key=lambda x: x[:2])[2]
 
 
 def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -207,37 +217,44 @@ def _bucket_links(masks: list[int], radius: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int = 3, parts: int = 2) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 3, parts: int | None = None) -> DataFrame:
     """Links (a, b) between different values of ``distinct.fp`` that connect all within ``radius``.
 
     Each value goes to the buckets of its own parts and of all that lie within the part's
     threshold. A bucket yields a spanning forest of what lies in it, never all pairs, so a
-    large group of near copies makes links in proportion to its size.
+    large group of near copies makes links in proportion to its size. Fewer than two
+    values have no links.
     """
     rows = distinct.count()
+    if rows < 2:
+        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     sample = distinct.orderBy(F.xxhash64(F.col("fp"))).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64)
     plan = make_plan(sample.view(np.uint64), rows, radius, parts)
-    keys = F.array(*[
-        F.col("fp").bitwiseAND(F.lit(_long(mask))).bitwiseXOR(F.lit(_long(x)))
-        for mask, flips in plan.variations() for x in flips
-    ])
+    keys = F.concat(*[_probes(mask, flips) for mask, flips in plan.variations()])
     dealt = distinct.select(F.explode(keys).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
     run = _bucket_links([mask for mask, _ in plan.variations()], radius)
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _probes(mask: int, flips: list[int]) -> Column:
+    """The keys of a part: one literal array, whatever the number of flips."""
+    own = F.col("fp").bitwiseAND(F.lit(_long(mask)))
+    all_ = F.split(F.lit(",".join(str(_long(x)) for x in flips)), ",").cast("array<bigint>")
+    return F.transform(all_, lambda x: x.bitwiseXOR(own))
+
+
 def _long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _rooted(nodes: DataFrame, radius: int, parts: int) -> DataFrame:
+def _rooted(nodes: DataFrame, radius: int, parts: int | None) -> DataFrame:
     """``nodes`` (one row per ``fp``) with ``root``, a fingerprint that names the class."""
     roots = components(links(nodes.select("fp"), radius, parts), "a", "b")
     found = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     return found.select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
 
 
-def classes(prints: DataFrame, radius: int = 3, parts: int = 2) -> DataFrame:
+def classes(prints: DataFrame, radius: int = 3, parts: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of (doc_id, fp): the smallest doc_id reachable over links.
 
     Equal fingerprints are one node. Rows with a null doc_id belong to their class but do
@@ -253,7 +270,7 @@ def fingerprint_text(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, width: int = 5, radius: int = 5, parts: int = 3, seed: int = 42) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = 5, radius: int = 5, parts: int | None = None, seed: int = 42) -> DataFrame:
     """``docs`` with one row of each class of near-duplicates, the one with the smallest doc_id; columns stay.
 
     Of rows that share that doc_id the one with the smallest hash of its text stays. Null

@@ -72,6 +72,21 @@ def test_simhash_plan_spends_the_radius():
         plan = simhash.make_plan(sample, 10_000, radius, parts)
         assert sum(t + 1 for t in plan.thresholds) == radius + 1
         assert sum(plan.masks) == (1 << 64) - 1 and len(plan.masks) == parts
+    probes = []
+    for rows in (0, 1, 10**5, 10**8, 10**11):
+        plan = simhash.make_plan(sample if rows > 1 else sample[:rows], rows, 5)
+        assert sum(t + 1 for t in plan.thresholds) == 6
+        probes.append(sum(len(x) for _, x in plan.variations()))
+    assert probes[0] <= 6 and probes == sorted(probes), "longer keys, and so more probes, for more rows"
+
+
+def test_probes_are_one_expression(spark):
+    """However many bits are varied: no plan writes an expression per probe."""
+    keys = simhash._probes(0xFFFF, [x for x in range(20_000)])
+    frame = spark.createDataFrame([(5,), (-1,)], "fp long").select(keys.alias("k"))
+    assert len(frame._jdf.queryExecution().analyzed().toString()) < 500_000
+    got = [r["k"] for r in frame.collect()]
+    assert [len(x) for x in got] == [20_000] * 2 and got[0][:4] == [5, 4, 7, 6] and got[1][0] == 0xFFFF
 
 
 def test_simhash_on_nothing_and_one_of_each(spark, docs, corpus, nothing):
