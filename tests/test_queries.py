@@ -14,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 SAMPLE = [
     "blocking_chains_rings", "blocker_closure", "primary_wait", "session_request_join", "task_summary", "lock_inventory", "lock_document",
     "session_deltas", "transaction_text", "cpu_history", "replace_today", "job_definition_drift", "unsynced_databases", "tempdb_tracking",
-    "report_document", "alert_events_storm", "outbox_pending", "resolve_selection", "backup_files", "integrity_plan", "index_plan",
+    "report_document", "alert_events_storm", "outbox_pending", "resolve_selection", "backup_files", "integrity_plan", "index_plan", "partition_counts",
     "session_snapshot", "stream_drift",
 ]
 
