@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from fleetscope.llm.spans import span_hashes, word_spans
+from fleetscope.llm.spans import named, word_spans
 from fleetscope.llm.windows import Chunk, Search, Units, covered, found_windows
 
 ORDER = 64
@@ -99,12 +99,7 @@ def repeated(window: int):
     def decide(text: bytes, lengths: np.ndarray, windows: np.ndarray, times: np.ndarray, least: np.ndarray) -> np.ndarray:
         data = np.frombuffer(text, np.uint8)
         starts, ends, owner = word_spans(data, np.r_[0, np.cumsum(lengths)])
-        letters = np.empty(len(starts), np.uint64)
-        for a in range(0, len(starts), 1 << 17):
-            b = min(len(starts), a + (1 << 17))
-            base = starts[a]
-            letters[a:b] = span_hashes(data[base : ends[b - 1]], starts[a:b] - base, ends[a:b] - base)
-        symbol = np.unique(letters, return_inverse=True)[1] + 1
+        symbol = named(data, starts, ends)[0] + 1
         words = windows + window - 1
         begin = np.cumsum(words + 1) - words - 1  # a break after each segment
         flat = np.zeros(int((words + 1).sum()), np.int64)

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.llm import chunking, fmindex, hpylm, mixing, packing, quality, secrets, simhash, suffixes, urls
+from fleetscope.llm import chunking, fmindex, hpylm, infill, mixing, packing, pivots, quality, secrets, simhash, suffixes, urls, winnowing
+from fleetscope.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(name: str):
@@ -101,3 +101,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_suffix_array_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_copied(table(spark, sf_dir, "documents"), window=50).drop("kept")
+
+
+@query("op11_centroid_clustering")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.with_inertia(pivots.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, size=64, scale=1024, seed=3))
+
+
+@query("op12_fill_in_middle")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored("output", "form"), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@query("op13_benchmark_decontamination")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10, gram=5)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 2 << 20
 """Bytes that are hashed at a time; bounds the arrays that stand beside a batch."""
@@ -53,12 +54,12 @@ def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, row) of every word, in order."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row) of every word, in order; ``outside`` marks the byte values between words."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~SPACE[data]
+    inside = ~outside[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     begins = inside.copy()
@@ -85,12 +86,61 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+_LONG = 128
+_TAILS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 8, np.uint64, padded, strides=(1,))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: equal bytes have equal hashes wherever they stand."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LETTERS[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of byte spans: equal bytes have equal hashes wherever they stand.
+
+    Eight bytes at a time go through ``mix``, longer spans through XXH3. No two spans of
+    one length up to eight bytes share a hash; for longer ones chance decides.
+    """
+    lanes, size = _lanes(data), ends - starts
+    found = mix(size.astype(np.uint64) ^ np.uint64(_BASE))
+    live, done = np.flatnonzero((size > 0) & (size <= _LONG)), 0
+    while len(live):
+        rest = size[live] - done
+        found[live] = mix(found[live] ^ lanes[starts[live] + done] & _TAILS[np.minimum(rest, 8)])
+        live, done = live[rest > 8], done + 8
+    for k in np.flatnonzero(size > _LONG).tolist():
+        found[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes(), 7)
+    return found
+
+
+def _same(data: np.ndarray, starts: np.ndarray, others: np.ndarray, size: np.ndarray) -> bool:
+    """Whether the ``size`` bytes from each of ``starts`` and of ``others`` are equal throughout."""
+    lanes = _lanes(data)
+    live, done = np.flatnonzero((size <= _LONG) & (starts != others)), 0
+    while len(live):
+        rest = size[live] - done
+        if ((lanes[starts[live] + done] ^ lanes[others[live] + done]) & _TAILS[np.minimum(rest, 8)]).any():
+            return False
+        live, done = live[rest > 8], done + 8
+    long = np.flatnonzero((size > _LONG) & (starts != others)).tolist()
+    return all(np.array_equal(data[starts[k] : starts[k] + size[k]], data[others[k] : others[k] + size[k]]) for k in long)
+
+
+def named(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a number for each span, the place of a first span of each number): equal numbers exactly for equal bytes.
+
+    Hashes group the spans, a comparison of the bytes proves the groups, and should two
+    spans share a hash by chance, the bytes themselves are the names.
+    """
+    _, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    if (size == size[first][which]).all() and _same(data, starts, starts[first][which], size):
+        return which, first
+    text, names = data.tobytes(), {}
+    which = np.fromiter((names.setdefault(text[a:b], len(names)) for a, b in zip(starts.tolist(), ends.tolist())), np.int64, len(starts))
+    return which, np.unique(which, return_index=True)[1]
 
 
 def signed(x: np.ndarray) -> pa.Array:

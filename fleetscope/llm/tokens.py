@@ -13,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 
-from fleetscope.llm.spans import SPACE, blocks, span_hashes
+from fleetscope.llm.spans import SPACE, named
 
 # Fixed value: how byte-level BPE splits a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -123,12 +123,7 @@ class Encoder:
         row = np.searchsorted(offsets, starts, "right") - 1
         own = usual[row]
         starts, ends, row = starts[own], ends[own], row[own]
-        hashes = np.empty(len(starts), np.uint64)
-        for a, b in blocks(offsets):
-            i, j = np.searchsorted(row, [a, b])
-            base = offsets[a]
-            hashes[i:j] = span_hashes(data[base : offsets[b]], starts[i:j] - base, ends[i:j] - base)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        which, first = named(data, starts, ends)
         text = data.tobytes()
         found = [self.quick(text[a:b].decode()) for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
