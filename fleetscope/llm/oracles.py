@@ -7,7 +7,7 @@ ORACLES: dict[str, str] = {}
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 ORACLES["op6_substring_dedup"] = rf"""
-WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS words FROM documents),
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS words FROM documents),
      places AS (SELECT r, unnest(range(1, len(words) + 1)) AS i, words FROM docs),
      starts AS (SELECT r, i, words[i] AS word, CASE WHEN i + 34 <= len(words) THEN md5(array_to_string(words[i:i + 34], ' ')) END AS w FROM places),
      again AS (SELECT *, CAST(w IS NOT NULL AND count(*) OVER (PARTITION BY w) > 1 AS INTEGER) AS hit FROM starts),
@@ -17,10 +17,12 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha25
 """
 
 ORACLES["op7_suffix_array_dedup"] = """
-WITH docs AS (
+WITH docs AS MATERIALIZED (
        SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
-     places AS (SELECT r, k, h, unnest(range(1, len(h) // 2 + 1)) AS i FROM docs),
-     starts AS (SELECT r, k, i, substr(h, 2 * i - 1, 2) AS byte, CASE WHEN 2 * (i + 49) <= len(h) THEN md5(substr(h, 2 * i - 1, 100)) END AS w FROM places),
+     places AS (SELECT r, k, unnest(range(1, len(h) // 2 + 1)) AS i, unnest(regexp_extract_all(h, '..')) AS byte FROM docs),
+     starts AS (
+       SELECT r, k, i, byte, CASE WHEN count(*) OVER ahead = 50 THEN string_agg(byte, '') OVER ahead END AS w
+       FROM places WINDOW ahead AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
      first AS (SELECT w, min(k) AS least FROM starts WHERE w IS NOT NULL GROUP BY w),
      hits AS (SELECT r, i, byte, CAST(coalesce(least < k, FALSE) AS INTEGER) AS hit FROM starts LEFT JOIN first USING (w)),
      judged AS (SELECT *, sum(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0 AS gone FROM hits),
@@ -85,7 +87,7 @@ FROM cut
 """
 
 ORACLES["op13_benchmark_decontamination"] = r"""
-WITH docs AS (
+WITH docs AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
   FROM documents),
