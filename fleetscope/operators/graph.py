@@ -1,8 +1,9 @@
 """Wait-for graph: blocked counts, blocker closure and block leaders.
 
-Edges point from a blocked session to its blocker. All walks use pointer doubling:
-after round ``k`` every live pointer spans ``2**k`` edges, so the number of rounds is
-logarithmic in the longest chain and no ancestor pairs are ever listed.
+Edges point from a blocked session to its blocker. Walks use pointer doubling: after round
+``k`` every live pointer spans ``2**k`` edges, so the rounds are logarithmic in the longest
+chain. Every table has at most a row per session or edge; no pairs of a session and what is
+above or below it are listed.
 """
 
 from __future__ import annotations
@@ -27,23 +28,61 @@ def block_edges(sessions: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     )
 
 
+def lifting_levels(main: DataFrame, keys: Sequence[str], node: str, target: str, nodes: int) -> list[DataFrame]:
+    """Jump tables of a graph in which each node has one target: table ``k`` leads ``2**k`` edges ahead.
+
+    A table has a row per node that has so long a way before it, never more than the graph;
+    there is none beyond the longest way, or, with cycles, beyond ``nodes``.
+    """
+    at, levels = [*keys, node], [main.select(*keys, node, target)]
+    while 2 ** len(levels) <= nodes:
+        last = levels[-1]
+        onward = last.select(*keys, F.col(node).alias(target), F.col(target).alias("_beyond"))
+        further = cut_lineage(last.join(onward, [*keys, target]).select(*at, F.col("_beyond").alias(target)))
+        if further.isEmpty():
+            break
+        levels.append(further)
+    return levels
+
+
+def _mark(starts: DataFrame, levels: list[DataFrame], keys: Sequence[str], node: str, target: str) -> DataFrame:
+    """All nodes on the ways from ``starts``: from the longest jump down, each marked node marks where it leads."""
+    marked = starts
+    for k, level in enumerate(reversed(levels), 1):
+        ends = F.explode(F.array_compact(F.array(node, target))).alias(node)
+        marked = marked.join(level, [*keys, node], "left").select(*keys, ends).distinct()
+        if k % 4 == 0:
+            marked = cut_lineage(marked)
+    return marked
+
+
 def reachable(edges: DataFrame, starts: DataFrame, keys: Sequence[str], node: str, target: str) -> DataFrame:
-    """Nodes reachable from ``starts`` (included) along ``edges``, cycles allowed."""
+    """Nodes reachable from ``starts`` (included) along ``edges``, cycles allowed.
+
+    Each node's lowest target makes the main edges; their jump tables mark whole ways in a
+    logarithmic number of joins. Side edges, where a node has several targets, start the
+    next pass, from nodes not marked before; passes are as many as side edges on a way.
+    """
     at = [*keys, node]
-    hops = cut_lineage(edges.select(*at, target).distinct())
+    main = cut_lineage(edges.groupBy(*at).agg(F.min(target).alias(target), F.max(target).alias("_last")))
     found = cut_lineage(starts.select(*at).distinct())
-    size = found.count()
-    while True:
-        step = found.join(hops, at).select(*keys, F.col(target).alias(node))
-        found = cut_lineage(found.unionByName(step).distinct())
-        grown = found.count()
-        if grown == size:
-            return found
-        size = grown
-        onward = hops.select(*keys, F.col(node).alias(target), F.col(target).alias("_beyond"))
-        hops = cut_lineage(
-            hops.join(onward, [*keys, target]).select(*at, F.col("_beyond").alias(target)).distinct()
-        )
+    by_group = main.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("_last") > F.col(target)).alias("several"))
+    most, several = by_group.agg(F.max("n"), F.max("several")).first()
+    if not most:
+        return found
+    levels = lifting_levels(main, keys, node, target, most)
+    if not several:
+        return cut_lineage(_mark(found, levels, keys, node, target))
+    side = edges.join(main.filter(F.col("_last") > F.col(target)).withColumnRenamed(target, "_main"), at)
+    side = cut_lineage(side.filter(F.col(target) > F.col("_main")).select(*at, target).distinct())
+    fresh, known = found, None
+    while not fresh.isEmpty():
+        marked = _mark(fresh, levels, keys, node, target)
+        fresh = cut_lineage(marked if known is None else marked.join(known, at, "left_anti"))
+        known = fresh if known is None else cut_lineage(known.unionByName(fresh))
+        onward = fresh.join(side, at).select(*keys, F.col(target).alias(node)).distinct()
+        fresh = cut_lineage(onward.join(known, at, "left_anti"))
+    return known
 
 
 def blocker_closure(filtered: DataFrame, everything: DataFrame, keys: Sequence[str] = K) -> DataFrame:
@@ -71,8 +110,9 @@ def blocking_chains(sessions: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     """Per session: sessions blocked below it on all levels, hops to its top blocker, and that blocker.
 
     A session counts once per chain that reaches it, which is once unless it waits for
-    two blockers. A member of a cycle counts the other members and all that hang below
-    them; sessions in or below a cycle have no top blocker, so their depth and root are NULL.
+    two blockers. Sessions that all wait for each other, in one cycle or several entangled
+    ones, stand for one: each counts the others once and all that hang below them. Who has
+    no top blocker above, as in and below a lone cycle, has no depth and no root (NULL).
     """
     at = [*keys, "session_id"]
     edges = cut_lineage(block_edges(sessions, keys))
@@ -85,7 +125,7 @@ def blocking_chains(sessions: DataFrame, keys: Sequence[str] = K) -> DataFrame:
         tangled = labels.join(shared, at, "left_semi").select(*keys, "component").distinct()
         inside = cut_lineage(labels.join(tangled, [*keys, "component"], "left_semi").select(*at))
         plain = _forest_counts(cut_lineage(edges.join(inside, at, "left_anti")), keys)
-        linked = plain.unionByName(_layered_counts(cut_lineage(edges.join(inside, at, "left_semi")), keys))
+        linked = plain.unionByName(_condensed_counts(cut_lineage(edges.join(inside, at, "left_semi")), keys))
     found = F.col("_linked").isNotNull()
     # Sessions without any edge stand alone.
     return (
@@ -226,58 +266,155 @@ def _ring_labels(ring: DataFrame, keys: Sequence[str]) -> DataFrame:
 # ---- several blockers per session ----------------------------------------------------
 
 
-def _layered_counts(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Additive count, layer by layer from the unblocking ends upward.
+def strong_components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per session on an edge: ``strong``, one of the sessions that wait for it and that it waits for, or itself.
 
-    What is left when no free end remains is entangled in cycles; there the chains
-    are walked with their path, which only concerns sessions on such cycles and above.
+    In each pass sessions get random ranks. The least rank spreads forward and backward along
+    the edges until nothing changes; where a session got the same from both sides, it lies on
+    cycles with the session of that rank and is settled. Edges between sessions that got
+    different ranks lie on no cycle and go, so the pieces left shrink like those of a quicksort:
+    passes are logarithmic in the sessions. Within a pass ranks also travel along jumps of
+    doubled length on each session's lowest blocker, so long chains take few rounds.
     """
     at = [*keys, "session_id"]
-    left = edges
-    weights = (
-        edges.select(*at).union(edges.select(*keys, "blocker")).distinct()
-        .withColumn("weight", F.lit(0).cast("bigint"))
-    )
+    ends = edges.select(*at).union(edges.select(*keys, "blocker")).distinct()
+    left, open_, done, seed = edges.select(*at, "blocker"), cut_lineage(ends), None, 0
+    while not open_.isEmpty():
+        seed += 1
+        state = cut_lineage(_spread_ranks(open_, left, keys, seed))
+        settled = state.filter("ahead = behind").select(*at, F.col("ahead.id").alias("strong"))
+        done = cut_lineage(settled if done is None else done.unionByName(settled))
+        rest = state.filter("ahead <> behind")
+        open_ = cut_lineage(rest.select(*at))
+        mine = rest.select(*at, "ahead", "behind")
+        other = rest.select(*keys, F.col("session_id").alias("blocker"), F.col("ahead").alias("_ahead"), F.col("behind").alias("_behind"))
+        same = (F.col("ahead") == F.col("_ahead")) & (F.col("behind") == F.col("_behind"))
+        left = cut_lineage(left.join(mine, at).join(other, [*keys, "blocker"]).filter(same).select(*at, "blocker"))
+    return done
+
+
+def _spread_ranks(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
+    """``nodes`` with the least rank among those that reach them (``behind``) and that they reach (``ahead``)."""
+    at = [*keys, "session_id"]
+    rank = F.struct(F.xxhash64("session_id", F.lit(seed)).alias("rank"), F.col("session_id").alias("id"))
+    main = cut_lineage(edges.groupBy(*at).agg(F.min("blocker").alias("jump")))
+    first = nodes.join(main, at, "left").withColumns({"ahead": rank, "behind": rank})
+    state, rounds, until = cut_lineage(first), 0, nodes.count().bit_length()
+    none = F.lit(None).cast(state.schema["ahead"].dataType)
     while True:
-        blockers = left.select(*keys, F.col("blocker").alias("session_id")).distinct()
-        free = cut_lineage(left.join(blockers, at, "left_anti"))
-        if free.isEmpty():
-            break
-        gained = (
-            free.join(weights, at).groupBy(*keys, F.col("blocker").alias("session_id"))
-            .agg(F.sum(F.col("weight") + 1).alias("more"))
-        )
-        weights = cut_lineage(
-            weights.join(gained, at, "left")
-            .select(*at, (F.col("weight") + F.coalesce("more", F.lit(0))).alias("weight"))
+        rounds += 1
+        above = lambda name: state.select(*keys, F.col("session_id").alias(name), F.col("ahead").alias("_ahead"), F.col("jump").alias("_jump"))
+        hops = state.filter("jump is not null").select(*at, "jump", "behind").join(above("jump"), [*keys, "jump"], "left")
+        told = (
+            edges.join(state.select(*at, "behind"), at).select(*keys, F.col("blocker").alias("session_id"), none.alias("a"), F.col("behind").alias("b"))
+            .unionByName(edges.join(above("blocker"), [*keys, "blocker"]).select(*at, F.col("_ahead").alias("a"), none.alias("b")))
+            .unionByName(hops.select(*keys, F.col("jump").alias("session_id"), none.alias("a"), F.col("behind").alias("b")))
+            .unionByName(hops.select(*at, F.col("_ahead").alias("a"), none.alias("b")))
         )
-        left = cut_lineage(left.join(free.select(*at).distinct(), at, "left_anti"))
-    counts = weights.select(*at, F.col("weight").alias("blocked_session_count"))
-    if not left.isEmpty():
-        walked = _walk_paths(left, weights, keys)
-        counts = counts.join(walked, at, "left").select(
-            *at, (F.col("blocked_session_count") + F.coalesce("walked", F.lit(0))).alias("blocked_session_count")
+        least = told.groupBy(*at).agg(F.min("a").alias("a"), F.min("b").alias("b"))
+        # Jumps that left the chain start anew, for ranks that came in by a side edge.
+        again = main if rounds % until == 0 else hops.select(*at, F.col("_jump").alias("jump"))
+        moved = cut_lineage(
+            state.drop("jump").join(least, at, "left").join(again, at, "left").select(
+                *at, "jump", F.least("ahead", "a").alias("ahead"), F.least("behind", "b").alias("behind"),
+                (F.coalesce(F.col("a") < F.col("ahead"), F.lit(False)) | F.coalesce(F.col("b") < F.col("behind"), F.lit(False))).alias("_changed"),
+            )
         )
+        state = moved.drop("_changed")
+        if moved.filter("_changed").isEmpty():
+            return state.drop("jump")
+
+
+def _condensed_counts(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Count, depth and root of sessions with several blockers, cycles included.
+
+    ``worth`` of a session is itself and what is known to hang below it; an edge counts the
+    worth of its session ``times`` over. Free ends (nobody waits for them) hand their worth
+    up and go. What is not gone after a few rounds has long chains or cycles: the members of
+    a cycle become one session, once, and from then on chains of sessions for which just one
+    waits are bypassed now and then. Bypassed sessions and members are worked out at the
+    end, last ones first.
+    """
+    at = [*keys, "session_id"]
+    ends = edges.select(*at).union(edges.select(*keys, "blocker")).distinct()
+    left = cut_lineage(edges.select(*at, "blocker", F.lit(1).cast("bigint").alias("times")))
+    worth = cut_lineage(ends.withColumn("worth", F.lit(1).cast("bigint")))
+    later: list[DataFrame] = []  # (session, blocked one it depends on, add, factor)
+    rounds, acyclic = 0, False
+    while not left.isEmpty():
+        rounds += 1
+        waited_for = left.select(*keys, F.col("blocker").alias("session_id")).distinct()
+        free = left.join(waited_for, at, "left_anti")
+        gained = free.join(worth, at).groupBy(*keys, F.col("blocker").alias("session_id")).agg(F.sum(F.col("worth") * F.col("times")).alias("more"))
+        gained = cut_lineage(gained)
+        stuck = gained.isEmpty()
+        if not stuck:
+            worth = _add_worth(worth, gained, keys)
+            left = cut_lineage(left.join(waited_for, at, "left_semi"))
+        if (stuck or rounds % 4 == 0) and not left.isEmpty():
+            if not acyclic:
+                left, worth, members = _merge_cycles(left, worth, keys)
+                later.append(members)
+                acyclic = True
+            left, worth, bypassed = _bypass(left, worth, keys)
+            later.append(bypassed)
+    for one in reversed(later):
+        known = worth.select(*keys, F.col("session_id").alias("below"), "worth")
+        found = one.join(known, [*keys, "below"]).select(*at, (F.col("add") + F.col("factor") * F.col("worth")).alias("worth"))
+        worth = cut_lineage(worth.join(one, at, "left_anti").unionByName(found))
+    counts = worth.select(*at, (F.col("worth") - 1).alias("blocked_session_count"))
     return counts.join(_shortest_tops(edges, keys), at, "left")
 
 
-def _walk_paths(core: DataFrame, weights: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _add_worth(worth: DataFrame, gained: DataFrame, keys: Sequence[str]) -> DataFrame:
     at = [*keys, "session_id"]
-    down = core.select(*keys, F.col("blocker").alias("here"), F.col("session_id").alias("child"))
-    value = weights.select(*keys, F.col("session_id").alias("child"), (F.col("weight") + 1).alias("value"))
-    tops = core.select(*at).union(core.select(*keys, "blocker")).distinct()
-    walk = tops.select(*at, F.col("session_id").alias("here"), F.array("session_id").alias("path"))
-    sums = None
-    while True:
-        walk = cut_lineage(
-            walk.join(down, [*keys, "here"]).filter(~F.array_contains("path", F.col("child")))
-            .select(*at, F.col("child").alias("here"), F.concat("path", F.array("child")).alias("path"))
-        )
-        if walk.isEmpty():
+    return cut_lineage(worth.join(gained, at, "left").select(*at, (F.col("worth") + F.coalesce("more", F.lit(0))).alias("worth")))
+
+
+def _merge_cycles(left: DataFrame, worth: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members of a cycle, or of entangled ones, become the session that names them."""
+    at = [*keys, "session_id"]
+    labels = strong_components(left, keys)
+    merged = labels.filter("strong <> session_id").select(*at, F.col("strong").alias("below"))
+    members = cut_lineage(merged.withColumns({"add": F.lit(0).cast("bigint"), "factor": F.lit(1).cast("bigint")}))
+    pooled = worth.join(members, at).groupBy(*keys, F.col("below").alias("session_id")).agg(F.sum("worth").alias("more"))
+    of_blocker = labels.select(*keys, F.col("session_id").alias("blocker"), F.col("strong").alias("_blocker"))
+    between = left.join(labels, at).join(of_blocker, [*keys, "blocker"]).filter("strong <> _blocker")
+    between = between.groupBy(*keys, F.col("strong").alias("session_id"), F.col("_blocker").alias("blocker")).agg(F.sum("times").alias("times"))
+    return cut_lineage(between.select(*at, "blocker", "times")), _add_worth(worth, pooled, keys), members
+
+
+def _bypass(left: DataFrame, worth: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sessions for which just one other waits are left out: who they wait for takes the end of their chain instead.
+
+    There are no cycles any more: a bypassed session on one would count itself.
+    """
+    at = [*keys, "session_id"]
+    chain = left.groupBy(*keys, F.col("blocker").alias("session_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("session_id").alias("below"), F.min("times").alias("factor")
+    )
+    chain = chain.filter("n = 1").join(worth, at).select(*at, "below", F.col("worth").alias("add"), "factor")
+    chain = cut_lineage(chain)
+    for _ in range(chain.count().bit_length()):
+        onward = chain.select(*keys, F.col("session_id").alias("below"), F.col("below").alias("_below"), F.col("add").alias("_add"), F.col("factor").alias("_factor"))
+        longer = F.col("_below").isNotNull()
+        chain = cut_lineage(chain.join(onward, [*keys, "below"], "left").select(
+            *at, F.coalesce("_below", "below").alias("below"),
+            F.when(longer, F.col("add") + F.col("factor") * F.col("_add")).otherwise(F.col("add")).alias("add"),
+            F.when(longer, F.col("factor") * F.col("_factor")).otherwise(F.col("factor")).alias("factor"), longer.alias("_moved"),
+        ))
+        if chain.filter("_moved").isEmpty():
+            chain = chain.drop("_moved")
             break
-        step = walk.select(*at, F.col("here").alias("child")).join(value, [*keys, "child"]).select(*at, "value")
-        sums = step if sums is None else sums.unionByName(step)
-    return sums.groupBy(*at).agg(F.sum("value").alias("walked"))
+        chain = chain.drop("_moved")
+    gone = chain
+    kept = left.join(gone.select(*keys, F.col("session_id").alias("blocker")), [*keys, "blocker"], "left_anti")
+    plain = kept.join(gone.select(*at), at, "left_anti")
+    over = cut_lineage(kept.join(gone, at).select(*keys, "blocker", "below", (F.col("times") * F.col("add")).alias("more"), (F.col("times") * F.col("factor")).alias("times")))
+    gained = over.groupBy(*keys, F.col("blocker").alias("session_id")).agg(F.sum("more").alias("more"))
+    new = over.select(*keys, F.col("below").alias("session_id"), "blocker", "times")
+    joined = plain.select(*at, "blocker", "times").unionByName(new).groupBy(*at, "blocker").agg(F.sum("times").alias("times"))
+    return cut_lineage(joined), _add_worth(worth, gained, keys), gone
 
 
 def _shortest_tops(edges: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -14,9 +14,10 @@ def number_rows(
 ) -> DataFrame:
     """``row_number`` within ``group``; ``order`` must be total for a repeatable result.
 
-    Rows are range-partitioned over (group, order), each slice is numbered on its own and
-    shifted by the rows of the slices before it, so a group may be of any size. Only
-    where the definition bounds a group (``bounded``) is a plain window used.
+    The rows are frozen once; their sort keys are range-partitioned over (group, order), each
+    slice is numbered on its own and shifted by the rows of the slices before it, so a group
+    may be of any size. Only where the definition bounds a group (``bounded``) is a plain
+    window used.
     """
     if bounded:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
@@ -24,19 +25,22 @@ def number_rows(
 
 
 def _number_by_slices(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Freeze the rows once, then range and number only their sort keys and a row id.
+
+    Within a sorted slice consecutive ids are places; each group's part of a slice is
+    shifted by the group's rows in the slices before it. The wide rows take their number by id.
+    """
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(slices, *[F.col(g) for g in group], *order)
-    # The cut freezes slice numbers, so both readers below see the same slices.
-    placed = cut_lineage(placed.withColumn("_slice", F.spark_partition_id()))
-    part = [*group, "_slice"]
+    frozen = cut_lineage(df.drop(name).withColumn("_id", F.monotonically_increasing_id()))
+    by, part = [*[F.col(g) for g in group], *order], [*group, "_slice"]
+    placed = frozen.repartitionByRange(slices, *by).sortWithinPartitions(*by)
+    placed = cut_lineage(placed.select("_id", *group, F.spark_partition_id().alias("_slice"), F.monotonically_increasing_id().alias("_place")))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(*part).count()
-        .select(*part, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    )
-    numbered = placed.withColumn(name, F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
-    joined = null_safe_join(numbered, offsets, part, "inner")
-    return joined.withColumn(name, (F.col(name) + F.col("_offset")).cast("int")).drop("_slice", "_offset")
+    shifts = placed.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    shifts = shifts.select(*part, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    numbered = null_safe_join(placed, shifts, part, "inner")
+    numbered = numbered.select("_id", (F.col("_place") - F.col("_first") + F.col("_shift") + 1).cast("int").alias(name))
+    return frozen.join(numbered, "_id").drop("_id")
 
 
 def best_row(

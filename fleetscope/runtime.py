@@ -55,12 +55,22 @@ def checkpoint_root(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss and freezes the rows.
 
-    Used between rounds of an iterative operator so the plan stays flat.
+    Used between rounds of an iterative operator so the plan stays flat. The checkpoint
+    would also hand on its size estimate, the product of the sizes joined so far: over many
+    rounds a number of millions of digits. One beyond all sense is dropped for Spark's default.
     """
     root = checkpoint_root(df.sparkSession)
     if not df.sparkSession.sparkContext.getCheckpointDir():
         df.sparkSession.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    return _sensibly_sized(df.checkpoint(eager=True))
+
+
+def _sensibly_sized(frozen: DataFrame) -> DataFrame:
+    plan = frozen._jdf.queryExecution()
+    if plan.analyzed().stats().sizeInBytes() < 1 << 62:
+        return frozen
+    spark = frozen.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), frozen._jdf.schema(), False), spark)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

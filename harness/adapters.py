@@ -36,6 +36,29 @@ SELECT event_id % 8, TIMESTAMP '2024-01-01 00:00:00' + CAST(FLOOR(event_id / 64)
        event_id + 1, CASE WHEN event_id % 64 >= 16 THEN event_id + 1 - 16 END
 FROM events WHERE FLOOR(event_id / 64) % 3 <> 0 AND event_id % 5 = 0
 """
+# Two rings of waiting sessions with chords, hung on each other and on a top blocker in some groups.
+ADAPTERS["fx_tangle"] = """
+SELECT CAST(FLOOR(event_id / 12) AS BIGINT) % 8 AS server_id,
+       TIMESTAMP '2024-01-01 00:00:00' + CAST(FLOOR(event_id / 12) AS BIGINT) * INTERVAL '1' MINUTE AS collection_time,
+       event_id + 1 AS session_id,
+       CASE WHEN event_id % 12 < 4 THEN event_id + 2
+            WHEN event_id % 12 = 4 THEN event_id - 3
+            WHEN event_id % 12 = 5 THEN event_id - 4
+            WHEN event_id % 12 IN (6, 7) THEN event_id + 2
+            WHEN event_id % 12 = 8 THEN event_id - 1
+            WHEN event_id % 12 = 9 THEN event_id - 2
+            WHEN event_id % 12 = 10 THEN event_id END AS blocking_session_id
+FROM events
+UNION ALL
+SELECT CAST(FLOOR(event_id / 12) AS BIGINT) % 8, TIMESTAMP '2024-01-01 00:00:00' + CAST(FLOOR(event_id / 12) AS BIGINT) * INTERVAL '1' MINUTE,
+       event_id + 1,
+       CASE WHEN event_id % 12 = 1 AND FLOOR(event_id / 12) % 2 = 0 THEN event_id + 3
+            WHEN event_id % 12 = 3 AND FLOOR(event_id / 12) % 4 = 0 THEN event_id - 2
+            WHEN event_id % 12 = 6 AND FLOOR(event_id / 12) % 3 = 0 THEN event_id - 3
+            WHEN event_id % 12 = 10 THEN event_id - 4
+            WHEN event_id % 12 = 2 AND FLOOR(event_id / 12) % 5 = 0 THEN event_id + 10 END
+FROM events
+"""
 ADAPTERS["fx_rings"] = """
 SELECT event_id % 8 AS server_id,
        TIMESTAMP '2024-01-01 00:00:00' + CAST(FLOOR(event_id / 24) AS BIGINT) * INTERVAL '1' MINUTE AS collection_time,

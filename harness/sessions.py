@@ -81,6 +81,52 @@ def _(v):
     return graph.blocking_chains(v("fx_shared"))
 
 
+@query("blocking_chains_tangled", """
+WITH RECURSIVE nodes AS (SELECT DISTINCT server_id, collection_time, session_id FROM fx_tangle),
+edges AS (
+  SELECT DISTINCT f.server_id, f.collection_time, f.session_id, f.blocking_session_id AS blocker
+  FROM fx_tangle f JOIN nodes n ON n.server_id = f.server_id AND n.collection_time = f.collection_time AND n.session_id = f.blocking_session_id
+  WHERE f.blocking_session_id <> f.session_id),
+reach AS (
+  SELECT server_id, collection_time, session_id, blocker AS here FROM edges
+  UNION
+  SELECT r.server_id, r.collection_time, r.session_id, e.blocker FROM reach r JOIN edges e
+    ON e.server_id = r.server_id AND e.collection_time = r.collection_time AND e.session_id = r.here),
+named AS (
+  SELECT n.server_id, n.collection_time, n.session_id, least(n.session_id, coalesce(min(r.here), n.session_id)) AS strong
+  FROM nodes n LEFT JOIN (
+    SELECT a.* FROM reach a JOIN reach b ON b.server_id = a.server_id AND b.collection_time = a.collection_time AND b.session_id = a.here AND b.here = a.session_id) r
+    USING (server_id, collection_time, session_id)
+  GROUP BY n.server_id, n.collection_time, n.session_id),
+sizes AS (SELECT server_id, collection_time, strong, count(*) AS size FROM named GROUP BY ALL),
+arcs AS (
+  SELECT e.server_id, e.collection_time, c.strong AS below, b.strong AS above
+  FROM edges e JOIN named c USING (server_id, collection_time, session_id)
+  JOIN named b ON b.server_id = e.server_id AND b.collection_time = e.collection_time AND b.session_id = e.blocker
+  WHERE c.strong <> b.strong),
+down AS (
+  SELECT server_id, collection_time, strong AS top, strong AS here FROM sizes
+  UNION ALL
+  SELECT d.server_id, d.collection_time, d.top, a.below FROM down d JOIN arcs a
+    ON a.server_id = d.server_id AND a.collection_time = d.collection_time AND a.above = d.here),
+worth AS (
+  SELECT d.server_id, d.collection_time, d.top AS strong, sum(s.size) AS worth
+  FROM down d JOIN sizes s ON s.server_id = d.server_id AND s.collection_time = d.collection_time AND s.strong = d.here GROUP BY ALL),
+up AS (
+  SELECT server_id, collection_time, session_id, session_id AS here, 0 AS depth FROM nodes
+  UNION
+  SELECT u.server_id, u.collection_time, u.session_id, e.blocker, u.depth + 1 FROM up u JOIN edges e
+    ON e.server_id = u.server_id AND e.collection_time = u.collection_time AND e.session_id = u.here WHERE u.depth < 12),
+tops AS (
+  SELECT u.server_id, u.collection_time, u.session_id, min_by(u.here, (u.depth, u.here)) AS root, min(u.depth) AS depth
+  FROM up u ANTI JOIN edges e ON e.server_id = u.server_id AND e.collection_time = u.collection_time AND e.session_id = u.here GROUP BY ALL)
+SELECT n.server_id, n.collection_time, n.session_id, CAST(w.worth - 1 AS BIGINT) AS blocked_session_count, CAST(t.depth AS BIGINT) AS depth, t.root AS root_session_id
+FROM named n JOIN worth w USING (server_id, collection_time, strong) LEFT JOIN tops t USING (server_id, collection_time, session_id)
+""")
+def _(v):
+    return graph.blocking_chains(v("fx_tangle"))
+
+
 @query("descendant_counts", _SHARED_SQL + "SELECT server_id, collection_time, session_id, blocked_session_count FROM chains WHERE depth = 0 AND blocked_session_count > 0")
 def _(v):
     return graph.descendant_counts(v("fx_shared"))

@@ -49,13 +49,75 @@ def test_single_blocker_graphs_with_cycles_match_path_walk(frame, rows, seed):
             assert (depth, root) == (hops, here)
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_several_blockers_match_path_walk(frame, rows, seed):
+def condensed(edges, nodes):
+    """Sessions that wait for each other as one, then chains along the rest."""
+    up = {n: {b for s, b in edges if s == n and b in nodes and b != n} for n in nodes}
+    above = {n: set(up[n]) for n in nodes}
+    for _ in nodes:
+        above = {n: above[n].union(*(above[b] for b in above[n])) for n in nodes}
+    strong = {n: min({n} | {b for b in above[n] if n in above[b]}) for n in nodes}
+
+    def worth(one):
+        below = [strong[s] for s in nodes for b in up[s] if strong[b] == one and strong[s] != one]
+        return sum(v == one for v in strong.values()) + sum(worth(b) for b in below)
+
+    return strong, {n: worth(strong[n]) - 1 for n in nodes}
+
+
+@pytest.mark.parametrize("seed,n,share", [(3, 16, 0.4), (4, 24, 0.45)])
+def test_several_blockers_and_entangled_cycles(frame, rows, seed, n, share):
     rnd = random.Random(seed)
-    nodes = list(range(1, 16))
-    edges = [(n, b) for n in nodes for b in rnd.sample(nodes, 2) if rnd.random() < 0.4]
+    nodes = list(range(1, n + 1))
+    edges = [(n, b) for n in nodes for b in rnd.sample(nodes, 2) if rnd.random() < share]
     got = run(frame, rows, edges, nodes)
-    assert {s: c for s, (c, _, _) in got.items()} == brute(set(edges), set(nodes))
+    strong, counts = condensed(set(edges), set(nodes))
+    assert {s: c for s, (c, _, _) in got.items()} == counts
+    data = [(1, T, s, 0, b) for s, b in edges] + [(1, T, n, 99, None) for n in nodes]
+    labels = rows(graph.strong_components(graph.block_edges(frame(SCHEMA, data)), graph.K), "session_id", "strong")
+    groups = defaultdict(set)
+    for s, name in labels:
+        groups[name].add(s)
+    expected = defaultdict(set)
+    for s in {s for s, _ in labels}:
+        expected[strong[s]].add(s)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_acyclic_graph_with_several_blockers_matches_path_walk(frame, rows):
+    rnd = random.Random(8)
+    nodes = list(range(1, 31))
+    edges = [(n, b) for n in nodes for b in rnd.sample(nodes, 2) if b < n and rnd.random() < 0.8]
+    assert {s: c for s, (c, _, _) in run(frame, rows, edges, nodes).items()} == brute(set(edges), set(nodes))
+
+
+def test_long_chain_below_two_blockers_is_bypassed(frame, rows, monkeypatch):
+    """A chain of 150 under a session with two blockers: rounds do not follow its length."""
+    steps, add = [], graph._add_worth
+    monkeypatch.setattr(graph, "_add_worth", lambda *a: steps.append(1) or add(*a))
+    edges = [(n, n - 1) for n in range(4, 151)] + [(3, 1), (3, 2)]
+    got = run(frame, rows, edges, [1, 2, 3])
+    assert got[1] == (148, 0, 1) and got[2] == (148, 0, 2) and got[3][0] == 147 and got[149][0] == 1 and got[150][:2] == (0, 148)
+    assert len(steps) < 15
+
+
+def test_closure_of_a_long_chain_keeps_tables_linear(frame, rows, monkeypatch):
+    """3,000 sessions in a row with side branches: no table between the rounds outgrows the graph."""
+    sizes, cut = [], graph.cut_lineage
+
+    def counted(df):
+        made = cut(df)
+        sizes.append(made.count())
+        return made
+
+    monkeypatch.setattr(graph, "cut_lineage", counted)
+    edges = [(n, n - 1) for n in range(2, 3001)] + [(n, n + 5000) for n in range(100, 3001, 700)] + [(n + 5000, n + 6000) for n in range(100, 3001, 700)]
+    tops = [n + 6000 for n in range(100, 3001, 700)]
+    data = [(1, T, s, i, b) for i, (s, b) in enumerate(edges)] + [(1, T, n, 99, None) for n in [1, *tops]]
+    everything = frame(SCHEMA, data)
+    found = graph.blocker_closure(everything.filter("session_id = 2900 and blocking_session_id = 2899"), everything)
+    expected = set(range(1, 2901)) | {n + k for n in range(100, 2901, 700) for k in (5000, 6000)}
+    assert {s for s, in rows(found, "session_id")} == expected
+    assert max(sizes) <= len(edges) + len(tops) + 1 and len(sizes) < 45
 
 
 def test_long_chain_needs_few_rounds_and_missing_blocker_is_no_node(frame, rows):
