@@ -62,8 +62,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_source_mixing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.plan(table(spark, sf_dir, "documents"), weight=lambda k, _: k % 3 + 1)
-    return mix.rows.select("doc_id", "size", "source_size", "target", "taken")
+    mix = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), weight=lambda k, _: k % 3 + 1)
+    return mix.rows.select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 @query("op10_document_fingerprints")
