@@ -2,8 +2,10 @@
 
 Each rule votes good, bad or abstains. Expectation-maximisation over the counts of vote
 patterns estimates each rule's accuracy on good and on bad documents;
-the posterior of "good" replaces a filter that all rules must pass. The corpus meets as
-counts per vote pattern (at most 3 to the number of rules), in partial aggregates.
+the posterior of "good" replaces a filter that all rules must pass. Where some documents
+have a label, their class is given in each round and the rest follows the posterior, so
+what "good" means comes from the labels and not from the rules' start values. The corpus
+meets as counts per vote pattern (at most 3 to the number of rules), in partial aggregates.
 """
 
 from __future__ import annotations
@@ -105,6 +107,7 @@ def votes(m: str = "m") -> list[Column]:
             (10 * x["word_chars"] < 25 * x["n_words"]) | (10 * x["word_chars"] > 120 * x["n_words"]),
             (10 * x["word_chars"] >= 35 * x["n_words"]) & (10 * x["word_chars"] <= 100 * x["n_words"]),
         ),
+        _vote(x["n_words"] < 10, x["n_words"] >= 25),
     ]
 
 
@@ -112,7 +115,10 @@ Rates = list[dict[int, tuple[float, float]]]
 """Per rule and vote (1, -1): how often good and bad documents get it, of those that get a vote."""
 
 _START = {1: (0.997, 0.70), -1: (0.003, 0.30)}
-_STRENGTH = (10.0, 0.05)
+_PRIOR = 0.8
+_PSEUDO = 20.0
+"""Documents of each class that the start values count as, at every size."""
+_UNLABELLED = 0.1
 
 
 def log_odds(names: list[str], prior: float, rates: Rates) -> Column:
@@ -125,21 +131,26 @@ def log_odds(names: list[str], prior: float, rates: Rates) -> Column:
 
 
 def fit(counts: DataFrame, names: list[str], rounds: int = 25) -> tuple[float, Rates]:
-    """(share of good documents, rates) from (vote pattern, n).
+    """(share of good documents, rates) from (vote pattern, n) and, where there is one, ``label`` (1 good, 0 bad, null).
 
     A rule's accuracy is a pair: how seldom it blames good documents and how often it finds
-    bad ones. Defects seldom come together, so a rule may well miss most bad documents, and
-    one sure vote must outweigh rules that saw nothing. The rates start at, and are held by
-    pseudo-counts near, rules that rarely blame good documents: firmly for good documents
-    (``_STRENGTH[0]`` times the corpus), loosely for bad ones. That fixes what "good" means,
-    at every size alike. An empty corpus returns the start.
+    bad ones. Rows with a label have its class, the others their posterior. Where there are
+    labels, the others weigh ``_UNLABELLED`` of the labelled ones together: defects come in
+    kinds, rules do not err independently, and the many documents without a label would
+    else turn the classes into the commonest kinds. The start values count as ``_PSEUDO``
+    documents of each class. An empty corpus returns the start.
     """
-    prior, rates = 0.8, [dict(_START) for _ in names]
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    extra = [x * total for x in _STRENGTH]
+    prior, rates = _PRIOR, [dict(_START) for _ in names]
+    counts = counts if "label" in counts.columns else counts.withColumn("label", F.lit(None).cast("int"))
+    known = F.col("label").isNotNull()
+    labelled, others = counts.agg(F.sum(F.when(known, F.col("n"))), F.sum(F.when(~known, F.col("n")))).first()
+    labelled, others = labelled or 0, others or 0
+    share = min(1.0, _UNLABELLED * labelled / others) if labelled and others else 1.0
+    total = labelled + share * others
+    n = F.when(known, F.col("n")).otherwise(share * F.col("n"))
     for _ in range(rounds if total else 0):
-        p = 1 / (1 + F.exp(-log_odds(names, prior, rates)))
-        weighted = counts.withColumn("g", F.col("n") * p).withColumn("b", F.col("n") * (1 - p))
+        p = F.coalesce(F.col("label").cast("double"), 1 / (1 + F.exp(-log_odds(names, prior, rates))))
+        weighted = counts.withColumn("g", n * p).withColumn("b", n * (1 - p))
         sums = weighted.agg(F.sum("g"), *[
             F.sum(F.when(F.col(v) == vote, F.col(w)).otherwise(0.0)) for v in names for vote in (1, -1) for w in ("g", "b")
         ]).first()
@@ -147,45 +158,57 @@ def fit(counts: DataFrame, names: list[str], rounds: int = 25) -> tuple[float, R
         for k in range(len(names)):
             own = sums[1 + 4 * k : 5 + 4 * k]
             found.append({
-                vote: tuple((own[2 * j + c] + extra[c] * _START[vote][c]) / (own[c] + own[2 + c] + extra[c]) for c in (0, 1))
+                vote: tuple((own[2 * j + c] + _PSEUDO * _START[vote][c]) / (own[c] + own[2 + c] + _PSEUDO) for c in (0, 1))
                 for j, vote in enumerate((1, -1))
             })
         moved = max(abs(x - y) for a, b in zip(found, rates) for v in a for x, y in zip(a[v], b[v]))
-        prior, rates = (sums[0] + 0.8 * extra[1]) / (total + extra[1]), found
+        prior, rates = (sums[0] + _PRIOR * _PSEUDO) / (total + _PSEUDO), found
         if moved < 1e-4:
             break
     return prior, rates
 
 
-def learn(measured: DataFrame, m: str = "m") -> tuple[list[Column], float, Rates]:
+def learn(measured: DataFrame, labels: DataFrame | None = None, m: str = "m") -> tuple[list[Column], float, Rates]:
+    """The rules, the share of good documents and the rates; ``labels`` (doc_id, quality 1 or 0) cover some of the rows."""
     rules = votes(m)
     names = [f"v{k}" for k in range(len(rules))]
-    counts = cut_lineage(measured.select(*[v.alias(n) for v, n in zip(rules, names)]).groupBy(*names).agg(F.count("*").alias("n")))
-    return rules, *fit(counts, names)
-
-
-def judge(measured: DataFrame, m: str = "m") -> DataFrame:
-    """Rows of ``measured`` with ``p_good`` and ``kept``: not base-failed, and a posterior of at least one half."""
-    rules, prior, rates = learn(measured, m)
+    count = F.count("*").alias("n")
+    voted = measured.select("doc_id", *[v.alias(n) for v, n in zip(rules, names)])
+    counts = voted.groupBy(*names).agg(count).withColumn("label", F.lit(None).cast("int"))
+    if labels is not None:
+        told = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
+        given = voted.join(told, "doc_id").groupBy(*names, "label").agg(count)
+        less = given.select(*names, (-F.col("n")).alias("n"), F.lit(None).cast("int").alias("label"))
+        counts = counts.unionByName(less).unionByName(given).groupBy(*names, "label").agg(F.sum("n").alias("n"))
+    return rules, *fit(cut_lineage(counts), names)
+
+
+def judge(measured: DataFrame, labels: DataFrame | None = None, m: str = "m") -> DataFrame:
+    """Rows of ``measured`` with ``p_good``, the posterior, and ``kept``: it is at least one half."""
+    rules, prior, rates = learn(measured, labels, m)
     own = measured.columns
     names = [f"__v{k}" for k in range(len(rules))]
     scored = measured.select("*", *[v.alias(n) for v, n in zip(rules, names)])
     p = 1 / (1 + F.exp(-log_odds(names, prior, rates)))
-    return scored.select(*own, p.alias("p_good"), (~base_failed(m) & (p >= 0.5)).alias("kept"))
+    return scored.select(*own, p.alias("p_good"), (p >= 0.5).alias("kept"))
 
 
-def verdicts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, m, p_good, kept) per row of ``docs``; the texts are read once."""
+def verdicts(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text_hash, m, p_good, kept) per row of ``docs``; the texts are read once.
+
+    Null texts count as empty, repeated rows as often as they stand. ``labels`` (doc_id,
+    quality) may cover any of the rows, none included; of several labels the worst counts.
+    """
     named = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return judge(cut_lineage(with_measures(named).select("doc_id", "text_hash", "m")))
+    return judge(cut_lineage(with_measures(named).select("doc_id", "text_hash", "m")), labels)
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns.
 
     Rejected rows are taken out by doc_id and hash of the text, so rows that share a doc_id
     are judged each by its own text. Measuring again would cost more than the join.
     """
-    gone = verdicts(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    gone = verdicts(docs, labels).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
     return docs.join(gone, same, "left_anti")

@@ -47,10 +47,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_quality_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.verdicts(table(spark, sf_dir, "documents"))
+    judged = quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select(
         "doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words",
-        quality.base_failed().alias("base_failed"), "kept", "p_good",
+        quality.base_failed().alias("base_failed"), (~quality.base_failed() & F.col("kept")).alias("kept"), "p_good",
     )
 
 
@@ -81,8 +81,8 @@ URL_RULES = [
 @query("op4_url_filter")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = urls.with_parts(table(spark, sf_dir, "pages").select("page_id", "url")).withColumn("match", urls.matching_rule(URL_RULES))
-    # Labels: what the rules block, against all other URLs, of which most are wanted.
-    labelled = parts.withColumn("label", F.coalesce(F.col("match.action") == "block", F.lit(False)).cast("double"))
+    # The rules are the labels; what they say nothing about is judged and teaches nothing.
+    labelled = parts.where("match is not null").withColumn("label", (F.col("match.action") == "block").cast("double"))
     judged = urls.verdicts(parts, urls.train(labelled))
     verdict = F.coalesce("match.action", F.when(F.col("block"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("match.name").alias("rule"), verdict.alias("verdict"))

@@ -2,20 +2,14 @@
 
 The trees are trained from labelled URLs. Their features need the URL alone: lengths,
 depths, digit and sign ratios, entropy, parameter counts, and how often the labelled URLs
-with the same host suffix are blocked. Suffix counts are hashed into a fixed number of
-slots, so they stay small however many hosts there are.
+with the same host suffix (last label, last two labels) are blocked. Suffix counts are a
+table joined to the URLs, so each suffix has its own, however many there are.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -23,17 +17,11 @@ from pyspark.sql import functions as F
 
 from fleetscope.runtime import cut_lineage
 
-SLOTS = 4096
-SAMPLE = 20_000
-"""Labelled URLs that the trees are fitted on, the smallest by hash; suffix counts use all labelled ones."""
+SAMPLE = 10_000
+"""Distinct labelled URLs of each label that the trees are fitted on, the smallest by hash; suffix counts use all."""
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = (
-    "length", "host_length", "path_length", "host_depth", "path_depth", "digit_ratio", "sign_ratio", "upper_ratio",
-    "entropy", "host_entropy", "parameters", "query_length", "fragment", "longest_label", "suffix_block", "suffix_weight",
-    "domain_block", "domain_weight",
-)
 
 
 @dataclass(frozen=True)
@@ -64,67 +52,57 @@ def matching_rule(rules: list[Rule]) -> Column:
     return found
 
 
-def _suffixes(host: str) -> tuple[int, int]:
-    """Slots of the last label and of the last two."""
-    labels = host.rsplit(".", 2)
-    return crc32(labels[-1].encode()) % SLOTS, crc32((".".join(labels[-2:]) + "/").encode()) % SLOTS
-
-
-def _entropy(text: str) -> float:
-    n = len(text)
-    return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
-
-
-def features(url: str, host: str, path: str, slots: np.ndarray, label: float | None = None) -> list[float]:
-    """Values of FEATURES. With ``label`` (a training URL), its own count is taken out of the suffix counts."""
-    n = max(1, len(url))
-    rest = url.partition("#")
-    query = rest[0].partition("?")[2]
-    values = [
-        len(url), len(host), len(path), host.count("."), path.count("/"),
-        sum(c.isdigit() for c in url) / n, sum(c in "-_%=&@~+" for c in url) / n, sum(c.isupper() for c in url) / n,
-        _entropy(url), _entropy(host), query.count("&") + 1 if query else 0, len(query), len(rest[1]),
-        max(map(len, host.split("."))),
-    ]
-    for slot in _suffixes(host):
-        seen, blocked = slots[slot]
-        if label is not None:
-            seen, blocked = seen - 1, blocked - label
-        values += [(blocked + 0.5) / (seen + 1), math.log1p(seen)]
-    return [float(x) for x in values]
-
-
-def _slot_counts(labelled: DataFrame) -> np.ndarray:
-    """(labelled URLs, blocked ones) per slot; 2 * SLOTS rows at most reach the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((SLOTS, 2))
-        for batch in batches:
-            for host, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for slot in _suffixes(host):
-                    found[slot] += (1, label)
-        used = np.flatnonzero(found[:, 0])
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(found[used, 0]), pa.array(found[used, 1])], ["slot", "seen", "blocked"])
-
-    counted = labelled.select("host", "label").mapInArrow(count, "slot long, seen double, blocked double")
-    slots = np.zeros((SLOTS, 2))
-    for r in counted.groupBy("slot").agg(F.sum("seen").alias("seen"), F.sum("blocked").alias("blocked")).collect():
-        slots[r["slot"]] = (r["seen"], r["blocked"])
-    return slots
-
-
-def _with_features(parts: DataFrame, url: str, slots: np.ndarray, label: str | None = None) -> DataFrame:
-    names = parts.columns
-    at = [names.index(c) for c in (url, "host", "path")] + ([names.index(label)] if label else [])
+def _suffixes() -> tuple[Column, Column]:
+    """The last label of ``host``, and the last two (marked by a slash, as a host may have one label only)."""
+    return F.substring_index("host", ".", -1), F.concat(F.substring_index("host", ".", -2), F.lit("/"))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in at))
-            values = [features(r[0] or "", r[1], r[2], slots, *r[3:]) for r in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.list_(pa.float64()))], [*names, "features"])
+def _entropy(text: Column) -> Column:
+    n = F.char_length(text)
+    share = lambda c: (n - F.char_length(F.replace(text, c, F.lit("")))) / n
+    letters = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+    return F.when(n == 0, 0.0).otherwise(F.aggregate(letters, F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c))))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
-    return parts.mapInArrow(run, f"{kinds}, features array<double>").withColumn("features", array_to_vector("features"))
+
+def lexical_features(url: str = "url") -> dict[str, Column]:
+    """Features of the URL alone; null counts as empty."""
+    text = F.coalesce(F.col(url).cast("string"), F.lit(""))
+    host, path, before = F.col("host"), F.col("path"), F.substring_index(text, "#", 1)
+    n = F.greatest(F.char_length(text), F.lit(1))
+    found = lambda pattern, of=text: F.regexp_count(of, F.lit(pattern))
+    query = F.when(before.contains("?"), F.expr("substring(q, instr(q, '?') + 1)")).otherwise("")
+    return {
+        "length": F.char_length(text), "host_length": F.char_length(host), "path_length": F.char_length(path),
+        "host_depth": found(r"\.", host), "path_depth": found("/", path), "digit_ratio": found("[0-9]") / n,
+        "sign_ratio": found("[-_%=&@~+]") / n, "upper_ratio": found("[A-Z]") / n, "entropy": _entropy(text), "host_entropy": _entropy(host),
+        "parameters": F.when(F.char_length(query) > 0, found("&", query) + 1).otherwise(0), "query_length": F.char_length(query),
+        "fragment": F.char_length(text) - F.char_length(before),
+        "longest_label": F.array_max(F.transform(F.split(host, r"\."), F.char_length)),
+    }
+
+
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """(suffix, seen, blocked) over all distinct labelled URLs."""
+    return labelled.select(F.explode(F.array(*_suffixes())).alias("suffix"), "label").groupBy("suffix").agg(
+        F.count("*").cast("double").alias("seen"), F.sum("label").alias("blocked")
+    )
+
+
+def _with_features(parts: DataFrame, url: str, counts: DataFrame, own: Column | None = None) -> DataFrame:
+    """``parts`` with ``features``. With ``own`` (a training URL's label) its own count is taken out of the suffix counts."""
+    names = parts.columns
+    short, long = _suffixes()
+    rows = parts.withColumns({"__short": short, "__long": long, "q": F.substring_index(F.coalesce(F.col(url).cast("string"), F.lit("")), "#", 1)})
+    statistics = []
+    for name in ("__short", "__long"):
+        told = counts.select(F.col("suffix").alias(name), F.col("seen").alias(f"{name}_seen"), F.col("blocked").alias(f"{name}_blocked"))
+        rows = rows.join(told, name, "left")
+        seen, blocked = (F.coalesce(f"{name}_{c}", F.lit(0.0)) for c in ("seen", "blocked"))
+        if own is not None:
+            seen, blocked = seen - 1, blocked - own
+        statistics += [(blocked + 0.5) / (seen + 1), F.log1p(seen)]
+    values = [c.cast("double") for c in [*lexical_features(url).values(), *statistics]]
+    return rows.select(*names, array_to_vector(F.array(*values)).alias("features"))
 
 
 @dataclass
@@ -132,24 +110,33 @@ class Filter:
     """A trained filter. ``model`` is None where the labels were all alike; then ``constant`` is the verdict."""
 
     model: GBTClassificationModel | None
-    slots: np.ndarray
+    counts: DataFrame | None
     constant: float
 
 
 def train(labelled: DataFrame, url: str = "url", trees: int = 12, depth: int = 4) -> Filter:
-    """Fit on ``labelled``: ``url``, host, path (see ``with_parts``) and ``label``, 1.0 for block. No labels mean allow."""
-    sample = cut_lineage(labelled.select(url, "host", "path", "label").orderBy(F.xxhash64(url), url).limit(SAMPLE))
+    """Fit on ``labelled``: ``url``, host, path (see ``with_parts``) and ``label``, 1.0 for block. No labels mean allow.
+
+    A URL that stands often is one; of a URL with both labels, block counts. Null URLs teach nothing.
+    """
+    distinct = cut_lineage(labelled.where(F.col(url).isNotNull()).groupBy(url, "host", "path").agg(F.max("label").alias("label")))
+    some = [distinct.where(F.col("label") == x).orderBy(F.xxhash64(url), url).limit(SAMPLE) for x in (0.0, 1.0)]
+    sample = cut_lineage(some[0].unionByName(some[1]))
     seen = {r[0] for r in sample.select("label").distinct().collect()}
     if len(seen) < 2:
-        return Filter(None, np.zeros((SLOTS, 2)), seen.pop() if seen else 0.0)
-    slots = _slot_counts(labelled)
+        return Filter(None, None, seen.pop() if seen else 0.0)
+    counts = cut_lineage(suffix_counts(distinct))
     learner = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, seed=5, maxBins=32, cacheNodeIds=False)
-    return Filter(learner.fit(cut_lineage(_with_features(sample, url, slots, "label").select("features", "label")).coalesce(4)), slots, 0.0)
+    rows = _with_features(sample, url, counts, F.col("label")).select("features", "label")
+    return Filter(learner.fit(cut_lineage(rows.repartition(4, F.hash("features", "label")).sortWithinPartitions(F.hash("features"), "label"))), counts, 0.0)
 
 
 def verdicts(parts: DataFrame, trained: Filter, url: str = "url") -> DataFrame:
-    """``parts`` with ``block`` (boolean), what the trees say of each URL; a null URL counts as empty."""
+    """``parts`` with ``block`` (boolean), what the trees say of each URL; a null URL counts as empty.
+
+    Rows stay as often as they stand, URLs of any length are read whole, own columns keep their names.
+    """
     if trained.model is None:
         return parts.withColumn("block", F.lit(trained.constant > 0.5))
-    scored = trained.model.transform(_with_features(parts, url, trained.slots))
-    return scored.withColumn("block", F.col("prediction") > 0.5).select(*parts.columns, "block")
+    scored = trained.model.transform(_with_features(parts.select(F.struct("*").alias("__row"), url, "host", "path"), url, trained.counts))
+    return scored.select("__row.*", (F.col("prediction") > 0.5).alias("block"))

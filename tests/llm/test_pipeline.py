@@ -6,8 +6,10 @@ import corpus_pipeline
 def test_stages_keep_columns_and_take_effect(spark, docs, corpus, tmp_path):
     frame = docs.select("doc_id", "text", "source")
     counts = {}
+    labels = [(k, int(k < 50)) for k in [*range(30), 50, 51, 52, 54, 57]]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     for name, stage in corpus_pipeline.STAGES:
-        stage(spark, frame, None).write.parquet(str(tmp_path / name))
+        stage(spark, frame, str(tmp_path)).write.parquet(str(tmp_path / name))
         frame = spark.read.parquet(str(tmp_path / name))
         counts[name] = Counter(r[0] for r in frame.select("doc_id").collect())
         assert name == corpus_pipeline.STAGES[-1][0] or frame.columns == ["doc_id", "text", "source"]
@@ -19,4 +21,12 @@ def test_stages_keep_columns_and_take_effect(spark, docs, corpus, tmp_path):
 
 def test_run_reads_documents(spark, docs, tmp_path):
     docs.select("doc_id", "text", "source").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(3, 1), (57, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_every_stage_on_nothing(spark, nothing):
+    frame = nothing
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, frame, None)
+        assert made.count() == 0, name

@@ -62,14 +62,15 @@ def brute_quality(text):
 def test_quality_measures_and_verdicts(spark, docs, corpus, nothing):
     extra = [(100, "a\nb\na\n \n\na", None), (101, "## | <x> %\n" * 80, None), (102, "x y z x y z q x y", None)]
     frame = docs.select("doc_id", "text", "source").union(spark.createDataFrame(extra, "doc_id long, text string, source string"))
-    found = quality.verdicts(frame).collect()
+    labels = spark.createDataFrame([(k, int(k < 50)) for k in [*range(30), 50, 51, 52, 54, 57, 101]] + [(None, 1), (8, 1)], "doc_id long, quality int")
+    found = quality.verdicts(frame, labels).collect()
     got = Counter((r["doc_id"], *[r["m"][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]) for r in found)
     assert got == Counter((k, *brute_quality(t)) for k, t, _ in [*corpus, *extra])
     kept = {r["doc_id"]: r["kept"] for r in found}
-    assert not any(kept[k] for k in (50, 51, 52, 54, 57, 101)) and all(kept[k] for k in (8, 17, 26, 47))
-    good = quality.keep_good(docs)
-    assert good.columns == docs.columns and {r["doc_id"] for r in good.collect()} == {k for k, v in kept.items() if v and k not in (100, 101, 102)}
-    assert quality.keep_good(nothing).count() == 0
+    assert {k for k in (8, 17, 26, 47, 50, 51, 52, 54, 57, 101) if kept[k]} == {8, 17, 26, 47}
+    good = quality.keep_good(frame, labels)
+    assert good.columns == frame.columns and {r["doc_id"] for r in good.collect()} == {k for k, v in kept.items() if v}
+    assert quality.keep_good(nothing).count() == 0 and quality.keep_good(docs).columns == docs.columns
     assert not any(x in quality.with_measures(docs)._jdf.queryExecution().toString() for x in ("Python", "Pandas", "Arrow"))
 
 
@@ -83,6 +84,19 @@ def test_quality_em_finds_accuracies(spark):
     assert 0.6 < prior < 0.9 and all(r[-1][0] < 0.02 < 0.25 < r[-1][1] for r in rates)
 
 
+def test_quality_labels_decide_what_a_bad_vote_means(spark):
+    """Two rules each blame a tenth of the documents, alone: the labels say that only the second finds bad ones."""
+    rng, rows = random.Random(3), []
+    for k in range(3000):
+        kind = rng.choice(["plain"] * 8 + ["first", "second"])
+        votes = (-1 if kind == "first" else 1, -1 if kind == "second" else 1, 1)
+        rows.append((*votes, None if k % 5 else int(kind != "second")))
+    counts = spark.createDataFrame([(*k, n) for k, n in Counter(rows).items()], "a int, b int, c int, label int, n long")
+    prior, rates = quality.fit(counts, ["a", "b", "c"])
+    odds = {tuple(r)[:3]: r["o"] for r in counts.select("a", "b", "c", quality.log_odds(["a", "b", "c"], prior, rates).alias("o")).collect()}
+    assert odds[-1, 1, 1] > 0 > odds[1, -1, 1] and odds[1, 1, 1] > 2
+
+
 def brute_tokens(text):
     return [*encoder("byte_bpe_50k.json").whole.encode(text or "", add_special_tokens=False).ids, 2]
 
