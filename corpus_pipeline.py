@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet
 and read again as the next stage's documents. All but the last return the columns of
-``documents``. No stage reads anything but its documents, so each works on all that its
-predecessor kept.
+``documents``. Each works on all that its predecessor kept; the quality rules also read the
+quality labels beside the documents, from which they learn what a bad vote means.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from fleetscope.runtime import scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised quality rules reject go."""
-    return quality.keep_good(docs)
+    """Documents that the weakly supervised quality rules reject go; ``sf_dir`` None means no labels."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet") if sf_dir else None
+    return quality.keep_good(docs, labels)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
