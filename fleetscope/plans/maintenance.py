@@ -45,19 +45,29 @@ def integrity_plan(
     return checks.expand_check_commands(planned)
 
 
-def index_decisions(indexes: DataFrame, policies: DataFrame, index_physical: DataFrame, stats_props: DataFrame) -> DataFrame:
-    """Action and statistics update of each selected index.
+def index_decisions(
+    indexes: DataFrame, policies: DataFrame, index_physical: DataFrame, stats_props: DataFrame,
+    column_statistics: DataFrame | None = None, incremental_props: DataFrame | None = None,
+) -> DataFrame:
+    """Action and statistics update of each selected index and, where given, column statistic.
 
-    Policies carry the index list as ``spec``. Rows are selected before anything is
-    joined to them; inventory, fragmentation and statistics meet on their natural keys. A row
-    without partition number is a whole index and is judged by its worst partition and all pages.
+    Policies carry the index list as ``spec``; it names a column statistic as it names an index.
+    Rows are selected before anything is joined to them; inventory, fragmentation and
+    statistics meet on their natural keys. A row without partition number is a whole index
+    and is judged by its worst partition and all pages. ``incremental_props`` has rows and
+    changes per partition: policies on partition level judge incremental statistics by them.
     """
     at = ["server_id", "database_name", "object_id", "index_id"]
-    chosen = selection.resolve_selection(indexes, index_rules.with_policy_defaults(policies), "indexes").filter("selected")
+    rows = indexes if column_statistics is None else index_rules.index_and_statistics(indexes, column_statistics)
+    named = rows.withColumns({"_own_name": F.col("index_name"), "index_name": F.coalesce("index_name", "statistics_name")})
+    chosen = selection.resolve_selection(named, index_rules.with_policy_defaults(policies), "indexes").filter("selected")
+    chosen = chosen.withColumn("index_name", F.col("_own_name")).drop("_own_name").filter(index_rules.in_scope())
+    if column_statistics is not None and incremental_props is not None:
+        chosen = index_rules.partitions_of_statistics(chosen, incremental_props)
     found = index_rules.whole_and_partition_fragmentation(index_rules.index_fragmentation(index_physical))
-    measured = (
-        null_safe_join(chosen.join(index_rules.partition_counts(indexes), at, "left"), found, [*at, "partition_number"], "left")
-        .join(stats_props, ["server_id", "database_name", "object_id", "statistics_id"], "left")
+    counted = null_safe_join(chosen, index_rules.partition_counts(indexes), at, "left")
+    measured = index_rules.with_modifications(
+        null_safe_join(counted, found, [*at, "partition_number"], "left"), stats_props, incremental_props
     )
     decided = index_rules.index_action(index_rules.fragmentation_group(measured))
     return index_rules.statistics_decision(decided).withColumn("is_statistics_only", F.col("index_type").isNull())
@@ -65,9 +75,10 @@ def index_decisions(indexes: DataFrame, policies: DataFrame, index_physical: Dat
 
 def index_plan(
     indexes: DataFrame, policies: DataFrame, index_physical: DataFrame, stats_props: DataFrame,
+    column_statistics: DataFrame | None = None, incremental_props: DataFrame | None = None,
 ) -> DataFrame:
-    """Decisions per index, numbered in working order."""
-    decided = index_decisions(indexes, policies, index_physical, stats_props)
+    """Decisions per index and column statistic, numbered in working order."""
+    decided = index_decisions(indexes, policies, index_physical, stats_props, column_statistics, incremental_props)
     return selection.plan_order(decided, selection.INDEX_ORDER)
 
 

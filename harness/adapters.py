@@ -472,6 +472,31 @@ SELECT l_partkey % 8 AS server_id, 'db' || CAST(l_partkey % 5 AS STRING) AS data
        CAST(l_suppkey % 15 AS BIGINT) AS statistics_id, 'st_' || CAST(l_suppkey % 15 AS STRING) AS statistics_name
 FROM lineitem
 """
+ADAPTERS["fx_column_statistics"] = """
+SELECT l_partkey % 8 AS server_id, 'db' || CAST(l_partkey % 5 AS STRING) AS database_name, 'schema' || CAST(p_size % 3 AS STRING) AS schema_name,
+       'part' || CAST(l_partkey AS STRING) AS object_name, l_partkey AS object_id, p_size % 19 = 0 AS is_memory_optimized,
+       CAST(l_suppkey % 15 AS BIGINT) AS statistics_id, 'st_' || CAST(l_suppkey % 15 AS STRING) AS statistics_name, l_suppkey % 3 = 0 AS is_incremental
+FROM lineitem JOIN part ON l_partkey = p_partkey
+GROUP BY l_partkey, l_suppkey, p_size
+"""
+ADAPTERS["fx_incremental_props"] = """
+SELECT server_id, database_name, object_id, statistics_id, partition_number, CAST(count(*) * 1000 AS BIGINT) AS row_count, CAST(sum(changes) AS BIGINT) AS modification_counter
+FROM (
+  SELECT l_partkey % 8 AS server_id, 'db' || CAST(l_partkey % 5 AS STRING) AS database_name, l_partkey AS object_id,
+         CAST(l_linenumber AS BIGINT) AS statistics_id, l_suppkey % 3 + 1 AS partition_number, CAST(l_quantity AS BIGINT) AS changes
+  FROM lineitem
+  UNION ALL
+  SELECT l_partkey % 8, 'db' || CAST(l_partkey % 5 AS STRING), l_partkey, CAST(l_suppkey % 15 AS BIGINT), CAST(l_quantity AS BIGINT) % 3 + 1, CAST(l_quantity AS BIGINT) * 4
+  FROM lineitem WHERE l_suppkey % 3 = 0 AND l_suppkey % 15 > 7) parts
+GROUP BY server_id, database_name, object_id, statistics_id, partition_number
+"""
+ADAPTERS["fx_statistics_policies"] = """
+SELECT server_id, policy_id,
+       CASE policy_id WHEN 1 THEN 'ALL_INDEXES,-%.%.%.st_9' WHEN 2 THEN 'db1.schema1.%,db2.%.part1%.st_1%' END AS spec,
+       CASE policy_id WHEN 0 THEN 'ALL' ELSE 'COLUMNS' END AS update_statistics, policy_id = 2 AS only_modified_statistics,
+       CAST(CASE policy_id WHEN 1 THEN 3 END AS INT) AS statistics_modification_level, policy_id <> 1 AS partition_level_statistics
+FROM (SELECT DISTINCT n_nationkey % 8 AS server_id FROM nation) s CROSS JOIN (SELECT DISTINCT n_nationkey % 3 AS policy_id FROM nation) p
+"""
 ADAPTERS["fx_index_policies"] = """
 SELECT server_id, policy_id,
        CASE policy_id WHEN 0 THEN 'ALL_INDEXES,-db1.%.%' WHEN 1 THEN 'db0.schema1.part%.ix_2,[db2].[schema0].[part1%],-%.%.%9.%' ELSE NULL END AS spec,

@@ -530,6 +530,79 @@ def _(v):
     )
 
 
+_STATISTICS_SQL = _FRAG_SQL.replace(""",
+policies AS (
+  SELECT * REPLACE (coalesce(fragmentation_low, CASE WHEN policy_id < 2 THEN NULL END) AS fragmentation_low) FROM fx_index_policies)
+""", "") + f""",
+stacked AS (
+  SELECT DISTINCT server_id, database_name, schema_name, object_name, object_id, index_id, index_name, index_type, allow_page_locks, is_image_text, is_new_lob, is_file_stream,
+         is_column_store, is_memory_optimized, on_read_only_filegroup, resumable, statistics_id, statistics_name, is_incremental, partition_number
+  FROM fx_indexes
+  UNION ALL
+  SELECT DISTINCT server_id, database_name, schema_name, object_name, object_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, is_memory_optimized, NULL, NULL,
+         statistics_id, statistics_name, is_incremental, NULL
+  FROM fx_column_statistics c
+  WHERE NOT EXISTS (SELECT 1 FROM fx_indexes i WHERE i.server_id = c.server_id AND i.database_name = c.database_name AND i.object_id = c.object_id AND i.index_id = c.statistics_id)),
+matched AS (
+  SELECT s.*, p.* EXCLUDE (server_id, spec),
+         CASE policy_id WHEN 1 THEN 1 WHEN 2 THEN CASE WHEN database_name = 'db1' AND schema_name = 'schema1' THEN 1 ELSE 2 END END AS start_position
+  FROM stacked s JOIN fx_statistics_policies p USING (server_id)
+  WHERE policy_id = 0 OR (policy_id = 1 AND coalesce(index_name, statistics_name) <> 'st_9')
+     OR (policy_id = 2 AND ((database_name = 'db1' AND schema_name = 'schema1') OR (database_name = 'db2' AND object_name LIKE 'part1%' AND starts_with(coalesce(index_name, statistics_name), 'st_1'))))),
+spread AS (
+  SELECT m.* REPLACE (CASE WHEN m.index_id IS NULL AND partition_level_statistics THEN q.partition_number ELSE m.partition_number END AS partition_number)
+  FROM matched m LEFT JOIN (SELECT DISTINCT server_id, database_name, object_id, statistics_id, partition_number FROM fx_incremental_props) q
+    ON m.index_id IS NULL AND partition_level_statistics AND q.server_id = m.server_id AND q.database_name = m.database_name AND q.object_id = m.object_id AND q.statistics_id = m.statistics_id),
+measured AS (
+  SELECT m.*, c.partition_count, f.page_count, NOT on_read_only_filegroup AS writable, NOT is_memory_optimized AS disk,
+         CASE WHEN f.fragmentation >= 30 THEN 'High' WHEN f.fragmentation >= 5 THEN 'Medium' WHEN f.fragmentation < 5 THEN 'Low' END AS fragmentation_group,
+         CASE WHEN partition_level_statistics AND is_incremental THEN q.row_count ELSE s.row_count END AS row_count,
+         CASE WHEN partition_level_statistics AND is_incremental THEN q.modification_counter ELSE s.modification_counter END AS modification_counter
+  FROM spread m
+  LEFT JOIN counts c ON c.server_id = m.server_id AND c.database_name = m.database_name AND c.object_id = m.object_id AND c.index_id = m.index_id
+  LEFT JOIN every_frag f ON f.server_id = m.server_id AND f.database_name = m.database_name AND f.object_id = m.object_id AND f.index_id = m.index_id AND f.partition_number IS NOT DISTINCT FROM m.partition_number
+  LEFT JOIN fx_stats_props s ON s.server_id = m.server_id AND s.database_name = m.database_name AND s.object_id = m.object_id AND s.statistics_id = m.statistics_id
+  LEFT JOIN fx_incremental_props q ON q.server_id = m.server_id AND q.database_name = m.database_name AND q.object_id = m.object_id AND q.statistics_id = m.statistics_id AND q.partition_number = m.partition_number),
+acted AS (
+  SELECT *, CASE WHEN resumable THEN '{_N}' WHEN page_count >= 1000 THEN CASE fragmentation_group WHEN 'High' THEN {_pick([_N, _O])} WHEN 'Medium' THEN {_pick([_R, _N, _O])} END END AS action
+  FROM measured),
+updated AS (
+  SELECT *, coalesce(
+      CASE update_statistics WHEN 'ALL' THEN index_id IS NULL OR index_type IN (1, 2, 3, 4, 7) ELSE index_id IS NULL END
+      AND CASE policy_id WHEN 0 THEN TRUE WHEN 2 THEN coalesce(modification_counter, 0) > 0
+          ELSE coalesce(modification_counter * 100 >= 3 * nullif(row_count, 0), FALSE) OR (coalesce(modification_counter, 0) > 0 AND modification_counter >= sqrt(row_count * 1000)) END
+      AND CASE WHEN partition_number IS NULL OR partition_count = 1 THEN coalesce(action, '') NOT IN ('{_N}', '{_O}')
+          ELSE coalesce(partition_number = partition_count, FALSE) OR (partition_level_statistics AND is_incremental) END, FALSE) AS update_statistics_now
+  FROM acted)
+"""
+
+
+def _statistics_inputs(v):
+    return *(v(x) for x in ("fx_indexes", "fx_statistics_policies", "fx_index_physical", "fx_stats_props", "fx_column_statistics", "fx_incremental_props")),
+
+
+@query("statistics_by_partition", "WITH " + _STATISTICS_SQL + """
+SELECT server_id, policy_id, object_id, index_id, statistics_id, partition_number, row_count, modification_counter, update_statistics_now FROM updated
+""")
+def _(v):
+    return maintenance.index_decisions(*_statistics_inputs(v)).select(
+        "server_id", "policy_id", "object_id", "index_id", "statistics_id", "partition_number", "row_count", "modification_counter", "update_statistics_now"
+    )
+
+
+@query("index_plan_statistics", "WITH " + _STATISTICS_SQL + """
+SELECT server_id, policy_id, database_name, object_name, index_name, statistics_name, partition_number, action, update_statistics_now,
+       row_number() OVER (PARTITION BY server_id, policy_id ORDER BY resumable DESC NULLS LAST, start_position NULLS FIRST, database_name, schema_name, object_name,
+                          index_type IS NULL, index_type, index_name, statistics_name, partition_number NULLS FIRST) AS plan_order
+FROM updated
+""")
+def _(v):
+    return maintenance.index_plan(*_statistics_inputs(v)).select(
+        "server_id", "policy_id", "database_name", "object_name", "index_name", "statistics_name", "partition_number", "action", "update_statistics_now",
+        F.col("plan_order").cast("bigint").alias("plan_order"),
+    )
+
+
 @query("index_and_statistics", """
 SELECT server_id, database_name, object_id, index_id, statistics_id, statistics_name FROM (SELECT DISTINCT server_id, database_name, object_id, index_id, statistics_id, statistics_name FROM fx_indexes)
 UNION
