@@ -12,7 +12,7 @@ from fleetscope.operators import alerts, filters, jobs, ranking, replicas, reten
 from fleetscope.plans import collectors, notices
 from fleetscope.runtime import scratch_path
 from fleetscope.schemas import HISTORY
-from fleetscope.sinks import history, outbox, report
+from fleetscope.sinks import ddl, history, outbox, report
 from fleetscope.sources import telemetry
 from fleetscope.sources.cpu_records import parse_cpu_records
 from harness.core import query
@@ -102,6 +102,42 @@ def _(v):
     return history.read_history(v.spark, path, schema)
 
 
+def _made_table(v) -> tuple[str, str]:
+    """A new catalog table of notifications from its schema text, with its folder."""
+    path = scratch_path(v.spark, "by-name")
+    table = f"by_name_{path[-32:]}"
+    shape = v.spark.createDataFrame([], HISTORY["cpu_usage"])
+    v.spark.sql(f"{ddl.schema_ddl(shape, table)}\nLOCATION '{path}'")
+    return table, path
+
+
+@query("append_by_name", "SELECT server_id, record_id, event_time, sql_process, system_idle, other_process FROM fx_cpu_history")
+def _(v):
+    table, path = _made_table(v)
+    rows = v("fx_cpu_history")
+    for part, columns in (("server_id < 4", sorted(rows.columns)), ("server_id >= 4", sorted(rows.columns, reverse=True))):
+        history.append_by_name(rows.filter(part).select(*columns, F.lit(0).alias("not_stored")), table)
+    v.spark.sql(f"DROP TABLE {table}")
+    return v.spark.read.schema(HISTORY["cpu_usage"]).parquet(path)
+
+
+@query("schema_ddl", """
+SELECT 'server_id' AS col_name, 'bigint' AS data_type, count(*) AS stored FROM fx_cpu_history
+UNION ALL SELECT 'record_id', 'bigint', count(*) FROM fx_cpu_history
+UNION ALL SELECT 'event_time', 'timestamp', count(*) FROM fx_cpu_history
+UNION ALL SELECT 'sql_process', 'bigint', count(*) FROM fx_cpu_history
+UNION ALL SELECT 'system_idle', 'bigint', count(*) FROM fx_cpu_history
+UNION ALL SELECT 'other_process', 'bigint', count(*) FROM fx_cpu_history
+""")
+def _(v):
+    table, path = _made_table(v)
+    history.append_by_name(v("fx_cpu_history"), table)
+    columns = v.spark.sql(f"DESCRIBE TABLE {table}").select("col_name", "data_type")
+    stored = v.spark.read.parquet(path).agg(*[F.count(F.lit(1)).alias(f.name) for f in HISTORY["cpu_usage"].fields])
+    counts = stored.unpivot([], [f.name for f in HISTORY["cpu_usage"].fields], "col_name", "stored")
+    return columns.join(counts, "col_name")
+
+
 @query("replace_today", """
 SELECT server_id, record_id, event_time, CAST(CASE WHEN CAST(event_time AS DATE) = DATE '2024-01-15' THEN 0 ELSE sql_process END AS BIGINT) AS sql_process,
        system_idle, other_process FROM fx_cpu_history

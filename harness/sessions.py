@@ -927,3 +927,13 @@ def _(v):
     steps = steps.withColumn("step_name", F.concat(F.lit("Step "), F.col("step_id").cast("string")))
     named = usage.agent_job_names(rows, jobs, steps)
     return named.select("server_id", "session_id", F.col("step_id").cast("int").alias("step_id"), "job_name", "step_name")
+
+
+@query("order_output", """
+WITH reported AS (
+  SELECT server_id, collection_time, session_id, request_id, max(last_batch) AS start_time FROM fx_procs GROUP BY ALL)
+SELECT * FROM reported ORDER BY start_time DESC, server_id, collection_time, session_id, request_id LIMIT 50
+""")
+def _(v):
+    reported = v("fx_procs").groupBy(*SK).agg(F.max("last_batch").alias("start_time"))
+    return session_monitor.order_output(reported, "-start_time").limit(50)
