@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.functions.locktext import block_info, metadata_schema_id
@@ -112,24 +112,47 @@ def rank_waits(profile: DataFrame) -> DataFrame:
     return number_rows(profile, SK, order, "wait_rank")
 
 
-def task_summary(ranked: DataFrame) -> DataFrame:
-    """One row per request: totals, the first block text and all waits as one text."""
+WAITS_PER_PAGE = 1000
+
+
+def _wait_texts(ranked: DataFrame, page_rows: int) -> DataFrame:
     text = wait_group_text(
         F.col("num_waits"), F.col("min_wait_ms"), F.col("avg_wait_ms"), F.col("max_wait_ms"), F.col("wait_type")
     )
-    listed = ranked.withColumn("_text", text)
+    return ranked.withColumns({"_text": text, "page_no": F.floor((F.col("wait_rank") - 1) / page_rows).cast("int")})
+
+
+def _in_order(text: Column) -> Column:
+    """The texts of a page as one, by rank; those without a text are left out."""
+    pairs = F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("wait_rank", text.alias("_text")))))
+    return F.array_join(F.transform(pairs, lambda w: w["_text"]), ", ")
+
+
+def task_summary(ranked: DataFrame, page_rows: int = WAITS_PER_PAGE) -> DataFrame:
+    """One row per request: totals, the first block text and its waits as one text.
+
+    The text holds the first ``page_rows`` waits; ``wait_pages`` tells how many pages there
+    are, and the operator of that name writes all of them.
+    """
+    listed = _wait_texts(ranked, page_rows)
     return listed.groupBy(*SK).agg(
         *[F.max(c).alias(c) for c in _TOTALS],
         F.max(F.when(F.col("wait_rank") == 1, F.col("block_text"))).alias("block_text"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("_text").isNotNull(), F.struct("wait_rank", "_text")))),
-                lambda w: w["_text"],
-            ), ", ",
-        ).alias("wait_info"),
+        _in_order(F.when(F.col("page_no") == 0, F.col("_text"))).alias("wait_info"),
+        (F.max(F.when(F.col("_text").isNotNull(), F.col("page_no"))) + 1).alias("wait_pages"),
     )
 
 
+def wait_pages(ranked: DataFrame, page_rows: int = WAITS_PER_PAGE) -> DataFrame:
+    """All waits of each request as texts of at most ``page_rows`` waits each: SK, page_no, wait_info.
+
+    Waits are numbered before they are put together, so no request is gathered whole and no
+    wait is cut, however many there are.
+    """
+    listed = _wait_texts(ranked, page_rows).filter("_text is not null")
+    return listed.groupBy(*SK, "page_no").agg(_in_order(F.col("_text")).alias("wait_info"))
+
+
 def blocked_object_names(blocked: DataFrame, databases: DataFrame, partitions: DataFrame, objects: DataFrame, schemas: DataFrame) -> DataFrame:
     """Names of the object and schema each blocked request waits for.
 

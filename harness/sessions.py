@@ -535,6 +535,15 @@ def _(v):
     return waits.task_summary(waits.rank_waits(_profile(v))).select(*SK, "tasks", "block_text", "wait_info")
 
 
+@query("wait_pages", "WITH " + _RANK_SQL + f"""
+SELECT server_id, collection_time, session_id, request_id, CAST(floor((wait_rank - 1) / 2) AS BIGINT) AS page_no,
+       string_agg('(' || CAST(num_waits AS STRING) || 'x: ' || {_SPREAD} || 'ms)' || wait_type, ', ' ORDER BY wait_rank) AS wait_info
+FROM ranked WHERE wait_type IS NOT NULL GROUP BY ALL
+""")
+def _(v):
+    return waits.wait_pages(waits.rank_waits(_profile(v)), page_rows=2).withColumn("page_no", F.col("page_no").cast("bigint"))
+
+
 @query("blocked_object_names", "WITH " + _WAITS_SQL + """,
 blocked AS (SELECT server_id, collection_time, session_id, request_id, max(block_text) AS block_text FROM profile GROUP BY ALL HAVING max(block_text) IS NOT NULL),
 parsed AS (SELECT *, CAST(regexp_extract(block_text, 'hobtid=([0-9]+)', 1) AS BIGINT) AS hobt_id,
