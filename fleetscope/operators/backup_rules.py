@@ -190,8 +190,12 @@ def number_targets(targets: DataFrame) -> DataFrame:
 def backup_path_parts(decided: DataFrame, now: datetime, separator: str = "\\") -> DataFrame:
     """Directory and file-name template of each database with all tokens but the file number filled in.
 
-    Needs ``server_name, instance_name, service_name, cluster_name, description`` beside
-    the decided columns; missing ones count as NULL.
+    Needs ``server_name, instance_name, service_name, cluster_name, description,
+    major_version, minor_version`` beside the decided columns; missing ones count as NULL. A
+    policy may bring templates of its own: ``directory_structure, file_name_structure``, for
+    databases in an availability group ``group_directory_structure,
+    group_file_name_structure``. An empty directory structure means no sub-directories; one
+    that is NULL means the usual template.
     """
     def column(name: str) -> Column:
         return F.col(name) if name in decided.columns else F.lit(None).cast("string")
@@ -215,14 +219,19 @@ def backup_path_parts(decided: DataFrame, now: datetime, separator: str = "\\")
         "{AvailabilityGroupName}": column("availability_group"), "{BackupType}": kind,
         "{Partial}": F.lit("PARTIAL"), "{CopyOnly}": F.lit("COPY_ONLY"),
         "{Description}": F.trim(F.translate(column("description"), '\\/:*?"<>|', "")),
+        "{MajorVersion}": column("major_version"), "{MinorVersion}": column("minor_version"),
         **templates.date_tokens(F.lit(now)),
     }
     fs_name = templates.file_system_name(F.col("name"))
     extension = None
     for label, text in templates.FILE_EXTENSIONS.items():
         extension = F.when(kind == label, text) if extension is None else extension.when(kind == label, text)
-    folder = F.when(grouped, templates.GROUP_DIRECTORY).otherwise(templates.DIRECTORY)
-    file = F.when(grouped, templates.GROUP_FILE).otherwise(templates.FILE)
+    folder = F.when(grouped, F.coalesce(column("group_directory_structure"), F.lit(templates.GROUP_DIRECTORY))).otherwise(
+        F.coalesce(column("directory_structure"), F.lit(templates.DIRECTORY))
+    )
+    file = F.when(grouped, F.coalesce(column("group_file_name_structure"), F.lit(templates.GROUP_FILE))).otherwise(
+        F.coalesce(column("file_name_structure"), F.lit(templates.FILE))
+    )
     folder = templates.tidy_directory(templates.drop_tokens(folder, unused))
     file = templates.tidy_file(templates.drop_tokens(file, {**unused, **single}))
     file_values = {**values, "{NumberOfFiles}": F.col("file_count"), "{FileExtension}": extension}
@@ -236,7 +245,7 @@ def backup_path_parts(decided: DataFrame, now: datetime, separator: str = "\\")
 def backup_paths(files: DataFrame, separator: str = "\\") -> DataFrame:
     """Full path of each backup file, shortening a database name that would not fit."""
     c = F.col
-    folder = F.concat(c("path"), F.lit(separator), c("directory"))
+    folder = F.concat(c("path"), F.when(c("directory") == "", "").otherwise(F.concat(F.lit(separator), c("directory"))))
     number = templates.file_number_text(c("file_number"), c("file_count"))
     sample = F.replace(F.replace(c("file_template"), F.lit("{DatabaseName}"), c("file_system_name")), F.lit("{FileNumber}"), number)
     name = templates.shortened_name(c("file_system_name"), F.length(folder) + F.lit(len(separator)) + F.length(sample))

@@ -329,6 +329,34 @@ def _(v):
     return files.select("server_id", "policy_id", "database_id", "file_number", F.col("directory_no").cast("bigint").alias("directory_no"), F.col("mirror").cast("bigint").alias("mirror"), "file_path")
 
 
+def _templated(v):
+    """Policies 0 and 1 with templates of their own, the rest with the usual ones."""
+    policies, at = v("fx_policies"), F.col("policy_id")
+    databases = v("fx_databases").withColumns({"major_version": (F.col("database_id") % 4 + 13).cast("string"), "minor_version": F.lit("2")})
+    own = {
+        "directory_structure": F.when(at == 0, "{DatabaseName}/{BackupType}_{Partial}_{CopyOnly}/v{MajorVersion}.{MinorVersion}").when(at == 1, ""),
+        "group_directory_structure": F.when(at == 0, "{AvailabilityGroupName}-{ClusterName}{DirectorySeparator}{DatabaseName}").when(at == 1, ""),
+        "file_name_structure": F.when(at == 1, "{DatabaseName}_{BackupType}_{Year}-{Month}-{Day}_{FileNumber}of{NumberOfFiles}.{FileExtension}"),
+        "group_file_name_structure": F.when(at == 1, "{AvailabilityGroupName}_{DatabaseName}_{Hour}{Minute}_{FileNumber}.{FileExtension}"),
+    }
+    return maintenance.backup_plan(databases, policies.withColumns(own), v("fx_backups"), NOW)
+
+
+@query("backup_templates", "WITH " + _PLAN_SQL + """
+SELECT server_id, policy_id, database_id,
+       CASE WHEN policy_id = 1 THEN ''
+            WHEN policy_id = 0 AND availability_group IS NOT NULL THEN availability_group || CASE WHEN cluster_name IS NULL THEN '' ELSE '-' || cluster_name END || chr(92) || fs
+            WHEN policy_id = 0 THEN fs || chr(92) || kind || CASE WHEN copy_only THEN '_COPY_ONLY' ELSE '' END || chr(92) || 'v' || CAST(database_id % 4 + 13 AS STRING) || '.2'
+            ELSE directory END AS directory,
+       CASE WHEN policy_id = 1 AND availability_group IS NOT NULL THEN availability_group || '_{DatabaseName}_0000' || CASE WHEN file_count = 1 THEN '' ELSE '_{FileNumber}' END || CASE kind WHEN 'LOG' THEN '.trn' ELSE '.bak' END
+            WHEN policy_id = 1 THEN '{DatabaseName}_' || kind || '_2024-01-31' || CASE WHEN file_count = 1 THEN '' ELSE '_{FileNumber}of' || CAST(file_count AS STRING) END || CASE kind WHEN 'LOG' THEN '.trn' ELSE '.bak' END
+            ELSE file_template END AS file_template
+FROM plan
+""")
+def _(v):
+    return _templated(v).select("server_id", "policy_id", "database_id", "directory", "file_template")
+
+
 # ---- integrity checks and commands ---------------------------------------------------
 
 _CHECK_SQL = _SELECTION_SQL + """,
