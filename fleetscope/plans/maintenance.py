@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.operators import backup_rules, checks, index_rules, selection
-from fleetscope.operators.ranking import null_safe_join
+from fleetscope.operators.ranking import null_safe_join, number_rows
 
 
 def _selected(databases: DataFrame, policies: DataFrame) -> DataFrame:
@@ -45,6 +45,34 @@ def integrity_plan(
     return checks.expand_check_commands(planned)
 
 
+def integrity_targets(plan: DataFrame, policies: DataFrame, filegroups: DataFrame, objects: DataFrame) -> DataFrame:
+    """Commands of an integrity plan with what each works on, numbered in working order.
+
+    A file group check has a row per selected file group of its database, a table check per
+    selected object; policies list them as ``filegroup_spec`` and ``object_spec``, no list
+    selects all. Only databases of the plan are looked at, so what excludes a database
+    excludes all in it. A command without a selected target has no row; one that is skipped
+    keeps its row and reason.
+    """
+    def of(command: str, kind: str, names: DataFrame, spec: str, parts: list[str]) -> DataFrame:
+        own = plan.filter((F.col("check_command") == command) & F.col("skip_reason").isNull())
+        wanted = F.col(spec) if spec in policies.columns else F.lit(None).cast("string")
+        lists = policies.select("server_id", "policy_id", wanted.alias("spec"))
+        asked = own.select("server_id", F.col("name").alias("database_name")).distinct()
+        inside = names.select("server_id", "database_name", *parts).join(asked, ["server_id", "database_name"], "left_semi")
+        chosen = selection.resolve_selection(inside, lists, kind).filter("selected").select(
+            "server_id", "policy_id", F.col("database_name").alias("name"), *parts, F.col("start_position").alias("target_position")
+        )
+        return own.join(chosen, ["server_id", "policy_id", "name"])
+
+    nested = F.col("check_command").isin("CHECKFILEGROUP", "CHECKTABLE") & F.col("skip_reason").isNull()
+    rows = plan.filter(~nested).unionByName(
+        of("CHECKFILEGROUP", "filegroups", filegroups, "filegroup_spec", ["filegroup_name"]), allowMissingColumns=True
+    ).unionByName(of("CHECKTABLE", "objects", objects, "object_spec", ["schema_name", "object_name"]), allowMissingColumns=True)
+    order = ["plan_order", "check_command", "target_position", "filegroup_name", "schema_name", "object_name"]
+    return number_rows(rows, ["server_id", "policy_id"], [F.col(c).asc_nulls_first() for c in order], "target_order")
+
+
 def index_decisions(
     indexes: DataFrame, policies: DataFrame, index_physical: DataFrame, stats_props: DataFrame,
     column_statistics: DataFrame | None = None, incremental_props: DataFrame | None = None,

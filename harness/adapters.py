@@ -437,6 +437,15 @@ FROM (SELECT DISTINCT c_custkey % 8 AS server_id, c_nationkey % 5 AS policy_id F
 
 # ---- indexes, files, errors, commands ------------------------------------------------
 
+ADAPTERS["fx_db_filegroups"] = """
+SELECT server_id, name AS database_name, 'PRIMARY' AS filegroup_name FROM fx_databases
+UNION ALL SELECT server_id, name, 'FG' || CAST(database_id % 3 AS STRING) FROM fx_databases
+"""
+ADAPTERS["fx_db_objects"] = """
+SELECT server_id, name AS database_name, 'dbo' AS schema_name, 't' || CAST(database_id % 4 AS STRING) AS object_name FROM fx_databases
+UNION ALL SELECT server_id, name, 'dbo', 't2_' || CAST(database_id % 2 AS STRING) FROM fx_databases
+UNION ALL SELECT server_id, name, 'app', 'orders' FROM fx_databases WHERE database_id % 2 = 0
+"""
 ADAPTERS["fx_indexes"] = """
 SELECT l_partkey % 8 AS server_id, 'db' || CAST(l_partkey % 5 AS STRING) AS database_name,
        'schema' || CAST(p_size % 3 AS STRING) AS schema_name, 'part' || CAST(l_partkey AS STRING) AS object_name, l_partkey AS object_id,

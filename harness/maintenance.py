@@ -398,6 +398,39 @@ def _(v):
     return rows.select("server_id", "policy_id", "name", "last_command_time", "skip_reason", "check_command")
 
 
+@query("integrity_targets", "WITH " + _CHECK_SQL + """,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY server_id, policy_id ORDER BY start_position NULLS FIRST, name) AS plan_order FROM allowed),
+commands AS (
+  SELECT r.*, c.check_command FROM ranked r,
+  LATERAL (SELECT unnest(CASE WHEN policy_id % 2 = 0 THEN ['CHECKFILEGROUP', 'CHECKCATALOG'] ELSE ['CHECKTABLE', 'CHECKALLOC'] END) AS check_command) c
+  WHERE c.check_command <> 'CHECKTABLE' OR may_check_objects),
+targets AS (
+  SELECT c.*, NULL AS filegroup_name, NULL AS schema_name, NULL AS object_name, NULL AS position FROM commands c
+  WHERE check_command NOT IN ('CHECKFILEGROUP', 'CHECKTABLE') OR skip_reason IS NOT NULL
+  UNION ALL
+  SELECT c.*, f.filegroup_name, NULL, NULL, CASE WHEN policy_id = 2 THEN CASE WHEN f.filegroup_name = 'PRIMARY' THEN 2 ELSE 1 END WHEN policy_id = 0 THEN 1 END
+  FROM commands c JOIN fx_db_filegroups f ON f.server_id = c.server_id AND f.database_name = c.name
+  WHERE check_command = 'CHECKFILEGROUP' AND skip_reason IS NULL AND CASE policy_id WHEN 0 THEN f.filegroup_name <> 'FG1' ELSE TRUE END
+  UNION ALL
+  SELECT c.*, NULL, o.schema_name, o.object_name, CASE WHEN policy_id = 1 THEN CASE WHEN o.schema_name = 'dbo' THEN 1 ELSE 2 END END
+  FROM commands c JOIN fx_db_objects o ON o.server_id = c.server_id AND o.database_name = c.name
+  WHERE check_command = 'CHECKTABLE' AND skip_reason IS NULL AND (policy_id <> 1 OR NOT starts_with(o.object_name, 't2_')))
+SELECT server_id, policy_id, name, check_command, skip_reason, filegroup_name, schema_name, object_name,
+       row_number() OVER (PARTITION BY server_id, policy_id ORDER BY plan_order, check_command, position NULLS FIRST, filegroup_name NULLS FIRST, schema_name NULLS FIRST, object_name NULLS FIRST) AS target_order
+FROM targets
+""")
+def _(v):
+    at = F.col("policy_id")
+    policies = v("fx_policies").withColumns({
+        "check_commands": F.when(at % 2 == 0, "CHECKFILEGROUP,CHECKCATALOG").otherwise("CHECKTABLE,CHECKALLOC"),
+        "filegroup_spec": F.when(at == 0, "ALL_FILEGROUPS,-%.FG1").when(at == 2, "%.FG%,%.PRIMARY"),
+        "object_spec": F.when(at == 1, "%.dbo.%,%.app.orders,-%.%.t2_%"),
+    })
+    plan = maintenance.integrity_plan(v("fx_databases"), policies, v("fx_commands"))
+    rows = maintenance.integrity_targets(plan, policies, v("fx_db_filegroups"), v("fx_db_objects"))
+    return rows.select("server_id", "policy_id", "name", "check_command", "skip_reason", "filegroup_name", "schema_name", "object_name", F.col("target_order").cast("bigint").alias("target_order"))
+
+
 _OUTCOME_SQL = """
 outcomes AS (
   SELECT *, CASE WHEN error_number IS NULL THEN 'Not Executed' WHEN error_number = 0 THEN 'Succeeded' ELSE 'Failed' END AS outcome,
