@@ -8,23 +8,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.operators import backup_rules, checks, index_rules, selection
-from fleetscope.operators.ranking import null_safe_join, number_rows
+from fleetscope.operators.ranking import exists_flag, null_safe_join, number_rows
 
 
 def _selected(databases: DataFrame, policies: DataFrame) -> DataFrame:
     return selection.resolve_selection(selection.database_names(databases), policies, "databases").filter("selected")
 
 
+def _resolved_by_group(names: DataFrame, policies: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Databases with ``selected`` per policy: by the groups a policy lists in ``group_spec``, else by its database list."""
+    if groups is None or "group_spec" not in policies.columns:
+        return selection.resolve_selection(names, policies)
+    by_name = selection.resolve_selection(names, policies.filter("group_spec is null").drop("group_spec"))
+    listed = policies.filter("group_spec is not null").drop("spec")
+    found = selection.resolve_selection(groups, listed.withColumnRenamed("group_spec", "spec"), "groups")
+    found = found.select("server_id", "policy_id", F.col("name").alias("availability_group"), "selected", "start_position")
+    own = names.join(listed.drop("group_spec"), "server_id").join(found, ["server_id", "policy_id", "availability_group"], "left")
+    return by_name.unionByName(own.withColumn("selected", F.coalesce("selected", F.lit(False))), allowMissingColumns=True)
+
+
 def backup_plan(
     databases: DataFrame, policies: DataFrame, backupset: DataFrame, now: datetime, order: str | None = None,
+    groups: DataFrame | None = None,
 ) -> DataFrame:
-    """Backup type, eligibility, size, files, paths and cleanup cut of each selected database."""
-    chosen = _selected(databases, backup_rules.with_policy_defaults(policies))
-    decided = backup_rules.backup_eligibility(backup_rules.backup_type_decision(chosen), now)
+    """Backup type, eligibility, size, files, paths and cleanup cut of each selected database.
+
+    With ``groups`` (server_id, name) a policy may list availability groups in
+    ``group_spec`` instead of databases. ``is_ambiguous`` marks databases whose file-system name
+    another one shares; ``missing_names`` tells what the policy lists and no one has.
+    """
+    full = backup_rules.with_policy_defaults(policies)
+    names = selection.database_names(databases)
+    resolved = _resolved_by_group(names, full, groups)
+    decided = backup_rules.backup_eligibility(backup_rules.backup_type_decision(resolved.filter("selected")), now)
     sized = backup_rules.backup_file_count(decided)
     latest = backup_rules.latest_restorable_backup(backupset, databases)
-    planned = backup_rules.backup_path_parts(backup_rules.cleanup_cutoff(sized, latest, now), now)
-    return selection.plan_order(planned, order)
+    parts = backup_rules.backup_path_parts(backup_rules.cleanup_cutoff(sized, latest, now), now)
+    at = ["server_id", "policy_id"]
+    clashes = selection.ambiguous_names(resolved).select(*at, F.upper("file_system_name").alias("_key"))
+    flagged = exists_flag(parts.withColumn("_key", F.upper("file_system_name")), clashes, [*at, "_key"], "is_ambiguous").drop("_key")
+    by_group = groups is not None and "group_spec" in policies.columns
+    missing = selection.missing_selectors(names, _lists(policies.filter("group_spec is null") if by_group else policies, "spec"))
+    if by_group:
+        missing = missing.unionByName(selection.missing_selectors(groups, _lists(policies, "group_spec"), kind="groups"))
+    warned = flagged.join(selection.missing_selectors_text(missing), at, "left")
+    return selection.plan_order(warned, order)
+
+
+def _lists(policies: DataFrame, column: str) -> DataFrame:
+    return policies.select("server_id", "policy_id", F.col(column).alias("spec"))
 
 
 def backup_files(plan: DataFrame, targets: DataFrame) -> DataFrame:

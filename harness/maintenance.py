@@ -287,6 +287,43 @@ def _(v):
     )
 
 
+_GROUPED_SQL = """
+WITH names AS (SELECT * FROM fx_databases WHERE lower(name) NOT IN ('tempdb', 'master') AND source_database_id IS NULL),
+picked AS (
+  SELECT n.server_id, p.policy_id, n.name, n.database_id, n.availability_group, {fs} AS fs,
+         CASE p.policy_id WHEN 0 THEN availability_group IS NOT NULL AND NOT availability_group LIKE '%b'
+                          WHEN 1 THEN availability_group IN ('group1a', 'group2b') ELSE lower(name) LIKE 'customer#00000000%' END AS selected,
+         CASE p.policy_id WHEN 0 THEN 1 WHEN 1 THEN CASE availability_group WHEN 'group2b' THEN 1 WHEN 'group1a' THEN 2 END ELSE 1 END AS start_position
+  FROM names n JOIN fx_policies p USING (server_id) WHERE p.policy_id < 3),
+clashes AS (SELECT server_id, policy_id, upper(fs) AS k FROM picked WHERE fs <> '' GROUP BY ALL HAVING count(*) > 1 AND bool_or(selected)),
+absent AS (
+  SELECT p.server_id, p.policy_id,
+         CASE WHEN p.policy_id = 1 THEN (
+           SELECT string_agg('[' || w.name || ']', ', ' ORDER BY w.position) FROM (VALUES ('group2b', 1), ('group1a', 2), ('nobody', 3)) w(name, position)
+           WHERE NOT EXISTS (SELECT 1 FROM fx_database_groups g WHERE g.server_id = p.server_id AND lower(g.name) = w.name)) END AS missing_names
+  FROM fx_policies p)
+SELECT c.server_id, c.policy_id, c.name, c.database_id, c.availability_group, k.k IS NOT NULL AS is_ambiguous, a.missing_names,
+       row_number() OVER (PARTITION BY c.server_id, c.policy_id ORDER BY start_position NULLS FIRST, c.name, c.database_id) AS plan_order
+FROM picked c LEFT JOIN clashes k ON k.server_id = c.server_id AND k.policy_id = c.policy_id AND k.k = upper(c.fs) AND c.fs <> ''
+LEFT JOIN absent a ON a.server_id = c.server_id AND a.policy_id = c.policy_id
+WHERE selected
+"""
+
+
+@query("backup_plan_groups", _GROUPED_SQL.replace("{fs}", _FS).replace("ORDER BY start_position NULLS FIRST, c.name, c.database_id", "ORDER BY start_position NULLS FIRST, c.name"))
+def _(v):
+    at = F.col("policy_id")
+    policies = v("fx_policies").filter("policy_id < 3").withColumns({
+        "group_spec": F.when(at == 0, "ALL_AVAILABILITY_GROUPS,-%b").when(at == 1, "group2b, group1a,nobody"),
+        "spec": F.when(at == 2, "customer#00000000%"),
+    })
+    # Databases of one name would tie in the order.
+    rows = maintenance.backup_plan(v("fx_databases").filter("lower(name) <> 'master'"), policies, v("fx_backups"), NOW, groups=v("fx_database_groups"))
+    return rows.select(
+        "server_id", "policy_id", "name", "database_id", "availability_group", "is_ambiguous", "missing_names", F.col("plan_order").cast("bigint").alias("plan_order")
+    )
+
+
 def _targets(v):
     # Each policy has directories of its own; the log backups of policy 1 are mirrored.
     places = F.explode(F.sequence(F.lit(1), F.col("directory_count"))).alias("position")
