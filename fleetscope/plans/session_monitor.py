@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.functions.semantics import ms_between
+from fleetscope.functions import codes
+from fleetscope.functions.semantics import int_div, ms_between
 from fleetscope.functions.statements import active_statement, last_request_start, request_start_time
 from fleetscope.functions.waittext import wait_detail, wait_text
 from fleetscope.keys import K, SK
@@ -16,7 +17,9 @@ from fleetscope.operators.ranking import null_safe_join
 from fleetscope.runtime import cut_lineage
 
 # Column groups that are joined only where asked for.
-GROUPS = ("tasks", "tempdb", "transactions", "average", "blocking", "locks", "text", "jobs", "deltas")
+GROUPS = (
+    "tasks", "tempdb", "transactions", "average", "blocking", "locks", "text", "jobs", "deltas", "memory", "options", "blocked_objects",
+)
 
 
 def session_snapshot(
@@ -30,11 +33,13 @@ def session_snapshot(
     ``databases`` are always read, others only for the groups asked for. Sessions that block a
     selected one come along (``is_added``). The request rows feed several joins, so they
     are written once to the checkpoint folder instead of being computed for each. With
-    ``locks`` a request has one row per page of its lock document.
+    ``locks`` a request has one row per page of its lock document; ``blocked_objects`` needs ``tasks``.
     """
     unknown = set(groups) - set(GROUPS)
     if unknown:
         raise ValueError(f"unknown column groups {sorted(unknown)}")
+    if "blocked_objects" in groups and "tasks" not in groups:
+        raise ValueError("blocked_objects needs the waits of tasks")
     names = inputs["databases"].select(*K, "database_id", F.col("name").alias("database_name"))
     everything = sessions.one_row_per_request(inputs["procs"]).join(names, [*K, "database_id"], "left")
     everything = cut_lineage(everything.withColumn("blocking_session_id", F.nullif(F.col("blocked"), F.lit(0))))
@@ -133,9 +138,46 @@ def _deltas(out: DataFrame, everything: DataFrame, inputs: Mapping[str, DataFram
     return out.join(changed.select(*SK, *[c for c in changed.columns if c.endswith("_delta")]), SK, "left")
 
 
+def _memory(out: DataFrame, everything: DataFrame, inputs: Mapping[str, DataFrame]) -> DataFrame:
+    """Pages of 8 KB of the request's memory grant; what a grant uses replaces the session's own figure."""
+    pages = {f"_{c}": int_div(F.col(f"{c}_memory_kb"), 8) for c in ("requested", "granted", "used", "max_used")}
+    grants = inputs["memory_grants"].select(*SK, *[column.alias(name) for name, column in pages.items()])
+    return out.join(grants, SK, "left").withColumn("used_memory", F.coalesce("_used", "used_memory")).drop("_used").withColumnsRenamed(
+        {"_max_used": "max_used_memory", "_requested": "requested_memory", "_granted": "granted_memory"}
+    )
+
+
+SETTINGS = ("text_size", "language", "date_format", "date_first", "lock_timeout", "deadlock_priority", "row_count")
+SWITCHES = (
+    "quoted_identifier", "arithabort", "ansi_null_dflt_on", "ansi_defaults", "ansi_warnings", "ansi_padding", "ansi_nulls",
+    "concat_null_yields_null",
+)
+
+
+def _options(out: DataFrame, everything: DataFrame, inputs: Mapping[str, DataFrame]) -> DataFrame:
+    """``additional_info``: the session's settings, switches as ON or OFF, and its isolation level by name."""
+    level = F.lit(None).cast("string")
+    for number, name in codes.ISOLATION_LEVELS.items():
+        level = F.when(F.col("transaction_isolation_level") == number, name).otherwise(level)
+    told = F.struct(
+        *SETTINGS, *[F.when(F.col(c), "ON").when(~F.col(c), "OFF").alias(c) for c in SWITCHES], level.alias("transaction_isolation_level")
+    )
+    known = inputs["session_options"].select(*K, "session_id", told.alias("additional_info"))
+    return out.join(known, [*K, "session_id"], "left")
+
+
+def _blocked_objects(out: DataFrame, everything: DataFrame, inputs: Mapping[str, DataFrame]) -> DataFrame:
+    blocked = out.filter("block_text is not null").select(*SK, "block_text")
+    names = inputs["databases"].select("server_id", "database_id", "name").distinct()
+    found = waits.blocked_object_names(blocked, names, *[inputs[n] for n in ("partitions", "objects", "schemas")])
+    columns = ["lock_type", "database_name", "hobt_id", "schema_name", "object_name"]
+    return out.join(found.select(*SK, F.struct(*columns).alias("blocked_object")), SK, "left")
+
+
 _ADD = {
     "tasks": _tasks, "tempdb": _tempdb, "transactions": _transactions, "average": _average, "blocking": _blocking,
     "locks": _locks, "text": _text, "jobs": _jobs, "deltas": _deltas,
+    "memory": _memory, "options": _options, "blocked_objects": _blocked_objects,
 }
 
 

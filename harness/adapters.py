@@ -437,6 +437,19 @@ FROM (SELECT DISTINCT c_custkey % 8 AS server_id, c_nationkey % 5 AS policy_id F
 
 # ---- indexes, files, errors, commands ------------------------------------------------
 
+ADAPTERS["fx_memory_grants"] = """
+SELECT DISTINCT server_id, collection_time, session_id, CASE WHEN status LIKE 'sleeping%' THEN 0 ELSE request_id END AS request_id,
+       session_id * 67 AS requested_memory_kb, session_id * 51 AS granted_memory_kb, session_id * 43 AS max_used_memory_kb, session_id * 41 AS used_memory_kb
+FROM fx_procs WHERE session_id % 3 <> 0
+"""
+ADAPTERS["fx_session_options"] = """
+SELECT DISTINCT server_id, collection_time, session_id, 4096 + session_id AS text_size, CASE WHEN session_id % 5 = 0 THEN 'Deutsch' ELSE 'us_english' END AS language,
+       CASE WHEN session_id % 5 = 0 THEN 'dmy' ELSE 'mdy' END AS date_format, 7 - session_id % 7 AS date_first, session_id % 4 - 1 AS lock_timeout,
+       session_id % 11 - 5 AS deadlock_priority, session_id * 3 AS row_count, session_id % 2 = 0 AS quoted_identifier, session_id % 3 = 0 AS arithabort,
+       session_id % 5 <> 0 AS ansi_null_dflt_on, session_id % 7 = 0 AS ansi_defaults, session_id % 2 = 1 AS ansi_warnings, session_id % 3 <> 0 AS ansi_padding,
+       CASE WHEN session_id % 13 <> 0 THEN session_id % 4 = 0 END AS ansi_nulls, session_id % 9 = 0 AS concat_null_yields_null, session_id % 7 AS transaction_isolation_level
+FROM fx_procs WHERE session_id % 10 <> 9
+"""
 ADAPTERS["fx_db_filegroups"] = """
 SELECT server_id, name AS database_name, 'PRIMARY' AS filegroup_name FROM fx_databases
 UNION ALL SELECT server_id, name, 'FG' || CAST(database_id % 3 AS STRING) FROM fx_databases

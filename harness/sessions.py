@@ -938,6 +938,51 @@ def _(v):
     return named.select("server_id", "session_id", F.col("step_id").cast("int").alias("step_id"), "job_name", "step_name")
 
 
+_SWITCHES = session_monitor.SWITCHES
+
+
+@query("monitor_memory_and_options", "WITH " + _RANK_SQL + """
+SELECT p.server_id, p.collection_time, p.session_id, p.request_id, m.requested_memory_kb // 8 AS requested_memory, m.granted_memory_kb // 8 AS granted_memory,
+       m.max_used_memory_kb // 8 AS max_used_memory, o.text_size, o.language, o.lock_timeout, """ + ", ".join(
+    f"CASE WHEN o.{c} THEN 'ON' WHEN NOT o.{c} THEN 'OFF' END AS {c}" for c in _SWITCHES
+) + """,
+       CASE o.transaction_isolation_level WHEN 0 THEN 'Unspecified' WHEN 1 THEN 'ReadUncomitted' WHEN 2 THEN 'ReadCommitted' WHEN 3 THEN 'Repeatable'
+            WHEN 4 THEN 'Serializable' WHEN 5 THEN 'Snapshot' END AS isolation_level
+FROM picked p LEFT JOIN fx_memory_grants m USING (server_id, collection_time, session_id, request_id)
+LEFT JOIN fx_session_options o USING (server_id, collection_time, session_id)
+""")
+def _(v):
+    inputs = {**_monitor_inputs(v), "memory_grants": v("fx_memory_grants"), "session_options": v("fx_session_options")}
+    report = session_monitor.session_snapshot(inputs, ("memory", "options"), sleeping=2, system=True)
+    told = ["text_size", "language", "lock_timeout", *_SWITCHES]
+    return report.select(
+        *SK, "requested_memory", "granted_memory", "max_used_memory", *[F.col(f"additional_info.{c}").alias(c) for c in told],
+        F.col("additional_info.transaction_isolation_level").alias("isolation_level"),
+    )
+
+
+@query("monitor_blocked_objects", "WITH " + _RANK_SQL + """,
+first_waits AS (SELECT server_id, collection_time, session_id, request_id, max(CASE WHEN wait_rank = 1 THEN block_text END) AS block_text FROM ranked GROUP BY ALL),
+blocks AS (SELECT *, CAST(regexp_extract(block_text, 'hobtid=([0-9]+)', 1) AS BIGINT) AS hobt_id,
+                  CAST(regexp_extract(block_text, 'dbid=([0-9]+)', 1) AS BIGINT) AS database_id FROM first_waits WHERE block_text IS NOT NULL)
+SELECT p.server_id, p.collection_time, p.session_id, p.request_id, d.name AS blocked_database, t.hobt_id AS blocked_hobt, s.name AS blocked_schema, o.name AS blocked_name
+FROM picked p
+LEFT JOIN blocks t USING (server_id, collection_time, session_id, request_id)
+LEFT JOIN (SELECT DISTINCT server_id, database_id, name FROM fx_db_names) d ON d.server_id = t.server_id AND d.database_id = t.database_id
+LEFT JOIN fx_partitions q ON q.server_id = t.server_id AND q.database_name = d.name AND q.hobt_id = t.hobt_id
+LEFT JOIN fx_objects o ON o.server_id = t.server_id AND o.database_name = d.name AND o.object_id = q.object_id
+LEFT JOIN fx_schemas s ON s.server_id = t.server_id AND s.database_name = d.name AND s.schema_id = o.schema_id
+""")
+def _(v):
+    inputs = {**_monitor_inputs(v), "partitions": v("fx_partitions"), "objects": v("fx_objects"), "schemas": v("fx_schemas")}
+    report = session_monitor.session_snapshot(inputs, ("tasks", "blocked_objects"), sleeping=2, system=True)
+    at = F.col("blocked_object")
+    return report.select(
+        *SK, at["database_name"].alias("blocked_database"), at["hobt_id"].alias("blocked_hobt"), at["schema_name"].alias("blocked_schema"),
+        at["object_name"].alias("blocked_name"),
+    )
+
+
 @query("order_output", """
 WITH reported AS (
   SELECT server_id, collection_time, session_id, request_id, max(last_batch) AS start_time FROM fx_procs GROUP BY ALL)
