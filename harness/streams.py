@@ -12,8 +12,8 @@ from fleetscope.sinks.history import append_history
 from fleetscope.sources.telemetry import stream_telemetry
 from fleetscope.streaming.alerts import alert_batches
 from fleetscope.streaming.cpu import stream_cpu_history
-from fleetscope.streaming.deltas import delta_batches
-from fleetscope.streaming.drift import stream_drift
+from fleetscope.streaming.deltas import delta_batches, read_deltas
+from fleetscope.streaming.drift import read_drift, stream_drift, stream_drift_parts
 from fleetscope.streaming.run import write_available
 from harness import collectors as batch
 from harness.core import query
@@ -80,6 +80,35 @@ def _(v):
     return v.spark.read.parquet(f"{root}/out").select(*SK, *[f"{m}_delta" for m in deltas.METRICS], "cpu_delta")
 
 
+@query("stream_session_deltas_shuffled", "WITH " + _PAIRS_SQL + "SELECT server_id, collection_time, session_id, request_id, " + ", ".join(
+    f"CASE WHEN ok AND d{i} >= 0 THEN d{i} END AS {m}_delta" for i, m in enumerate(deltas.METRICS, start=1)
+) + f", {_DELTA_CPU} FROM pairs")
+def _(v):
+    root = scratch_path(v.spark, "stream-shuffled")
+    # The collections arrive newest first, then the oldest: each gets or corrects its neighbours later.
+    samples = v("fx_snapshots")
+    times = sorted(r[0] for r in samples.select("collection_time").distinct().collect())
+    for at in [*times[::-2], *times[-2::-2][::-1]]:
+        samples.filter(F.col("collection_time") == F.lit(at)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = v.spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    delta_batches(stream, f"{root}/out", f"{root}/state", f"{root}/checkpoint", lateness=times[-1] - times[0])
+    return read_deltas(v.spark, f"{root}/out").select(*SK, *[f"{m}_delta" for m in deltas.METRICS], "cpu_delta")
+
+
+@query("stream_drift_parts", "WITH " + batch._DRIFT_SQL + "SELECT side, server_id AS secondary_id, * EXCLUDE (side, server_id) FROM drift")
+def _(v):
+    root = scratch_path(v.spark, "stream-drift-parts")
+    primary = batch._definitions(v)
+    arriving = batch._changed(primary).withColumnRenamed("server_id", "secondary_id")
+    # Steps of one job arrive in different batches.
+    for part in range(3):
+        arriving.filter(F.coalesce("step_no", F.lit(0)) % 3 == part).coalesce(1).write.mode("append").parquet(f"{root}/definitions")
+    stream = v.spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/definitions")
+    stream_drift_parts(stream, primary.withColumnRenamed("server_id", "secondary_id"), f"{root}/out", f"{root}/state", f"{root}/checkpoint")
+    columns = ["side", "secondary_id", *jobs.COMPARED, "has_command"]
+    return read_drift(v.spark, f"{root}/out").select(*columns).withColumn("secondary_id", F.col("secondary_id").cast("bigint"))
+
+
 @query("stream_drift", "WITH " + batch._DRIFT_SQL + "SELECT side, server_id AS secondary_id, * EXCLUDE (side, server_id) FROM drift")
 def _(v):
     root = scratch_path(v.spark, "stream-drift")
