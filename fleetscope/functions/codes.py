@@ -148,7 +148,3 @@ def step_action(action: Column, target_id: Column, target_name: Column) -> Colum
 
 def step_type(subsystem: Column) -> Column:
     return decode(subsystem, SUBSYSTEMS, subsystem)
-
-
-# Names of transaction isolation levels by number, as the original spells them.
-ISOLATION_LEVELS = {0: "Unspecified", 1: "ReadUncomitted", 2: "ReadCommitted", 3: "Repeatable", 4: "Serializable", 5: "Snapshot"}

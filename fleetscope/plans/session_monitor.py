@@ -7,7 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.functions import codes
 from fleetscope.functions.semantics import int_div, ms_between
 from fleetscope.functions.statements import active_statement, last_request_start, request_start_time
 from fleetscope.functions.waittext import wait_detail, wait_text
@@ -148,21 +147,12 @@ def _memory(out: DataFrame, everything: DataFrame, inputs: Mapping[str, DataFram
 
 
 SETTINGS = ("text_size", "language", "date_format", "date_first", "lock_timeout", "deadlock_priority", "row_count")
-SWITCHES = (
-    "quoted_identifier", "arithabort", "ansi_null_dflt_on", "ansi_defaults", "ansi_warnings", "ansi_padding", "ansi_nulls",
-    "concat_null_yields_null",
-)
 
 
 def _options(out: DataFrame, everything: DataFrame, inputs: Mapping[str, DataFrame]) -> DataFrame:
     """``additional_info``: the session's settings, switches as ON or OFF, and its isolation level by name."""
-    level = F.lit(None).cast("string")
-    for number, name in codes.ISOLATION_LEVELS.items():
-        level = F.when(F.col("transaction_isolation_level") == number, name).otherwise(level)
-    told = F.struct(
-        *SETTINGS, *[F.when(F.col(c), "ON").when(~F.col(c), "OFF").alias(c) for c in SWITCHES], level.alias("transaction_isolation_level")
-    )
-    known = inputs["session_options"].select(*K, "session_id", told.alias("additional_info"))
+    told = sessions.session_options(inputs["session_options"])
+    known = told.select(*K, "session_id", F.struct(*SETTINGS, *sessions.SWITCHES, "transaction_isolation_level").alias("additional_info"))
     return out.join(known, [*K, "session_id"], "left")
 
 

@@ -4,6 +4,8 @@ The text is SQL that Spark and DuckDB both read, so query and comparison see the
 input. Every view covers its whole source tables.
 """
 
+from harness import labels
+
 ADAPTERS: dict[str, str] = {}
 
 # ---- sessions and processes ----------------------------------------------------------
@@ -335,18 +337,15 @@ ADAPTERS["fx_job_schedules"] = """
 SELECT p_partkey % 8 AS server_id, CASE WHEN p_brand <> 'Brand#13' THEN 'job' ELSE 'other' END || CAST(p_partkey AS STRING) AS job_id, p_size % 25 AS schedule_id
 FROM part
 """
-ADAPTERS["fx_job_view"] = """
+ADAPTERS["fx_job_view"] = f"""
 SELECT j.server_id, j.job_id, j.name AS job_name, o.n_name AS job_owner, 'category' || CAST(c.n_regionkey AS STRING) AS job_category,
-       j.description AS job_description, CASE j.enabled WHEN 1 THEN 'Yes' WHEN 0 THEN 'No' END AS is_enabled,
+       j.description AS job_description, {labels.case('j.enabled', labels.ENABLED)} AS is_enabled,
        j.date_created AS job_created_on, j.date_modified AS job_last_modified_on, v.name AS originating_server_name,
        s.step_id AS job_start_step_no, s.step_name AS job_start_step_name,
        CASE WHEN h.schedule_id IS NULL THEN 'No' ELSE 'Yes' END AS is_scheduled, h.name AS job_schedule_name,
-       CASE j.delete_level WHEN 0 THEN 'Never' WHEN 1 THEN 'On Success' WHEN 2 THEN 'On Failure' ELSE 'On Completion' END AS job_deletion_criterion,
-       CASE h.freq_type WHEN 1 THEN 'One Time' WHEN 64 THEN 'Start automatically when SQL Server Agent starts'
-            WHEN 128 THEN 'Start whenever the CPUs become idle' ELSE CASE WHEN h.freq_type IS NOT NULL THEN 'Recurring' END END AS schedule_type,
-       CASE h.freq_type WHEN 1 THEN 'One Time' WHEN 4 THEN 'Daily' WHEN 8 THEN 'Weekly' WHEN 16 THEN 'Monthly'
-            WHEN 32 THEN 'Monthly - Relative to Frequency Interval' WHEN 64 THEN 'Start automatically when SQL Server Agent starts'
-            WHEN 128 THEN 'Start whenever the CPUs become idle' END AS occurrence,
+       {labels.case('j.delete_level', labels.DELETION)} AS job_deletion_criterion,
+       {labels.case('h.freq_type', {k: 'Recurring' if k in labels.RECURRING else t for k, t in labels.OCCURRENCE.items()})} AS schedule_type,
+       {labels.case('h.freq_type', labels.OCCURRENCE)} AS occurrence,
        h.freq_type, h.freq_interval, h.freq_subday_type, h.freq_subday_interval, h.freq_relative_interval, h.freq_recurrence_factor,
        h.active_start_date, h.active_end_date, h.active_start_time, h.active_end_time,
        h.date_created AS schedule_created_on, h.date_modified AS schedule_last_modified_on,
@@ -445,9 +444,9 @@ FROM fx_procs WHERE session_id % 3 <> 0
 ADAPTERS["fx_session_options"] = """
 SELECT DISTINCT server_id, collection_time, session_id, 4096 + session_id AS text_size, CASE WHEN session_id % 5 = 0 THEN 'Deutsch' ELSE 'us_english' END AS language,
        CASE WHEN session_id % 5 = 0 THEN 'dmy' ELSE 'mdy' END AS date_format, 7 - session_id % 7 AS date_first, session_id % 4 - 1 AS lock_timeout,
-       session_id % 11 - 5 AS deadlock_priority, session_id * 3 AS row_count, session_id % 2 = 0 AS quoted_identifier, session_id % 3 = 0 AS arithabort,
-       session_id % 5 <> 0 AS ansi_null_dflt_on, session_id % 7 = 0 AS ansi_defaults, session_id % 2 = 1 AS ansi_warnings, session_id % 3 <> 0 AS ansi_padding,
-       CASE WHEN session_id % 13 <> 0 THEN session_id % 4 = 0 END AS ansi_nulls, session_id % 9 = 0 AS concat_null_yields_null, session_id % 7 AS transaction_isolation_level
+       session_id % 11 - 5 AS deadlock_priority, session_id * 3 AS row_count, CAST(session_id % 2 = 0 AS INT) AS quoted_identifier, CAST(session_id % 3 = 0 AS INT) AS arithabort,
+       CAST(session_id % 5 <> 0 AS INT) AS ansi_null_dflt_on, CAST(session_id % 7 = 0 AS INT) AS ansi_defaults, CAST(session_id % 2 = 1 AS INT) AS ansi_warnings, CAST(session_id % 3 <> 0 AS INT) AS ansi_padding,
+       CASE WHEN session_id % 13 <> 0 THEN CAST(session_id % 4 = 0 AS INT) END AS ansi_nulls, CAST(session_id % 9 = 0 AS INT) AS concat_null_yields_null, session_id % 7 AS transaction_isolation_level
 FROM fx_procs WHERE session_id % 10 <> 9
 """
 ADAPTERS["fx_db_filegroups"] = """

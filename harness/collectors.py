@@ -6,7 +6,6 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from fleetscope.functions import codes
 from fleetscope.keys import K
 from fleetscope.operators import alerts, filters, jobs, ranking, replicas, retention, space
 from fleetscope.plans import collectors, notices
@@ -15,6 +14,7 @@ from fleetscope.schemas import HISTORY
 from fleetscope.sinks import ddl, history, outbox, report
 from fleetscope.sources import telemetry
 from fleetscope.sources.cpu_records import parse_cpu_records
+from harness import labels
 from harness.core import query
 
 NOW = datetime(2024, 1, 31)
@@ -180,9 +180,19 @@ _HMS = "substr({0}, 1, 2) || ':' || substr({0}, 3, 2) || ':' || substr({0}, 5, 2
 _START = _HMS.format("lpad(CAST(active_start_time AS STRING), 6, '0')")
 _END = _HMS.format("lpad(CAST(active_end_time AS STRING), 6, '0')")
 _DAYS = " || ".join(
-    f"CASE WHEN (freq_interval // {1 << i}) % 2 = 1 THEN '{'' if i == 0 else ', '}{day}' ELSE '' END" for i, day in enumerate(codes.WEEKDAYS)
+    f"CASE WHEN (freq_interval // {1 << i}) % 2 = 1 THEN '{'' if i == 0 else ', '}{day}' ELSE '' END" for i, day in enumerate(labels.WEEKDAY.values())
 )
-_RELATIVE = " ".join(f"WHEN {i} THEN '{d}'" for i, d in codes.RELATIVE_DAYS.items())
+_EVERY = " ".join(
+    f"WHEN {code} THEN 'Occurs every ' || CAST(freq_subday_interval AS STRING) || ' {unit}(s) between ' || {_START} || ' & ' || {_END}"
+    for code, unit in labels.SUBDAY_UNIT.items()
+)
+
+
+def _action(code: str, step: str, name: str) -> str:
+    jump = f"CASE {code} WHEN 4 THEN 'Go to Step: [' || CAST({step} AS STRING) || '] ' || {name} END"
+    return labels.case(code, labels.STEP_ACTION, jump)
+
+
 _JOB_SQL = f"""
 decoded AS (
   SELECT server_id, job_id, job_name, job_owner, job_category, job_description, is_enabled, job_created_on, job_last_modified_on,
@@ -191,20 +201,15 @@ decoded AS (
          CASE freq_type WHEN 4 THEN 'Occurs every ' || CAST(freq_interval AS STRING) || ' day(s)'
               WHEN 8 THEN 'Occurs every ' || CAST(freq_recurrence_factor AS STRING) || ' week(s) on ' || {_DAYS}
               WHEN 16 THEN 'Occurs on Day ' || CAST(freq_interval AS STRING) || ' of every ' || CAST(freq_recurrence_factor AS STRING) || ' month(s)'
-              WHEN 32 THEN 'Occurs on ' || CASE freq_relative_interval WHEN 1 THEN 'First' WHEN 2 THEN 'Second' WHEN 4 THEN 'Third' WHEN 8 THEN 'Fourth' WHEN 16 THEN 'Last' END
-                   || ' ' || CASE freq_interval {_RELATIVE} END || ' of every ' || CAST(freq_recurrence_factor AS STRING) || ' month(s)' END AS recurrence,
-         CASE freq_subday_type WHEN 1 THEN 'Occurs once at ' || {_START}
-              WHEN 2 THEN 'Occurs every ' || CAST(freq_subday_interval AS STRING) || ' Second(s) between ' || {_START} || ' & ' || {_END}
-              WHEN 4 THEN 'Occurs every ' || CAST(freq_subday_interval AS STRING) || ' Minute(s) between ' || {_START} || ' & ' || {_END}
-              WHEN 8 THEN 'Occurs every ' || CAST(freq_subday_interval AS STRING) || ' Hour(s) between ' || {_START} || ' & ' || {_END} END AS frequency,
+              WHEN 32 THEN 'Occurs on ' || {labels.case('freq_relative_interval', labels.RELATIVE_WEEK)}
+                   || ' ' || {labels.case('freq_interval', labels.RELATIVE_DAY)} || ' of every ' || CAST(freq_recurrence_factor AS STRING) || ' month(s)' END AS recurrence,
+         CASE freq_subday_type WHEN 1 THEN 'Occurs once at ' || {_START} {_EVERY} END AS frequency,
          substr(CAST(active_start_date AS STRING), 1, 4) || '-' || substr(CAST(active_start_date AS STRING), 5, 2) || '-' || substr(CAST(active_start_date AS STRING), 7, 2) AS schedule_usage_start_date,
          CASE WHEN active_end_date IS NOT NULL THEN '9999-12-31' END AS schedule_usage_end_date, schedule_created_on, schedule_last_modified_on,
-         step_no, step_name, CASE subsystem WHEN 'TSQL' THEN 'Transact-SQL script (T-SQL)' WHEN 'CmdExec' THEN 'Operating system (CmdExec)' ELSE subsystem END AS step_type,
+         step_no, step_name, {labels.case('subsystem', labels.STEP_TYPE, 'subsystem')} AS step_type,
          run_as, database_name, executable_command,
-         CASE success_code WHEN 1 THEN 'Quit the job reporting success' WHEN 2 THEN 'Quit the job reporting failure' WHEN 3 THEN 'Go to the next step'
-              WHEN 4 THEN 'Go to Step: [' || CAST(on_success_step_id AS STRING) || '] ' || success_name END AS on_success_action, retry_attempts, retry_interval,
-         CASE fail_code WHEN 1 THEN 'Quit the job reporting success' WHEN 2 THEN 'Quit the job reporting failure' WHEN 3 THEN 'Go to the next step'
-              WHEN 4 THEN 'Go to Step: [' || CAST(on_fail_step_id AS STRING) || '] ' || fail_name END AS on_failure_action
+         {_action('success_code', 'on_success_step_id', 'success_name')} AS on_success_action, retry_attempts, retry_interval,
+         {_action('fail_code', 'on_fail_step_id', 'fail_name')} AS on_failure_action
   FROM fx_job_view)
 """
 

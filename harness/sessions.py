@@ -938,13 +938,13 @@ def _(v):
     return named.select("server_id", "session_id", F.col("step_id").cast("int").alias("step_id"), "job_name", "step_name")
 
 
-_SWITCHES = session_monitor.SWITCHES
+_SWITCHES = sessions.SWITCHES
 
 
 @query("monitor_memory_and_options", "WITH " + _RANK_SQL + """
 SELECT p.server_id, p.collection_time, p.session_id, p.request_id, m.requested_memory_kb // 8 AS requested_memory, m.granted_memory_kb // 8 AS granted_memory,
        m.max_used_memory_kb // 8 AS max_used_memory, o.text_size, o.language, o.lock_timeout, """ + ", ".join(
-    f"CASE WHEN o.{c} THEN 'ON' WHEN NOT o.{c} THEN 'OFF' END AS {c}" for c in _SWITCHES
+    f"CASE o.{c} WHEN 1 THEN 'ON' WHEN 0 THEN 'OFF' END AS {c}" for c in _SWITCHES
 ) + """,
        CASE o.transaction_isolation_level WHEN 0 THEN 'Unspecified' WHEN 1 THEN 'ReadUncomitted' WHEN 2 THEN 'ReadCommitted' WHEN 3 THEN 'Repeatable'
             WHEN 4 THEN 'Serializable' WHEN 5 THEN 'Snapshot' END AS isolation_level
