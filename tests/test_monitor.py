@@ -206,14 +206,28 @@ def inputs(table, frame):
     }
 
 
-def test_monitor_with_every_column_group(inputs, rows):
-    report = session_monitor.session_snapshot(inputs, session_monitor.GROUPS)
+def test_monitor_with_every_column_group(inputs, frame, rows):
+    grants = frame(
+        "server_id bigint, collection_time timestamp, session_id bigint, request_id bigint, requested_memory_kb bigint, granted_memory_kb bigint, "
+        "used_memory_kb bigint, max_used_memory_kb bigint", [(1, T, 51, 0, 130, 96, 64, 80)],
+    )
+    settings = ", ".join(f"{c} string" for c in session_monitor.SETTINGS)
+    switches = ", ".join(f"{c} int" for c in sessions.SWITCHES)
+    options = frame(
+        f"server_id bigint, collection_time timestamp, session_id bigint, {settings}, {switches}, transaction_isolation_level int",
+        [(1, T, 51, *["x"] * len(session_monitor.SETTINGS), 1, 0, None, *[1] * (len(sessions.SWITCHES) - 3), 4)],
+    )
+    report = session_monitor.session_snapshot({**inputs, "memory_grants": grants, "session_options": options}, session_monitor.GROUPS)
     got = {r.session_id: r for r in report.collect()}
     assert set(got) == {51, 52, 54}, "the sleeping blocker comes along, the system session does not"
     waiter, blocker, job = got[51], got[52], got[54]
     assert (waiter.is_added, blocker.is_added) == (False, True)
     assert waiter.wait_info == "(1x: 9ms)LCK_M_X" and (waiter.tasks, waiter.physical_io, waiter.thread_cpu) == (1, 3, 3)
-    assert (waiter.logical_reads, blocker.logical_reads, waiter.used_memory) == (9, 8, 5)
+    assert (waiter.logical_reads, blocker.logical_reads, waiter.used_memory) == (9, 8, 8), "what a grant uses replaces the session's figure"
+    assert (waiter.requested_memory, waiter.granted_memory, waiter.max_used_memory, blocker.granted_memory) == (16, 12, 10, None)
+    info = waiter.additional_info
+    assert (info.quoted_identifier, info.arithabort, info.ansi_null_dflt_on, info.transaction_isolation_level) == ("ON", "OFF", None, "Serializable")
+    assert blocker.additional_info is None and (waiter.blocked_object.lock_type, waiter.blocked_object.object_name) == ("keylock", "tab")
     assert (blocker.blocked_session_count, waiter.root_session_id, waiter.depth) == (1, 52, 1)
     assert (blocker.tempdb_allocations, waiter.tempdb_allocations) == (5, 0)
     assert (waiter.tran_log_writes, waiter.implicit_tran, waiter.avg_elapsed_ms) == ("d: 2 (2 kB),", False, 4)
@@ -231,6 +245,8 @@ def test_monitor_filters_and_joins_only_what_is_asked(inputs, rows):
     assert [r.session_id for r in ordered.collect()] == [52, 51]
     with pytest.raises(ValueError):
         session_monitor.session_snapshot(few, ("colours",))
+    with pytest.raises(ValueError):
+        session_monitor.session_snapshot(few, ("blocked_objects",))
 
 
 def test_blocked_object_names(inputs, rows):
