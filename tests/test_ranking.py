@@ -26,3 +26,10 @@ def test_best_row_and_spread(frame, rows):
 def test_dense_number(frame, rows):
     df = frame("k int, v int", [(1, 10), (1, 10), (1, 30), (2, 5)])
     assert rows(ranking.dense_number(df, ["k"], "v", "n"), "k", "v", "n") == [(1, 10, 1), (1, 10, 1), (1, 30, 2), (2, 5, 1)]
+
+
+def test_numbered_rows_meet_only_the_small_shifts(frame):
+    df = frame("k string, v int, wide string", [("a", i % 7, "x") for i in range(50)])
+    plan = ranking.number_rows(df, ["k"], [F.col("v")], "n")._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Join") == 1
+    assert "BroadcastHashJoin" in plan.executedPlan().toString()

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetscope.operators import backup_rules, checks, index_rules, jobs, selection
+from fleetscope.plans import maintenance
 from fleetscope.sources.selectors import expand_selectors
 
 NOW = dt.datetime(2024, 1, 31)
@@ -210,6 +211,34 @@ def test_statistics(plan):
 # ---- checks, commands, jobs ----------------------------------------------------------
 
 
+def _inventory(frame):
+    at = "server_id int, database_name string, object_id int, "
+    kinds = {"index_type": 1, "allow_page_locks": True, "is_memory_optimized": False}
+    columns = [c for c in INDEX.split(", ") if c.split()[0] not in ("partition_count", "fragmentation", "page_count", "row_count", "modification_counter", "index_id", "statistics_id")]
+    made = {**INDEX_BASE, **kinds}
+    row = lambda i, part: (1, "db", 7, i, i, "s", "t", f"ix{i}", f"ix{i}", *[part if c.startswith("partition_number") else made[c.split()[0]] for c in columns])
+    schema = at + "index_id int, statistics_id int, schema_name string, object_name string, index_name string, statistics_name string, " + ", ".join(columns)
+    indexes = frame(schema, [row(1, None), row(2, None), row(2, None)])
+    policies = frame("server_id int, policy_id int, spec string, update_statistics string, partition_level_statistics boolean", [(1, 1, None, "ALL", True), (1, 2, "%.%.%.ix2", "ALL", False), (1, 2, "%.%.%.ix2", "ALL", False)])
+    physical = frame(at + "index_id int, partition_number int, alloc_unit_type string, index_level int, page_count bigint, fragmentation double", [(1, "db", 7, 1, 1, "IN_ROW_DATA", 0, 5000, 50.0)])
+    props = frame(at + "statistics_id int, row_count bigint, modification_counter bigint", [(1, "db", 7, 1, 100, 5), (1, "db", 7, 9, 50, 5)])
+    alone = frame(at + "schema_name string, object_name string, statistics_id int, statistics_name string, is_incremental boolean", [(1, "db", 7, "s", "t", 9, "st9", True)])
+    parts = frame(at + "statistics_id int, partition_number int, row_count bigint, modification_counter bigint", [(1, "db", 7, 9, k, 10 * k, k) for k in (1, 2)])
+    return indexes, policies, physical, props, alone, parts
+
+
+def test_policy_columns_do_not_travel_with_the_numbered_rows(frame, rows, monkeypatch):
+    seen, number = [], selection.number_rows
+    monkeypatch.setattr(selection, "number_rows", lambda df, *a: seen.append(df.columns) or number(df, *a))
+    found = maintenance.index_plan(*_inventory(frame))
+    assert not {"prefer_high", "fragmentation_medium", "update_statistics"} & set(seen[0])
+    # Column statistics come per partition where the policy works on partitions, and the policy listed twice counts twice.
+    assert rows(found, "policy_id", "index_id", "statistics_id", "partition_number", "row_count", "action", "plan_order", "update_statistics") == sorted([
+        (1, 1, 1, None, 100, "INDEX_REBUILD_ONLINE", 1, "ALL"), (1, 2, 2, None, None, None, 2, "ALL"), (1, None, 9, 1, 10, None, 3, "ALL"), (1, None, 9, 2, 20, None, 4, "ALL"),
+        (2, 2, 2, None, None, None, 1, "ALL"), (2, 2, 2, None, None, None, 2, "ALL"),
+    ], key=repr)
+
+
 def test_command_outcomes(frame, rows):
     t = dt.datetime(2024, 1, 1)
     log = frame("start_time timestamp, end_time timestamp, error_number bigint", [
@@ -236,3 +265,34 @@ def test_drift(frame, rows):
     assert rows(jobs.definition_drift(a, b), "side", "job_name", "run_as") == [
         ("primary", "job_name1", None), ("secondary", "job_name1", "x"),
     ]
+
+
+def test_job_definitions_meet_on_one_key(frame, rows, spark):
+    """Jobs, steps and schedules are dealt by job once; only the narrow steps are dealt by their targets."""
+    jobs_ = frame(
+        "server_id int, job_id string, name string, enabled int, owner_sid int, category_id int, description string, delete_level int, date_created timestamp, date_modified timestamp, originating_server_id int",
+        [(1, j, j, 1, 1, 1, None, 0, NOW, NOW, 1) for j in ("a", "empty")],
+    )
+    steps = frame(
+        "server_id int, job_id string, step_id int, step_name string, subsystem string, command string, database_name string, on_success_action int, on_success_step_id int, on_fail_action int, on_fail_step_id int, "
+        "retry_attempts int, retry_interval int, proxy_id int", [(1, "a", i, f"s{i}", "TSQL", "x", "db", 4, i + 1, 4, i - 1, 0, 0, None) for i in (1, 2)],
+    )
+    schedules = frame(
+        "server_id int, schedule_id int, name string, freq_type int, freq_interval int, freq_subday_type int, freq_subday_interval int, freq_relative_interval int, freq_recurrence_factor int, "
+        "active_start_date int, active_end_date int, active_start_time int, active_end_time int, date_created timestamp, date_modified timestamp", [(1, 5, "nightly", 4, 1, 1, 0, 0, 0, 20240101, 99991231, 0, 0, NOW, NOW)],
+    )
+    named = lambda key: frame(f"server_id int, {key} int, name string", [(1, 1, "n")])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        view = jobs.job_definition_view(
+            jobs_, steps, schedules, frame("server_id int, job_id string, schedule_id int", [(1, "a", 5)]),
+            named("category_id"), named("proxy_id"), named("owner_sid"), named("originating_server_id"),
+        )
+        plan = view._jdf.queryExecution().executedPlan().toString()
+        by_job = [line for line in plan.splitlines() if "Exchange hashpartitioning(server_id" in line and ", job_id" in line]
+        assert len(by_job) == 7, len(by_job)
+        assert rows(view, "job_id", "step_no", "on_success_action", "on_failure_action", "job_schedule_name") == sorted([
+            ("a", 1, "Go to Step: [2] s2", None, "nightly"), ("a", 2, None, "Go to Step: [1] s1", "nightly"), ("empty", None, None, None, None),
+        ], key=repr)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
