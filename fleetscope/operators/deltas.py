@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.keys import SK
-from fleetscope.runtime import cut_lineage
+from fleetscope.runtime import freeze
 
 METRICS = [
     "physical_io", "reads", "physical_reads", "writes", "tempdb_allocations", "tempdb_current",
@@ -72,7 +72,7 @@ def _cpu_delta() -> Column:
 
 
 def _paired(samples: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    collections = cut_lineage(previous_collections(samples).drop("previous_time"))
+    collections = freeze(previous_collections(samples).drop("previous_time"))
     rest = [c for c in samples.columns if c not in SK]
     slots = F.array(
         F.struct(F.col("collection_time").alias("slot"), F.lit(True).alias("own")),

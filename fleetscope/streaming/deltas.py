@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fleetscope.keys import SK
 from fleetscope.operators.deltas import METRICS, previous_collections, session_deltas
 from fleetscope.operators.ranking import best_row
+from fleetscope.runtime import freeze
 from fleetscope.streaming.run import BatchState, for_each_available
 
 
@@ -37,14 +38,15 @@ def delta_batches(
         known = kept.before(batch_id)
         both = arrived if known is None else arrived.unionByName(known.withColumn("is_new", F.lit(False)))
         at = ["server_id", "collection_time"]
-        around = previous_collections(both).join(arrived.select(*at).distinct().withColumn("_came", F.lit(True)), at, "left")
-        before = arrived.select("server_id", F.col("collection_time").alias("previous_time")).distinct().withColumn("_neighbour", F.lit(True))
-        touched = around.join(before, ["server_id", "previous_time"], "left").filter("_came or _neighbour").select(*at)
-        found = session_deltas(both, metrics, allow_negative)
-        found = found.filter("is_new") if lateness is None else found.join(touched, at, "left_semi")
+        if lateness is None:
+            found = session_deltas(both, metrics, allow_negative).filter("is_new")
+        else:
+            touched = freeze(_touched(both, arrived))
+            needed = touched.select(*at).unionByName(touched.select("server_id", F.col("previous_time").alias("collection_time"))).distinct()
+            found = session_deltas(both.join(needed, at, "left_semi"), metrics, allow_negative).join(touched, at, "left_semi")
         names = [c for c in found.columns if c in SK or c.endswith("_delta")]
         found.select(*names).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        times = both.select(*at).distinct()
+        times = freeze(both.select(*at).distinct())
         last = times.groupBy("server_id").agg(F.max("collection_time").alias("last"))
         if lateness is not None:
             last = last.withColumn("last", F.col("last") - F.lit(lateness))
@@ -53,12 +55,20 @@ def delta_batches(
             .groupBy("server_id").agg(F.max("collection_time").alias("collection_time"))
         )
         recent = times.join(last, "server_id").filter("collection_time >= last").select(*at).unionByName(second.select(*at))
-        kept.keep(both.drop("is_new").join(recent, at, "left_semi"), batch_id)
+        kept.keep(both.drop("is_new").join(freeze(recent), at, "left_semi"), batch_id)
         arrived.unpersist()
 
     for_each_available(samples, compute, checkpoint)
 
 
+def _touched(both: DataFrame, arrived: DataFrame) -> DataFrame:
+    """Collections that arrived and those right after one that arrived, with the collection before each."""
+    at = ["server_id", "collection_time"]
+    around = previous_collections(both).join(arrived.select(*at).distinct().withColumn("_came", F.lit(True)), at, "left")
+    before = arrived.select("server_id", F.col("collection_time").alias("previous_time")).distinct().withColumn("_neighbour", F.lit(True))
+    return around.join(before, ["server_id", "previous_time"], "left").filter("_came or _neighbour").select(*at, "previous_time")
+
+
 def read_deltas(spark: SparkSession, path: str) -> DataFrame:
     """The deltas that ``delta_batches`` wrote, each sample as the last batch that touched it says."""
     rows = spark.read.parquet(path)

@@ -12,8 +12,9 @@ from fleetscope.sources import telemetry
 from fleetscope.sources.cpu_records import parse_cpu_records
 from fleetscope.streaming.alerts import alert_batches
 from fleetscope.streaming.cpu import stream_cpu_history
-from fleetscope.streaming.deltas import delta_batches
+from fleetscope.streaming.deltas import delta_batches, read_deltas
 from fleetscope.streaming.run import write_available
+from harness import streams
 
 NOW = dt.datetime(2024, 1, 31)
 EVENT = "server_id bigint, event_id bigint, severity bigint, error_number bigint, message string, event_time timestamp"
@@ -236,3 +237,31 @@ def test_streamed_deltas_equal_batch(spark, frame, rows, tmp_path):
     names = [f"{m}_delta" for m in deltas.METRICS]
     got = rows(spark.read.parquet(f"{tmp_path}/out"), "collection_time", "session_id", *names)
     assert got == rows(deltas.session_deltas(frame(schema, data)), "collection_time", "session_id", *names)
+
+
+def test_samples_are_not_dealt_by_collection(spark):
+    """A fleet has few collections at a time: dealt by them, all samples would share a few tasks."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60000")
+    try:
+        id_ = F.col("id")
+        samples = spark.range(100_000).select(
+            (id_ % 2).alias("server_id"), F.timestamp_seconds(1_700_000_000 + id_ % 3 * 60).alias("collection_time"), id_.alias("session_id"), F.lit(0).alias("request_id"),
+            F.lit(NOW).alias("last_request_start_time"), *[id_.alias(m) for m in deltas.METRICS],
+        )
+        plan = deltas.session_deltas(samples)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_poll_of_many_files_is_one_batch(frame, rows, spark, tmp_path):
+    schema = TELEMETRY["snapshots"]
+    late = dt.timedelta(minutes=5)
+    data = [(1, NOW + dt.timedelta(minutes=m), s, 0, NOW, *[10 * m + s] * 11) for m in range(3) for s in range(20)]
+    for m in (2, 0, 1):
+        part = frame(schema, [d for d in data if d[1] == NOW + dt.timedelta(minutes=m)]).repartition(3, "session_id")
+        streams._arrive(part, f"{tmp_path}/in", lambda s: delta_batches(s, f"{tmp_path}/out", f"{tmp_path}/state", f"{tmp_path}/c", lateness=late))
+    names = [f"{m}_delta" for m in deltas.METRICS]
+    assert spark.read.parquet(f"{tmp_path}/out").select("batch_id").distinct().count() == 3
+    got = rows(read_deltas(spark, f"{tmp_path}/out"), "collection_time", "session_id", *names)
+    assert got == rows(deltas.session_deltas(frame(schema, data)), "collection_time", "session_id", *names)
