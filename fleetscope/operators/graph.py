@@ -14,8 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.keys import K
+from fleetscope.operators.ranking import spread_group_value
 from fleetscope.runtime import cut_lineage
 
+# Groups of up to so many edges, hence at most 62 sessions, are worked out in one row; a set of them is a 64-bit number.
+SMALL_GROUP = 31
+
 
 def block_edges(sessions: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     """Distinct (session, blocker) edges between collected sessions; no self edges."""
@@ -115,17 +119,11 @@ def blocking_chains(sessions: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     no top blocker above, as in and below a lone cycle, has no depth and no root (NULL).
     """
     at = [*keys, "session_id"]
-    edges = cut_lineage(block_edges(sessions, keys))
-    shared = edges.groupBy(*at).count().filter("count > 1").select(*at)
-    if shared.isEmpty():
-        linked = _forest_counts(edges, keys)
-    else:
-        # Only the components in which a session waits for several blockers leave the doubling walk.
-        labels = component_labels(edges, keys)
-        tangled = labels.join(shared, at, "left_semi").select(*keys, "component").distinct()
-        inside = cut_lineage(labels.join(tangled, [*keys, "component"], "left_semi").select(*at))
-        plain = _forest_counts(cut_lineage(edges.join(inside, at, "left_anti")), keys)
-        linked = plain.unionByName(_condensed_counts(cut_lineage(edges.join(inside, at, "left_semi")), keys))
+    sized = cut_lineage(spread_group_value(block_edges(sessions, keys), keys, _n=F.count(F.lit(1))))
+    linked = _small_group_counts(sized.filter(F.col("_n") <= SMALL_GROUP).drop("_n"), keys)
+    large = sized.filter(F.col("_n") > SMALL_GROUP).drop("_n")
+    if not large.isEmpty():
+        linked = linked.unionByName(_large_group_counts(cut_lineage(large), keys))
     found = F.col("_linked").isNotNull()
     # Sessions without any edge stand alone.
     return (
@@ -138,6 +136,20 @@ def blocking_chains(sessions: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     )
 
 
+def _large_group_counts(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Count, depth and root of every session on an edge, by joins; groups may be of any size."""
+    at = [*keys, "session_id"]
+    shared = edges.groupBy(*at).count().filter("count > 1").select(*at)
+    if shared.isEmpty():
+        return _forest_counts(edges, keys)
+    # Only the components in which a session waits for several blockers leave the doubling walk.
+    labels = component_labels(edges, keys)
+    tangled = labels.join(shared, at, "left_semi").select(*keys, "component").distinct()
+    inside = cut_lineage(labels.join(tangled, [*keys, "component"], "left_semi").select(*at))
+    plain = _forest_counts(cut_lineage(edges.join(inside, at, "left_anti")), keys)
+    return plain.unionByName(_condensed_counts(cut_lineage(edges.join(inside, at, "left_semi")), keys))
+
+
 def component_labels(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per session on an edge: the lowest session it is connected with, directions ignored (``component``).
 
@@ -172,6 +184,43 @@ def block_leaders(chains: DataFrame) -> DataFrame:
     return chains.filter("depth = 0 and blocked_session_count > 0")
 
 
+# ---- small groups --------------------------------------------------------------------
+
+
+def _small_group_counts(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Count, depth and root of every session on an edge, for groups of at most ``SMALL_GROUP`` edges.
+
+    A group is one row. Its sessions are numbered by id and a set of them is a number with
+    a bit for each, so what a session waits for on all levels takes a pass over the group
+    per session; then counts are added up from the lowest sessions, members of a cycle
+    as one, and depths are given level by level from the top blockers.
+    """
+    groups = edges.groupBy(*keys).agg(F.collect_list(F.struct("session_id", "blocker")).alias("_edges"))
+    steps = {
+        "_ids": "array_sort(array_distinct(flatten(transform(_edges, e -> array(e.session_id, e.blocker)))))",
+        "_places": "sequence(0, size(_ids) - 1)",
+        "_arcs": "transform(_edges, e -> struct(CAST(array_position(_ids, e.session_id) - 1 AS INT) AS below, CAST(array_position(_ids, e.blocker) - 1 AS INT) AS above))",
+        # Direct blockers, then all that are reached: by way of each session in turn.
+        "_up": "transform(_places, i -> aggregate(_arcs, 0L, (m, e) -> IF(e.below = i, m | shiftleft(1L, e.above), m)))",
+        "_all": "aggregate(_places, _up, (r, k) -> transform(r, m -> IF(getbit(m, k) = 1, m | r[k], m)))",
+        # Sessions that wait for each other, as a set that holds the session itself, and the first of them.
+        "_peers": "transform(_places, i -> aggregate(_places, shiftleft(1L, i), (m, j) -> IF(getbit(_all[i], j) = 1 AND getbit(_all[j], i) = 1, m | shiftleft(1L, j), m)))",
+        "_first": "transform(_peers, p -> bit_count((p & -p) - 1))",
+        # Who waits for another one reaches more than it.
+        "_order": "transform(array_sort(transform(filter(_places, i -> _first[i] = i), i -> struct(-bit_count(_all[i] | shiftleft(1L, i)) AS reach, i AS place))), s -> s.place)",
+        "_worth": """aggregate(_order, transform(_places, i -> 0L), (w, i) -> transform(w, (x, k) -> IF(k = i,
+            aggregate(_arcs, CAST(bit_count(_peers[i]) AS BIGINT), (s, e) -> IF(_first[e.above] = i AND _first[e.below] <> i, s + w[_first[e.below]], s)), x)))""",
+        "_tops": """aggregate(_places, transform(_up, (m, i) -> IF(m = 0, struct(0 AS depth, i AS root), NULL)),
+            (t, k) -> transform(t, (x, i) -> IF(x IS NOT NULL, x, array_min(transform(
+                filter(_arcs, e -> e.below = i AND t[e.above].depth = k), e -> struct(k + 1 AS depth, t[e.above].root AS root))))))""",
+    }
+    for name, step in steps.items():
+        groups = groups.withColumn(name, F.expr(step))
+    told = F.expr("""explode(transform(_places, i -> struct(
+        _ids[i] AS session_id, _worth[_first[i]] - 1 AS blocked_session_count, CAST(_tops[i].depth AS BIGINT) AS depth, _ids[_tops[i].root] AS root)))""")
+    return groups.select(*keys, told.alias("_told")).select(*keys, "_told.*")
+
+
 # ---- one blocker per session ---------------------------------------------------------
 
 

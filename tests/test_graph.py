@@ -145,3 +145,29 @@ def test_closure_adds_blockers_and_is_idempotent(frame, rows):
 
 def test_no_sessions(frame):
     assert graph.blocking_chains(frame(SCHEMA, [])).count() == 0
+
+
+def test_small_groups_need_no_rounds_and_equal_the_general_walk(frame, rows, monkeypatch):
+    rnd = random.Random(1)
+    data = []
+    for server in range(30):
+        nodes = list(range(100, 100 + rnd.choice([2, 5, 12])))
+        data += [(server, T, n, 0, None) for n in nodes]
+        data += [(server, T, n, i, rnd.choice([*nodes, 0, 999])) for i in range(rnd.choice([1, 2])) for n in nodes if rnd.random() < 0.8]
+    columns = ["server_id", "session_id", "blocked_session_count", "depth", "root_session_id"]
+    cuts, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    got = rows(graph.blocking_chains(frame(SCHEMA, data)), *columns)
+    assert len(cuts) == 1
+    monkeypatch.setattr(graph, "SMALL_GROUP", 0)
+    assert got == rows(graph.blocking_chains(frame(SCHEMA, data)), *columns)
+
+
+def test_largest_small_group_fits_into_one_number(frame, rows):
+    """31 edges that share no session make 62 sessions; in a chain they make 31 levels."""
+    edges = [(n + 100, n) for n in range(1, 32)]
+    got = run(frame, rows, edges, {n for e in edges for n in e})
+    assert got == {**{n: (1, 0, n) for n in range(1, 32)}, **{n + 100: (0, 1, n) for n in range(1, 32)}}
+    chain = [(n + 1, n) for n in range(1, 32)]
+    got = run(frame, rows, chain, set(range(1, 33)))
+    assert got == {n: (32 - n, n - 1, 1) for n in range(1, 33)}
