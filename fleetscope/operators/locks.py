@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetscope.functions.locktext import lock_resource_columns, page_class
 from fleetscope.functions.semantics import escape_markup, scrub_control
 from fleetscope.keys import K, SK
-from fleetscope.operators.ranking import number_rows
+from fleetscope.operators.ranking import number_small_groups
 
 RAW_KEYS = [*K, "request_session_id", "request_request_id"]
 RESOURCE_IDS = ["object_id", "file_id", "hobt_id", "allocation_unit_id", "index_id", "schema_id", "principal_id"]
@@ -119,7 +119,7 @@ def lock_document(named: DataFrame, page_rows: int = 1000) -> DataFrame:
     path = ["database_name", "on_database", "object_label", "object_schema"]
     counted = leaf.groupBy(*SK, *path, *lock_columns).agg(F.sum("request_count").alias("request_count"))
     order = [F.col(c).asc_nulls_first() for c in [*path, *lock_columns]]
-    paged = number_rows(counted, SK, order, "_row").withColumn(
+    paged = number_small_groups(counted, SK, order, "_row").withColumn(
         "page_no", F.floor((F.col("_row") - 1) / page_rows).cast("int")
     )
     page = [*SK, "page_no"]

@@ -9,7 +9,7 @@ from fleetscope.functions.locktext import block_info, metadata_schema_id
 from fleetscope.functions.semantics import int_div
 from fleetscope.functions.waittext import is_lock_wait, wait_detail, wait_group_text, without_latch_note
 from fleetscope.keys import K, SK
-from fleetscope.operators.ranking import best_row, null_safe_join, number_rows, spread_group_value
+from fleetscope.operators.ranking import best_row, null_safe_join, number_small_groups, spread_group_value
 
 RUNNABLE = "RUNNABLE"
 _TOTALS = ["physical_io", "context_switches", "thread_cpu", "tasks"]
@@ -109,7 +109,7 @@ def rank_waits(profile: DataFrame) -> DataFrame:
     Wait types carry page, database and latch names, so a request may have any number.
     """
     order = [F.col("block_text").desc_nulls_last(), F.col("num_waits").desc_nulls_last(), F.col("wait_type").asc_nulls_first()]
-    return number_rows(profile, SK, order, "wait_rank")
+    return number_small_groups(profile, SK, order, "wait_rank")
 
 
 WAITS_PER_PAGE = 1000

@@ -1,8 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from fleetscope.operators import ranking
+from fleetscope.operators import ranking, waits
 
 
 def test_sliced_numbers_equal_window_numbers_for_a_hot_group(frame, rows):
@@ -33,3 +34,23 @@ def test_numbered_rows_meet_only_the_small_shifts(frame):
     plan = ranking.number_rows(df, ["k"], [F.col("v")], "n")._jdf.queryExecution()
     assert plan.optimizedPlan().toString().count("Join") == 1
     assert "BroadcastHashJoin" in plan.executedPlan().toString()
+
+
+def test_only_large_groups_are_dealt_in_slices(frame, rows, monkeypatch):
+    rnd = random.Random(9)
+    data = [("hot" if i % 3 else None if i % 5 else f"k{i}", rnd.choice([None, *range(50)]), i) for i in range(300)]
+    df = frame("k string, v int, id int", data)
+    order, columns = [F.col("v").desc_nulls_last(), F.col("id")], ["k", "v", "id", "n"]
+    dealt, slices = [], ranking._number_by_slices
+    monkeypatch.setattr(ranking, "_number_by_slices", lambda part, *a: dealt.append({k for k, in part.select("k").distinct().collect()}) or slices(part, *a))
+    plain = rows(ranking.number_rows(df, ["k"], order, "n", bounded=True), *columns)
+    assert rows(ranking.number_small_groups(df, ["k"], order, "n"), *columns) == plain and not dealt
+    assert rows(ranking.number_small_groups(df, ["k"], order, "n", most=100), *columns) == plain and dealt == [{"hot"}]
+
+
+def test_waits_of_usual_requests_are_not_dealt_in_slices(frame, rows, monkeypatch):
+    monkeypatch.setattr(ranking, "_number_by_slices", lambda *a: pytest.fail("dealt in slices"))
+    profile = frame("server_id int, collection_time timestamp, session_id int, request_id int, wait_type string, num_waits bigint, block_text string", [
+        (1, None, 7, 0, "A", 2, None), (1, None, 7, 0, "B", 5, None), (1, None, 7, 0, "C", 1, "keylock"), (1, None, 8, 0, None, None, None),
+    ])
+    assert rows(waits.rank_waits(profile), "session_id", "wait_type", "wait_rank") == [(7, "A", 3), (7, "B", 2), (7, "C", 1), (8, None, 1)]
