@@ -296,6 +296,25 @@ def test_language_model_is_normalised(spark, corpus):
     assert root == pytest.approx(1, abs=1e-4) and (sums + back * root)[used] == pytest.approx(1, abs=1e-4)
 
 
+def test_language_model_tells_previous_words_of_one_ending_apart(spark):
+    """Words that end alike share a restaurant above their own; hot words are dealt to several buckets."""
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    learned, held = ([k for k in range(2000) if hpylm.is_held_out(k) == x] for x in (False, True))
+    rng = random.Random(3)
+    pairs = [("running", "fast"), ("singing", "songs"), ("cooking", "dinner"), ("reading", "books")]
+    texts = [" ".join(f"{u} {w} w{rng.randrange(300)}" for u, w in rng.choices(pairs, k=5)) for _ in learned[:300]]
+    texts += ["Running", "running fast", "running songs", "singing fast", "singing songs"]
+    ids = learned[:300] + held[:5]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in hpylm.score(docs).collect()}
+    _, fast, other, crossed, songs = (found[k] for k in held[:5])
+    assert fast > other + 1 and songs > crossed + 1
+    chunk = hpylm.chunks(docs, 4)
+    book = hpylm.book_of(chunk)
+    dealt = Counter(w for w, _ in {(w, r["bucket"]) for r in hpylm.requests(chunk, 4, book).collect() for w in book.read(r["words"], r["n_words"]).tolist()})
+    assert len(book.hot) and max(dealt[w] for w in book.hot.tolist()) > 1 and all(dealt[w] == 1 for w in dealt if w not in book.hot)
+
+
 def test_seating_follows_the_process():
     rng = np.random.default_rng(0)
     one_by_one = []
