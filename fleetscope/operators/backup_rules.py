@@ -232,14 +232,21 @@ def backup_path_parts(decided: DataFrame, now: datetime, separator: str = "\\")
     file = F.when(grouped, F.coalesce(column("group_file_name_structure"), F.lit(templates.GROUP_FILE))).otherwise(
         F.coalesce(column("file_name_structure"), F.lit(templates.FILE))
     )
-    folder = templates.tidy_directory(templates.drop_tokens(folder, unused))
-    file = templates.tidy_file(templates.drop_tokens(file, {**unused, **single}))
     file_values = {**values, "{NumberOfFiles}": F.col("file_count"), "{FileExtension}": extension}
-    return decided.withColumns({
-        "directory": templates.fill_tokens(folder, {**values, "{DatabaseName}": fs_name}),
-        "file_template": templates.fill_tokens(file, file_values),
-        "file_system_name": fs_name,
+    # Templates without their unused tokens are few: tidied once for each set of tokens, not for each database.
+    flags = {f"_unused_{token[1:-1]}": F.coalesce(condition, F.lit(False)) for token, condition in {**unused, **single}.items()}
+    keyed = decided.withColumns({"_folder": folder, "_file": file, **flags})
+    shape = ["_folder", "_file", *flags]
+    dropped = {token: F.col(f"_unused_{token[1:-1]}") for token in unused}
+    shapes = keyed.select(*shape).distinct().withColumns({
+        "_tidy_folder": templates.tidy_directory(templates.drop_tokens(F.col("_folder"), dropped)),
+        "_tidy_file": templates.tidy_file(templates.drop_tokens(F.col("_file"), {**dropped, **{t: F.col(f"_unused_{t[1:-1]}") for t in single}})),
     })
+    return keyed.join(shapes, shape).withColumns({
+        "directory": templates.fill_tokens(F.col("_tidy_folder"), {**values, "{DatabaseName}": fs_name}),
+        "file_template": templates.fill_tokens(F.col("_tidy_file"), file_values),
+        "file_system_name": fs_name,
+    }).select(*decided.columns, *[c for c in ("directory", "file_template", "file_system_name") if c not in decided.columns])
 
 
 def backup_paths(files: DataFrame, separator: str = "\\") -> DataFrame:

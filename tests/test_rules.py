@@ -296,3 +296,23 @@ def test_job_definitions_meet_on_one_key(frame, rows, spark):
         ], key=repr)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_backup_templates_are_tidied_once_per_set_of_tokens(spark):
+    """The patterns stand below an aggregate over the sets of tokens; unknown flags and repeated rows keep their rows."""
+    rows = [
+        ("db", "S1", None, "AG", "FULL", True, None, 2, None), ("db", "S1", "I", None, "LOG", None, True, 1, None),
+        ("db", "S1", "I", None, "LOG", None, True, 1, None), ("x", None, None, None, "DIFF", False, False, None, ""), ("y", "S1", None, None, "FULL", False, False, 1, "{DatabaseName}/{Partial}"),
+    ]
+    decided = spark.createDataFrame(rows, (
+        "name string, server_name string, instance_name string, availability_group string, decided_backup_type string, copy_only boolean, "
+        "read_write_filegroups boolean, file_count bigint, directory_structure string"
+    ))
+    found = backup_rules.backup_path_parts(decided, dt.datetime(2024, 1, 31))
+    assert sorted((r["directory"], r["file_template"]) for r in found.collect()) == sorted([
+        (r"AG\db\FULL_PARTIAL_COPY_ONLY", "AG_{DatabaseName}_FULL_PARTIAL_COPY_ONLY_20240131_000000_{FileNumber}.bak"),
+        *[(r"S1$I\db\LOG_PARTIAL_COPY_ONLY", "S1$I_{DatabaseName}_LOG_PARTIAL_COPY_ONLY_20240131_000000.trn")] * 2,
+        ("", "_{DatabaseName}_DIFF_20240131_000000_{FileNumber}.bak"), (r"y", "S1_{DatabaseName}_FULL_20240131_000000.bak"),
+    ])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and "regexp_replace" not in plan.split("Aggregate")[0].split("Join")[0]
