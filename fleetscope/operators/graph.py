@@ -68,8 +68,10 @@ def reachable(edges: DataFrame, starts: DataFrame, keys: Sequence[str], node: st
     next pass, from nodes not marked before; passes are as many as side edges on a way.
     """
     at = [*keys, node]
-    main = cut_lineage(edges.groupBy(*at).agg(F.min(target).alias(target), F.max(target).alias("_last")))
     found = cut_lineage(starts.select(*at).distinct())
+    if found.isEmpty():
+        return found
+    main = cut_lineage(edges.groupBy(*at).agg(F.min(target).alias(target), F.max(target).alias("_last")))
     by_group = main.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("_last") > F.col(target)).alias("several"))
     most, several = by_group.agg(F.max("n"), F.max("several")).first()
     if not most:
@@ -92,11 +94,15 @@ def reachable(edges: DataFrame, starts: DataFrame, keys: Sequence[str], node: st
 def blocker_closure(filtered: DataFrame, everything: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     """Filtered sessions plus all sessions that block them, directly or through others.
 
-    ``is_added`` marks sessions the filter had dropped.
+    ``is_added`` marks sessions the filter had dropped. A way to one of them ends with a step
+    from a chosen session and then leads through dropped ones, so only these are walked.
     """
     at = [*keys, "session_id"]
-    found = reachable(block_edges(everything, keys), filtered, keys, "session_id", "blocker")
-    extra = found.join(filtered.select(*at).distinct(), at, "left_anti")
+    chosen = filtered.select(*at).distinct()
+    edges = block_edges(everything, keys).join(chosen.withColumnRenamed("session_id", "blocker"), [*keys, "blocker"], "left_anti")
+    edges = cut_lineage(edges)
+    starts = edges.join(chosen, at, "left_semi").select(*keys, F.col("blocker").alias("session_id"))
+    extra = reachable(edges.join(chosen, at, "left_anti"), starts, keys, "session_id", "blocker")
     added = everything.join(extra, at, "left_semi")
     return filtered.withColumn("is_added", F.lit(False)).unionByName(added.withColumn("is_added", F.lit(True)))
 
@@ -225,9 +231,38 @@ def _small_group_counts(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _forest_counts(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Count, depth and root of every session on an edge, each with one blocker at most."""
+    """Count, depth and root of every session on an edge, each with one blocker at most.
+
+    Sessions that block nobody, mostly nearly all, are only counted at their blockers; the
+    walk is that of the others, and the first get their places from it.
+    """
     at = [*keys, "session_id"]
-    state, cyclic = _double(edges, keys)
+    blockers = edges.select(*keys, F.col("blocker").alias("session_id")).distinct()
+    leaves = edges.join(blockers, at, "left_anti")
+    waiting = leaves.groupBy(*keys, F.col("blocker").alias("session_id")).agg(F.count(F.lit(1)).alias("size"))
+    worth = blockers.join(waiting, at, "left").withColumn("size", F.coalesce("size", F.lit(0)) + 1)
+    worth = cut_lineage(worth)
+    inner = cut_lineage(_inner_counts(cut_lineage(edges.join(worth, at, "left_semi")), worth, keys))
+    above = inner.select(*keys, F.col("session_id").alias("blocker"), "depth", "root")
+    outer = leaves.join(above, [*keys, "blocker"]).select(
+        *at, F.lit(0).cast("bigint").alias("blocked_session_count"), (F.col("depth") + 1).alias("depth"), "root"
+    )
+    return inner.unionByName(outer)
+
+
+def _inner_counts(edges: DataFrame, worth: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Count, depth and root of every session of ``worth``, which counts itself and who waits at its end.
+
+    ``edges`` lead from these sessions to these sessions.
+    """
+    at = [*keys, "session_id"]
+    linked = edges.select(*at).union(edges.select(*keys, "blocker"))
+    lone = worth.join(linked, at, "left_anti").select(
+        *at, (F.col("size") - 1).alias("blocked_session_count"), F.lit(0).cast("bigint").alias("depth"), F.col("session_id").alias("root")
+    )
+    if edges.isEmpty():
+        return lone
+    state, cyclic = _double(edges, worth, keys)
     top = F.col("top")
     places = state.select(
         *at, (F.col("size") - 1).alias("blocked_session_count"),
@@ -235,23 +270,25 @@ def _forest_counts(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.when(top.isNull(), F.col("session_id")).when(~F.col("live"), top).alias("root"),
     )
     if cyclic is None:
-        return places
+        return places.unionByName(lone)
     # Cycle members become roots: count the trees below them, then pool each cycle.
     members = cut_lineage(cyclic)
-    trees, _ = _double(edges.join(members, at, "left_anti"), keys)
+    trees, _ = _double(edges.join(members, at, "left_anti"), worth, keys)
     sizes = trees.select(*at, "size")
     labels = _ring_labels(edges.join(members, at, "left_semi"), keys)
-    alone = members.join(sizes, at, "left_anti").withColumn("size", F.lit(1).cast("bigint"))
+    alone = worth.join(members, at, "left_semi").join(sizes, at, "left_anti")
     pooled = labels.join(sizes.unionByName(alone), at).groupBy(*keys, "label").agg(F.sum("size").alias("total"))
     ring_sizes = labels.join(pooled, [*keys, "label"]).select(*at, F.col("total").alias("size"))
     sizes = sizes.join(members, at, "left_anti").unionByName(ring_sizes)
     counts = sizes.select(*at, (F.col("size") - 1).alias("blocked_session_count"))
-    return places.drop("blocked_session_count").join(counts, at)
+    return places.drop("blocked_session_count").join(counts, at).unionByName(lone)
 
 
-def _double(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+def _double(edges: DataFrame, worth: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
     """Subtree size and final jump per node, and the cycle members if the walk never ends.
 
+    A node counts as its ``size`` in ``worth``.
+
     ``top`` is the node ``span`` hops up; ``live`` says it is exactly ``2**k`` hops away
     and may have a blocker of its own.
     """
@@ -261,7 +298,7 @@ def _double(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame
     one = F.lit(1).cast("bigint")
     state = blocked.withColumn("live", F.lit(True)).unionByName(
         roots.withColumns({"top": F.lit(None).cast(blocked.schema["top"].dataType), "live": F.lit(False)})
-    ).withColumns({"span": one, "size": one})
+    ).withColumn("span", one).join(worth, at)
     stuck = landed = None
     while True:
         # Whatever sits exactly 2**k below a node brings the nodes less than 2**k below itself.

@@ -13,7 +13,7 @@ from fleetscope.functions.waittext import wait_detail, wait_text
 from fleetscope.keys import K, SK
 from fleetscope.operators import deltas, filters, graph, locks, sessions, usage, waits
 from fleetscope.operators.ranking import null_safe_join
-from fleetscope.runtime import cut_lineage
+from fleetscope.runtime import freeze
 
 # Column groups that are joined only where asked for.
 GROUPS = (
@@ -31,7 +31,7 @@ def session_snapshot(
     ``inputs`` maps relation names to DataFrames; ``procs``, ``sessions``, ``requests`` and
     ``databases`` are always read, others only for the groups asked for. Sessions that block a
     selected one come along (``is_added``). The request rows feed several joins, so they
-    are written once to the checkpoint folder instead of being computed for each. With
+    are written once to the shared folder instead of being computed for each. With
     ``locks`` a request has one row per page of its lock document; ``blocked_objects`` needs ``tasks``.
     """
     unknown = set(groups) - set(GROUPS)
@@ -41,7 +41,7 @@ def session_snapshot(
         raise ValueError("blocked_objects needs the waits of tasks")
     names = inputs["databases"].select(*K, "database_id", F.col("name").alias("database_name"))
     everything = sessions.one_row_per_request(inputs["procs"]).join(names, [*K, "database_id"], "left")
-    everything = cut_lineage(everything.withColumn("blocking_session_id", F.nullif(F.col("blocked"), F.lit(0))))
+    everything = freeze(everything.withColumn("blocking_session_id", F.nullif(F.col("blocked"), F.lit(0))))
     kept = filters.filter_sessions(everything, include, exclude)
     if not own:
         kept = kept.join(
@@ -74,7 +74,7 @@ def _with_times(df: DataFrame) -> DataFrame:
 
 
 def _tasks(out: DataFrame, everything: DataFrame, inputs: Mapping[str, DataFrame]) -> DataFrame:
-    tasks = cut_lineage(waits.active_tasks(inputs["tasks"], inputs["workers"], inputs["threads"], everything))
+    tasks = freeze(waits.active_tasks(inputs["tasks"], inputs["workers"], inputs["threads"], everything))
     texts = waits.session_waits(inputs["waiting_tasks"], everything, inputs["databases"])
     summary = waits.task_summary(waits.rank_waits(waits.wait_profile(tasks, texts)))
     summary = summary.withColumnRenamed("wait_info", "_task_waits")

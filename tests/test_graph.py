@@ -171,3 +171,40 @@ def test_largest_small_group_fits_into_one_number(frame, rows):
     chain = [(n + 1, n) for n in range(1, 32)]
     got = run(frame, rows, chain, set(range(1, 33)))
     assert got == {n: (32 - n, n - 1, 1) for n in range(1, 33)}
+
+
+def test_closure_walks_only_what_the_filter_dropped(frame, rows, monkeypatch):
+    rnd = random.Random(5)
+    data = [(1, T, n, i, rnd.choice([None, rnd.randrange(60)])) for n in range(60) for i in range(2)]
+    everything = frame(SCHEMA, data)
+    for kept in (lambda n: n % 3 == 0, lambda n: n % 7 == 1):
+        got = graph.blocker_closure(everything.filter(f"session_id in ({', '.join(str(n) for n in range(60) if kept(n))})"), everything)
+        found = {n for n in range(60) if kept(n)}
+        while more := {b for _, _, n, _, b in data if n in found and b is not None} - found:
+            found |= more
+        assert rows(got, "session_id", "request_id", "is_added") == sorted(((n, i, not kept(n)) for n in found for i in range(2)), key=repr)
+
+    def fail(*_):
+        raise AssertionError("nothing was dropped, so there is nothing to walk")
+
+    monkeypatch.setattr(graph, "lifting_levels", fail)
+    whole = graph.blocker_closure(everything, everything)
+    assert rows(whole, "session_id", "request_id", "is_added") == sorted(((n, i, False) for _, _, n, i, _ in data), key=repr)
+
+
+def test_sessions_that_block_nobody_are_not_walked(frame, rows, monkeypatch):
+    # 1 <- 2 <- 3 with 100 sessions at each, and a ring of 400 and 401 with 50 at 400.
+    edges = [(2, 1), (3, 2), (400, 401), (401, 400), *[(10 + n, 1 + n % 3) for n in range(300)], *[(500 + n, 400) for n in range(50)]]
+    edges.append((900, 901))
+    walked, double = [], graph._double
+
+    def counted(links, *rest):
+        walked.append(links.count())
+        return double(links, *rest)
+
+    monkeypatch.setattr(graph, "_double", counted)
+    got = run(frame, rows, edges, sorted({n for e in edges for n in e}))
+    assert walked and max(walked) <= 4
+    assert [got[n] for n in (1, 2, 3, 901)] == [(302, 0, 1), (201, 1, 1), (100, 2, 1), (1, 0, 901)]
+    assert [got[n] for n in (10, 11, 12, 900)] == [(0, 1, 1), (0, 2, 1), (0, 3, 1), (0, 1, 901)]
+    assert [got[n] for n in (400, 401, 500)] == [(51, None, None), (51, None, None), (0, None, None)]
