@@ -32,20 +32,31 @@ def block_edges(sessions: DataFrame, keys: Sequence[str] = K) -> DataFrame:
     )
 
 
-def lifting_levels(main: DataFrame, keys: Sequence[str], node: str, target: str, nodes: int) -> list[DataFrame]:
+def lifting_levels(
+    main: DataFrame, keys: Sequence[str], node: str, target: str, nodes: int, starts: DataFrame | None = None
+) -> list[DataFrame]:
     """Jump tables of a graph in which each node has one target: table ``k`` leads ``2**k`` edges ahead.
 
     A table has a row per node that has so long a way before it, never more than the graph;
-    there is none beyond the longest way, or, with cycles, beyond ``nodes``.
+    there is none beyond the longest way, or, with cycles, beyond ``nodes``. With ``starts``
+    the ways from these alone are asked for: a table then keeps the starts and where its own
+    jumps lead, as no way comes to another node by such jumps. Ways that meet make these
+    ever fewer; once that ends, the rows stay as they are.
     """
-    at, levels = [*keys, node], [main.select(*keys, node, target)]
-    while 2 ** len(levels) <= nodes:
-        last = levels[-1]
-        onward = last.select(*keys, F.col(node).alias(target), F.col(target).alias("_beyond"))
-        further = cut_lineage(last.join(onward, [*keys, target]).select(*at, F.col("_beyond").alias(target)))
-        if further.isEmpty():
+    at, first = [*keys, node], main.select(*keys, node, target)
+    levels, rows, shrinks = [], main.count(), starts is not None
+    while rows:
+        if shrinks:
+            landing = first.select(*keys, F.col(target).alias(node)).union(starts.select(*at)).distinct()
+            first = cut_lineage(first.join(landing, at, "left_semi"))
+            left = first.count()
+            shrinks, rows = left < 0.8 * rows, left
+        levels.append(first)
+        if 2 ** len(levels) > nodes:
             break
-        levels.append(further)
+        onward = first.select(*keys, F.col(node).alias(target), F.col(target).alias("_beyond"))
+        first = cut_lineage(first.join(onward, [*keys, target]).select(*at, F.col("_beyond").alias(target)))
+        rows = first.count()
     return levels
 
 
@@ -76,9 +87,9 @@ def reachable(edges: DataFrame, starts: DataFrame, keys: Sequence[str], node: st
     most, several = by_group.agg(F.max("n"), F.max("several")).first()
     if not most:
         return found
-    levels = lifting_levels(main, keys, node, target, most)
     if not several:
-        return cut_lineage(_mark(found, levels, keys, node, target))
+        return cut_lineage(_mark(found, lifting_levels(main, keys, node, target, most, found), keys, node, target))
+    levels = lifting_levels(main, keys, node, target, most)
     side = edges.join(main.filter(F.col("_last") > F.col(target)).withColumnRenamed(target, "_main"), at)
     side = cut_lineage(side.filter(F.col(target) > F.col("_main")).select(*at, target).distinct())
     fresh, known = found, None

@@ -208,3 +208,17 @@ def test_sessions_that_block_nobody_are_not_walked(frame, rows, monkeypatch):
     assert [got[n] for n in (1, 2, 3, 901)] == [(302, 0, 1), (201, 1, 1), (100, 2, 1), (1, 0, 901)]
     assert [got[n] for n in (10, 11, 12, 900)] == [(0, 1, 1), (0, 2, 1), (0, 3, 1), (0, 1, 901)]
     assert [got[n] for n in (400, 401, 500)] == [(51, None, None), (51, None, None), (0, None, None)]
+
+
+def test_jump_tables_hold_where_ways_from_the_starts_lead(frame, rows, monkeypatch):
+    # 100 ways of two steps meet in a chain of 200; only one of them is asked for.
+    nodes = range(1000, 1200)
+    edges = [(n, n + 1) for n in nodes] + [(i, 100 + i) for i in range(100)] + [(100 + i, 1000) for i in range(100)]
+    sizes, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: (lambda done: sizes.append((done.columns, done.count())) or done)(cut(df)))
+    table = frame("server_id bigint, a bigint, b bigint", [(1, a, b) for a, b in edges])
+    found = graph.reachable(table, table.filter("a in (7, 1100)").select("server_id", "a"), ["server_id"], "a", "b")
+    assert rows(found, "a") == [(n,) for n in sorted([7, 107, *range(1000, 1201)], key=lambda n: repr((n,)))]
+    # All tables after the graph itself: neither the 99 other ways nor their first steps are left in the second.
+    jumps = [n for columns, n in sizes if columns == ["server_id", "a", "b"]]
+    assert len(jumps) > 4 and jumps[0] == 301 and jumps[1] <= 300 and max(jumps[2:]) <= 201
