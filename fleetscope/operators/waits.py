@@ -10,6 +10,7 @@ from fleetscope.functions.semantics import int_div
 from fleetscope.functions.waittext import is_lock_wait, wait_detail, wait_group_text, without_latch_note
 from fleetscope.keys import K, SK
 from fleetscope.operators.ranking import best_row, null_safe_join, number_small_groups, spread_group_value
+from fleetscope.runtime import cut_lineage, freeze
 
 RUNNABLE = "RUNNABLE"
 _TOTALS = ["physical_io", "context_switches", "thread_cpu", "tasks"]
@@ -156,7 +157,8 @@ def wait_pages(ranked: DataFrame, page_rows: int = WAITS_PER_PAGE) -> DataFrame:
 def blocked_object_names(blocked: DataFrame, databases: DataFrame, partitions: DataFrame, objects: DataFrame, schemas: DataFrame) -> DataFrame:
     """Names of the object and schema each blocked request waits for.
 
-    ``blocked`` has SK and ``block_text``. Names are looked up per server and database.
+    ``blocked`` has SK and ``block_text``. Names are looked up per server and database. The
+    catalog is far larger than what is waited for, so its objects are cut to these first.
     """
     info = blocked.withColumn("_info", block_info(F.col("block_text")))
     info = info.select(
@@ -170,11 +172,15 @@ def blocked_object_names(blocked: DataFrame, databases: DataFrame, partitions: D
         F.col("name").alias("object_name"), F.col("schema_id").alias("_object_schema"),
     )
     sch = schemas.select("server_id", "database_name", F.col("schema_id").alias("target_schema_id"), F.col("name").alias("schema_name"))
-    return (
+    at = ["server_id", "database_name", "target_object_id"]
+    placed = freeze(
         info.join(databases.select("server_id", "database_id", F.col("name").alias("database_name")), ["server_id", "database_id"], "left")
         .join(part, ["server_id", "database_name", "hobt_id"], "left")
         .withColumn("target_object_id", F.coalesce("_part_object", "_object"))
-        .join(obj, ["server_id", "database_name", "target_object_id"], "left")
+    )
+    wanted = cut_lineage(placed.select(*at).distinct())
+    return (
+        placed.join(obj.join(wanted, at, "left_semi"), at, "left")
         .withColumn("target_schema_id", F.coalesce("_object_schema", "_schema"))
         .join(sch, ["server_id", "database_name", "target_schema_id"], "left")
         .select(*SK, "lock_type", "database_name", "hobt_id", "target_object_id", "schema_name", "object_name")

@@ -255,3 +255,22 @@ def test_blocked_object_names(inputs, rows):
     blocked = texts.select("server_id", "collection_time", F.lit(51).alias("session_id"), F.lit(0).alias("request_id"), "block_text")
     named = waits.blocked_object_names(blocked, inputs["databases"], inputs["partitions"], inputs["objects"], inputs["schemas"])
     assert rows(named, "lock_type", "schema_name", "object_name") == [("keylock", "dbo", "tab")]
+
+
+def test_objects_nobody_waits_for_leave_the_catalog_before_names_are_joined(frame, rows):
+    key = "server_id bigint, "
+    blocked = frame(key + "collection_time timestamp, session_id bigint, request_id bigint, block_text string", [
+        (1, T, 5, 0, "keylock hobtid=70 dbid=2 mode=X"), (1, T, 6, 0, "objectlock lockPartition=0 objid=8 subresource=FULL dbid=2 id=lock1"),
+        (1, T, 7, 0, "keylock hobtid=71 dbid=2 mode=X"), (1, T, 8, 0, "keylock hobtid=70 dbid=3 mode=X"),
+    ])
+    databases = frame(key + "database_id bigint, name string", [(1, 2, "db2")])
+    partitions = frame(key + "database_name string, hobt_id bigint, object_id bigint", [(1, "db2", 70, 9)])
+    objects = frame(key + "database_name string, object_id bigint, name string, schema_id bigint", [
+        (1, "db2", 8, "eight", 1), (1, "db2", 9, "nine", 1), (2, "db2", 9, "elsewhere", 1), *[(1, "db2", n, f"o{n}", 1) for n in range(100, 200)],
+    ])
+    schemas = frame(key + "database_name string, schema_id bigint, name string", [(1, "db2", 1, "dbo")])
+    named = waits.blocked_object_names(blocked, databases, partitions, objects, schemas)
+    assert rows(named, "session_id", "schema_name", "object_name") == sorted(
+        [(5, "dbo", "nine"), (6, "dbo", "eight"), (7, None, None), (8, None, None)], key=repr
+    )
+    assert "LeftSemi" in named._jdf.queryExecution().optimizedPlan().toString()
