@@ -130,17 +130,24 @@ def _in_order(text: Column) -> Column:
 
 
 def task_summary(ranked: DataFrame, page_rows: int = WAITS_PER_PAGE) -> DataFrame:
-    """One row per request: totals, the first block text and its waits as one text.
+    """One row per request: totals, the first block text and all its waits as one text.
 
-    The text holds the first ``page_rows`` waits; ``wait_pages`` tells how many pages there
-    are, and the operator of that name writes all of them.
+    Waits are put in order within pages of ``page_rows`` and the pages joined, so none is cut
+    however many there are; ``wait_pages`` counts the pages, which the operator of that name
+    writes apart.
     """
     listed = _wait_texts(ranked, page_rows)
-    return listed.groupBy(*SK).agg(
+    pages = listed.groupBy(*SK, "page_no").agg(
         *[F.max(c).alias(c) for c in _TOTALS],
         F.max(F.when(F.col("wait_rank") == 1, F.col("block_text"))).alias("block_text"),
-        _in_order(F.when(F.col("page_no") == 0, F.col("_text"))).alias("wait_info"),
-        (F.max(F.when(F.col("_text").isNotNull(), F.col("page_no"))) + 1).alias("wait_pages"),
+        F.when(F.count("_text") > 0, _in_order(F.col("_text"))).alias("_page"),
+    )
+    has_text = F.col("_page").isNotNull()
+    texts = F.array_sort(F.collect_list(F.when(has_text, F.struct("page_no", "_page"))))
+    return pages.groupBy(*SK).agg(
+        *[F.max(c).alias(c) for c in [*_TOTALS, "block_text"]],
+        F.array_join(F.transform(texts, lambda p: p["_page"]), ", ").alias("wait_info"),
+        (F.max(F.when(has_text, F.col("page_no"))) + 1).alias("wait_pages"),
     )
 
 

@@ -237,6 +237,30 @@ def test_monitor_with_every_column_group(inputs, frame, rows):
     assert waiter.start_time == T - dt.timedelta(minutes=5)
 
 
+def test_a_request_with_many_waits_keeps_them_all(inputs, table):
+    """More waits than a page of the summary holds; each is in the text once, the blocked one first."""
+    n = 2 * waits.WAITS_PER_PAGE + 3
+    common = {"waiting_task_address": 1, "session_id": 51, "blocking_session_id": 52, "wait_duration_ms": 9}
+    many = [{**common, "wait_type": "LATCH_EX", "resource_description": f"R{i:05}"} for i in range(n)]
+    held = {**common, "wait_type": "LCK_M_X", "resource_description": "keylock hobtid=7 dbid=5 id=x"}
+    report = session_monitor.session_snapshot({**inputs, "waiting_tasks": table("waiting_tasks", *many, held)}, ("tasks",))
+    waiter = next(r for r in report.collect() if r.session_id == 51)
+    assert waiter.wait_info.split(", ") == ["(1x: 9ms)LCK_M_X", *[f"(1x: 9ms)LATCH_EX [R{i:05}]" for i in range(n)]]
+    assert (waiter.wait_pages, waiter.tasks, waiter.physical_io, waiter.block_text) == (3, 1, 3, "keylock hobtid=7 dbid=5 id=x")
+
+
+def test_summary_joins_pages_in_order_and_counts_those_with_text(frame, rows):
+    totals = ", ".join(f"{c} bigint" for c in ("physical_io", "context_switches", "thread_cpu", "tasks"))
+    schema = ("server_id bigint, collection_time timestamp, session_id bigint, request_id bigint, wait_type string, num_waits bigint, min_wait_ms bigint, "
+              f"avg_wait_ms bigint, max_wait_ms bigint, block_text string, wait_rank int, {totals}")
+    wait = lambda s, r, kind: (1, T, s, 0, kind, 1 if kind else None, 5, 5, 5, "b" if r == 1 else None, r, 1, 2, 3, 4)
+    ranked = frame(schema, [*[wait(1, r, f"W{r}") for r in range(25, 0, -1)], wait(2, 1, "A"), wait(2, 2, "B"), wait(2, 3, None), wait(3, 1, None)])
+    text = lambda kinds: ", ".join(f"(1x: 5ms){k}" for k in kinds)
+    assert rows(waits.task_summary(ranked, page_rows=2), "session_id", "wait_info", "wait_pages", "block_text", "tasks") == [
+        (1, text([f"W{r}" for r in range(1, 26)]), 13, "b", 4), (2, text("AB"), 1, "b", 4), (3, "", None, "b", 4),
+    ]
+
+
 def test_monitor_filters_and_joins_only_what_is_asked(inputs, rows):
     few = {k: inputs[k] for k in ("procs", "sessions", "requests", "databases", "collectors")}
     report = session_monitor.session_snapshot(few, (), exclude=("login", "amy"), own=False)
