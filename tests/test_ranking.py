@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetscope.operators import ranking, waits
+from fleetscope.runtime import freeze_dealt
 
 
 def test_sliced_numbers_equal_window_numbers_for_a_hot_group(frame, rows):
@@ -54,3 +55,18 @@ def test_waits_of_usual_requests_are_not_dealt_in_slices(frame, rows, monkeypatc
         (1, None, 7, 0, "A", 2, None), (1, None, 7, 0, "B", 5, None), (1, None, 7, 0, "C", 1, "keylock"), (1, None, 8, 0, None, None, None),
     ])
     assert rows(waits.rank_waits(profile), "session_id", "wait_type", "wait_rank") == [(7, "A", 3), (7, "B", 2), (7, "C", 1), (8, None, 1)]
+
+
+def test_join_in_place_is_a_null_safe_left_join(frame, rows):
+    left = frame("k int, n string, x string", [(1, "a", "r1"), (1, "a", "r1"), (1, None, "r2"), (None, None, "r3"), (2, "b", "r4")])
+    right = frame("k bigint, n string, v int, w string", [(1, "a", 1, "p"), (1, "a", 2, None), (1, None, 3, "q"), (None, None, None, None), (None, None, 4, "s"), (9, "z", 5, "t")])
+    found = ranking.join_in_place(left, right, ["k", "n"])
+    plain = ranking.null_safe_join(left, right, ["k", "n"], "left")
+    assert [(f.name, f.dataType) for f in found.schema] == [(f.name, f.dataType) for f in plain.schema]
+    assert rows(found, *found.columns) == rows(plain, *plain.columns) and found.count() == 8
+
+
+def test_join_in_place_leaves_dealt_rows_where_they_are(frame):
+    left = freeze_dealt(frame("k int, n string, x string", [(i % 5, "a", "x") for i in range(50)]), "k")
+    right = freeze_dealt(frame("k int, n string, v int", [(i, "a", i) for i in range(5)]), "k")
+    assert "Exchange" not in ranking.join_in_place(left, right, ["n", "k"])._jdf.queryExecution().executedPlan().toString()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.operators import backup_rules, checks, index_rules, jobs, selection
 from fleetscope.plans import maintenance
+from fleetscope.runtime import freeze_dealt
 from fleetscope.sources.selectors import expand_selectors
 
 NOW = dt.datetime(2024, 1, 31)
@@ -239,6 +240,17 @@ def test_policy_columns_do_not_travel_with_the_numbered_rows(frame, rows, monkey
     ], key=repr)
 
 
+def test_statistics_of_dealt_inputs_do_not_move_again(frame, rows):
+    """Inputs in buckets by object: not one row is dealt by hash on the way to the decisions."""
+    plain = _inventory(frame)
+    dealt = [df if "object_id" not in df.columns else freeze_dealt(df, "object_id") for df in plain]
+    columns = ["policy_id", "index_id", "statistics_id", "partition_number", "row_count", "page_count", "action", "update_statistics_now"]
+    found = maintenance.index_decisions(*dealt)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found, *columns) == rows(maintenance.index_decisions(*plain), *columns)
+    assert len(rows(found, *columns)) == 6
+
+
 def test_command_outcomes(frame, rows):
     t = dt.datetime(2024, 1, 1)
     log = frame("start_time timestamp, end_time timestamp, error_number bigint", [
