@@ -70,3 +70,23 @@ def test_join_in_place_leaves_dealt_rows_where_they_are(frame):
     left = freeze_dealt(frame("k int, n string, x string", [(i % 5, "a", "x") for i in range(50)]), "k")
     right = freeze_dealt(frame("k int, n string, v int", [(i, "a", i) for i in range(5)]), "k")
     assert "Exchange" not in ranking.join_in_place(left, right, ["n", "k"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_rows_are_numbered_as_others(frame, rows, monkeypatch):
+    """Packs of a few rows each; names that two objects share and null keys mix in one order, and equal rows stay apart."""
+    monkeypatch.setattr(ranking, "PACK_ROWS", 7)
+    rnd = random.Random(3)
+    data = [(rnd.choice([1, 2, None]), rnd.choice(["a", "b", None]), rnd.randrange(4), i % 90) for i in range(300)]
+    df = frame("k int, name string, object_id int, v int", data)
+    order = [F.col("name").asc_nulls_first(), F.col("v")]
+    plain = ranking.number_rows(df, ["k"], order, "n", bounded=True)
+    packed = ranking.number_rows(df, ["k"], order, "n", False, ["k", "name", "object_id"], 1)
+    assert packed.columns == plain.columns
+    assert rows(packed, "k", "name", "v", "n") == rows(plain, "k", "name", "v", "n")
+    assert rows(packed, "k", "name", "object_id", "v") == rows(df, "k", "name", "object_id", "v")
+
+
+def test_packs_hold_a_bounded_number_of_rows(frame, monkeypatch):
+    monkeypatch.setattr(ranking, "PACK_ROWS", 7)
+    sizes = [len(r["_rows"]) for r in ranking._pack(frame("k int, v int", [(1, i) for i in range(100)]), ["k"]).collect()]
+    assert sum(sizes) == 100 and max(sizes) <= 7

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from fleetscope.operators import backup_rules, checks, index_rules, jobs, selection
+from fleetscope.operators import backup_rules, checks, index_rules, jobs, ranking, selection
 from fleetscope.plans import maintenance
 from fleetscope.runtime import freeze_dealt
 from fleetscope.sources.selectors import expand_selectors
@@ -251,6 +251,20 @@ def test_statistics_of_dealt_inputs_do_not_move_again(frame, rows):
     assert len(rows(found, *columns)) == 6
 
 
+def test_index_plan_of_dealt_inputs_packs_what_is_wanted(frame, rows, monkeypatch):
+    """Only wanted columns and the order are written, and the rows of an object under a policy are dealt as one; same numbers."""
+    seen, freeze = [], ranking.freeze
+    monkeypatch.setattr(ranking, "freeze", lambda df: seen.append(df) or freeze(df))
+    plain = _inventory(frame)
+    wanted = ["policy_id", "index_id", "statistics_id", "partition_number", "action", "update_statistics", "plan_order"]
+    dealt = [df if "object_id" not in df.columns else freeze_dealt(df, "object_id") for df in plain]
+    found = maintenance.index_plan(*dealt, columns=wanted, by_object=True)
+    assert found.columns == wanted and not {"page_count", "allow_page_locks", "row_count"} & set(seen[0].schema["_rows"].dataType.elementType.names)
+    assert "Exchange hashpartitioning" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert sorted(len(r["_rows"]) for r in seen[0].collect()) == [1, 1, 1, 2], "by policy, the one listed twice counts twice, and by resumable, unknown for column statistics"
+    assert rows(found, *wanted) == rows(maintenance.index_plan(*plain), *wanted)
+
+
 def test_command_outcomes(frame, rows):
     t = dt.datetime(2024, 1, 1)
     log = frame("start_time timestamp, end_time timestamp, error_number bigint", [
